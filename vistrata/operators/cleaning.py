@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vistrata.functions.columns import (
-    CLIP_LIMIT, UNKNOWN, clip, col, finite, finite_frame, numeric_columns, quoted)
+    CLIP_LIMIT, UNKNOWN, clip, col, finite, finite_frame, numeric_columns)
 from vistrata.operators.profile import constant_numeric_columns, missing_counts, varying_columns
 from vistrata.operators.quantiles import percentile_dict
 from vistrata.session import stage
@@ -106,7 +106,7 @@ def clean(df: DataFrame, exclude: Sequence[str] = ()) -> Cleaned:
     measured = [c for c in numeric_columns(df) if c not in exclude]
     source = clip_numeric(finite_frame(df), measured)
     constants = [c for c in constant_numeric_columns(source) if c not in exclude]
-    source = source.drop(*[quoted(c) for c in constants])
+    source = source.drop(*constants)
     measured = [c for c in measured if c not in constants]
 
     frame = stage(without_duplicates(source), "clean")

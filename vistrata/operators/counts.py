@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from vistrata.functions.columns import col, finite
-from vistrata.operators.profile import long_form
+from vistrata.functions.columns import col
+from vistrata.operators.profile import long_form, numbers
+from vistrata.operators.quantiles import named
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -36,11 +37,16 @@ def top_values_per_column(df: DataFrame, columns: Sequence[str], k: int) -> Data
 
 def modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, mode, mode_count): the smallest of the most frequent values."""
-    counted = (long_form(df.select(*[finite(col(c).cast("double")).alias(c) for c in columns]), columns)
-               .groupBy("column", "value").agg(F.count("*").alias("c")))
-    best = counted.groupBy("column").agg(
-        F.max(F.struct("c", (-F.col("value")).alias("neg"))).alias("b"))
-    return best.select("column", (F.lit(0.0) - F.col("b.neg")).alias("mode"), F.col("b.c").alias("mode_count"))
+    cells = F.array(*[F.struct(F.lit(i).alias("ci"), F.col(f"v{i}").alias("value")) for i in range(len(columns))])
+    counted = (numbers(df, columns).select(F.inline(cells)).where("value IS NOT NULL")
+               .groupBy("ci", "value").agg(F.count("*").alias("vc")))
+    return modes_of(counted, columns)
+
+
+def modes_of(counted: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The same from ci, value, vc rows. The sign of the value settles ties in one aggregate."""
+    best = counted.groupBy("ci").agg(F.max(F.struct("vc", (-F.col("value")).alias("neg"))).alias("b"))
+    return best.select(named(columns), (F.lit(0.0) - F.col("b.neg")).alias("mode"), F.col("b.vc").alias("mode_count"))
 
 
 def category_shares(counts: DataFrame, label: str = "value", metric: str = "count") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from vistrata.functions.columns import col, numeric_columns, quoted
+from vistrata.functions.columns import col, numeric_columns
 from vistrata.operators.cleaning import MODEL_PREFIX, impute_for_model
 from vistrata.operators.profile import numeric_profile
 from vistrata.operators.quantiles import percentile_dict
@@ -169,7 +169,7 @@ def detect(df: DataFrame, contamination: float = CONTAMINATION, seed: int = 0, t
         raise ValueError("no varying numeric column to score")
     inputs = [f"{MODEL_PREFIX}{c}" for c in features]
     forest = fit(filled, inputs, trees, rows_per_tree, seed)
-    scored = stage(score(filled, forest).drop(*[quoted(c) for c in inputs]), "scored")
+    scored = stage(score(filled, forest).drop(*inputs), "scored")
     threshold = percentile_dict(scored, ["anomaly_score"], [1.0 - contamination])["anomaly_score"][0]
     label = F.when(F.col("anomaly_score") > threshold, -1).otherwise(1)
     return Detection(scored.withColumn("anomaly", label), threshold, features)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vistrata.functions.columns import categorical_columns, col, finite, numeric_columns, quoted
+from vistrata.functions.columns import categorical_columns, col, finite, numeric_columns
 
 
 def long_form(df: DataFrame, columns: Sequence[str], cast: str = "double") -> DataFrame:
@@ -18,20 +18,25 @@ def long_form(df: DataFrame, columns: Sequence[str], cast: str = "double") -> Da
     return df.select(F.inline(cells)).where("value IS NOT NULL")
 
 
-def numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Finite double values of the columns as v0, v1, ...: computed once, however many aggregates use them."""
+def number_columns(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """Finite double values of the columns under the names v0, v1, ..."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
     out = []
     for i, c in enumerate(columns):
         v = col(c).cast("double")
         out.append((v if isinstance(kinds[c], T.IntegralType) else finite(v)).alias(f"v{i}"))
-    return df.select(*out)
+    return out
+
+
+def numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The same as a frame: values are computed once, however many aggregates use them."""
+    return df.select(*number_columns(df, columns))
 
 
-def per_column(df: DataFrame, columns: Sequence[str], build) -> DataFrame:
+def per_column(df: DataFrame, columns: Sequence[str], build, center: Sequence[float] | None = None) -> DataFrame:
     """One aggregate over the frame whose result is turned into one row per numeric column.
 
-    `build(i, value)` gives the aggregates of column i by output name.
+    `build(i, value)` gives the aggregates of column i by output name; values are less `center`, if given.
     """
     if not columns:
         raise ValueError("no column to profile")
@@ -40,7 +45,10 @@ def per_column(df: DataFrame, columns: Sequence[str], build) -> DataFrame:
                  *[e.alias(n) for n, e in build(i, F.col(f"v{i}")).items()])
         for i, c in enumerate(columns)
     ]
-    return numbers(df, columns).agg(F.array(*rows).alias("s")).select(F.inline("s"))
+    values = numbers(df, columns)
+    if center is not None:
+        values = values.select(*[(F.col(f"v{i}") - F.lit(m)).alias(f"v{i}") for i, m in enumerate(center)])
+    return values.agg(F.array(*rows).alias("s")).select(F.inline("s"))
 
 
 def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None, moments: bool = True) -> DataFrame:
@@ -60,7 +68,7 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None, moments
             "range": F.max(v) - F.min(v)})
     first = {r["column"]: r for r in numeric_profile(df, columns, moments=False).collect()}
 
-    def full(i: int, v: Column) -> dict[str, Column]:
+    def full(i: int, d: Column) -> dict[str, Column]:
         known = first[columns[i]]
         out = {k: F.lit(known[k]).cast("bigint" if k in ("count", "missing") else "double")
                for k in ("count", "missing", "sum", "mean", "min", "max", "range")}
@@ -71,7 +79,6 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None, moments
         if known["min"] == known["max"]:
             zero = F.lit(0.0)
             return {**out, "std": zero, "variance": zero, "skewness": nothing, "kurtosis": nothing}
-        d = v - F.lit(known["mean"])
         s1, s2, s3, s4 = F.sum(d), F.sum(d * d), F.sum(d * d * d), F.sum(d * d * d * d)
         # s1 is rounding noise; the corrections remove what it adds.
         m2 = s2 - s1 * s1 / n
@@ -83,7 +90,7 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None, moments
         out["kurtosis"] = n * m4 / (m2 * m2) - 3.0 if n >= 4 else nothing
         return out
 
-    return per_column(df, columns, full)
+    return per_column(df, columns, full, center=[first[c]["mean"] or 0.0 for c in columns])
 
 
 def missing_counts(df: DataFrame) -> DataFrame:
@@ -117,7 +124,7 @@ def constant_numeric_columns(df: DataFrame) -> list[str]:
 
 
 def drop_constant_numeric(df: DataFrame) -> DataFrame:
-    return df.drop(*[quoted(c) for c in constant_numeric_columns(df)])
+    return df.drop(*constant_numeric_columns(df))
 
 
 def varying_columns(df: DataFrame, columns: Sequence[str] | None = None) -> list[str]:

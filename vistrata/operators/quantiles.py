@@ -1,7 +1,7 @@
 """Exact percentiles with linear interpolation, for whole columns or within groups.
 
-Small inputs use the built-in `percentile`, whose state is a map of distinct values. Beyond a checked size
-that map would not fit one task, so the order statistics are selected in two distributed passes:
+Order statistics are read from counts of distinct values. Below a checked size one window per group does it.
+Beyond, two distributed passes keep every task small:
 
 1. count rows per (group, column, bucket); bucket limits come from a small sample and steer balance only;
 2. read again only the buckets holding a wanted rank and count their distinct values.
@@ -14,42 +14,36 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from vistrata.functions.columns import col, finite
+from vistrata.functions.columns import col
+from vistrata.operators.profile import number_columns, numeric_profile
+from vistrata.operators.ranks import range_staged, with_running_total
 
-BUILT_IN_VALUES = 3_000_000
+ONE_PASS_VALUES = 5_000_000
 ROWS_PER_BUCKET = 1_000_000
 MIN_BUCKETS, MAX_BUCKETS = 64, 16_384
 
 
-def _plain(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """Keys and finite double values under positional names."""
-    kept = [col(k).alias(f"k{i}") for i, k in enumerate(keys)]
-    values = [finite(col(c).cast("double")).alias(f"v{i}") for i, c in enumerate(columns)]
-    out = df.select(*kept, *values)
-    for i in range(len(keys)):
-        out = out.where(F.col(f"k{i}").isNotNull())
-    return out, [f"k{i}" for i in range(len(keys))]
-
-
 def percentiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], keys: Sequence[str] = (),
-                built_in_values: int | None = None, buckets: int | None = None) -> DataFrame:
+                one_pass_values: int | None = None, buckets: int | None = None) -> DataFrame:
     """One row per (keys, column) that has values: `keys..., column, n, values` (one per probability).
 
     Rows with a missing key belong to no group.
     """
-    limit = BUILT_IN_VALUES if built_in_values is None else built_in_values
-    columns = list(columns)
-    plain, names = _plain(df, keys, columns)
+    limit = ONE_PASS_VALUES if one_pass_values is None else one_pass_values
+    columns, names = list(columns), [f"k{i}" for i in range(len(keys))]
+    wide = df.select(*[col(k).alias(n) for n, k in zip(names, keys)], *number_columns(df, columns))
+    for n in names:
+        wide = wide.where(F.col(n).isNotNull())
     rows = df.count()
     if rows * len(columns) <= limit:
-        out = _built_in(plain, names, columns, probs)
+        out = _one_pass(_long(wide, names, columns), names, probs)
     else:
-        out = _selected(plain, names, columns, probs, rows, buckets)
-    return out.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], "column", "n", "values")
+        out = _two_pass(wide, names, columns, probs, rows, buckets)
+    return out.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], named(columns), "n", "values")
 
 
 def percentile_dict(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float]]:
@@ -59,82 +53,116 @@ def percentile_dict(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     return {r["column"]: list(r["values"]) for r in percentiles(df, columns, probs).collect()}
 
 
-def _built_in(plain: DataFrame, keys: list[str], columns: list[str], probs: Sequence[float]) -> DataFrame:
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
-    per_column = [
-        F.struct(F.lit(c).alias("column"), F.count(f"v{i}").alias("n"),
-                 F.percentile(F.col(f"v{i}"), wanted).alias("values"))
-        for i, c in enumerate(columns)
-    ]
-    rows = plain.groupBy(*keys).agg(F.array(*per_column).alias("s"))
-    return rows.select(*keys, F.inline("s")).where("n > 0")
+def named(columns: Sequence[str]) -> Column:
+    """Column number -> name."""
+    return F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("ci") + 1).alias("column")
+
+
+def value_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """ci, value, vc, before, n: distinct values of each column with counts and positions, staged.
+
+    One shuffle of counts serves percentiles, modes and outliers alike; the table is range-partitioned, so
+    positions come from per-partition totals.
+    """
+    wide = df.select(*number_columns(df, columns))
+    counts = _long(wide, [], columns).groupBy("ci", "value").agg(F.count("*").alias("vc"))
+    parts = range_staged(counts, ["ci", "value"], "values")
+    placed = with_running_total(parts, ["ci", "value"], F.col("vc"), "before")
+    sizes = [r["count"] for r in numeric_profile(df, columns, moments=False).orderBy("position").collect()]
+    starts = [sum(sizes[:i]) for i in range(len(sizes))]
+
+    def pick(items: list[int]) -> Column:
+        return F.element_at(F.array(*[F.lit(x).cast("bigint") for x in items]), F.col("ci") + 1)
+
+    return placed.select("ci", "value", "vc", (F.col("before") - pick(starts)).alias("before"),
+                         pick(sizes).alias("n"))
+
+
+def read_ranks(placed: DataFrame, group: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Percentiles from value, vc, before and n rows: the values at the two ranks around each position."""
+    ranks = _rank_pairs(probs)
+    wanted = placed.where(_any_rank(ranks, F.col("before"), F.col("vc")))
+    values = []
+    for p, (low_rank, high_rank) in zip(probs, ranks):
+        low, high = _at(low_rank), _at(high_rank)
+        part = F.lit(float(p)) * (F.max("n") - 1)
+        part = part - F.floor(part)
+        values.append(F.when(low == high, low).otherwise((1.0 - part) * low + part * high))
+    return wanted.groupBy(*group).agg(F.max("n").alias("n"), F.array(*values).alias("values"))
+
 
+def _rank_pairs(probs: Sequence[float]) -> list[tuple[Column, Column]]:
+    n = F.col("n")
+    lows = [F.floor(F.lit(float(p)) * (n - 1)) for p in probs]
+    return [(low, F.least(low + 1, n - 1)) for low in lows]
 
-def _limits(plain: DataFrame, columns: list[str], rows: int, buckets: int) -> list[list[float]]:
+
+def _any_rank(ranks: list[tuple[Column, Column]], start: Column, size: Column) -> Column:
+    """Whether a run of `size` sorted rows from `start` on holds one of the rank pairs."""
+    holds = F.lit(False)
+    for low, high in ranks:
+        holds = holds | ((low < start + size) & (high >= start))
+    return holds
+
+
+def _at(rank: Column) -> Column:
+    return F.max(F.when((rank >= F.col("before")) & (rank < F.col("before") + F.col("vc")), F.col("value")))
+
+
+def _long(wide: DataFrame, keys: list[str], columns: Sequence[str]) -> DataFrame:
+    cells = F.array(*[F.struct(F.lit(i).alias("ci"), F.col(f"v{i}").alias("value")) for i in range(len(columns))])
+    return wide.select(*keys, F.inline(cells)).where("value IS NOT NULL")
+
+
+def _one_pass(long: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
+    group = [*keys, "ci"]
+    counted = long.groupBy(*group, "value").agg(F.count("*").alias("vc"))
+    # Bounded: the whole input is below the checked size.
+    whole = Window.partitionBy(*group)
+    placed = counted.withColumn("before", F.sum("vc").over(whole.orderBy("value").rowsBetween(
+        Window.unboundedPreceding, 0)) - F.col("vc")).withColumn("n", F.sum("vc").over(whole))
+    return read_ranks(placed, group, probs)
+
+
+def _limits(wide: DataFrame, columns: Sequence[str], rows: int, buckets: int) -> list[list[float]]:
     """Inner bucket limits of each column, from a sample sized by the number of buckets."""
     share = min(1.0, 100.0 * buckets / max(rows, 1))
-    sample = plain.sample(fraction=share, seed=7) if share < 1.0 else plain
+    sample = wide.sample(fraction=share, seed=7) if share < 1.0 else wide
     at = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     got = sample.agg(*[F.percentile_approx(f"v{i}", at, 10 * buckets).alias(f"v{i}")
                        for i in range(len(columns))]).first()
     return [sorted(set(got[f"v{i}"] or [])) for i in range(len(columns))]
 
 
-def _selected(plain: DataFrame, keys: list[str], columns: list[str], probs: Sequence[float],
+def _two_pass(wide: DataFrame, keys: list[str], columns: Sequence[str], probs: Sequence[float],
               rows: int, buckets: int | None) -> DataFrame:
     if buckets is None:
         buckets = int(min(MAX_BUCKETS, max(MIN_BUCKETS, rows // ROWS_PER_BUCKET)))
-    limits = _limits(plain, columns, rows, buckets)
     k = len(columns)
     bucketed = Bucketizer(
-        splitsArray=[[float("-inf"), *edge, float("inf")] for edge in limits],
+        splitsArray=[[float("-inf"), *edge, float("inf")] for edge in _limits(wide, columns, rows, buckets)],
         inputCols=[f"v{i}" for i in range(k)], outputCols=[f"b{i}" for i in range(k)],
         handleInvalid="keep",
-    ).transform(plain)
+    ).transform(wide)
     cells = F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"b{i}").cast("int").alias("bucket"),
-                 F.col(f"v{i}").alias("value"))
-        for i, c in enumerate(columns)
+        F.struct(F.lit(i).alias("ci"), F.col(f"b{i}").cast("int").alias("bucket"), F.col(f"v{i}").alias("value"))
+        for i in range(k)
     ])
     long = bucketed.select(*keys, F.inline(cells)).where("value IS NOT NULL")
 
-    group = [*keys, "column"]
+    group = [*keys, "ci"]
     histogram = long.groupBy(*group, "bucket").agg(F.count("*").alias("c"))
     # At most one row per bucket and group.
-    along = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    placed = (
-        histogram.withColumn("before", F.coalesce(F.sum("c").over(along), F.lit(0)))
-        .withColumn("n", F.sum("c").over(Window.partitionBy(*group)))
-    )
-    ranks = F.flatten(F.array(*[
-        F.array(*[
-            F.struct(F.lit(i).alias("prob"), F.lit(step).alias("step"),
-                     F.least(F.floor(F.lit(float(p)) * (F.col("n") - 1)) + step, F.col("n") - 1).alias("rank"))
-            for step in (0, 1)
-        ])
-        for i, p in enumerate(probs)
-    ]))
-    targets = placed.select(*group, "bucket", "n", "before", "c", F.inline(ranks)).where(
-        (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("c")))
-
-    wanted = targets.select(*group, "bucket").distinct()
+    whole = Window.partitionBy(*group)
+    placed = histogram.withColumn("start", F.sum("c").over(whole.orderBy("bucket").rowsBetween(
+        Window.unboundedPreceding, 0)) - F.col("c")).withColumn("n", F.sum("c").over(whole))
+    ranks = _rank_pairs(probs)
+    targets = placed.where(_any_rank(ranks, F.col("start"), F.col("c"))).select(*group, "bucket", "start", "n")
     if not keys:
-        # Two ranks per probability and column.
-        wanted = F.broadcast(wanted)
-    counted = (long.join(wanted, [*group, "bucket"], "left_semi")
-               .groupBy(*group, "bucket", "value").agg(F.count("*").alias("vc")))
-    inside = (Window.partitionBy(*group, "bucket").orderBy("value")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    counted = counted.withColumn("vbefore", F.coalesce(F.sum("vc").over(inside), F.lit(0)))
-    hits = counted.join(targets, [*group, "bucket"]).where(
-        (F.col("rank") >= F.col("before") + F.col("vbefore"))
-        & (F.col("rank") < F.col("before") + F.col("vbefore") + F.col("vc")))
-
-    values = []
-    for i, p in enumerate(probs):
-        low = F.max(F.when((F.col("prob") == i) & (F.col("step") == 0), F.col("value")))
-        high = F.max(F.when((F.col("prob") == i) & (F.col("step") == 1), F.col("value")))
-        position = F.lit(float(p)) * (F.max("n") - 1)
-        part = position - F.floor(position)
-        values.append(F.when(low == high, low).otherwise((1.0 - part) * low + part * high))
-    return hits.groupBy(*group).agg(F.max("n").alias("n"), F.array(*values).alias("values"))
+        # At most two buckets per probability and column.
+        targets = F.broadcast(targets)
+    counted = (long.join(targets, [*group, "bucket"])
+               .groupBy(*group, "bucket", "start", "n", "value").agg(F.count("*").alias("vc")))
+    inside = Window.partitionBy(*group, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    return read_ranks(counted.withColumn("before", F.col("start") + F.sum("vc").over(inside) - F.col("vc")),
+                      group, probs)

@@ -14,13 +14,13 @@ from vistrata.functions.columns import col
 from vistrata.session import stage
 
 
-def range_staged(df: DataFrame, order_by: str, label: str, spread_ties: bool = False) -> DataFrame:
+def range_staged(df: DataFrame, order_by: list[str], label: str, spread_ties: bool = False) -> DataFrame:
     """Staged frame with `_part`, ascending along `order_by`.
 
     `spread_ties` lets rows with an equal key go to neighbouring partitions, for keys that may repeat
     without bound.
     """
-    keys: list[Column] = [col(order_by)]
+    keys: list[Column] = [col(c) for c in order_by]
     if spread_ties:
         df = df.withColumn("_tie", F.monotonically_increasing_id())
         keys.append(F.col("_tie"))
@@ -44,13 +44,13 @@ def with_running_total(parts: DataFrame, order_by: list[str], weight: Column, na
 
 def global_position(df: DataFrame, order_by: str, name: str) -> DataFrame:
     """Adds the 0-based position of each row in the order of one column."""
-    parts = range_staged(df, order_by, "position", spread_ties=True)
+    parts = range_staged(df, [order_by], "position", spread_ties=True)
     return with_running_total(parts, [order_by, "_tie"], F.lit(1), name).drop("_part", "_tie")
 
 
 def average_ranks(counts: DataFrame, value: str, count: str) -> DataFrame:
     """(value, count) rows with distinct values -> the same rows with `rank`, ties sharing their mean rank."""
-    parts = range_staged(counts, value, "ranks")
+    parts = range_staged(counts, [value], "ranks")
     ranked = with_running_total(parts, [value], F.col(count), "_before")
     return ranked.select(col(value), F.col(count),
                          (F.col("_before") + (F.col(count) + 1) / 2.0).alias("rank"))

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from vistrata.functions.columns import col, finite, numeric_columns
+from vistrata.functions.columns import col, numeric_columns
 from vistrata.functions.formulas import shapiro_wilk
-from vistrata.operators.counts import modes
-from vistrata.operators.profile import long_form, numeric_profile, per_column
-from vistrata.operators.quantiles import percentile_dict
+from vistrata.operators.counts import modes_of
+from vistrata.operators.profile import numbers, numeric_profile
+from vistrata.operators.quantiles import named, percentiles, read_ranks, value_table
 from vistrata.operators.sampling import hash_sample
 
 # Fixed values of the statistics payload.
@@ -27,41 +27,55 @@ NORMALITY_LEVEL = 0.05
 def percentile_table(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """column, p5 ... p95, median, q1, q3, iqr and the 1.5 IQR fences."""
     columns = numeric_columns(df) if columns is None else list(columns)
-    got = percentile_dict(df, columns, [p / 100 for p in PERCENTILES])
-    rows = []
-    for c in columns:
-        if c not in got:
-            continue
-        p = dict(zip(PERCENTILES, got[c]))
-        spread = p[75] - p[25]
-        rows.append((c, *got[c], p[50], p[25], p[75], spread, p[25] - 1.5 * spread, p[75] + 1.5 * spread))
-    names = ["column", *[f"p{p}" for p in PERCENTILES], "median", "q1", "q3", "iqr", "lower_fence", "upper_fence"]
-    schema = T.StructType([T.StructField(n, T.StringType() if n == "column" else T.DoubleType()) for n in names])
-    return df.sparkSession.createDataFrame(rows, schema)
-
-
-def outliers(df: DataFrame, fences: dict[str, tuple[float, float]]) -> DataFrame:
-    """column, outlier_count, outliers_sample (the 20 smallest) for given fences."""
-    columns = list(fences)
-
-    def outside(c: str):
-        v = finite(col(c).cast("double"))
-        return F.when((v < fences[c][0]) | (v > fences[c][1]), v)
-
-    flagged = df.select(*[outside(c).alias(c) for c in columns])
-    counted = per_column(flagged, columns, lambda _, v: {"outlier_count": F.count(v)}).drop("position")
+    return _named_percentiles(percentiles(df, columns, [p / 100 for p in PERCENTILES]))
+
+
+def _named_percentiles(table: DataFrame) -> DataFrame:
+    p = {q: F.col("values")[i] for i, q in enumerate(PERCENTILES)}
+    spread = p[75] - p[25]
+    return table.select(
+        "column", *[p[q].alias(f"p{q}") for q in PERCENTILES], p[50].alias("median"), p[25].alias("q1"),
+        p[75].alias("q3"), spread.alias("iqr"), (p[25] - 1.5 * spread).alias("lower_fence"),
+        (p[75] + 1.5 * spread).alias("upper_fence"))
+
+
+def outliers_of(counted: DataFrame, fences: DataFrame) -> DataFrame:
+    """column, outlier_count, outliers_sample (the 20 smallest) from column, value, vc rows.
+
+    `fences` has one row per column.
+    """
+    bounds = F.broadcast(fences.select("column", "lower_fence", "upper_fence"))
+    outside = counted.join(bounds, "column").where(
+        (F.col("value") < F.col("lower_fence")) | (F.col("value") > F.col("upper_fence")))
     order = Window.partitionBy("column").orderBy("value")
-    shown = (long_form(flagged, columns).withColumn("r", F.row_number().over(order))
-             .where(F.col("r") <= OUTLIER_SAMPLE)
-             .groupBy("column").agg(F.array_sort(F.collect_list(F.round("value", 6))).alias("outliers_sample")))
-    return counted.join(shown, "column", "left")
+    # 20 distinct values are enough to list 20 occurrences.
+    shown = (outside.withColumn("r", F.row_number().over(order)).where(F.col("r") <= OUTLIER_SAMPLE)
+             .select("column", "value", F.explode(F.array_repeat(
+                 F.lit(1), F.least(F.col("vc"), F.lit(OUTLIER_SAMPLE)).cast("int"))))
+             .groupBy("column").agg(F.slice(F.array_sort(F.collect_list(F.round("value", 6))), 1, OUTLIER_SAMPLE)
+                                    .alias("outliers_sample")))
+    counts = outside.groupBy("column").agg(F.sum("vc").alias("outlier_count"))
+    return (fences.select("column").join(counts, "column", "left").join(shown, "column", "left")
+            .withColumn("outlier_count", F.coalesce("outlier_count", F.lit(0).cast("bigint"))))
+
+
+def outliers(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """column, lower_fence, upper_fence, outlier_count, outliers_sample of numeric columns."""
+    columns = numeric_columns(df) if columns is None else list(columns)
+    values = value_table(df, columns)
+    fences = _named_percentiles(read_ranks(values, ["ci"], [p / 100 for p in PERCENTILES]).select(
+        named(columns), "values"))
+    found = outliers_of(values.select(named(columns), "value", "vc"), fences)
+    return fences.select("column", "lower_fence", "upper_fence").join(found, "column")
 
 
 def normality(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """column, shapiro_stat, shapiro_p_value, is_normal_distribution on up to 5000 rows per column."""
     columns = numeric_columns(df) if columns is None else list(columns)
     sample = hash_sample(df, NORMALITY_ROWS, columns)
-    long = long_form(sample.select(*[finite(col(c).cast("double")).alias(c) for c in columns]), columns)
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"v{i}").alias("value"))
+                      for i, c in enumerate(columns)])
+    long = numbers(sample, columns).select(F.inline(cells)).where("value IS NOT NULL")
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) < 3:
@@ -78,17 +92,18 @@ def normality(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 def full_statistics(df: DataFrame, columns: Sequence[str] | None = None, with_normality: bool = True) -> DataFrame:
     """The complete statistics of each numeric column that has values, rounded to 6 places."""
     columns = numeric_columns(df) if columns is None else list(columns)
-    table = percentile_table(df, columns)
-    fences = {r["column"]: (r["lower_fence"], r["upper_fence"]) for r in table.collect()}
-    present = [c for c in columns if c in fences]
+    values = value_table(df, columns)
+    table = df.sparkSession.createDataFrame(*_local(_named_percentiles(
+        read_ranks(values, ["ci"], [p / 100 for p in PERCENTILES]).select(named(columns), "values"))))
+    present = [c for c in columns if c in {r["column"] for r in table.collect()}]
     if not present:
         return numeric_profile(df, columns).where("count > 0")
     out = (
         numeric_profile(df, present)
         .withColumn("coefficient_of_variation_pct",
                     F.round(F.when(F.col("mean") != 0, F.col("std") / F.col("mean") * 100), 4))
-        .join(table, "column").join(modes(df, present), "column", "left")
-        .join(outliers(df, fences), "column", "left")
+        .join(table, "column").join(modes_of(values, columns), "column", "left")
+        .join(outliers_of(values.select(named(columns), "value", "vc"), table), "column", "left")
     )
     if with_normality:
         out = out.join(normality(df, present), "column", "left")
@@ -100,6 +115,11 @@ def full_statistics(df: DataFrame, columns: Sequence[str] | None = None, with_no
     ])
 
 
+def _local(df: DataFrame):
+    """Rows and schema of a frame with one row per column."""
+    return df.collect(), df.schema
+
+
 def describe(df: DataFrame) -> DataFrame:
     """column, count, mean, std, min, 25%, 50%, 75%, max as text-free doubles.
 
