@@ -67,9 +67,14 @@ def _spread(value, total):
     return F.when(F.min(value) < F.max(value), total).otherwise(F.lit(0.0))
 
 
+def _bounded(product, left, right):
+    """product / sqrt(left * right), held to -1 and 1; NULL without spread on a side."""
+    r = F.try_divide(product, F.sqrt(left) * F.sqrt(right))
+    return F.when(r > 1, 1.0).when(r < -1, -1.0).otherwise(r)
+
+
 def _pearson():
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(
-        F.col("sxy"), F.sqrt("sxx") * F.sqrt("syy"))))
+    return _bounded(F.col("sxy"), F.col("sxx"), F.col("syy"))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -146,8 +151,7 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     dx, dy = F.col("rank_x") - (total + 1) / 2.0, F.col("rank_y") - (total + 1) / 2.0
     w = F.col("w")
     sums = ranked.agg(F.sum(w * dx * dy).alias("xy"), F.sum(w * dx * dx).alias("xx"), F.sum(w * dy * dy).alias("yy"))
-    r = F.try_divide(F.col("xy"), F.sqrt("xx") * F.sqrt("yy"))
-    r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
+    r = _bounded(F.col("xy"), F.col("xx"), F.col("yy"))
     return (
         sums.select(F.lit(x).alias("x_name"), F.lit(y).alias("y_name"), F.lit(total).cast("bigint").alias("n"),
                     r.alias("spearman_r"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +11,10 @@ from pyspark.sql import types as T
 from vistrata.functions.columns import categorical_columns, col, finite, numeric_columns
 
 
+PROFILE_SCHEMA = ("position int, column string, count bigint, missing bigint, sum double, mean double, "
+                  "min double, max double, range double")
+
+
 def long_form(df: DataFrame, columns: Sequence[str], cast: str = "double") -> DataFrame:
     """(column, value) rows of the present values; `column` values are names."""
     cells = F.array(*[F.struct(F.lit(c).alias("column"), col(c).cast(cast).alias("value")) for c in columns])
@@ -66,31 +69,28 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None, moments
             "count": F.count(v), "missing": F.count(F.lit(1)) - F.count(v), "sum": F.sum(v),
             "mean": F.try_divide(F.sum(v), F.count(v)), "min": F.min(v), "max": F.max(v),
             "range": F.max(v) - F.min(v)})
-    first = {r["column"]: r for r in numeric_profile(df, columns, moments=False).collect()}
-
-    def full(i: int, d: Column) -> dict[str, Column]:
-        known = first[columns[i]]
-        out = {k: F.lit(known[k]).cast("bigint" if k in ("count", "missing") else "double")
-               for k in ("count", "missing", "sum", "mean", "min", "max", "range")}
-        n = float(known["count"])
-        nothing = F.lit(None).cast("double")
-        if n == 0:
-            return {**out, "std": nothing, "variance": nothing, "skewness": nothing, "kurtosis": nothing}
-        if known["min"] == known["max"]:
-            zero = F.lit(0.0)
-            return {**out, "std": zero, "variance": zero, "skewness": nothing, "kurtosis": nothing}
-        s1, s2, s3, s4 = F.sum(d), F.sum(d * d), F.sum(d * d * d), F.sum(d * d * d * d)
-        # s1 is rounding noise; the corrections remove what it adds.
-        m2 = s2 - s1 * s1 / n
-        m3 = s3 - 3.0 * s1 * s2 / n + 2.0 * s1 * s1 * s1 / n ** 2
-        m4 = s4 - 4.0 * s1 * s3 / n + 6.0 * s1 * s1 * s2 / n ** 2 - 3.0 * s1 * s1 * s1 * s1 / n ** 3
-        variance = m2 / (n - 1)
-        out["std"], out["variance"] = F.sqrt(variance), variance
-        out["skewness"] = math.sqrt(n) * m3 / (m2 * F.sqrt(m2)) if n >= 3 else nothing
-        out["kurtosis"] = n * m4 / (m2 * m2) - 3.0 if n >= 4 else nothing
-        return out
-
-    return per_column(df, columns, full, center=[first[c]["mean"] or 0.0 for c in columns])
+    known = numeric_profile(df, columns, moments=False).orderBy("position").collect()
+    sums = per_column(df, columns, lambda _, d: {
+        "s1": F.sum(d), "s2": F.sum(d * d), "s3": F.sum(d * d * d), "s4": F.sum(d * d * d * d)},
+        center=[r["mean"] or 0.0 for r in known])
+    facts = F.broadcast(df.sparkSession.createDataFrame(known, PROFILE_SCHEMA))
+    n, s1, s2, s3, s4 = (F.col(c) for c in ("n", "s1", "s2", "s3", "s4"))
+    varies = F.col("min") < F.col("max")
+    # s1 is rounding noise; the corrections remove what it adds.
+    table = (
+        facts.join(sums.drop("column"), "position")
+        .withColumn("n", F.col("count").cast("double"))
+        .withColumn("m2", F.when(varies, s2 - s1 * s1 / n).when(n > 0, F.lit(0.0)))
+        .withColumn("m3", s3 - 3.0 * s1 * s2 / n + 2.0 * s1 * s1 * s1 / (n * n))
+        .withColumn("m4", s4 - 4.0 * s1 * s3 / n + 6.0 * s1 * s1 * s2 / (n * n) - 3.0 * s1 * s1 * s1 * s1 / (n * n * n))
+        .withColumn("variance", F.when(n > 1, F.col("m2") / (n - 1)).otherwise(F.col("m2")))
+    )
+    m2, m3, m4 = F.col("m2"), F.col("m3"), F.col("m4")
+    return table.select(
+        "position", "column", "count", "missing", "sum", "mean", "min", "max", "range",
+        F.sqrt("variance").alias("std"), "variance",
+        F.when(varies & (n >= 3), F.sqrt(n) * m3 / (m2 * F.sqrt(m2))).alias("skewness"),
+        F.when(varies & (n >= 4), n * m4 / (m2 * m2) - 3.0).alias("kurtosis"))
 
 
 def missing_counts(df: DataFrame) -> DataFrame:

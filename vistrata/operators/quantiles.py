@@ -69,44 +69,41 @@ def value_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     parts = range_staged(counts, ["ci", "value"], "values")
     placed = with_running_total(parts, ["ci", "value"], F.col("vc"), "before")
     sizes = [r["count"] for r in numeric_profile(df, columns, moments=False).orderBy("position").collect()]
-    starts = [sum(sizes[:i]) for i in range(len(sizes))]
-
-    def pick(items: list[int]) -> Column:
-        return F.element_at(F.array(*[F.lit(x).cast("bigint") for x in items]), F.col("ci") + 1)
-
-    return placed.select("ci", "value", "vc", (F.col("before") - pick(starts)).alias("before"),
-                         pick(sizes).alias("n"))
+    extents = df.sparkSession.createDataFrame(
+        [(i, sum(sizes[:i]), n) for i, n in enumerate(sizes)], "ci int, start bigint, n bigint")
+    return placed.join(F.broadcast(extents), "ci").select(
+        "ci", "value", "vc", (F.col("before") - F.col("start")).alias("before"), "n")
 
 
 def read_ranks(placed: DataFrame, group: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """Percentiles from value, vc, before and n rows: the values at the two ranks around each position."""
-    ranks = _rank_pairs(probs)
-    wanted = placed.where(_any_rank(ranks, F.col("before"), F.col("vc")))
-    values = []
-    for p, (low_rank, high_rank) in zip(probs, ranks):
-        low, high = _at(low_rank), _at(high_rank)
-        part = F.lit(float(p)) * (F.max("n") - 1)
-        part = part - F.floor(part)
-        values.append(F.when(low == high, low).otherwise((1.0 - part) * low + part * high))
-    return wanted.groupBy(*group).agg(F.max("n").alias("n"), F.array(*values).alias("values"))
+    def at(rank: str) -> str:
+        return f"max(CASE WHEN {rank} >= before AND {rank} < before + vc THEN value END)"
 
+    pairs = _rank_pairs(probs)
+    found = placed.where(_any_rank(pairs, "before", "vc")).groupBy(*group).agg(
+        F.max("n").alias("n"), F.expr(f"array({', '.join(at(low) for low, _ in pairs)})").alias("lows"),
+        F.expr(f"array({', '.join(at(high) for _, high in pairs)})").alias("highs"))
+    values = [
+        f"CASE WHEN lows[{i}] = highs[{i}] THEN lows[{i}] ELSE "
+        f"(1 - ({_position(p)} - floor({_position(p)}))) * lows[{i}] + ({_position(p)} - floor({_position(p)})) * highs[{i}] END"
+        for i, p in enumerate(probs)
+    ]
+    return found.select(*group, "n", F.expr(f"array({', '.join(values)})").alias("values"))
 
-def _rank_pairs(probs: Sequence[float]) -> list[tuple[Column, Column]]:
-    n = F.col("n")
-    lows = [F.floor(F.lit(float(p)) * (n - 1)) for p in probs]
-    return [(low, F.least(low + 1, n - 1)) for low in lows]
 
+def _position(p: float) -> str:
+    return f"({float(p)!r}D * (n - 1))"
 
-def _any_rank(ranks: list[tuple[Column, Column]], start: Column, size: Column) -> Column:
-    """Whether a run of `size` sorted rows from `start` on holds one of the rank pairs."""
-    holds = F.lit(False)
-    for low, high in ranks:
-        holds = holds | ((low < start + size) & (high >= start))
-    return holds
 
+def _rank_pairs(probs: Sequence[float]) -> list[tuple[str, str]]:
+    lows = [f"floor{_position(p)}" for p in probs]
+    return [(low, f"least({low} + 1, n - 1)") for low in lows]
 
-def _at(rank: Column) -> Column:
-    return F.max(F.when((rank >= F.col("before")) & (rank < F.col("before") + F.col("vc")), F.col("value")))
+
+def _any_rank(pairs: list[tuple[str, str]], start: str, size: str) -> Column:
+    """Whether a run of `size` sorted rows from `start` on holds one of the rank pairs."""
+    return F.expr(" OR ".join(f"({low} < {start} + {size} AND {high} >= {start})" for low, high in pairs))
 
 
 def _long(wide: DataFrame, keys: list[str], columns: Sequence[str]) -> DataFrame:
@@ -156,8 +153,7 @@ def _two_pass(wide: DataFrame, keys: list[str], columns: Sequence[str], probs: S
     whole = Window.partitionBy(*group)
     placed = histogram.withColumn("start", F.sum("c").over(whole.orderBy("bucket").rowsBetween(
         Window.unboundedPreceding, 0)) - F.col("c")).withColumn("n", F.sum("c").over(whole))
-    ranks = _rank_pairs(probs)
-    targets = placed.where(_any_rank(ranks, F.col("start"), F.col("c"))).select(*group, "bucket", "start", "n")
+    targets = placed.where(_any_rank(_rank_pairs(probs), "start", "c")).select(*group, "bucket", "start", "n")
     if not keys:
         # At most two buckets per probability and column.
         targets = F.broadcast(targets)

@@ -78,12 +78,11 @@ def normality(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     long = numbers(sample, columns).select(F.inline(cells)).where("value IS NOT NULL")
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < 3:
-            return pd.DataFrame({"column": [], "shapiro_stat": [], "shapiro_p_value": [],
-                                 "is_normal_distribution": []})
-        w, p = shapiro_wilk(pdf["value"].to_numpy())
-        return pd.DataFrame({"column": [pdf["column"].iloc[0]], "shapiro_stat": [round(w, 6)],
-                             "shapiro_p_value": [round(p, 6)], "is_normal_distribution": [p > NORMALITY_LEVEL]})
+        enough = len(pdf) >= 3
+        w, p = shapiro_wilk(pdf["value"].to_numpy()) if enough else (0.0, 0.0)
+        row = pd.DataFrame({"column": [pdf["column"].iloc[0]], "shapiro_stat": [round(w, 6)],
+                            "shapiro_p_value": [round(p, 6)], "is_normal_distribution": [p > NORMALITY_LEVEL]})
+        return row if enough else row.iloc[:0]
 
     return long.groupBy("column").applyInPandas(
         test, "column string, shapiro_stat double, shapiro_p_value double, is_normal_distribution boolean")
