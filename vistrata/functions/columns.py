@@ -88,7 +88,9 @@ def to_time(value: Column, data_type: T.DataType) -> Column:
         return F.lit(None).cast("timestamp")
     text = F.trim(value)
     parsed = [F.try_to_timestamp(text)] + [F.try_to_timestamp(text, F.lit(p)) for p in DATE_LAYOUTS]
-    return F.when(~text.rlike(r"^[+-]?[0-9]+([.][0-9]*)?$"), F.coalesce(*parsed))
+    # No layout is longer than this or without a digit; other text is not parsed at all.
+    possible = (F.length(text) <= 40) & text.rlike("[0-9]") & ~text.rlike(r"^[+-]?[0-9]+([.][0-9]*)?$")
+    return F.when(possible, F.coalesce(*parsed))
 
 
 def iso_text(value: Column) -> Column:

@@ -8,9 +8,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vistrata.functions.columns import col, finite, numeric_columns
+from vistrata.functions.columns import numeric_columns
 from vistrata.functions.formulas import correlation_p_value
 from vistrata.operators.profile import numbers, numeric_profile, varying_columns
+from vistrata.operators.quantiles import value_table
 from vistrata.operators.ranks import average_ranks
 from vistrata.session import stage
 
@@ -132,22 +133,37 @@ def _attach_rank(rows: DataFrame, ranks: DataFrame, column: str, total: int) ->
     return rows.join(hot, column).unionByName(rows.join(hot, column, "left_anti").join(cold, column))
 
 
-def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
+def column_ranks(df: DataFrame, columns: Sequence[str]) -> dict[str, DataFrame]:
+    """value, count, rank of each column over its own present values, from one shared value table."""
+    values = value_table(df, columns)
+    return {c: values.where(F.col("ci") == i).select(
+        "value", F.col("vc").alias("count"), (F.col("before") + (F.col("vc") + 1) / 2.0).alias("rank"))
+        for i, c in enumerate(columns)}
+
+
+def spearman(df: DataFrame, x: str, y: str, ranks: dict[str, DataFrame] | None = None) -> DataFrame:
     """x_name, y_name, n, spearman_r, spearman_p_value with average ranks for ties.
 
     Works on distinct (x, y) pairs and distinct values with their counts; the mean rank is (n + 1) / 2 by
-    construction, so only centred products are summed.
+    construction, so only centred products are summed. `ranks` of whole columns may be given when neither
+    column has missing values.
     """
-    a, b = finite(col(x).cast("double")), finite(col(y).cast("double"))
-    complete = df.select(a.alias("x"), b.alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
     # 0.0 makes -0.0 and 0.0 one value, as in comparisons.
-    pairs = stage(complete.select((F.col("x") + 0.0).alias("x"), (F.col("y") + 0.0).alias("y"))
-                  .groupBy("x", "y").agg(F.count("*").alias("w")), "pairs")
-    total = pairs.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
+    complete = numbers(df, [x, y]).select((F.col("v0") + 0.0).alias("x"), (F.col("v1") + 0.0).alias("y")).dropna()
+    pairs = complete.groupBy("x", "y").agg(F.count("*").alias("w"))
+    if ranks is None:
+        pairs = stage(pairs, "pairs")
+        total = pairs.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
+    else:
+        total = complete.count()
     ranked = pairs
-    for side in ("x", "y"):
-        counts = pairs.groupBy(F.col(side).alias("value")).agg(F.sum("w").alias("count"))
-        ranked = _attach_rank(ranked, stage(average_ranks(counts, "value", "count"), "rank"), side, total)
+    for side, name in (("x", x), ("y", y)):
+        if ranks is None:
+            counts = pairs.groupBy(F.col(side).alias("value")).agg(F.sum("w").alias("count"))
+            table = stage(average_ranks(counts, "value", "count"), "rank")
+        else:
+            table = ranks[name]
+        ranked = _attach_rank(ranked, table, side, total)
     dx, dy = F.col("rank_x") - (total + 1) / 2.0, F.col("rank_y") - (total + 1) / 2.0
     w = F.col("w")
     sums = ranked.agg(F.sum(w * dx * dy).alias("xy"), F.sum(w * dx * dx).alias("xx"), F.sum(w * dy * dy).alias("yy"))

@@ -96,9 +96,9 @@ def fit(df: DataFrame, features: list[str], trees: int = TREES, rows_per_tree: i
         # The sample holds exactly trees * rows_per_tree rows here.
         placed = sample.withColumn("tree", (F.row_number().over(Window.orderBy("_hash")) % trees).cast("int"))
     else:
-        ids = df.sparkSession.range(trees).select(F.col("id").cast("int").alias("tree"))
         own = Window.partitionBy("tree").orderBy(F.xxhash64("tree", "_hash"), "_hash")
-        placed = (sample.crossJoin(F.broadcast(ids)).withColumn("r", F.row_number().over(own))
+        placed = (sample.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+                  .withColumn("r", F.row_number().over(own))
                   .where(F.col("r") <= rows_per_tree).drop("r"))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -155,7 +155,10 @@ def score(df: DataFrame, forest: Forest, name: str = "anomaly_score") -> DataFra
                 total += p[node]
             yield pd.Series(np.exp2(-total / len(feature) / expected))
 
-    return df.withColumn(name, scores(*[col(c).cast("double") for c in forest.features]))
+    # A small input in few partitions would leave cores idle; a large one has partitions enough.
+    parallel = df.sparkSession.sparkContext.defaultParallelism
+    spread = df.repartition(parallel) if df.rdd.getNumPartitions() < parallel else df
+    return spread.withColumn(name, scores(*[col(c).cast("double") for c in forest.features]))
 
 
 def detect(df: DataFrame, contamination: float = CONTAMINATION, seed: int = 0, trees: int = TREES,

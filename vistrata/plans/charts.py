@@ -10,7 +10,7 @@ from pyspark.sql import Window
 
 from vistrata.functions.columns import categorical_columns, col, finite, numeric_columns
 from vistrata.operators.association import (
-    adjacent_pairs, correlation_matrix, linear_association, spearman)
+    adjacent_pairs, column_ranks, correlation_matrix, linear_association, spearman)
 from vistrata.operators.counts import top_values_per_column
 from vistrata.operators.groups import group_detail, group_means
 from vistrata.operators.histogram import histograms
@@ -91,9 +91,11 @@ def chart_scatters(df: DataFrame, statistics: DataFrame | None = None) -> dict[s
     whole = set()
     if statistics is not None:
         whole = {r["column"] for r in statistics.where("missing = 0").select("column").collect()}
+    shared = [c for c in dict.fromkeys(c for pair in pairs for c in pair) if c in whole]
+    ranks = column_ranks(df, shared) if shared else {}
     for x, y in pairs:
         out[f"points_{x}_{y}"] = scatter_points(df, x, y)
-        one = spearman(df, x, y)
+        one = spearman(df, x, y, ranks if {x, y} <= whole else None)
         ranked = one if ranked is None else ranked.unionByName(one)
         if {x, y} <= whole:
             out[f"statistics_{x}_{y}"] = statistics.where(F.col("column").isin(x, y))

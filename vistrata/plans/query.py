@@ -17,6 +17,7 @@ from vistrata.functions.names import category_for_id, flatten, underscore_names
 from vistrata.operators.histogram import QUERY_BINS, histograms
 from vistrata.operators.preview import head
 from vistrata.operators.statistics import query_statistics
+from vistrata.session import stage
 
 # Shown rows, points, slices and bars; words that ask for a chart.
 RESPONSE_ROWS = 200
@@ -45,12 +46,10 @@ def sql_query(spark: SparkSession, sql: str, **tables: DataFrame) -> DataFrame:
 def frame_query(df: DataFrame, question: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """A DataFrame function; if it fails on types, it runs again with numeric-looking text as numbers.
 
-    One row is read to find type errors that only appear at run time.
+    The answer is staged, so type errors that only appear at run time are found and nothing runs twice.
     """
     try:
-        out = question(df)
-        out.limit(1).collect()
-        return out
+        return stage(question(df), "answer")
     except (PySparkException, TypeError, ValueError):
         return question(coerce_numeric_columns(df))
 
