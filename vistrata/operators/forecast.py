@@ -54,30 +54,29 @@ def _spacing(history: DataFrame) -> DataFrame:
         (F.min("step") / DAY).alias("spacing_days"))
 
 
-def _terms(seconds: Column, start: float, end: float, seasons: list, changes: int) -> tuple[list[Column], int]:
-    """Scaled feature columns: slope, hinges, Fourier pairs; and how many of them make the trend."""
-    t = (seconds - F.lit(start)) / F.lit(end - start)
-    trend = [t * SLOPE_PRIOR]
-    trend += [F.greatest(t - F.lit(CHANGEPOINT_RANGE * (j + 1) / changes), F.lit(0.0)) * CHANGE_PRIOR
-              for j in range(changes)]
+def _terms(start: float, end: float, seasons: list, changes: int) -> tuple[list[str], int]:
+    """Scaled features of `sec` as SQL: slope, hinges, Fourier pairs; and how many of them make the trend."""
+    t = f"((sec - {start!r}D) / {end - start!r}D)"
+    trend = [f"{t} * {SLOPE_PRIOR!r}D"]
+    trend += [f"greatest({t} - {CHANGEPOINT_RANGE * (j + 1) / changes!r}D, 0D) * {CHANGE_PRIOR!r}D" for j in range(changes)]
     waves = []
     for _, period, order, _, _ in seasons:
         for k in range(1, order + 1):
-            angle = seconds / F.lit(DAY) * F.lit(2.0 * math.pi * k / period)
-            waves += [F.sin(angle) * SEASON_PRIOR, F.cos(angle) * SEASON_PRIOR]
+            angle = f"sec * {2.0 * math.pi * k / period / DAY!r}D"
+            waves += [f"sin({angle}) * {SEASON_PRIOR!r}D", f"cos({angle}) * {SEASON_PRIOR!r}D"]
     return trend + waves, len(trend)
 
 
-def _fit(rows: DataFrame, terms: list[Column], penalty: float):
-    data = rows.select(array_to_vector(F.array(*terms)).alias("features"), "label", F.col("w").alias("weight"))
+def _fit(rows: DataFrame, terms: list[str], penalty: float):
+    data = rows.select(array_to_vector(F.expr(f"array({', '.join(terms)})")).alias("features"), "label",
+                       F.col("w").alias("weight"))
     return LinearRegression(solver="normal", regParam=penalty, standardization=False,
                             weightCol="weight").fit(data)
 
 
-def _linear(model, terms: list[Column], count: int | None = None) -> Column:
-    weights = list(model.coefficients)[:count]
-    return reduce(lambda a, b: a + b, [c * F.lit(float(w)) for w, c in zip(weights, terms)],
-                  F.lit(float(model.intercept)))
+def _linear(model, terms: list[str], count: int | None = None) -> Column:
+    weights = [float(w) for w in model.coefficients][:count]
+    return F.expr(" + ".join([f"{float(model.intercept)!r}D", *[f"({w!r}D) * {t}" for w, t in zip(weights, terms)]]))
 
 
 def forecast(series: DataFrame, horizon: int = HORIZON_DAYS) -> DataFrame:
@@ -107,11 +106,11 @@ def _forecast_one(history: DataFrame, fact, horizon: int) -> DataFrame:
     spacing = fact["spacing_days"] if fact["spacing_days"] is not None else math.inf
     seasons = [s for s in SEASONS if span >= s[3] and spacing < s[4]]
     changes = min(CHANGEPOINTS, max(1, int(fact["times"] * CHANGEPOINT_RANGE) - 1))
-    rows = history.withColumn("label", F.col("mean") / scale)
-    terms, trend_terms = _terms(_seconds(F.col("ds")), start, end, seasons, changes)
+    rows = history.select(_seconds(F.col("ds")).alias("sec"), (F.col("mean") / scale).alias("label"), "w")
+    terms, trend_terms = _terms(start, end, seasons, changes)
 
     # The noise level sets the penalty; a fit without changepoints measures it.
-    plain, _ = _terms(_seconds(F.col("ds")), start, end, seasons, 0)
+    plain, _ = _terms(start, end, seasons, 0)
     within = max(fact["within"], 0.0) / n / scale ** 2
     rough = _fit(rows, plain, 1e-9)
     model = _fit(rows, terms, max((_mse(rows, _linear(rough, plain)) + within) / n, 1e-10))
@@ -123,14 +122,14 @@ def _forecast_one(history: DataFrame, fact, horizon: int) -> DataFrame:
     spark = history.sparkSession
     future = spark.range(1, horizon + 1).select(
         F.lit(fact["series"]).alias("series"),
-        (F.lit(fact["last"]) + F.make_dt_interval(F.col("id").cast("int"))).alias("ds"))
-    ahead, _ = _terms(_seconds(F.col("ds")), start, end, seasons, changes)
-    h = (_seconds(F.col("ds")) - F.lit(end)) / F.lit(end - start)
+        (F.lit(fact["last"]) + F.make_dt_interval(F.col("id").cast("int"))).alias("ds"),
+    ).withColumn("sec", _seconds(F.col("ds")))
+    h = (F.col("sec") - F.lit(end)) / F.lit(end - start)
     half = F.sqrt(F.lit(noise) + h * h * h * F.lit(2.0 * changes * size * size / 3.0)) * INTERVAL_Z * scale
-    yhat = _linear(model, ahead) * scale
+    yhat = _linear(model, terms) * scale
     return future.select(
         "series", "ds", yhat.alias("yhat"), (yhat - half).alias("yhat_lower"), (yhat + half).alias("yhat_upper"),
-        (_linear(model, ahead, trend_terms) * scale).alias("trend"))
+        (_linear(model, terms, trend_terms) * scale).alias("trend"))
 
 
 def _mse(rows: DataFrame, fitted: Column) -> float:
