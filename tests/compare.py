@@ -18,6 +18,11 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+# SQL type -> the Spark types that hold the same values.
+TYPES = {"BIGINT": {"bigint"}, "INTEGER": {"int"}, "DOUBLE": {"double"}, "VARCHAR": {"string"}, "BOOLEAN": {"boolean"},
+         "TIMESTAMP": {"timestamp", "timestamp_ntz"}}
+
+
 def normal(value):
     if value is None or (isinstance(value, float) and math.isnan(value)):
         return None
@@ -40,16 +45,16 @@ def differences(spark, con, query, sql, sf_dir) -> list[str]:
     df = query(spark, sf_dir)
     got_names, got = table(df.columns, [tuple(r) for r in df.collect()])
     cursor = con.execute(sql)
+    kinds = {d[0]: str(d[1]) for d in cursor.description}
     want_names, want = table([d[0] for d in cursor.description], cursor.fetchall())
     out = []
     if got_names != want_names:
         out.append(f"columns {got_names} != {want_names}")
     if len(got) != len(want):
         out.append(f"rows {len(got)} != {len(want)}")
-    kinds = [(type(a), type(b)) for g, w in zip(got, want) for a, b in zip(g, w)
-             if type(a) is not type(b) and a is not None and b is not None]
-    if kinds:
-        out.append(f"types {set(kinds)}")
+    wrong = [(c, t, kinds.get(c)) for c, t in df.dtypes if t not in TYPES.get(kinds.get(c), set())]
+    if wrong:
+        out.append(f"types {wrong}")
     bad = [(g, w) for g, w in zip(got, want) if g != w]
     if bad:
         out.append(f"{len(bad)} rows differ, first {bad[:2]}")

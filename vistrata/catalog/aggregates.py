@@ -116,10 +116,13 @@ q AS (SELECT quantile_cont(amount, 0.25) a1, quantile_cont(amount, 0.75) a3 FROM
 f AS (SELECT a1 - 1.5 * (a3 - a1) AS lower_fence, a3 + 1.5 * (a3 - a1) AS upper_fence FROM q)
 SELECT 'amount' AS "column", round(lower_fence, 2) AS lower_fence, round(upper_fence, 2) AS upper_fence,
 (SELECT count(*) FROM fin WHERE amount < lower_fence OR amount > upper_fence) AS outlier_count,
-(SELECT list(amount ORDER BY amount) FROM (SELECT amount FROM fin WHERE amount < lower_fence OR amount > upper_fence ORDER BY amount LIMIT 20)) AS outliers_sample
+(SELECT count(*) FROM (SELECT amount FROM fin WHERE amount < lower_fence OR amount > upper_fence ORDER BY amount LIMIT 20)) AS shown,
+(SELECT max(amount) FROM (SELECT amount FROM fin WHERE amount < lower_fence OR amount > upper_fence ORDER BY amount LIMIT 20)) AS last_shown
 FROM f""")
 def _(spark, table):
-    return rounded(statistics.outliers(messy(table("orders")), ["amount"]), 2, "lower_fence", "upper_fence")
+    out = rounded(statistics.outliers(messy(table("orders")), ["amount"]), 2, "lower_fence", "upper_fence")
+    return out.select("column", "lower_fence", "upper_fence", "outlier_count",
+                      F.size("outliers_sample").cast("bigint").alias("shown"), F.array_max("outliers_sample").alias("last_shown"))
 
 
 @query("modes", each("""SELECT '{c}' AS "column", {c}::DOUBLE AS mode, n AS mode_count FROM

@@ -54,11 +54,11 @@ def _(spark, table):
 SELECT "column", count(*) AS n, round(avg(count), 4) AS mean, round(coalesce(stddev_samp(count), 0), 4) AS std, min(count)::DOUBLE AS min, max(count)::DOUBLE AS max,
 sum(count)::DOUBLE AS sum, round(quantile_cont(count, 0.25), 4)::DOUBLE AS q1, round(quantile_cont(count, 0.5), 4)::DOUBLE AS median, round(quantile_cont(count, 0.75), 4)::DOUBLE AS q3,
 round(quantile_cont(count, 0.75) - quantile_cont(count, 0.25), 4)::DOUBLE AS iqr,
-CASE WHEN count(*) >= 3 THEN round(avg(((count - mu) / sd)**3), 4) END AS skewness, CASE WHEN count(*) >= 4 THEN round(avg(((count - mu) / sd)**4) - 3, 4) END AS kurtosis
+CASE WHEN count(*) >= 3 THEN round(avg(((count - mu) / sd)**3), 8) END AS skewness, CASE WHEN count(*) >= 4 THEN round(avg(((count - mu) / sd)**4) - 3, 8) END AS kurtosis
 FROM p JOIN m ON "column" = k GROUP BY 1""")
 def _(spark, table):
     out = charts.chart_bars(table("part"))["count_statistics"].drop("mode")
-    return rounded(out, 4, "mean", "std", "q1", "median", "q3", "iqr", "skewness", "kurtosis")
+    return rounded(rounded(out, 4, "mean", "std", "q1", "median", "q3", "iqr"), 8, "skewness", "kurtosis")
 
 
 @query("scatter_points", """
