@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vistrata.operators import counts, preview, profile, quantiles, ranks
 from vistrata.plans.kpis import kpis
+from vistrata.plans.summary import categorical_summary
 from vistrata.session import staging_path, staging_root
 
 PROBS = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
@@ -76,9 +77,34 @@ def test_group_percentiles_with_a_hot_group(spark, skewed):
 def test_value_table_positions(spark, skewed):
     df = spark.createDataFrame(skewed).repartition(5)
     values = quantiles.value_table(df, ["v", "w"])
-    got = {r["ci"]: list(r["values"]) for r in quantiles.read_ranks(values, ["ci"], PROBS).collect()}
-    for i, c in enumerate(("v", "w")):
-        assert np.allclose(got[i], np.percentile(skewed[c], [100 * p for p in PROBS]), rtol=1e-12)
+    got = {r["column"]: list(r["values"]) for r in values.percentiles(PROBS).collect()}
+    for c in ("v", "w"):
+        assert np.allclose(got[c], np.percentile(skewed[c], [100 * p for p in PROBS]), rtol=1e-12)
+
+
+def test_value_samples_keep_the_weight_of_copies(spark, skewed):
+    df = spark.createDataFrame(skewed)
+    for n in (3, 8):
+        sample = quantiles.value_table(df.repartition(n), ["v", "w"]).sample(2000)
+        got = sorted((r["column"], r["value"]) for r in sample.collect())
+        assert len(got) == 4000
+        hot = sum(1 for c, v in got if c == "v" and v == 1.5)
+        assert 580 < hot < 760
+        if n == 3:
+            first = got
+    assert got == first
+    few = quantiles.value_table(df.limit(100), ["v"]).sample(2000)
+    assert few.count() == 100
+
+
+def test_summary_reuses_its_shuffle(table):
+    assert "ReusedExchange" in plan_run(categorical_summary(table("part")))
+
+
+def plan_run(df) -> str:
+    """Plan after it ran, as exchanges are reused at run time."""
+    df.collect()
+    return plan(df)
 
 
 def test_positions_with_unbounded_ties(spark):

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from vistrata.functions.columns import numeric_columns
 from vistrata.functions.formulas import correlation_p_value
 from vistrata.operators.profile import numbers, numeric_profile, varying_columns
-from vistrata.operators.quantiles import value_table
 from vistrata.operators.ranks import average_ranks
 from vistrata.session import stage
 
@@ -133,14 +132,6 @@ def _attach_rank(rows: DataFrame, ranks: DataFrame, column: str, total: int) ->
     return rows.join(hot, column).unionByName(rows.join(hot, column, "left_anti").join(cold, column))
 
 
-def column_ranks(df: DataFrame, columns: Sequence[str]) -> dict[str, DataFrame]:
-    """value, count, rank of each column over its own present values, from one shared value table."""
-    values = value_table(df, columns)
-    return {c: values.where(F.col("ci") == i).select(
-        "value", F.col("vc").alias("count"), (F.col("before") + (F.col("vc") + 1) / 2.0).alias("rank"))
-        for i, c in enumerate(columns)}
-
-
 def spearman(df: DataFrame, x: str, y: str, ranks: dict[str, DataFrame] | None = None) -> DataFrame:
     """x_name, y_name, n, spearman_r, spearman_p_value with average ranks for ties.
 

@@ -27,14 +27,22 @@ def counts_by_key(df: DataFrame, column: str) -> DataFrame:
     return value_counts(df, column).orderBy("value")
 
 
-def top_values_per_column(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
-    """(column, rank, value, count) for several columns in one job; values as text."""
-    counted = long_form(df, columns, "string").groupBy("column", "value").agg(F.count("*").alias("count"))
+def text_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value, count) of several columns in one job; values as text."""
+    return long_form(df, columns, "string").groupBy("column", "value").agg(F.count("*").alias("count"))
+
+
+def top_of(counted: DataFrame, k: int) -> DataFrame:
+    """(column, rank, value, count): the k most frequent values of each column."""
     order = Window.partitionBy("column").orderBy(F.desc("count"), "value")
     return (counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("column", "rank", "value", "count"))
 
 
+def top_values_per_column(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
+    return top_of(text_counts(df, columns), k)
+
+
 def modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, mode, mode_count): the smallest of the most frequent values."""
     cells = F.array(*[F.struct(F.lit(i).alias("ci"), F.col(f"v{i}").alias("value")) for i in range(len(columns))])

@@ -11,15 +11,18 @@ Every shuffle carries counts combined before it, so a value or group holding muc
 
 from __future__ import annotations
 
+import random
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from vistrata.functions.columns import col
-from vistrata.operators.profile import number_columns, numeric_profile
+from vistrata.operators.profile import number_columns
 from vistrata.operators.ranks import range_staged, with_running_total
 
 ONE_PASS_VALUES = 5_000_000
@@ -58,21 +61,65 @@ def named(columns: Sequence[str]) -> Column:
     return F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("ci") + 1).alias("column")
 
 
-def value_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """ci, value, vc, before, n: distinct values of each column with counts and positions, staged.
-
-    One shuffle of counts serves percentiles, modes and outliers alike; the table is range-partitioned, so
-    positions come from per-partition totals.
+@dataclass
+class ValueTable:
+    """Distinct values of columns: frame of ci, value, vc, before, n; the columns; their present values."""
+    frame: DataFrame
+    columns: list[str]
+    sizes: list[int]
+
+    def percentiles(self, probs: Sequence[float]) -> DataFrame:
+        return read_ranks(self.frame, ["ci"], probs).select(named(self.columns), "n", "values")
+
+    def named(self) -> DataFrame:
+        return self.frame.select(named(self.columns), "value", "vc")
+
+    def ranks(self) -> dict[str, DataFrame]:
+        """value, count and average rank of each column."""
+        rank = (F.col("before") + (F.col("vc") + 1) / 2.0).alias("rank")
+        return {c: self.frame.where(F.col("ci") == i).select("value", F.col("vc").alias("count"), rank)
+                for i, c in enumerate(self.columns)}
+
+    def sample(self, k: int, seed: int = 0) -> DataFrame:
+        """(column, value): k random values of each column, or all when there are no more.
+
+        Random ranks are drawn and looked up, so copies weigh as in the data and the result does not
+        depend on partitioning. Ranks meet values in slots of n / k ranks; a value with many copies spans
+        several slots, which adds at most k rows per column.
+        """
+        rows = []
+        for i, n in enumerate(self.sizes):
+            picked = random.Random(seed * 1_000_003 + i).sample(range(n), k) if n > k else range(n)
+            width = max(1, n // k)
+            rows += [(i, r // width, r) for r in picked]
+        wanted = self.frame.sparkSession.createDataFrame(
+            pd.DataFrame(rows, columns=["ci", "slot", "rank"]), "ci int, slot bigint, rank bigint")
+        width = F.greatest(F.lit(1).cast("bigint"), F.floor(F.col("n") / k))
+        last = F.floor((F.col("before") + F.col("vc") - 1) / width)
+        slots = self.frame.withColumn("slot", F.explode(F.sequence(F.floor(F.col("before") / width), last)))
+        # k rows per column are broadcast.
+        hit = slots.join(F.broadcast(wanted), ["ci", "slot"]).where(
+            (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("vc")))
+        return hit.select(named(self.columns), "value")
+
+
+def value_table(df: DataFrame, columns: Sequence[str]) -> ValueTable:
+    """Distinct values of each column with counts and positions, staged.
+
+    One shuffle of counts serves percentiles, modes, outliers, ranks and samples alike; the table is
+    range-partitioned, so positions come from per-partition totals.
     """
     wide = df.select(*number_columns(df, columns))
     counts = _long(wide, [], columns).groupBy("ci", "value").agg(F.count("*").alias("vc"))
     parts = range_staged(counts, ["ci", "value"], "values")
     placed = with_running_total(parts, ["ci", "value"], F.col("vc"), "before")
-    sizes = [r["count"] for r in numeric_profile(df, columns, moments=False).orderBy("position").collect()]
+    found = {r["ci"]: r["n"] for r in parts.groupBy("ci").agg(F.sum("vc").alias("n")).collect()}
+    sizes = [found.get(i, 0) for i in range(len(columns))]
     extents = df.sparkSession.createDataFrame(
         [(i, sum(sizes[:i]), n) for i, n in enumerate(sizes)], "ci int, start bigint, n bigint")
-    return placed.join(F.broadcast(extents), "ci").select(
+    frame = placed.join(F.broadcast(extents), "ci").select(
         "ci", "value", "vc", (F.col("before") - F.col("start")).alias("before"), "n")
+    return ValueTable(frame, list(columns), sizes)
 
 
 def read_ranks(placed: DataFrame, group: Sequence[str], probs: Sequence[float]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,25 +10,34 @@ from vistrata.functions.columns import col
 from vistrata.session import stage
 
 
-def row_hash(df: DataFrame, seed: int):
-    """64-bit hash of the whole row; maps are hashed by their JSON text."""
-    parts = [F.to_json(col(f.name)) if isinstance(f.dataType, T.MapType) else col(f.name)
-             for f in df.schema.fields]
-    return F.xxhash64(F.lit(seed), *parts)
+# Share of distinct model rows from which on they stand for whole rows.
+ROW_LIKE = 0.9
+
+
+def row_hash(df: DataFrame, columns: list[str], seed: int) -> Column:
+    """64-bit hash of some columns; maps are hashed by their JSON text."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    return F.xxhash64(F.lit(seed), *[F.to_json(col(c)) if isinstance(kinds[c], T.MapType) else col(c) for c in columns])
 
 
 def hash_sample(df: DataFrame, k: int, columns: list[str], seed: int = 0) -> DataFrame:
     """At most k rows of `columns` with their `_hash`; all rows when there are no more than k.
 
     Beyond k, copies of a row count once: they share a hash, and a group of copies holding much of the data
-    would otherwise be sampled entirely or not at all. The hash filter keeps about 3k rows, copies are
-    collapsed before they are shuffled, and the k smallest hashes remain.
+    would otherwise be sampled entirely or not at all. The hash covers `columns` alone where nearly every
+    row differs in them, so wide rows are not read; else it covers the whole row. The hash filter keeps
+    about 3k rows, copies are collapsed before they are shuffled, and the k smallest hashes remain.
     """
-    hashed = df.select(row_hash(df, seed).alias("_hash"), *[col(c) for c in columns])
-    size = df.agg(F.count("*").alias("n"), F.approx_count_distinct(row_hash(df, seed)).alias("d")).first()
-    if size["n"] <= k:
+    narrow = row_hash(df, columns, seed)
+    size = df.agg(F.count("*").alias("n"), F.approx_count_distinct(narrow).alias("d")).first()
+    rows, distinct, key = size["n"], size["d"], narrow
+    if distinct < ROW_LIKE * rows and set(columns) != set(df.columns):
+        key = row_hash(df, df.columns, seed)
+        distinct = df.agg(F.approx_count_distinct(key).alias("d")).first()["d"]
+    hashed = df.select(key.alias("_hash"), *[col(c) for c in columns])
+    if rows <= k:
         return hashed
-    share = min(1.0, 3.0 * k / max(size["d"], 1))
+    share = min(1.0, 3.0 * k / max(distinct, 1))
     while True:
         kept = hashed
         if share < 1.0:

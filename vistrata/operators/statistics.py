@@ -13,9 +13,8 @@ from pyspark.sql import Window
 from vistrata.functions.columns import col, numeric_columns
 from vistrata.functions.formulas import shapiro_wilk
 from vistrata.operators.counts import modes_of
-from vistrata.operators.profile import numbers, numeric_profile
-from vistrata.operators.quantiles import named, percentiles, read_ranks, value_table
-from vistrata.operators.sampling import hash_sample
+from vistrata.operators.profile import numeric_profile
+from vistrata.operators.quantiles import ValueTable, percentiles, value_table
 
 # Fixed values of the statistics payload.
 PERCENTILES = [5, 10, 25, 50, 75, 90, 95]
@@ -63,20 +62,18 @@ def outliers(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """column, lower_fence, upper_fence, outlier_count, outliers_sample of numeric columns."""
     columns = numeric_columns(df) if columns is None else list(columns)
     values = value_table(df, columns)
-    fences = _named_percentiles(read_ranks(values, ["ci"], [p / 100 for p in PERCENTILES]).select(
-        named(columns), "values"))
-    found = outliers_of(values.select(named(columns), "value", "vc"), fences)
+    fences = _named_percentiles(values.percentiles([p / 100 for p in PERCENTILES]))
+    found = outliers_of(values.named(), fences)
     return fences.select("column", "lower_fence", "upper_fence").join(found, "column")
 
 
 def normality(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """column, shapiro_stat, shapiro_p_value, is_normal_distribution on up to 5000 rows per column."""
-    columns = numeric_columns(df) if columns is None else list(columns)
-    sample = hash_sample(df, NORMALITY_ROWS, columns)
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"v{i}").alias("value"))
-                      for i, c in enumerate(columns)])
-    long = numbers(sample, columns).select(F.inline(cells)).where("value IS NOT NULL")
+    """column, shapiro_stat, shapiro_p_value, is_normal_distribution on up to 5000 values per column."""
+    return normality_of(value_table(df, numeric_columns(df) if columns is None else list(columns)))
+
 
+def normality_of(values: ValueTable) -> DataFrame:
+    """The same from a value table; one Spark group of at most 5000 values per column."""
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
         enough = len(pdf) >= 3
         w, p = shapiro_wilk(pdf["value"].to_numpy()) if enough else (0.0, 0.0)
@@ -84,7 +81,7 @@ def normality(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
                             "shapiro_p_value": [round(p, 6)], "is_normal_distribution": [p > NORMALITY_LEVEL]})
         return row if enough else row.iloc[:0]
 
-    return long.groupBy("column").applyInPandas(
+    return values.sample(NORMALITY_ROWS).groupBy("column").applyInPandas(
         test, "column string, shapiro_stat double, shapiro_p_value double, is_normal_distribution boolean")
 
 
@@ -93,7 +90,7 @@ def full_statistics(df: DataFrame, columns: Sequence[str] | None = None, with_no
     columns = numeric_columns(df) if columns is None else list(columns)
     values = value_table(df, columns)
     table = df.sparkSession.createDataFrame(*_local(_named_percentiles(
-        read_ranks(values, ["ci"], [p / 100 for p in PERCENTILES]).select(named(columns), "values"))))
+        values.percentiles([p / 100 for p in PERCENTILES]))))
     present = [c for c in columns if c in {r["column"] for r in table.collect()}]
     if not present:
         return numeric_profile(df, columns).where("count > 0")
@@ -101,11 +98,11 @@ def full_statistics(df: DataFrame, columns: Sequence[str] | None = None, with_no
         numeric_profile(df, present)
         .withColumn("coefficient_of_variation_pct",
                     F.round(F.when(F.col("mean") != 0, F.col("std") / F.col("mean") * 100), 4))
-        .join(table, "column").join(modes_of(values, columns), "column", "left")
-        .join(outliers_of(values.select(named(columns), "value", "vc"), table), "column", "left")
+        .join(table, "column").join(modes_of(values.frame, columns), "column", "left")
+        .join(outliers_of(values.named(), table), "column", "left")
     )
     if with_normality:
-        out = out.join(normality(df, present), "column", "left")
+        out = out.join(normality_of(values), "column", "left")
     fixed = {"coefficient_of_variation_pct", "shapiro_stat", "shapiro_p_value"}
     return out.select(*[
         F.round(f.name, 6).alias(f.name)

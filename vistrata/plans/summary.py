@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vistrata.functions.columns import categorical_columns, column_classes, numeric_columns
-from vistrata.operators.counts import top_values_per_column
+from vistrata.functions.columns import categorical_columns, col, column_classes, numeric_columns
+from vistrata.operators.counts import text_counts, top_of
 from vistrata.operators.profile import distinct_counts, missing_counts
 from vistrata.operators.statistics import describe, full_statistics
 
@@ -16,11 +16,14 @@ TOP_VALUES = 5
 def categorical_summary(df: DataFrame) -> DataFrame:
     """column, unique_values, missing_count, top_values: the 5 most frequent (rank, value, count)."""
     columns = categorical_columns(df)
-    top = top_values_per_column(df, columns, TOP_VALUES).groupBy("column").agg(
+    counted = text_counts(df, columns)
+    top = top_of(counted, TOP_VALUES).groupBy("column").agg(
         F.array_sort(F.collect_list(F.struct("rank", "value", "count"))).alias("top_values"))
-    unique = distinct_counts(df, columns).select("position", "column", F.col("distinct").alias("unique_values"))
-    missing = missing_counts(df).select("column", F.col("missing").alias("missing_count"))
-    return unique.join(missing, "column").join(top, "column", "left")
+    # Reading `count` keeps this aggregate equal to the one below the top values, so its shuffle is reused.
+    unique = counted.groupBy("column").agg(F.count_if(F.col("count") > 0).alias("unique_values"))
+    missing = missing_counts(df.select(*[col(c) for c in columns])).withColumnRenamed("missing", "missing_count")
+    return (missing.join(unique, "column", "left").join(top, "column", "left")
+            .withColumn("unique_values", F.coalesce("unique_values", F.lit(0).cast("bigint"))))
 
 
 def dataset_shape(df: DataFrame) -> DataFrame:
@@ -37,11 +40,11 @@ def dataset_summary(df: DataFrame, statistics: DataFrame | None = None) -> dict[
     return out
 
 
-def dataset_profile(df: DataFrame) -> dict[str, DataFrame]:
-    """Shape, per column type and distinct count, and the describe table."""
+def dataset_profile(df: DataFrame, exact: bool = True) -> dict[str, DataFrame]:
+    """Shape, per column type and distinct count (sketched if not `exact`), and the describe table."""
     types = column_classes(df)
     plain = [r["column"] for r in types.where("class != 'other'").select("column").collect()]
-    unique = distinct_counts(df, plain).select("column", F.col("distinct").alias("unique"))
+    unique = distinct_counts(df, plain, exact).select("column", F.col("distinct").alias("unique"))
     return {"shape": dataset_shape(df),
             "columns": types.select("position", "column", "type").join(unique, "column", "left"),
             "statistics": describe(df)}
