@@ -162,6 +162,15 @@ def test_series_preview(spark, n, limit, shown):
     assert rows[0]["truncated"] is (n > limit) and rows[-1]["x"] == n - 1
 
 
+@pytest.mark.parametrize("n", [5, 40])
+def test_falling_preview(spark, n):
+    df = spark.range(n).select((F.col("id") % 20).alias("v"), F.col("id").alias("k"))
+    rows = preview.series_preview(df, ["v", "k"], 25, descending=["v"]).orderBy("position").collect()
+    want = sorted(((i % 20, i) for i in range(n)), key=lambda t: (-t[0], t[1]))
+    want = want if n <= 25 else want[:12] + want[-12:]
+    assert [(r["v"], r["k"]) for r in rows] == want
+
+
 @pytest.mark.parametrize("n, bar, pie", [(10, True, True), (11, True, False), (20, True, False), (21, False, False)])
 def test_cardinality_gates(spark, n, bar, pie):
     df = spark.range(n).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("c")).unionByName(

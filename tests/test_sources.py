@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 
 from vistrata.catalog.files import workbook
+from vistrata.plans.dashboard import dashboard
 from vistrata.sources import load, sinks
 
 
@@ -44,6 +45,19 @@ def test_csv(spark, tmp_path):
                     (3, None, True, "x", None, None)]
 
 
+def test_dashboard_of_a_file_with_odd_names(spark, tmp_path):
+    path = tmp_path / "odd.csv"
+    path.write_text("Order Date,Total (USD),Qty.;=,Seg{x}\n" + "".join(
+        f"2024-{1 + i // 28:02d}-{1 + i % 28:02d},{100 + i * 1.5},{i % 5},{'AB'[i % 2]}\n" for i in range(100)))
+    board = dashboard(load.load_table(spark, str(path)))
+    assert board.cleaned.columns == ["Order Date", "Total (USD)", "Qty_;=", "Seg{x}"]
+    assert dict(board.labelled.dtypes)["Order Date"] == "timestamp"
+    assert board.forecasts.where("series = 'Total (USD)'").count() == 30
+    assert board.profile["statistics"].where("column = 'Order Date'").count() == 1
+    points = board.charts["group_means"]["avg_Total (USD)_by_Seg{x}"]["points"].orderBy("position").collect()
+    assert [r["category"] for r in points] == ["B", "A"]
+
+
 def test_csv_line_breaks(spark, tmp_path):
     path = tmp_path / "t.csv"
     path.write_text('a,b\n1,"x\ny"\n')

@@ -88,7 +88,7 @@ def _(spark, table):
 
 @query("chart_group_means", """
 WITH g AS (SELECT l_linestatus AS category, avg(l_quantity) AS mean FROM lineitem GROUP BY 1),
-n AS (SELECT *, row_number() OVER (ORDER BY mean, category) - 1 AS position, count(*) OVER () AS total_points FROM g)
+n AS (SELECT *, row_number() OVER (ORDER BY mean DESC, category) - 1 AS position, count(*) OVER () AS total_points FROM g)
 SELECT category, round(mean, 4) AS mean, position FROM n""")
 def _(spark, table):
     made = charts.chart_group_means(table("lineitem"), [("l_linestatus", "l_quantity"), ("no_such", "l_quantity")])

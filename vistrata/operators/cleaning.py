@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from vistrata.functions.columns import (
     CLIP_LIMIT, UNKNOWN, clip, col, finite, finite_frame, numeric_columns)
-from vistrata.operators.profile import constant_numeric_columns, missing_counts, varying_columns
+from vistrata.operators.profile import missing_counts, numeric_profile, varying_columns
 from vistrata.operators.quantiles import percentile_dict
 from vistrata.session import stage
 
@@ -105,12 +105,14 @@ def clean(df: DataFrame, exclude: Sequence[str] = ()) -> Cleaned:
     spark = df.sparkSession
     measured = [c for c in numeric_columns(df) if c not in exclude]
     source = clip_numeric(finite_frame(df), measured)
-    constants = [c for c in constant_numeric_columns(source) if c not in exclude]
+    facts = numeric_profile(source, moments=False).collect() if numeric_columns(source) else []
+    constants = [r["column"] for r in facts if r["count"] > 1 and r["min"] == r["max"] and r["column"] not in exclude]
+    before = facts[0]["count"] + facts[0]["missing"] if facts else df.count()
     source = source.drop(*constants)
     measured = [c for c in measured if c not in constants]
 
     frame = stage(without_duplicates(source), "clean")
-    before, after = df.count(), frame.count()
+    after = frame.count()
     lines = [("drop_constant", c, 1, f"Dropped constant column {c}") for c in constants]
     lines.append(("duplicates", None, before - after, f"Duplicates removed: {before - after}"))
 

@@ -28,22 +28,24 @@ def tail_per_series(df: DataFrame, series: str, order_by: str, n: int) -> DataFr
 
 
 def series_preview(df: DataFrame, order_by: Sequence[str], limit: int = SERIES_POINTS,
-                   total: int | None = None) -> DataFrame:
+                   total: int | None = None, descending: Sequence[str] = ()) -> DataFrame:
     """All points when there are at most `limit`, else the first and last 12.
 
     Adds position (0-based in the whole series), truncated, total_points and note. Both ends are top-n
-    selections, so a long series is never sorted or numbered as a whole.
+    selections, so a long series is never sorted or numbered as a whole. Columns of the order named in
+    `descending` fall.
     """
     total = df.count() if total is None else total
     ends = min(END_POINTS, limit // 2)
-    rising = Window.orderBy(*[col(c).asc() for c in order_by])
-    falling = Window.orderBy(*[col(c).desc() for c in order_by])
+    forward = [col(c).desc() if c in descending else col(c).asc() for c in order_by]
+    backward = [col(c).asc() if c in descending else col(c).desc() for c in order_by]
+    rising, falling = Window.orderBy(*forward), Window.orderBy(*backward)
     if total <= limit:
         shown = df.withColumn("position", F.row_number().over(rising) - 1)
         note = F.lit(None).cast("string")
     else:
-        first = df.orderBy(*[col(c).asc() for c in order_by]).limit(ends)
-        last = df.orderBy(*[col(c).desc() for c in order_by]).limit(ends)
+        first = df.orderBy(*forward).limit(ends)
+        last = df.orderBy(*backward).limit(ends)
         # Both windows see at most `ends` rows.
         shown = first.withColumn("position", F.row_number().over(rising) - 1).unionByName(
             last.withColumn("position", F.lit(total) - F.row_number().over(falling)))

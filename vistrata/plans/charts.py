@@ -122,7 +122,7 @@ def chart_group_means(df: DataFrame, pairs: Sequence[tuple[str, str]] | None = N
         if category in categories and metric in metrics:
             means = group_means(df, category, metric)
             out[f"avg_{metric}_by_{category}"] = {
-                "points": series_preview(means, ["mean", "category"], CATEGORY_POINTS),
+                "points": series_preview(means, ["mean", "category"], CATEGORY_POINTS, descending=["mean"]),
                 "per_group_detail": group_detail(df, category, metric)}
     return out
 
