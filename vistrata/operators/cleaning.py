@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from vistrata.functions.columns import (
     CLIP_LIMIT, UNKNOWN, clip, col, finite, finite_frame, numeric_columns)
-from vistrata.operators.profile import missing_counts, numeric_profile, varying_columns
+from vistrata.operators.profile import missing_counts, numeric_profile
 from vistrata.operators.quantiles import percentile_dict
 from vistrata.session import stage
 
@@ -54,9 +54,13 @@ def without_duplicates(df: DataFrame) -> DataFrame:
 def fill_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Missing numbers become the column median; a column without values stays missing."""
     columns = numeric_columns(df) if columns is None else list(columns)
-    medians = percentile_dict(df, columns, [0.5])
-    fills = {c: F.coalesce(col(c).cast("double"), F.lit(medians[c][0])) for c in columns if c in medians}
-    return df.withColumns(fills) if fills else df
+    if not columns:
+        return df
+    facts = numeric_profile(df, columns, moments=False).collect()
+    medians = percentile_dict(df, [r["column"] for r in facts if r["missing"] > 0], [0.5])
+    fills = {c: F.coalesce(col(c).cast("double"), F.lit(medians[c][0])) if c in medians else col(c).cast("double")
+             for c in columns}
+    return df.withColumns(fills)
 
 
 def fill_text(df: DataFrame) -> DataFrame:
@@ -86,12 +90,15 @@ def impute_for_model(df: DataFrame) -> tuple[DataFrame, list[str]]:
 
     A column without two different values carries no information and gets no model column.
     """
-    features = varying_columns(df)
-    medians = percentile_dict(df, features, [0.5])
+    names = numeric_columns(df)
+    facts = numeric_profile(df, names, moments=False).where("min < max").orderBy("position").collect() if names else []
+    features = [r["column"] for r in facts]
+    # Only columns with gaps need a median.
+    medians = percentile_dict(df, [r["column"] for r in facts if r["missing"] > 0], [0.5])
     inputs = {}
     for c in features:
         v = col(c).cast("double")
-        inputs[f"{MODEL_PREFIX}{c}"] = F.coalesce(finite(v), F.lit(medians[c][0]))
+        inputs[f"{MODEL_PREFIX}{c}"] = F.coalesce(finite(v), F.lit(medians[c][0])) if c in medians else v
     return df.withColumns(inputs) if inputs else df, features
 
 
