@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vistrata.llm import repetition, setsketch
+from vistrata.llm import agenda, hmm, packing, repetition, setsketch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(name: str, sql: str | None = None):
     """Register fn(read), where read(name) gives a driver table."""
     def register(fn):
@@ -33,7 +40,25 @@ def _(read):
     return repetition.measure(read("documents"))
 
 
+@query("op3_hidden_markov")
+def _(read):
+    """Model and base scores of every document."""
+    return hmm.scored(read("documents"))
+
+
+@query("op4_best_fit_packing")
+def _(read):
+    """Pieces of every document in sequences of 2048 tokens."""
+    return packing.packed(read("documents"), vocabulary("byte_bpe_50k.json"))
+
+
 @query("op7_setsketch_dedup")
 def _(read):
     """Component of every document at four words and 80 percent."""
     return setsketch.grouped(read("documents"), size=4, percent=80).drop("vid")
+
+
+@query("op8_piece_agenda")
+def _(read):
+    """Ids and decoded text of every document, as digests."""
+    return agenda.encoded(read("documents"), vocabulary("piece_bpe_32k.model"))
