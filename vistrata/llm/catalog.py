@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vistrata.llm import agenda, hmm, packing, repetition, setsketch
+from vistrata.llm import agenda, hmm, line_windows, packing, repetition, setsketch, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -62,3 +62,16 @@ def _(read):
 def _(read):
     """Ids and decoded text of every document, as digests."""
     return agenda.encoded(read("documents"), vocabulary("piece_bpe_32k.model"))
+
+
+@query("op5_url_logistic")
+def _(read):
+    """Verdict on every page's URL; the model learns from the labelled table of the operator."""
+    pages = read("pages")
+    return url_filter.judged(pages, url_filter.train(url_filter.labelled(pages.sparkSession)))
+
+
+@query("op6_line_windows")
+def _(read):
+    """Every document without the lines of repeated windows."""
+    return line_windows.deduplicated(read("documents").select("doc_id", "text"), count=True)
