@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vistrata.llm import agenda, hmm, line_windows, packing, repetition, setsketch, url_filter
+from vistrata.llm import agenda, bootstrap_pii, hmm, line_windows, packing, repetition, setsketch, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -75,3 +75,9 @@ def _(read):
 def _(read):
     """Every document without the lines of repeated windows."""
     return line_windows.deduplicated(read("documents").select("doc_id", "text"), count=True)
+
+
+@query("op9_bootstrapped_pii")
+def _(read):
+    """Base and contextual spans of every document."""
+    return bootstrap_pii.spans(read("documents"))
