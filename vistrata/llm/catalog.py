@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vistrata.llm import agenda, bootstrap_pii, hmm, line_windows, packing, repetition, setsketch, url_filter
+from vistrata.llm import agenda, bootstrap_pii, hmm, learned_partitions, line_windows, packing, repetition, setsketch, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -81,3 +81,9 @@ def _(read):
 def _(read):
     """Base and contextual spans of every document."""
     return bootstrap_pii.spans(read("documents"))
+
+
+@query("op10_learned_partitions")
+def _(read):
+    """The 20 nearest rows of each query, a row whose vec_id 20 divides."""
+    return learned_partitions.self_search(read("embeddings"), every=20, k=20)
