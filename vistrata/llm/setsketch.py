@@ -7,10 +7,11 @@ the known set sizes estimates their similarity, and pairs near the limit or abov
 
 Classes first: texts with one and the same set share a class, found by a 128-bit sum over the set, so copies cost one
 row each. Within a band's bucket each class meets the bucket's smallest class only, so a bucket of n classes gives
-n - 1 pairs. Then, for buckets that still hold several components, classes outside the bucket's leading component
-meet blocks of the others in memory-bounded tasks, which send on, for each class and foreign component, the TOP best
-estimated pairs; this repeats until a round adds no link. At similarity 0.8 a pair shares no band with probability
-(1 - 0.8^4)^24 = 3e-6.
+n - 1 pairs. Then, for buckets that still hold several components, the classes outside the bucket's leading component
+meet all others of the bucket in memory-bounded blocks, where pairs with enough equal registers are checked on the full
+sets; a block sends on one link for each two components that it joins, so never more links than classes. Every pair
+that shares a band is thus either checked, ruled out by its registers, or joined already. At similarity 0.8 a pair
+shares no band with probability (1 - 0.8^4)^24 = 3e-6.
 
 Defined cases: a null or wordless text has an empty set, links with nothing and is kept; fewer words than the shingle
 length make one shingle of the whole sequence; rows repeated with one doc_id get one row each; a null doc_id is never
@@ -36,8 +37,8 @@ BANDS = M // ROWS
 B, RATE, LAST = 1.001, 20.0, 65535
 # Estimates below the limit by more than this (five standard errors of the estimate at 0.8) are not checked.
 MARGIN = 0.2
-# Classes that meet in one task, and pairs sent on per class and foreign component.
-MEET, TOP = 2000, 3
+# Classes, and shingles of theirs, of one side of a meeting in one task.
+MEET, SHINGLES = 2000, 1_000_000
 # Texts checked against one centre in one task.
 CHECKED = 1000
 
@@ -115,13 +116,10 @@ def sketch(docs: DataFrame, size: int = 5) -> DataFrame:
 
 def likely(one: np.ndarray, two: np.ndarray, n_one: np.ndarray, n_two: np.ndarray) -> np.ndarray:
     """Maximum-likelihood similarity of register rows, given both set sizes."""
-    return likely_counts((one > two).sum(-1), (one < two).sum(-1), one.shape[-1], n_one, n_two)
-
-
-def likely_counts(greater: np.ndarray, less: np.ndarray, m: int, n_one: np.ndarray, n_two: np.ndarray) -> np.ndarray:
+    greater, less = (one > two).sum(1), (one < two).sum(1)
+    equal = one.shape[1] - greater - less
     u = n_one / (n_one + n_two)
     v = 1 - u
-    equal = m - greater - less
     step = lambda x: -np.log1p(-np.clip(x, 0, 1) * (B - 1) / B) / np.log(B)
 
     def value(j):
@@ -207,60 +205,111 @@ def _shared(classes: DataFrame) -> DataFrame:
     return banded.join(heads, "bucket")
 
 
-def _across(shared: DataFrame, classes: DataFrame, labels: DataFrame, floor: float) -> DataFrame:
-    """Likely pairs between components that still share a bucket."""
+def _sets(vids: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """vid, shingles (the full set as 64-bit hashes in order) of the given classes."""
+    reps = vids.join(classes.select("vid", "rep"), "vid")
+    texts = docs.select("doc_id", "text").join(reps, F.col("doc_id").eqNullSafe(F.col("rep"))).select("vid", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = flat(batch.column(1))
+            for a, b in blocks(offsets):
+                values, where = shingle_sets(Block(data, offsets, a, b, lower=True), size)
+                cuts = np.searchsorted(where, np.arange(b - a + 1))
+                keys = np.zeros(b - a, np.int64)
+                full = cuts[1:] > cuts[:-1]
+                if len(values):
+                    keys[full] = set_keys(values, cuts[:-1][full])[:, 0].view(np.int64)
+                made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(8 * cuts.astype(np.int64)), pa.py_buffer(values)])
+                own = pa.array(keys == np.asarray(batch.column(0).slice(a, b - a)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), made.cast(pa.binary())], names=["vid", "shingles"]).filter(own)
+
+    return texts.mapInArrow(run, "vid bigint, shingles binary").groupBy("vid").agg(F.min("shingles").alias("shingles"))
+
+
+class _Meeting:
+    """One task's union of components: the waiting classes, and what links it found."""
+
+    def __init__(self, floor: float, percent: int):
+        self.floor, self.percent = floor, percent
+        self.rest: list[tuple] = []
+        self.parent: dict[int, int] = {}
+
+    def root(self, label: int) -> int:
+        while self.parent.get(label, label) != label:
+            label = self.parent[label]
+        return label
+
+    def links(self, vid: np.ndarray, label: np.ndarray, made: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        """Links of the waiting classes with a part of the others: one for each two components that meet."""
+        out = []
+        roots = np.array([self.root(x) for x in label.tolist()])
+        for own_vid, own_label, own_made, own_set in self.rest:
+            mine = self.root(own_label)
+            # A pair at the limit agrees in nearly that share of its registers.
+            near = np.flatnonzero(roots != mine)
+            near = near[(made[near] == own_made).sum(1) >= self.floor * M]
+            if not len(near):
+                continue
+            size = np.array([len(sets[i]) for i in near])
+            every = np.concatenate([sets[i] for i in near])
+            at = np.minimum(np.searchsorted(own_set, every), len(own_set) - 1)
+            common = np.add.reduceat((own_set[at] == every).astype(np.int64), np.cumsum(size) - size)
+            for i in near[100 * common >= self.percent * (len(own_set) + size - common)]:
+                one, two = self.root(own_label), self.root(int(label[i]))
+                if one != two:
+                    self.parent[two] = one
+                    out.append((own_vid, int(vid[i])))
+                    roots = np.array([self.root(x) for x in label.tolist()])
+        return out
+
+
+def _across(shared: DataFrame, classes: DataFrame, labels: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Confirmed links a, b between components that share a bucket still, enough to join them."""
+    floor = percent / 100 - MARGIN
     placed = (shared.join(labels.withColumnRenamed("id", "vid"), "vid", "left")
-              .select("bucket", "vid", F.coalesce("label", "vid").alias("label")))
-    mixed = placed.groupBy("bucket").agg(F.min("label").alias("lead"), F.max("label").alias("top")).where("lead <> top")
-    rows = placed.join(mixed.select("bucket", "lead"), "bucket").withColumn("is_lead", F.col("label") == F.col("lead"))
-    sizes = rows.groupBy("bucket").agg(F.ceil(F.sum((~F.col("is_lead")).cast("int")) / MEET).alias("rest_blocks"),
-                                       F.ceil(F.count("*") / MEET).alias("all_blocks"))
+              .select("bucket", "head", "vid", F.coalesce("label", "vid").alias("label")))
+    # The head has met every other class of its bucket already.
+    placed = placed.where("vid <> head").drop("head")
+    mixed = (placed.groupBy("bucket").agg(F.min("label").alias("lead"), F.max("label").alias("top"))
+             .where("lead <> top").select("bucket", "lead"))
+    rows = stage(placed.join(mixed, "bucket").join(classes.select("vid", "n_shingles"), "vid")
+                 .withColumn("is_lead", F.col("label") == F.col("lead")).drop("lead"), "mixed")
+    weight = F.col("n_shingles") / SHINGLES + F.lit(1 / MEET)
+    sizes = rows.groupBy("bucket").agg(F.ceil(F.sum(F.when(~F.col("is_lead"), weight))).alias("rest_blocks"), F.ceil(F.sum(weight)).alias("all_blocks"))
     rows = rows.join(sizes, "bucket").withColumn("h", F.xxhash64("vid"))
-    every = rows.withColumn("x", F.pmod("h", "all_blocks")).withColumn(
-        "y", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rest_blocks") - 1))).withColumn("role", F.lit(1))
-    rest = rows.where("not is_lead").withColumn("y", F.pmod("h", "rest_blocks")).withColumn(
-        "x", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("all_blocks") - 1))).withColumn("role", F.lit(0))
+    upto = lambda c: F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1)
     names = ["bucket", "x", "y", "role", "vid", "label"]
-    meet = (every.select(*names).union(rest.select(*names)).join(classes.select("vid", "n_shingles", "sketch"), "vid")
+    every = rows.withColumn("x", F.pmod("h", "all_blocks")).withColumn("y", F.explode(upto("rest_blocks"))).withColumn("role", F.lit(1))
+    rest = (rows.where("not is_lead").withColumn("y", F.pmod("h", "rest_blocks")).withColumn("x", F.explode(upto("all_blocks")))
+            .withColumn("role", F.lit(0)))
+    sets = stage(_sets(rows.select("vid").distinct(), classes, docs, size), "sets")
+    meet = (every.select(*names).union(rest.select(*names)).join(classes.select("vid", "sketch"), "vid").join(sets, "vid")
             .repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "role")
-            .select("bucket", "x", "y", "role", "vid", "label", "n_shingles", "sketch"))
-
-    def group(rest: list[tuple], vid, label, n, made) -> list[tuple[int, int]]:
-        own = [np.concatenate(x) for x in zip(*rest)]
-        out = []
-        for i in range(len(own[0])):
-            other = np.flatnonzero(label != own[1][i])
-            greater, less = (made[other] > own[3][i]).sum(1), (made[other] < own[3][i]).sum(1)
-            found = likely_counts(less, greater, M, np.full(len(other), own[2][i]), n[other]) if len(other) else np.zeros(0)
-            good = other[found >= floor]
-            found = found[found >= floor]
-            order = np.lexsort((-found, label[good]))
-            good = good[order]
-            rank = np.arange(len(good)) - np.searchsorted(label[good], label[good])
-            out += [(int(own[0][i]), int(v)) for v in vid[good[rank < TOP]]]
-        return out
+            .select(*names, "sketch", "shingles"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rest = None, []
+        key, meeting = None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [np.asarray(batch.column(i)) for i in range(7)]
-            made = _registers_of(batch.column(7))
+            cols = [np.asarray(batch.column(i)) for i in range(6)]
+            made = _registers_of(batch.column(6))
+            data, offsets = flat(batch.column(7))
+            values = np.frombuffer(data.tobytes(), np.uint64)
+            sets = np.split(values, offsets[1:-1] // 8)
             cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0)) + 1
             pairs = []
             for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
                 now = tuple(int(c[a]) for c in cols[:3])
                 if now != key:
-                    key, rest = now, []
-                part = (cols[4][a:b], cols[5][a:b], cols[6][a:b].astype(float), made[a:b])
+                    key, meeting = now, _Meeting(floor, percent)
                 if cols[3][a] == 0:
-                    rest.append(tuple(x.copy() for x in part))
-                elif rest:
-                    pairs += group(rest, *part)
-            one, two = zip(*pairs) if pairs else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two).astype(np.int64)),
-                                              pa.array(np.maximum(one, two).astype(np.int64))], names=["a", "b"])
+                    meeting.rest += [(int(cols[4][i]), int(cols[5][i]), made[i].copy(), sets[i].copy()) for i in range(a, b)]
+                elif meeting.rest:
+                    pairs += meeting.links(cols[4][a:b], cols[5][a:b], made[a:b], sets[a:b])
+            one, two = np.array(pairs, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two)], names=["a", "b"])
 
     return meet.mapInArrow(run, "a bigint, b bigint").distinct()
 
@@ -275,15 +324,9 @@ def grouped(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     pairs = shared.where("head <> vid").select(F.col("head").alias("a"), F.col("vid").alias("b")).distinct()
     links = stage(confirmed(estimated(pairs, classes, floor), classes, docs, size, percent), "confirmed")
     labels = components(links)
-    while True:
-        more = stage(_across(shared, classes, labels, floor), "across")
-        if more.isEmpty():
-            break
-        found = stage(confirmed(more, classes, docs, size, percent), "confirmed")
-        if found.isEmpty():
-            break
-        links = links.union(found)
-        labels = components(links)
+    more = stage(_across(shared, classes, labels, docs, size, percent), "across")
+    if not more.isEmpty():
+        labels = components(links.union(more))
     placed = (classes.select("vid", "rep").join(labels.withColumnRenamed("id", "vid"), "vid", "left")
               .select("vid", "rep", F.coalesce("label", "vid").alias("label")))
     lowest = placed.groupBy("label").agg(F.min("rep").alias("component_id"))
