@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vistrata.llm import agenda, bootstrap_pii, hmm, learned_partitions, line_windows, packing, repetition, setsketch, url_filter
+from vistrata.llm import agenda, bootstrap_pii, hmm, learned_partitions, line_windows, packing, repetition, setsketch, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -87,3 +87,11 @@ def _(read):
 def _(read):
     """The 20 nearest rows of each query, a row whose vec_id 20 divides."""
     return learned_partitions.self_search(read("embeddings"), every=20, k=20)
+
+
+@query("op1_edited_token_counts")
+def _(read):
+    """Token counts of every document before and after its revision, from its segment tree."""
+    path = vocabulary("byte_bpe_50k.json")
+    made = token_counts.revise(token_counts.grow(token_counts.house_edits(read("documents")), path), path)
+    return made.select("doc_id", "n_tokens_before", "n_tokens", "n_edits", "n_encoded")
