@@ -55,7 +55,7 @@ def _(read):
 @query("op7_setsketch_dedup")
 def _(read):
     """Component of every document at four words and 80 percent."""
-    return setsketch.grouped(read("documents"), size=4, percent=80).drop("vid")
+    return setsketch.grouped(read("documents"), size=4, percent=80)
 
 
 @query("op8_piece_agenda")

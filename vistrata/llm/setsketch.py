@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vistrata.llm.arrays import Block, blocks, flat, grams, mix
@@ -89,7 +89,7 @@ def set_keys(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, size: int = 5) -> DataFrame:
-    """doc_id, n_shingles, set_key (16 bytes, null for an empty set), vid (its first half) and sketch."""
+    """doc_id, t (text hash), n_shingles, set_key (16 bytes, null for an empty set), vid (its first half) and sketch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat(batch.column(1))
@@ -105,13 +105,14 @@ def sketch(docs: DataFrame, size: int = 5) -> DataFrame:
                 fixed = lambda x, n: pa.FixedSizeBinaryArray.from_buffers(pa.binary(n), b - a, [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())  # noqa: B023, E731
                 hide = lambda x: pc.if_else(none, pa.nulls(b - a, x.type), x)  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(count.astype(np.int64)), hide(fixed(keys, 16)),
+                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(count.astype(np.int64)), hide(fixed(keys, 16)),
                      hide(pa.array(keys[:, 0].view(np.int64))), hide(fixed(made, 2 * M))],
-                    names=["doc_id", "n_shingles", "set_key", "vid", "sketch"])
+                    names=["doc_id", "t", "n_shingles", "set_key", "vid", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_shingles bigint, set_key binary, vid bigint, sketch binary")
+    t = F.coalesce(F.xxhash64("text"), F.lit(0).cast("bigint")).alias("t")
+    return docs.select("doc_id", "text", t).mapInArrow(
+        run, f"doc_id {kind}, t bigint, n_shingles bigint, set_key binary, vid bigint, sketch binary")
 
 
 def likely(one: np.ndarray, two: np.ndarray, n_one: np.ndarray, n_two: np.ndarray) -> np.ndarray:
@@ -314,8 +315,8 @@ def _across(shared: DataFrame, classes: DataFrame, labels: DataFrame, docs: Data
     return meet.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def grouped(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, vid (class; null for an empty set), component_id, kept: one row per input row."""
+def _placed(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Staged rows (doc_id, t, n_shingles, vid) and the label of each class (vid, label)."""
     floor = percent / 100 - MARGIN
     rows = stage(sketch(docs, size), "sketches")
     classes = stage(rows.where("vid is not null").groupBy("vid").agg(
@@ -327,17 +328,39 @@ def grouped(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     more = stage(_across(shared, classes, labels, docs, size, percent), "across")
     if not more.isEmpty():
         labels = components(links.union(more))
-    placed = (classes.select("vid", "rep").join(labels.withColumnRenamed("id", "vid"), "vid", "left")
-              .select("vid", "rep", F.coalesce("label", "vid").alias("label")))
-    lowest = placed.groupBy("label").agg(F.min("rep").alias("component_id"))
-    placed = placed.join(lowest, "label").select("vid", "component_id")
-    known = rows.where("vid is not null").select("doc_id", "n_shingles", "vid").join(placed, "vid")
-    empty = rows.where("vid is null").select("doc_id", "n_shingles", "vid", F.col("doc_id").alias("component_id"))
-    return known.select("doc_id", "n_shingles", "vid", "component_id").union(empty).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    every = classes.select("vid").join(labels.withColumnRenamed("id", "vid"), "vid", "left")
+    return rows.drop("sketch", "set_key"), every.select("vid", F.coalesce("label", "vid").alias("label"))
+
+
+def grouped(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per input row."""
+    rows, labels = _placed(docs, size, percent)
+    full = rows.where("vid is not null")
+    lowest = full.groupBy("vid").agg(F.min("doc_id").alias("low")).join(labels, "vid")
+    ids = lowest.groupBy("label").agg(F.min("low").alias("component_id"))
+    known = full.join(lowest.join(ids, "label").select("vid", "component_id"), "vid")
+    empty = rows.where("vid is null").withColumn("component_id", F.col("doc_id"))
+    return known.unionByName(empty).select(
+        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def without_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows with the smallest doc_id of their component, with all their columns."""
-    drop = grouped(docs, size, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(drop, docs["doc_id"].eqNullSafe(drop["__gone"]), "left_anti")
+    """One row of each component, that of the smallest doc_id, and all rows with empty sets; columns as they are."""
+    rows, labels = _placed(docs, size, percent)
+    first = F.min(F.struct("doc_id", "t")).alias("first")
+    heads = (rows.where("vid is not null").groupBy("vid").agg(first).join(labels, "vid").groupBy("label")
+             .agg(F.min("first").alias("first")).select("first.*"))
+    empty = rows.where("vid is null").select("doc_id", "t").distinct()
+    keep = heads.union(empty).select(F.col("doc_id").alias("__doc"), F.col("t").alias("__t"))
+    mark = F.coalesce(F.xxhash64("text"), F.lit(0).cast("bigint"))
+    same = lambda other: docs["doc_id"].eqNullSafe(other["__doc"]) & (mark == other["__t"])
+    kept = docs.join(keep, same(keep), "left_semi")
+    # Rows repeated with one doc_id and text are rare and cost a pass of their own only where there are any.
+    twice = (rows.where("vid is not null").groupBy("doc_id", "t").count().where("count > 1")
+             .select(F.col("doc_id").alias("__doc"), F.col("t").alias("__t")))
+    twice = stage(twice, "repeated")
+    if twice.isEmpty():
+        return kept
+    order = Window.partitionBy("doc_id", mark).orderBy(F.lit(0))
+    one = kept.join(twice, same(twice), "left_semi").withColumn("__row", F.row_number().over(order)).where("__row = 1").drop("__row")
+    return kept.join(twice, same(twice), "left_anti").unionByName(one)
