@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vistrata.llm import repetition, setsketch
+from vistrata.llm import bootstrap_pii, line_windows, packing, repetition, setsketch
+from vistrata.llm.catalog import vocabulary
 from vistrata.session import stage
 
 
@@ -17,13 +18,29 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return repetition.keep(docs)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without the lines of repeated windows; rows that lost every line go."""
+    return line_windows.without_emptied(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates, at five words and 80 percent."""
     return setsketch.without_copies(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup)]
-# Tokens, sketches and packing have no SQL form; tests hold the stages against brute force.
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows with personal data replaced by its kind."""
+    return bootstrap_pii.masked(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all rows with their place in sequences of 2048 tokens."""
+    return packing.packed(docs, vocabulary("byte_bpe_50k.json"))
+
+
+STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup),
+          ("personal_data", personal_data), ("best_fit_packing", best_fit_packing)]
+# Sketches, tokens and packing have no SQL form; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
