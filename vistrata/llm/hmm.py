@@ -6,7 +6,7 @@ classes by hash, within which shares follow the corpus counts. So the states' ta
 the vocabulary, while every count comes from all training texts.
 
 1. Counts of all training tokens, summed per task, then by Spark. The vocabulary stays a distributed table; only its
-   LOOKED_UP most frequent entries (a bound of 2 MB) and sums by bucket reach the driver.
+   most frequent entries (at most LOOKED_UP, 2 MB) and sums by bucket reach the driver.
 2. One pass turns texts into class sequences (two bytes a token) and leaves the rarer tokens as hashes for a join.
 3. Baum-Welch: each task runs scaled forward-backward over windows of WINDOW tokens and sums expected counts; the sums
    are added up over a tree of tasks, and the driver reads at most FAN of them, each of a fixed size.
@@ -81,7 +81,12 @@ class Tables:
     def __init__(self, vocab: DataFrame):
         n, v = vocab.agg(F.sum("c"), F.count("*")).first()
         self.n, self.v = int(n or 0), int(v)
-        top = vocab.orderBy(F.desc("c"), "h").limit(LOOKED_UP).toPandas()
+        # Counts by size class show from which class on tokens fit the table; no task sends a list of its own.
+        size = F.floor(F.log2("c") * 32)
+        sizes = sorted(vocab.groupBy(size.alias("size")).count().collect(), reverse=True)
+        fits = np.cumsum([r["count"] for r in sizes]) <= LOOKED_UP
+        least = min((r["size"] for r, f in zip(sizes, fits) if f), default=1 << 20)
+        top = vocab.where(size >= least).toPandas().sort_values(["c", "h"], ascending=[False, True])
         h, c = top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64)
         rank = np.arange(len(h))
         bucket = OWN + (h % BUCKETS)
@@ -121,7 +126,7 @@ def encode(texts: DataFrame, tables: Tables) -> DataFrame:
                 shared = (kind >= OWN) & (kind < OWN + BUCKETS)
                 log = np.zeros(len(h))
                 log[known] = logs[at[known]]
-                sums = lambda w, where: np.bincount(rows[where], weights=w[where], minlength=n)  # noqa: B023, E731
+                sums = lambda w, where: np.bincount(rows[where], weights=w[where], minlength=n).astype(float)  # noqa: B023, E731
                 norm = np.zeros(len(h))
                 norm[shared] = tables.norm[kind[shared] - OWN]
                 rare = np.flatnonzero(~known & (h != END))
