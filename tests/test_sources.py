@@ -114,3 +114,33 @@ def test_documents_are_appended(spark, tmp_path):
 def test_collection_needs_a_name(spark):
     with pytest.raises(ValueError):
         load.load_table(spark, "mongodb://host")
+
+
+def test_quoted_line_breaks_are_found(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,note\n1,"line one\nline ""two"""\n2,plain\n')
+    rows = load.load_table(spark, str(tmp_path / "a.csv")).orderBy("id").collect()
+    assert [tuple(r) for r in rows] == [(1, 'line one\nline "two"'), (2, "plain")]
+
+
+def test_codes_and_long_ids_keep_their_text(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("code,id,x\n1d,1234567890123456789,0x1p3\n2f,1234567890123456788,1\n3D,1234567890123456787,2\n")
+    df = load.load_table(spark, str(tmp_path / "a.csv"))
+    assert dict(df.dtypes) == {"code": "string", "id": "bigint", "x": "string"}
+    assert df.select("id").distinct().count() == 3
+
+
+def test_workbook_names_and_old_format(spark, tmp_path):
+    import pandas as pd
+
+    from vistrata.catalog.files import workbook
+    (tmp_path / "R.XLSX").write_bytes(workbook(pd.DataFrame({"a": [1.5], "b": ["x"]})))
+    (tmp_path / "s.xlsx").write_bytes(workbook(pd.DataFrame({"b": ["y"], "a": [2.5]})))
+    assert load.load_table(spark, str(tmp_path / "R.XLSX")).first().asDict() == {"a": 1.5, "b": "x"}
+    assert sorted(tuple(r) for r in load.read_excel(spark, str(tmp_path)).select("a", "b").collect()) == [(1.5, "x"), (2.5, "y")]
+    with pytest.raises(ValueError, match="xlsx"):
+        load.load_table(spark, str(tmp_path / "t.xls"))
+
+
+def test_credentials_are_decoded():
+    _, properties = load.jdbc_url("postgres://us%40er:p%40s%3As@host:5432/db")
+    assert (properties["user"], properties["password"]) == ("us@er", "p@s:s")

@@ -41,6 +41,28 @@ def _(spark, table):
     return load.load_table(spark, path)
 
 
+@query("csv_scan_multiline", "SELECT c_custkey, 'Line one' || chr(10) || '\"' || c_name || '\", two' AS note, c_acctbal FROM customer")
+def _(spark, table):
+    """Line breaks and quotes inside quoted cells."""
+    note = F.concat(F.lit('Line one\n"'), "c_name", F.lit('", two'))
+    path = staging_path(spark, "multiline") + ".csv"
+    table("customer").select("c_custkey", note.alias("note"), "c_acctbal").write.csv(path, header=True, escape='"')
+    return load.load_table(spark, path)
+
+
+@query("csv_scan_codes", """SELECT o_orderkey, (o_orderkey % 9) || substr('dfDF', (o_orderkey % 4)::INT + 1, 1) AS code,
+ 9000000000000000000 + o_orderkey AS long_id, ('1e' || o_orderkey % 3)::DOUBLE AS power FROM orders""")
+def _(spark, table):
+    """Codes that end like typed numbers stay text; ids of 19 digits keep every digit."""
+    key = F.col("o_orderkey")
+    code = F.concat((key % 9).cast("string"), F.substring(F.lit("dfDF"), (key % 4 + 1).cast("int"), F.lit(1)))
+    long_id = F.lit(9000000000000000000).cast("bigint") + key
+    path = staging_path(spark, "codes") + ".csv"
+    sinks.write_rows(table("orders").select("o_orderkey", code.alias("code"), long_id.alias("long_id"),
+                                            F.concat(F.lit("1e"), (key % 3).cast("string")).alias("power")), path)
+    return load.load_table(spark, path)
+
+
 def workbook(rows: pd.DataFrame) -> bytes:
     """A minimal workbook: shared, inline, number, boolean and date cells."""
     names = list(rows.columns)
@@ -81,6 +103,18 @@ def _(spark, table):
     return load.read_workbooks(rows.groupBy("g").applyInPandas(pack, "path string, content binary"))
 
 
+@query("excel_scan_mixed_headers", """SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 2 = 1 THEN s_acctbal END AS s_acctbal FROM supplier""")
+def _(spark, table):
+    """Workbooks whose columns come in another order, or lack one."""
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        g = part["g"].iloc[0]
+        names = ["s_suppkey", "s_name", "s_acctbal"] if g else ["s_name", "s_suppkey"]
+        return pd.DataFrame({"path": [f"{g}.xlsx"], "content": [workbook(part[names])]})
+
+    rows = table("supplier").select((F.col("s_suppkey") % 2).alias("g"), "s_suppkey", "s_name", "s_acctbal")
+    return load.read_workbooks(rows.groupBy("g").applyInPandas(pack, "path string, content binary")).select("s_suppkey", "s_name", "s_acctbal")
+
+
 @query("document_scan", NESTED.format("(props::JSON->>'k')::BIGINT"))
 def _(spark, table):
     """Nested documents written in two batches, read, flattened, without their id."""

@@ -75,9 +75,14 @@ def clip(value: Column, lower: float, upper: float) -> Column:
     return F.when(value.isNotNull(), F.greatest(F.lit(lower), F.least(F.lit(upper), value.cast("double"))))
 
 
+# What counts as a number in text; the cast alone would also take type suffixes such as 1d or 2f.
+NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def to_number(value: Column) -> Column:
     """Double, or NULL where the value is not a finite number."""
-    return finite(F.trim(value.cast("string")).try_cast("double"))
+    text = F.trim(value.cast("string"))
+    return finite(F.when(text.rlike(NUMBER), text.try_cast("double")))
 
 
 def to_time(value: Column, data_type: T.DataType) -> Column:

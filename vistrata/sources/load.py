@@ -8,19 +8,21 @@ import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
 from datetime import datetime, timedelta
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vistrata.functions.columns import col, finite_frame, to_number
+from vistrata.functions.columns import NUMBER, col, finite_frame, to_number
 from vistrata.functions.names import drop_document_id, flatten
 from vistrata.session import stage
 
 # Words read as missing in text files, and number words.
 MISSING_WORDS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
                  "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+INFINITE = r"(?i)^[+-]?(inf|infinity|nan)$"
 BOOLEAN_WORDS = ["true", "false", "TRUE", "FALSE", "True", "False"]
 
 # Source kind by suffix, then by scheme.
@@ -69,9 +71,9 @@ def jdbc_url(uri: str) -> tuple[str, dict[str, str]]:
     properties = {"driver": driver}
     if at:
         user, _, password = credentials.partition(":")
-        properties["user"] = user
+        properties["user"] = unquote(user)
         if password:
-            properties["password"] = password
+            properties["password"] = unquote(password)
     if protocol == "sqlite":
         return f"jdbc:sqlite:{rest.removeprefix('/')}", properties
     if protocol == "oracle:thin":
@@ -99,7 +101,7 @@ def read_sql_table(spark: SparkSession, uri: str, table: str | None = None,
     if table is None:
         found = list_tables(spark, uri).limit(1).collect()
         if not found:
-            raise ValueError("no tables found in the database")
+            raise ValueError("the database holds no table")
         table = found[0][0]
     if partition_column is None:
         return spark.read.jdbc(url, table, properties=properties)
@@ -126,8 +128,8 @@ def infer_text_columns(df: DataFrame) -> DataFrame:
     for i, c in enumerate(texts):
         text = F.trim(col(c))
         checks += [F.count(col(c)).alias(f"n{i}"),
-                   F.count(text.try_cast("double")).alias(f"d{i}"),
-                   F.count_if(text.rlike(r"^[+-]?[0-9]{1,18}$")).alias(f"w{i}"),
+                   F.count_if(text.rlike(NUMBER) | text.rlike(INFINITE)).alias(f"d{i}"),
+                   F.count(F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("bigint"))).alias(f"w{i}"),
                    F.count_if(text.isin(BOOLEAN_WORDS)).alias(f"b{i}")]
     seen = clean.agg(*checks).first()
     out = {}
@@ -144,11 +146,15 @@ def infer_text_columns(df: DataFrame) -> DataFrame:
     return clean.withColumns(out) if out else clean
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     """CSV with a header row, typed by `infer_text_columns`.
 
-    `multi_line` allows line breaks inside quotes, at the price of one task per file.
+    Line breaks inside quotes need one task per file. Where the caller does not say, one scan decides: a record
+    over several lines has a line with an odd number of quotes.
     """
+    if multi_line is None:
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        multi_line = not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
     return infer_text_columns(spark.read.csv(path, header=True, escape='"', multiLine=multi_line))
 
 
@@ -183,6 +189,9 @@ def _sheet_rows(content: bytes, sheet: str | None) -> Iterator[tuple[int, list[s
         dated = [int(x.get("numFmtId", 0)) in DATE_FORMATS | custom for x in (formats if formats is not None else [])]
     workbook = ET.fromstring(book.read("xl/workbook.xml"))
     sheets = [(s.get("name"), s.get(f"{_REL}id")) for s in workbook.iter(f"{_MAIN}sheet")]
+    settings = workbook.find(f"{_MAIN}workbookPr")
+    old_mac = settings is not None and settings.get("date1904", "0") in ("1", "true")
+    epoch = datetime(1904, 1, 1) if old_mac else datetime(1899, 12, 30)
     wanted = sheets[0][1] if sheet is None else dict(sheets)[sheet]
     links = {r.get("Id"): r.get("Target") for r in ET.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
     target = links[wanted].lstrip("/")
@@ -207,7 +216,7 @@ def _sheet_rows(content: bytes, sheet: str | None) -> Iterator[tuple[int, list[s
                 elif kind == "b" and value is not None:
                     value = "true" if value == "1" else "false"
                 elif kind == "n" and value and dated and dated[int(c.get("s", 0))]:
-                    moment = datetime(1899, 12, 30) + timedelta(days=float(value))
+                    moment = epoch + timedelta(days=float(value))
                     value = (moment + timedelta(microseconds=500)).replace(microsecond=0).isoformat()
                 cells[-1] = value
             yield number, cells
@@ -216,14 +225,17 @@ def _sheet_rows(content: bytes, sheet: str | None) -> Iterator[tuple[int, list[s
 
 def read_excel(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
     """Sheet of one workbook, or of every workbook in a folder. Only `.xlsx` is read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
+    if path.strip().lower().endswith(".xls"):
+        raise ValueError("workbooks in the older .xls format are not read; save them as .xlsx")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[xX][lL][sS][xX]").load(path)
     return read_workbooks(files.select("path", "content"), sheet)
 
 
 def read_workbooks(files: DataFrame, sheet: str | None = None) -> DataFrame:
-    """Rows of (path, content) workbooks with the same header; one task reads one workbook at a time.
+    """Rows of (path, content) workbooks; one task reads one workbook at a time.
 
-    The first row of a sheet names the columns; the first sheet is read if none is named.
+    The first row of a sheet names its columns, and columns of several workbooks meet by name; one that a workbook
+    lacks is missing there. The first sheet is read if none is named.
     """
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -239,27 +251,39 @@ def read_workbooks(files: DataFrame, sheet: str | None = None) -> DataFrame:
 
     # Parsed once: the header, the types and every later query read the staged cells.
     cells = stage(files.repartition("path").mapInPandas(rows, SHEET_SCHEMA), "sheets")
-    head = cells.where("row = 1").orderBy("path").first()
-    if head is None:
+    named = F.transform("cells", lambda n, i: F.coalesce(n, F.concat(F.lit("Unnamed: "), i.cast("string"))))
+    heads = cells.where("row = 1").select("path", named.alias("names"))
+    # One row per distinct header.
+    layouts = heads.groupBy("names").agg(F.min("path").alias("path")).orderBy("path").collect()
+    if not layouts:
         raise ValueError("the workbooks have no rows")
-    names = [n if n is not None else f"Unnamed: {i}" for i, n in enumerate(head["cells"])]
-    body = cells.where("row > 1").select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    names = list(dict.fromkeys(n for layout in layouts for n in layout["names"]))
+    if len(layouts) == 1:
+        body = cells.where("row > 1").select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    else:
+        body = cells.where("row > 1").join(heads, "path").select(*[
+            F.when(F.array_contains("names", n), F.get("cells", (F.array_position("names", n) - 1).cast("int"))).alias(n) for n in names])
     return infer_text_columns(body)
 
 
 # --- entry point -----------------------------------------------------------------------------------------
 
-def load_table(spark: SparkSession, uri: str, table: str | None = None) -> DataFrame:
-    """One table from any supported source, with NaN and infinities missing and decimals as doubles."""
+def load_table(spark: SparkSession, uri: str, table: str | None = None, multi_line: bool | None = None,
+               partition_column: str | None = None, partitions: int | None = None) -> DataFrame:
+    """One table from any supported source, with NaN and infinities missing and decimals as doubles.
+
+    `multi_line` is for CSV (see `read_csv`); `partition_column` and `partitions` let a database table be read by
+    parallel range queries.
+    """
     kind = detect_source(uri)
     if kind == "csv":
-        df = read_csv(spark, uri.strip())
+        df = read_csv(spark, uri.strip(), multi_line)
     elif kind == "excel":
         df = read_excel(spark, uri.strip(), table)
     elif kind == "mongodb":
         df = read_collection(spark, uri.strip(), table)
     else:
-        df = read_sql_table(spark, uri, table)
+        df = read_sql_table(spark, uri, table, partition_column, partitions)
     return finite_frame(df)
 
 
