@@ -1,6 +1,7 @@
 """Properties of fitted models and closed-form values."""
 
 import math
+import random
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -56,13 +57,19 @@ def test_large_sample_gives_each_tree_its_own_rows(spark):
     assert made.nodes.where("node > 126").count() == 0
 
 
-def test_sample_survives_a_group_of_copies(spark):
-    """A third of all rows are copies of one row; they count once and never flood the sample."""
-    df = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("v"))
-    sample = sampling.hash_sample(df, 1000, ["v"])
-    assert sample.count() == 1000
-    assert sample.where("v = -1").count() <= 1
-    assert sampling.hash_sample(df, 40_000, ["v"]).count() == 30_000
+@pytest.mark.parametrize("k", [2999, 3000, 5999, 6000, 6001, 12_000])
+def test_sample_weighs_copies_as_the_data(spark, k):
+    """Half of all rows are copies of one row; they are half of a sample of any size, below and above the row count."""
+    df = spark.range(6000).select(F.when(F.col("id") % 2 == 0, F.lit(-1)).otherwise(F.col("id")).alias("v"))
+
+    def draw(n):
+        return [(0, p) for p in random.Random(3).sample(range(n), min(n, k))]
+
+    sample, n = sampling.drawn_rows(df, ["v"], draw)
+    assert n == 6000 and sample.count() == min(k, 6000)
+    copies = sample.where("v = -1").count()
+    assert abs(copies - min(k, 6000) / 2) < 120
+    assert sample.where("v <> -1").distinct().count() == min(k, 6000) - copies
 
 
 def wave(days, slope=2.0):

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from vistrata.catalog.aggregates import rounded
 from vistrata.catalog.base import query
 from vistrata.catalog.columns import messy
-from vistrata.operators import forecast, isolation, series
+from vistrata.operators import forecast, isolation, sampling, series
 from vistrata.plans import charts
 from vistrata.plans.dashboard import dashboard
 
@@ -49,6 +51,22 @@ def _(spark, table):
     return made["normal"].unionByName(made["anomaly"])
 
 
+@query("forest_sample_weights", """SELECT k, true AS weighs FROM (VALUES (25599), (25600), (25601)) AS t(k)
+WHERE (SELECT count(*) FROM lineitem) > 0""")
+def _(spark, table):
+    """Share of a third of equal rows in samples on both sides of a size: within three points of a third."""
+    size = 25_600
+    rows = table("lineitem").crossJoin(F.broadcast(spark.range(5).withColumnRenamed("id", "copy")))
+    v = F.xxhash64("l_orderkey", "l_linenumber", "copy")
+    rows = rows.select(F.when(F.pmod(v, F.lit(3)) == 0, F.lit(0)).otherwise(v).alias("v"))
+    parts = []
+    for k in (size - 1, size, size + 1):
+        sample, n = sampling.drawn_rows(rows, ["v"], lambda n, k=k: [(0, p) for p in random.Random(k).sample(range(n), min(n, k))])
+        share = F.avg((F.col("v") == 0).cast("int"))
+        parts.append(sample.agg((F.abs(share - 1 / 3) < 0.03).alias("weighs")).select(F.lit(k).alias("k"), "weighs"))
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 # The rule itself on given labels: the dearest items stand for flagged rows.
 @query("anomaly_rows", "SELECT l_orderkey, l_linenumber, -1 AS anomaly FROM lineitem WHERE l_extendedprice > 100000")
 def _(spark, table):

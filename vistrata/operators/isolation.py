@@ -1,6 +1,6 @@
 """Seeded isolation forest (Liu, Ting & Zhou 2008).
 
-Trees grow in parallel, one Spark group per tree, from a bounded content-hashed sample. The node table is
+Trees grow in parallel, one Spark group per tree, from bounded samples by position. The node table is
 small (100 trees of at most 511 nodes) and is broadcast; scoring ships only the numeric columns to Python
 in Arrow batches and touches every row once.
 """
@@ -8,6 +8,7 @@ in Arrow batches and touches every row once.
 from __future__ import annotations
 
 import math
+import random
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,13 +16,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from vistrata.functions.columns import col, numeric_columns
 from vistrata.operators.cleaning import MODEL_PREFIX, impute_for_model
 from vistrata.operators.profile import numeric_profile
 from vistrata.operators.quantiles import percentile_dict
-from vistrata.operators.sampling import hash_sample
+from vistrata.operators.sampling import drawn_rows
 from vistrata.session import stage
 
 # Forest size, rows per tree and share of rows flagged.
@@ -87,19 +87,15 @@ def grow_tree(x: np.ndarray, rng: np.random.Generator) -> list[tuple[int, int, f
 
 def fit(df: DataFrame, features: list[str], trees: int = TREES, rows_per_tree: int = ROWS_PER_TREE,
         seed: int = 0) -> Forest:
-    """Grow the trees. With enough rows every tree has its own; otherwise trees draw from the same rows."""
-    sample = stage(hash_sample(df, trees * rows_per_tree, features, seed), "forest")
-    n = sample.count()
+    """Grow the trees, each from `rows_per_tree` rows drawn without repetition out of all rows; trees may share rows."""
+    def draw(n: int) -> list[tuple[int, int]]:
+        return [(t, p) for t in range(trees)
+                for p in random.Random(seed * 1_000_003 + t).sample(range(n), min(n, rows_per_tree))]
+
+    sample, n = drawn_rows(df, features, draw, seed)
     if n == 0:
         raise ValueError("no rows to grow trees from")
-    if n >= trees * rows_per_tree:
-        # The sample holds exactly trees * rows_per_tree rows here.
-        placed = sample.withColumn("tree", (F.row_number().over(Window.orderBy("_hash")) % trees).cast("int"))
-    else:
-        own = Window.partitionBy("tree").orderBy(F.xxhash64("tree", "_hash"), "_hash")
-        placed = (sample.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-                  .withColumn("r", F.row_number().over(own))
-                  .where(F.col("r") <= rows_per_tree).drop("r"))
+    placed = stage(sample.withColumnRenamed("_group", "tree"), "forest")
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
@@ -188,8 +184,8 @@ def anomaly_sample(detection: Detection, n: int = 10) -> DataFrame:
     return anomaly_rows(detection.scored).orderBy(*order).limit(n)
 
 
-def anomaly_overview(anomalies: DataFrame, columns: int = 8) -> DataFrame:
-    """column, mean, min, max, std of the first numeric columns of the flagged rows, 4 places."""
+def anomaly_overview(anomalies: DataFrame, columns: int | None = None) -> DataFrame:
+    """column, mean, min, max, std of the numeric columns of the flagged rows, 4 places; the first few on demand."""
     profile = numeric_profile(anomalies, numeric_columns(anomalies)[:columns])
     return profile.select(
         "position", "column", *[F.round(c, 4).alias(c) for c in ("mean", "min", "max")],

@@ -1,17 +1,16 @@
-"""Bounded row samples chosen by row content, so they do not change with the partitioning."""
+"""Bounded row samples by position, so that they do not change with the partitioning."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vistrata.functions.columns import col
-from vistrata.session import stage
-
-
-# Share of distinct model rows from which on they stand for whole rows.
-ROW_LIKE = 0.9
+from vistrata.operators.ranks import range_staged, with_running_total
 
 
 def row_hash(df: DataFrame, columns: list[str], seed: int) -> Column:
@@ -20,29 +19,26 @@ def row_hash(df: DataFrame, columns: list[str], seed: int) -> Column:
     return F.xxhash64(F.lit(seed), *[F.to_json(col(c)) if isinstance(kinds[c], T.MapType) else col(c) for c in columns])
 
 
-def hash_sample(df: DataFrame, k: int, columns: list[str], seed: int = 0) -> DataFrame:
-    """At most k rows of `columns` with their `_hash`; all rows when there are no more than k.
+def drawn_rows(df: DataFrame, columns: list[str], draw: Callable[[int], list[tuple[int, int]]], seed: int = 0) -> tuple[DataFrame, int]:
+    """The rows of `columns` at drawn positions, each with its group `_group` and `_hash`; and the number of rows.
 
-    Beyond k, copies of a row count once: they share a hash, and a group of copies holding much of the data
-    would otherwise be sampled entirely or not at all. The hash covers `columns` alone where nearly every
-    row differs in them, so wide rows are not read; else it covers the whole row. The hash filter keeps
-    about 3k rows, copies are collapsed before they are shuffled, and the k smallest hashes remain.
+    `draw(n)` gives (group, position) pairs, positions from 0 to n - 1; their number must be bounded, since they are
+    broadcast. Rows stand in the order of a seeded hash of their values and copies of a row take as many positions as
+    there are, so they weigh as in the data at every size. Copies are counted before they are shuffled.
     """
-    narrow = row_hash(df, columns, seed)
-    size = df.agg(F.count("*").alias("n"), F.approx_count_distinct(narrow).alias("d")).first()
-    rows, distinct, key = size["n"], size["d"], narrow
-    if distinct < ROW_LIKE * rows and set(columns) != set(df.columns):
-        key = row_hash(df, df.columns, seed)
-        distinct = df.agg(F.approx_count_distinct(key).alias("d")).first()["d"]
-    hashed = df.select(key.alias("_hash"), *[col(c) for c in columns])
-    if rows <= k:
-        return hashed
-    share = min(1.0, 3.0 * k / max(distinct, 1))
-    while True:
-        kept = hashed
-        if share < 1.0:
-            kept = hashed.where(F.col("_hash") < F.lit(int(-(2 ** 63) + share * 2 ** 64)))
-        picked = stage(kept.dropDuplicates(["_hash"]).orderBy("_hash").limit(k), "sample")
-        if share >= 1.0 or picked.count() >= k:
-            return picked
-        share = min(1.0, share * 8)
+    counts = df.groupBy(*[col(c) for c in columns]).agg(F.count("*").alias("_copies"))
+    parts = range_staged(counts.withColumn("_hash", row_hash(counts, columns, seed)), ["_hash"], "rows")
+    n = parts.agg(F.sum("_copies")).first()[0] or 0
+    drawn = draw(n)
+    if not drawn:
+        return parts.select(F.lit(0).alias("_group"), "_hash", *[col(c) for c in columns]).limit(0), n
+    placed = with_running_total(parts, ["_hash", *columns], F.col("_copies"), "_before")
+    # Positions meet rows in slots of n / k positions; a row with many copies spans several, at most k more in all.
+    width = max(1, n // len(drawn))
+    wanted = df.sparkSession.createDataFrame(
+        pd.DataFrame([(g, p // width, p) for g, p in drawn], columns=["_group", "_slot", "_position"]), "_group int, _slot bigint, _position bigint")
+    last = F.floor((F.col("_before") + F.col("_copies") - 1) / width)
+    slots = placed.withColumn("_slot", F.explode(F.sequence(F.floor(F.col("_before") / width), last)))
+    hit = slots.join(F.broadcast(wanted), "_slot").where(
+        (F.col("_position") >= F.col("_before")) & (F.col("_position") < F.col("_before") + F.col("_copies")))
+    return hit.select("_group", "_hash", *[col(c) for c in columns]), n

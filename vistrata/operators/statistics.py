@@ -67,13 +67,20 @@ def outliers(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return fences.select("column", "lower_fence", "upper_fence").join(found, "column")
 
 
-def normality(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """column, shapiro_stat, shapiro_p_value, is_normal_distribution on up to 5000 values per column."""
-    return normality_of(value_table(df, numeric_columns(df) if columns is None else list(columns)))
+def normality(df: DataFrame, columns: Sequence[str] | None = None, rows: int = NORMALITY_ROWS) -> DataFrame:
+    """column, shapiro_stat, shapiro_p_value, is_normal_distribution, n (values) and n_tested.
+
+    The test is defined for few values only: up to `rows` of them are drawn by seeded random rank, all if there are
+    no more.
+    """
+    values = value_table(df, numeric_columns(df) if columns is None else list(columns))
+    sizes = values.named().groupBy("column").agg(F.sum("vc").alias("n"))
+    return (normality_of(values, rows).join(sizes, "column")
+            .withColumn("n_tested", F.least(F.col("n"), F.lit(rows)).cast("bigint")))
 
 
-def normality_of(values: ValueTable) -> DataFrame:
-    """The same from a value table; one Spark group of at most 5000 values per column."""
+def normality_of(values: ValueTable, rows: int = NORMALITY_ROWS) -> DataFrame:
+    """The test from a value table; one Spark group of at most `rows` values per column."""
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
         enough = len(pdf) >= 3
         w, p = shapiro_wilk(pdf["value"].to_numpy()) if enough else (0.0, 0.0)
@@ -81,7 +88,7 @@ def normality_of(values: ValueTable) -> DataFrame:
                             "shapiro_p_value": [round(p, 6)], "is_normal_distribution": [p > NORMALITY_LEVEL]})
         return row if enough else row.iloc[:0]
 
-    return values.sample(NORMALITY_ROWS).groupBy("column").applyInPandas(
+    return values.sample(rows).groupBy("column").applyInPandas(
         test, "column string, shapiro_stat double, shapiro_p_value double, is_normal_distribution boolean")
 
 

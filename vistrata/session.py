@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
@@ -53,12 +52,10 @@ def staging_path(spark: SparkSession, label: str) -> str:
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Materialise a frame that several later passes read.
 
-    A Parquet table keeps column pruning for those passes and outlives lost executors. Without a shared
-    folder the frame is persisted, and lost blocks are recomputed from its lineage.
+    A Parquet table keeps column pruning for those passes and outlives lost executors. On a cluster the shared
+    folder must be set: row numbers made on the way must not be computed twice.
     """
     spark = df.sparkSession
-    if staging_root(spark) is None:
-        return df.persist(StorageLevel.DISK_ONLY)
     path = staging_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
