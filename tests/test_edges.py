@@ -270,3 +270,27 @@ def test_row_index(spark):
     out = N.with_row_index(spark.createDataFrame([("b",), ("a",), ("b",)], "v string"))
     assert sorted((r["index"], r["v"]) for r in out.collect()) == [(0, "a"), (1, "b"), (2, "b")]
     assert N.with_row_index(spark.range(2).selectExpr("id", "id AS x")).columns == ["id", "x"]
+
+
+def test_questions_take_only_queries(spark):
+    spark.range(3).createOrReplaceTempView("kept")
+    assert Q.sql_query(spark, "-- note\n(SELECT count(*) AS n FROM kept)", kept=spark.range(5)).first()["n"] == 5
+    assert spark.table("kept").count() == 3
+    for statement in ("DROP VIEW kept", "CREATE TABLE x AS SELECT 1", "SET a=1", "WITH q AS (SELECT 1) INSERT INTO kept SELECT * FROM q"):
+        with pytest.raises(ValueError):
+            Q.sql_query(spark, statement)
+
+
+def test_stages_unwind_and_refuse(spark):
+    df = spark.createDataFrame([(1, ["a", "b"], None), (2, [], "x")], "id int, tags array<string>, s string")
+    assert Q.stage_query(df, [{"$unwind": "$tags"}, {"$group": {"_id": None, "all": {"$push": "$tags"}}}]).first()["all"] == ["a", "b"]
+    assert Q.stage_query(df, [{"$match": {"s": {"$in": [None]}}}]).count() == 1
+    assert Q.stage_query(df, [{"$match": {"s": {"$nin": ["x"]}}}, {"$project": {"twice": {"$multiply": ["$id", 2]}}}]).first()["twice"] == 2
+    for stages in ([{"$lookup": {}}], [{"$match": {"id": {"$near": 1}}}], [{"$group": {"_id": None, "x": {"$median": "$id"}}}]):
+        with pytest.raises(ValueError, match="unsupported"):
+            Q.stage_query(df, stages)
+
+
+def test_pie_only_for_few_slices(spark):
+    few, many = (spark.range(n).select(F.col("id").cast("string").alias("k"), F.lit(1).alias("v")) for n in (10, 11))
+    assert [Q.choose_chart("share as pie", d).kind for d in (few, many)] == ["pie", "bar"]

@@ -160,8 +160,45 @@ def _(spark, table):
     return rounded(out.select("column", "count", "mean", "skewness", "kurtosis"), 4, "mean", "skewness", "kurtosis")
 
 
-@query("question_context", """SELECT unnest(['KPIs', 'Insights', 'Dataset Profile']) AS section FROM (SELECT 1 FROM orders HAVING count(*) > 0)""")
+@query("question_context", """SELECT 'KPIs' AS section, count(*)::DOUBLE AS figure FROM orders
+UNION ALL SELECT 'Insights', length('Most orders are open.')::DOUBLE FROM (SELECT 1 FROM orders HAVING count(*) > 0)
+UNION ALL SELECT 'Dataset Profile', 6.0::DOUBLE FROM (SELECT 1 FROM orders HAVING count(*) > 0)""")
 def _(spark, table):
+    """The row count told, the given text's length, and how many columns the whole profile names."""
     df = table("orders")
     out = Q.context_lines(kpis(df), profile_text(dataset_profile(df)), insights="Most orders are open.")
-    return out.where(F.length("text").between(1, Q.CONTEXT_CHARACTERS)).select("section")
+    named = sum(F.contains("text", F.lit(c)).cast("int") for c in df.columns)
+    figure = (F.when(F.col("section") == "KPIs", F.regexp_extract("text", "ROW_COUNT=([0-9.E]+)", 1).cast("double"))
+              .when(F.col("section") == "Insights", F.length("text").cast("double")).otherwise(named.cast("double")))
+    return out.select("section", figure.alias("figure"))
+
+
+@query("frame_question_scalar", "SELECT count(*)::BIGINT AS rows, max(o_totalprice) AS dearest FROM orders")
+def _(spark, table):
+    """Scalar answers, shown as one row."""
+    orders = table("orders")
+    rows = Q.shape(Q.frame_query(orders, lambda d: d.count())).scalar
+    dearest = Q.shape(Q.frame_query(orders, lambda d: d.agg(F.max("o_totalprice")).first()[0])).scalar
+    return spark.range(1).select(F.lit(rows).cast("bigint").alias("rows"), F.lit(dearest).alias("dearest"))
+
+
+@query("stage_question_expressions", """
+SELECT l_returnflag AS "_id", round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, min(l_quantity) AS least, max(l_quantity) AS most, count(*) AS n
+FROM lineitem WHERE (l_quantity > 10 OR l_tax = 0) AND l_linestatus IS NOT NULL GROUP BY 1""")
+def _(spark, table):
+    revenue = {"$multiply": ["$l_extendedprice", {"$subtract": [1, "$l_discount"]}]}
+    out = Q.stage_query(table("lineitem"), [
+        {"$match": {"$or": [{"l_quantity": {"$gt": 10}}, {"l_tax": 0}], "l_linestatus": {"$exists": True}}},
+        {"$group": {"_id": "$l_returnflag", "revenue": {"$sum": revenue}, "least": {"$first": "$l_quantity"},
+                    "most": {"$last": "$l_quantity"}, "n": {"$count": {}}}}])
+    return out.withColumn("revenue", F.round("revenue", 2))
+
+
+@query("stage_question_missing", """SELECT 'missing' AS part, count(*) FILTER (o_orderkey % 3 = 0) AS n FROM orders
+UNION ALL SELECT 'other', count(*) FILTER (o_orderkey % 3 = 0 OR o_orderstatus <> 'F') FROM orders""")
+def _(spark, table):
+    """Missing values equal None, and `$ne` keeps them."""
+    rows = table("orders").select(F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus")).alias("s"))
+    parts = [Q.stage_query(rows, [{"$match": {"s": test}}, {"$count": "n"}]).select(F.lit(name).alias("part"), "n")
+             for name, test in (("missing", None), ("other", {"$ne": "F"}))]
+    return parts[0].unionByName(parts[1])

@@ -21,9 +21,8 @@ from vistrata.session import stage
 
 # Shown rows, points, slices and bars; words that ask for a chart.
 RESPONSE_ROWS = 200
-SERIES_ROWS, SHOWN_POINTS = 50, 20
+SHOWN_POINTS = 20
 PIE_ROWS, BAR_ROWS = 10, 20
-CONTEXT_CHARACTERS = 2000
 CHART_WORDS = re.compile(
     r"\b(plot|chart|graph|visuali[sz]|show|display|histogram|bar|pie|scatter|trend|distribution)\b", re.IGNORECASE)
 
@@ -36,40 +35,99 @@ def register(df_raw: DataFrame, df_clean: DataFrame, name: str) -> None:
     df_clean.createOrReplaceTempView(name)
 
 
+# How a query begins, after comments and brackets.
+QUERY = re.compile(r"(?is)(?:\s|\(|--[^\n]*\n|/\*.*?\*/)*(select|with|values|from|table)\b")
+WRITES = re.compile(r"(?is)\binsert\s+(into|overwrite)\b")
+
+
 def sql_query(spark: SparkSession, sql: str, **tables: DataFrame) -> DataFrame:
-    """A SELECT over registered views or over frames given by name."""
+    """One query over registered views, or over frames given by name; statements are refused before they run.
+
+    Names given here hold for this query only: a view of the same name is there again afterwards.
+    """
+    if not QUERY.match(sql) or WRITES.search(re.sub(r"'[^']*'", "", sql)):
+        raise ValueError("only queries are run, no statements")
+    views = {t.name for t in spark.catalog.listTables() if t.isTemporary}
+    before = {name: spark.table(name) for name in tables if name.lower() in views}
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
-    return spark.sql(sql)
+    try:
+        return spark.sql(sql)
+    finally:
+        for name in tables:
+            spark.catalog.dropTempView(name)
+        for name, df in before.items():
+            df.createOrReplaceTempView(name)
 
 
-def frame_query(df: DataFrame, question: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """A DataFrame function; if it fails on types, it runs again with numeric-looking text as numbers.
+def frame_query(df: DataFrame, question: Callable[[DataFrame], object]) -> DataFrame | object:
+    """A function of a DataFrame, whose answer is a frame or a scalar; if it fails on types, it runs again with
+    numeric-looking text as numbers.
 
-    The answer is staged, so type errors that only appear at run time are found and nothing runs twice.
+    A frame is staged, so type errors that only appear at run time are found and nothing runs twice.
     """
+    def ask(frame: DataFrame) -> DataFrame | object:
+        answer = question(frame)
+        return stage(answer, "answer") if isinstance(answer, DataFrame) else answer
+
     try:
-        return stage(question(df), "answer")
+        return ask(df)
     except (PySparkException, TypeError, ValueError):
-        return question(coerce_numeric_columns(df))
+        return ask(coerce_numeric_columns(df))
+
+
+def _field(path: str) -> Column:
+    parts = path.split(".")
+    return reduce(lambda c, p: c.getField(p), parts[1:], col(parts[0]))
+
+
+# Operators of expressions; each is one function of the operands.
+EXPRESSIONS: dict[str, Callable[..., Column]] = {
+    "$add": lambda *v: reduce(lambda a, b: a + b, v), "$multiply": lambda *v: reduce(lambda a, b: a * b, v),
+    "$subtract": lambda a, b: a - b, "$divide": lambda a, b: F.try_divide(a, b), "$mod": lambda a, b: F.try_mod(a, b),
+    "$abs": F.abs, "$round": lambda v, n=None: F.round(v) if n is None else F.round(v, n), "$floor": F.floor, "$ceil": F.ceil,
+    "$concat": F.concat, "$toLower": F.lower, "$toUpper": F.upper, "$ifNull": F.coalesce, "$year": F.year, "$month": F.month,
+    "$dayOfMonth": F.dayofmonth, "$size": F.size, "$cond": lambda test, yes, no: F.when(test, yes).otherwise(no),
+    "$eq": lambda a, b: a.eqNullSafe(b), "$ne": lambda a, b: ~a.eqNullSafe(b), "$gt": lambda a, b: a > b, "$gte": lambda a, b: a >= b,
+    "$lt": lambda a, b: a < b, "$lte": lambda a, b: a <= b, "$and": lambda *v: reduce(lambda a, b: a & b, v),
+    "$or": lambda *v: reduce(lambda a, b: a | b, v), "$not": lambda a: ~a,
+}
 
 
 def _operand(value) -> Column:
+    """A field (`$name`), an expression (`{"$op": operands}`) or a literal."""
     if isinstance(value, str) and value.startswith("$"):
-        parts = value[1:].split(".")
-        return reduce(lambda c, p: c.getField(p), parts[1:], col(parts[0]))
+        return _field(value[1:])
+    if isinstance(value, dict) and len(value) == 1:
+        (op, operands), = value.items()
+        if op == "$literal":
+            return F.lit(operands)
+        if op not in EXPRESSIONS:
+            raise ValueError(f"unsupported expression: {op}")
+        return EXPRESSIONS[op](*map(_operand, operands if isinstance(operands, list) else [operands]))
     return F.lit(value)
 
 
+# First and last follow the order of the fields, since rows have none: the least and the greatest value.
 ACCUMULATORS: dict[str, Callable[[Column], Column]] = {
-    "$sum": F.sum, "$avg": F.avg, "$min": F.min, "$max": F.max,
+    "$sum": F.sum, "$avg": F.avg, "$min": F.min, "$max": F.max, "$first": F.min, "$last": F.max,
+    "$push": lambda c: F.array_sort(F.collect_list(c)), "$addToSet": lambda c: F.array_sort(F.collect_set(c)),
+    "$stdDevSamp": F.stddev_samp, "$stdDevPop": F.stddev_pop,
 }
+# Missing values equal NULL and nothing else, so that $ne keeps them.
 COMPARISONS: dict[str, Callable[[Column, object], Column]] = {
-    "$eq": lambda c, v: c == v, "$ne": lambda c, v: c != v, "$gt": lambda c, v: c > v, "$gte": lambda c, v: c >= v,
-    "$lt": lambda c, v: c < v, "$lte": lambda c, v: c <= v, "$in": lambda c, v: c.isin(v),
+    "$eq": lambda c, v: c.eqNullSafe(F.lit(v)), "$ne": lambda c, v: ~c.eqNullSafe(F.lit(v)), "$gt": lambda c, v: c > v,
+    "$gte": lambda c, v: c >= v, "$lt": lambda c, v: c < v, "$lte": lambda c, v: c <= v,
+    "$in": lambda c, v: _among(c, v), "$nin": lambda c, v: ~_among(c, v),
+    "$exists": lambda c, v: c.isNotNull() if v else c.isNull(), "$regex": lambda c, v: c.rlike(v),
 }
 
 
+def _among(c: Column, values: list) -> Column:
+    known = F.coalesce(c.isin([v for v in values if v is not None]), F.lit(False))
+    return known | c.isNull() if None in values else known
+
+
 def _group(df: DataFrame, spec: dict) -> DataFrame:
     key = spec["_id"]
     measures = []
@@ -77,9 +135,11 @@ def _group(df: DataFrame, spec: dict) -> DataFrame:
         if name == "_id":
             continue
         (op, operand), = accumulator.items()
+        if op != "$count" and op not in ACCUMULATORS:
+            raise ValueError(f"unsupported accumulator: {op}")
         measure = F.count(F.lit(1)) if op == "$count" else ACCUMULATORS[op](_operand(operand))
         measures.append(measure.alias(name))
-    if isinstance(key, dict):
+    if isinstance(key, dict) and not any(k.startswith("$") for k in key):
         identity = F.struct(*[_operand(v).alias(k) for k, v in key.items()])
     else:
         identity = _operand(key)
@@ -99,36 +159,72 @@ def _project(df: DataFrame, spec: dict) -> DataFrame:
     return df.select(*kept)
 
 
-def _match(df: DataFrame, spec: dict) -> DataFrame:
+def _test(spec: dict) -> Column:
+    """The condition of a `$match`; fields and operators hold together."""
+    tests = []
     for name, test in spec.items():
-        tests = test if isinstance(test, dict) else {"$eq": test}
-        for op, value in tests.items():
-            df = df.where(COMPARISONS[op](_operand(f"${name}"), value))
-    return df
+        if name in ("$and", "$or", "$nor"):
+            parts = [_test(t) for t in test]
+            whole = reduce((lambda a, b: a & b) if name == "$and" else (lambda a, b: a | b), parts)
+            tests.append(~F.coalesce(whole, F.lit(False)) if name == "$nor" else whole)
+        elif name == "$expr":
+            tests.append(_operand(test))
+        elif name.startswith("$"):
+            raise ValueError(f"unsupported operator: {name}")
+        else:
+            for op, value in (test if isinstance(test, dict) else {"$eq": test}).items():
+                if op not in COMPARISONS:
+                    raise ValueError(f"unsupported operator: {op}")
+                tests.append(COMPARISONS[op](_field(name), value))
+    return reduce(lambda a, b: a & b, tests, F.lit(True))
+
+
+def _unwind(df: DataFrame, spec: str | dict) -> DataFrame:
+    path, keep = (spec, False) if isinstance(spec, str) else (spec["path"], spec.get("preserveNullAndEmptyArrays", False))
+    name = path.removeprefix("$")
+    return df.withColumn(name, (F.explode_outer if keep else F.explode)(col(name)))
 
 
 def stage_query(df: DataFrame, stages: Sequence[dict]) -> DataFrame:
-    """Aggregation stages `$match`, `$project`, `$group`, `$sort`, `$limit` in order; nested results get one level of columns."""
+    """Aggregation stages in order: `$match`, `$project`, `$addFields`, `$group`, `$unwind`, `$count`, `$sort`, `$limit`.
+
+    Nested results get one level of columns. `$limit` after a `$sort` takes ties in the order of all columns; without a
+    sort it takes the first rows in that order.
+    """
+    order: list[Column] = []
     for step in stages:
         (name, spec), = step.items()
         if name == "$match":
-            df = _match(df, spec)
+            df = df.where(_test(spec))
         elif name == "$project":
             df = _project(df, spec)
         elif name == "$group":
             df = _group(df, spec)
+        elif name in ("$addFields", "$set"):
+            df = df.withColumns({k: _operand(v) for k, v in spec.items()})
+        elif name == "$unwind":
+            df = _unwind(df, spec)
+        elif name == "$count":
+            df = df.agg(F.count("*").alias(spec))
         elif name == "$sort":
-            df = df.orderBy(*[_operand(f"${k}").asc() if way > 0 else _operand(f"${k}").desc()
-                              for k, way in spec.items()])
+            order = [_field(k).asc() if way > 0 else _field(k).desc() for k, way in spec.items()]
+            df = df.orderBy(*order)
         elif name == "$limit":
-            df = df.limit(spec)
+            df = head(df, spec, [*order, *all_columns(df)])
         else:
             raise ValueError(f"unsupported stage: {name}")
+        if name in ("$project", "$group", "$unwind", "$count"):
+            order = []
     return flatten(df, depth=1)
 
 
 # --- shaping an answer -----------------------------------------------------------------------------------
 
+def all_columns(df: DataFrame) -> list[Column]:
+    """Every column that has an order; structs and arrays compare, maps by their text."""
+    return [F.to_json(col(f.name)) if isinstance(f.dataType, T.MapType) else col(f.name) for f in df.schema.fields]
+
+
 @dataclass
 class Answer:
     """Either a scalar or a table; `rows` holds the shown part."""
@@ -139,14 +235,15 @@ class Answer:
 
     @property
     def rows(self) -> DataFrame | None:
-        return None if self.table is None else self.table.limit(RESPONSE_ROWS)
+        return None if self.table is None else response(self.table)
 
 
 def shape(result: DataFrame | object) -> Answer:
     """Scalars stay apart, an empty table is no table, names are plain text with `_` for nesting."""
     if not isinstance(result, DataFrame):
         return Answer(result, None, 0, [])
-    table = flatten(result, separator="_")
+    # Staged, so that the count and the rows come from one evaluation.
+    table = stage(flatten(result, separator="_"), "shaped")
     count = table.count()
     return Answer(None, table if count else None, count, table.columns if count else [])
 
@@ -160,8 +257,8 @@ def grouped_names(df: DataFrame, keys: Sequence[str], measures: dict[str, Sequen
 
 
 def response(table: DataFrame, order_by: Sequence[str | Column] = ()) -> DataFrame:
-    """The first 200 rows; an order makes them repeatable."""
-    return head(table, RESPONSE_ROWS, order_by) if order_by else table.limit(RESPONSE_ROWS)
+    """The first 200 rows, by the given order and then by all columns."""
+    return head(table, RESPONSE_ROWS, [*order_by, *all_columns(table)])
 
 
 # --- charts of an answer ---------------------------------------------------------------------------------
@@ -197,7 +294,8 @@ def choose_chart(question: str, df: DataFrame, needed: bool = False, kind: str |
 def _kind(question: str, df: DataFrame, x: str, y: str | None, numeric: list[str]) -> str:
     for word in ("histogram", "scatter", "pie", "line", "bar"):
         if re.search(rf"\b{word}\b", question):
-            return word
+            few = word != "pie" or len(df.select(col(x)).distinct().limit(PIE_ROWS + 1).collect()) <= PIE_ROWS
+            return word if few else "bar"
     kinds = {f.name: f.dataType for f in df.schema.fields}
     timed = isinstance(kinds[x], (T.DateType, T.TimestampType, T.TimestampNTZType))
     if x in numeric:
@@ -235,7 +333,7 @@ def chart_rows(df: DataFrame, chart: Chart, order_by: Sequence[str | Column] = (
 
 
 def _shown(rows: DataFrame, n: int, order_by: Sequence[str | Column]) -> DataFrame:
-    return head(rows, n, order_by) if order_by else rows.limit(n)
+    return head(rows, n, [*order_by, *all_columns(rows)])
 
 
 def chart_payload(df: DataFrame, chart: Chart, order_by: Sequence[str | Column] = ()) -> dict[str, object]:
@@ -247,18 +345,18 @@ def chart_payload(df: DataFrame, chart: Chart, order_by: Sequence[str | Column]
     x = {"_id": "category"}.get(chart.x, chart.x.replace(".", "_"))
     y = chart.y.replace(".", "_") if chart.y else None
     shown = [col(x).cast("string").alias("x")] + ([col(y).alias("y")] if y else [])
-    ordered = plain.orderBy(*order_by) if order_by else plain
     out: dict[str, object] = {
         "chart_type": chart.kind, "x_name": x, "y_name": y or "value", "total_points": plain.count(),
-        "points": ordered.limit(SHOWN_POINTS).select(*shown)}
+        "points": head(plain, SHOWN_POINTS, [*order_by, *all_columns(plain)]).select(*shown)}
     numeric = [c for c in dict.fromkeys([x, y]) if c in numeric_columns(plain)]
     if numeric:
         out["statistics"] = query_statistics(plain, numeric)
     return out
 
 
-def context_lines(kpis: DataFrame, profile_lines: DataFrame, insights: str = "", anomaly_report: str = "") -> DataFrame:
-    """section, text: what is told about a table next to a question; the profile is cut to 2000 characters.
+def context_lines(kpis: DataFrame, profile_lines: DataFrame, insights: str = "", anomaly_report: str = "",
+                  characters: int | None = None) -> DataFrame:
+    """section, text: what is told about a table next to a question; `characters` cuts the profile to that length.
 
     Its inputs have a few rows per column, so each section is one short text.
     """
@@ -267,8 +365,9 @@ def context_lines(kpis: DataFrame, profile_lines: DataFrame, insights: str = "",
         "=", "metric", F.col("value").cast("string")).alias("t")))).alias("a")).select(
         F.lit("KPIs").alias("section"), F.concat_ws("\n", "a.t").alias("text"))
     profile = profile_lines.agg(F.array_sort(F.collect_list(F.struct("part", "position", "line"))).alias("a")).select(
-        F.lit("Dataset Profile").alias("section"),
-        F.substring(F.concat_ws("\n", "a.line"), 1, CONTEXT_CHARACTERS).alias("text"))
+        F.lit("Dataset Profile").alias("section"), F.concat_ws("\n", "a.line").alias("text"))
+    if characters is not None:
+        profile = profile.withColumn("text", F.substring("text", 1, characters))
     texts = spark.createDataFrame([("Insights", insights), ("Anomaly Report", anomaly_report)],
                                   "section string, text string").where("text != ''")
     return figures.unionByName(texts).unionByName(profile)
