@@ -59,7 +59,7 @@ def modes_of(counted: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def category_shares(counts: DataFrame, label: str = "value", metric: str = "count") -> DataFrame:
     """Adds the percentage of the shown total to a short list of categories."""
-    total = F.sum(metric).over(Window.partitionBy())
+    total = counts.agg(F.sum(metric)).scalar()
     return counts.select(
         F.col(label).cast("string").alias("name"), F.col(metric).alias("count"),
         F.when(total > 0, F.round(F.col(metric) / total * 100, 4)).otherwise(F.lit(0.0)).alias("proportion_pct"))
@@ -69,7 +69,7 @@ def category_summary(counts: DataFrame, label: str = "value", metric: str = "cou
     """total_categories, total_count, dominant_category and its share, of the shown categories."""
     # Equal leaders: the smallest label, as in the display order.
     top = F.max(metric)
-    named = counts.withColumn("_top", F.max(metric).over(Window.partitionBy()))
+    named = counts.withColumn("_top", counts.agg(F.max(metric)).scalar())
     return named.agg(
         F.count("*").alias("total_categories"),
         F.sum(metric).cast("double").alias("total_count"),

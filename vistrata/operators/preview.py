@@ -61,5 +61,5 @@ def category_preview(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
 
 def share_of_largest(df: DataFrame, value: str) -> DataFrame:
     """Adds each shown value as a percentage of the largest shown one."""
-    largest = F.max(F.coalesce(col(value), F.lit(0))).over(Window.partitionBy())
+    largest = df.agg(F.max(F.coalesce(col(value), F.lit(0)))).scalar()
     return df.withColumn("pct_of_largest", F.try_divide(col(value), largest) * 100)

@@ -201,11 +201,15 @@ def _two_pass(wide: DataFrame, keys: list[str], columns: Sequence[str], probs: S
     placed = histogram.withColumn("start", F.sum("c").over(whole.orderBy("bucket").rowsBetween(
         Window.unboundedPreceding, 0)) - F.col("c")).withColumn("n", F.sum("c").over(whole))
     targets = placed.where(_any_rank(_rank_pairs(probs), "start", "c")).select(*group, "bucket", "start", "n")
-    if not keys:
+    where = [*group, "bucket"]
+    if keys:
+        # There may be too many groups to broadcast their targets: count first, so that no raw row is shuffled and
+        # copies of one value are one row before they meet a target.
+        counted = long.groupBy(*where, "value").agg(F.count("*").alias("vc")).join(targets, where)
+    else:
         # At most two buckets per probability and column.
-        targets = F.broadcast(targets)
-    counted = (long.join(targets, [*group, "bucket"])
-               .groupBy(*group, "bucket", "start", "n", "value").agg(F.count("*").alias("vc")))
+        counted = (long.join(F.broadcast(targets), where)
+                   .groupBy(*where, "start", "n", "value").agg(F.count("*").alias("vc")))
     inside = Window.partitionBy(*group, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     return read_ranks(counted.withColumn("before", F.col("start") + F.sum("vc").over(inside) - F.col("vc")),
                       group, probs)
