@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vistrata.llm import agenda, bootstrap_pii, hmm, learned_partitions, line_windows, packing, repetition, setsketch, token_counts, url_filter
+from vistrata.llm import agenda, bootstrap_pii, hmm, learned_partitions, line_windows, packing, repetition, setsketch, token_counts, twins, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -34,7 +34,7 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-@query("op2_quality_rules")
+@query("op2_quality_rules", twins.QUALITY)
 def _(read):
     """Repetition measures and verdicts of every document."""
     return repetition.measure(read("documents"))
@@ -52,7 +52,7 @@ def _(read):
     return packing.packed(read("documents"), vocabulary("byte_bpe_50k.json"))
 
 
-@query("op7_setsketch_dedup")
+@query("op7_setsketch_dedup", twins.NEAR)
 def _(read):
     """Component of every document at four words and 80 percent."""
     return setsketch.grouped(read("documents"), size=4, percent=80)
@@ -71,7 +71,7 @@ def _(read):
     return url_filter.judged(pages, url_filter.train(url_filter.labelled(pages.sparkSession)))
 
 
-@query("op6_line_windows")
+@query("op6_line_windows", twins.LINE_WINDOWS)
 def _(read):
     """Every document without the lines of repeated windows."""
     return line_windows.deduplicated(read("documents").select("doc_id", "text"), count=True)
