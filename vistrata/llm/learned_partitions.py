@@ -145,10 +145,14 @@ class Router:
 
 def learn(rows: DataFrame, parts: int = PARTS, sample: int = SAMPLE) -> Router | None:
     """A router fitted to at most `sample` rows; None for an empty table."""
-    scale = rows.select(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x).alias("n")).agg(F.max("n")).first()[0]
+    squares = rows.select(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x).alias("n"))
+    scale, n = squares.agg(F.max("n"), F.count("*")).first()
     if scale is None:
         return None
-    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
+    # The hash bound lets about twice the sample through, so that tasks send few rows to the driver.
+    mark = F.xxhash64("vec_id")
+    some = rows if n <= 2 * sample else rows.where(mark < int(-(2.0**63) + 2 * sample / n * 2.0**64))
+    some = some.orderBy(mark, "vec_id").limit(sample).toArrow()
     return Router(np.unique(_matrix(some.column("vector")), axis=0), float(np.sqrt(scale)), parts)
 
 
