@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from vistrata.catalog.aggregates import rounded
 from vistrata.catalog.base import query
 from vistrata.catalog.columns import messy
-from vistrata.operators import forecast, isolation, sampling, series
+from vistrata.operators import forecast, isolation, sampling, series, statistics
 from vistrata.plans import charts
 from vistrata.plans.dashboard import dashboard
 
@@ -167,3 +167,38 @@ def _(spark, table):
         one = frame.agg(F.count("*").alias("rows")).select(F.lit(name).alias("part"), "rows")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query("forecast_line", """SELECT o_orderpriority AS series, strftime(max(o_orderdate)::DATE + i::INT, '%Y-%m-%d') AS ds, true AS on_the_line, true AS inside
+FROM orders, range(1, 31) r(i) GROUP BY 1, i""")
+def _(spark, table):
+    """A straight line over each priority's order days goes on as the same line, inside its bounds."""
+    day = F.unix_date(F.to_date("o_orderdate"))
+    line = lambda d: d * 2.5 + 40
+    history = table("orders").select(F.col("o_orderpriority").alias("series"), F.date_trunc("day", "o_orderdate").alias("ds"), line(day).alias("y")).distinct()
+    out = forecast.forecast(history)
+    true = line(F.unix_date(F.to_date("ds")))
+    return out.select("series", F.date_format("ds", "yyyy-MM-dd").alias("ds"), (F.abs(F.col("yhat") / true - 1) < 0.01).alias("on_the_line"),
+                      ((F.col("yhat_lower") <= F.col("yhat")) & (F.col("yhat") <= F.col("yhat_upper"))).alias("inside"))
+
+
+@query("forest_planted", """SELECT o_orderkey % 50 = 0 AS planted, count(*) AS rows, true AS as_expected FROM orders GROUP BY 1""")
+def _(spark, table):
+    """Rows moved far from the others are flagged, nearly all others are not; every row has a score in (0, 1)."""
+    planted = F.col("o_orderkey") % 50 == 0
+    spread = lambda seed: (F.pmod(F.xxhash64("o_orderkey", F.lit(seed)), F.lit(1000)) / 1000)
+    far = F.when(planted, 30 + 9 * spread(3)).otherwise(0)
+    rows = table("orders").select(planted.alias("planted"), (spread(1) + far).alias("x"), (spread(2) - far).alias("y"))
+    found = isolation.detect(rows).scored
+    flagged = F.avg((F.col("anomaly") == -1).cast("int"))
+    scored = F.min(F.col("anomaly_score").between(0, 1))
+    return found.groupBy("planted").agg(F.count("*").alias("rows"), (
+        F.when(F.col("planted"), flagged > 0.99).otherwise(flagged < 0.05) & scored).alias("as_expected"))
+
+
+@query("normality_tested", """SELECT 'l_quantity' AS "column", count(l_quantity) AS n, least(count(l_quantity), 5000)::BIGINT AS n_tested FROM lineitem
+UNION ALL SELECT 's_acctbal', count(s_acctbal), least(count(s_acctbal), 5000)::BIGINT FROM supplier""")
+def _(spark, table):
+    """How many values the normality test had, above and below its limit."""
+    parts = [statistics.normality(table(t), [c]).select("column", "n", "n_tested") for t, c in (("lineitem", "l_quantity"), ("supplier", "s_acctbal"))]
+    return parts[0].unionByName(parts[1])
