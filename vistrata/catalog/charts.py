@@ -57,7 +57,8 @@ round(quantile_cont(count, 0.75) - quantile_cont(count, 0.25), 4)::DOUBLE AS iqr
 CASE WHEN count(*) >= 3 THEN round(avg(((count - mu) / sd)**3), 8) END AS skewness, CASE WHEN count(*) >= 4 THEN round(avg(((count - mu) / sd)**4) - 3, 8) END AS kurtosis
 FROM p JOIN m ON "column" = k GROUP BY 1""")
 def _(spark, table):
-    out = charts.chart_bars(table("part"))["count_statistics"].drop("mode")
+    out = charts.chart_bars(table("part"))["count_statistics"].select(
+        "column", "n", "mean", "std", "min", "max", "sum", "q1", "median", "q3", "iqr", "skewness", "kurtosis")
     return rounded(rounded(out, 4, "mean", "std", "q1", "median", "q3", "iqr"), 8, "skewness", "kurtosis")
 
 
@@ -138,3 +139,29 @@ def _(spark, table):
 SELECT CASE WHEN arg_max(total, day) > arg_min(total, day) THEN 'increasing' ELSE 'decreasing' END AS trend FROM d""")
 def _(spark, table):
     return charts.chart_line(daily(table("orders")), "day", "total")["trend"]
+
+
+@query("chart_bar_count_spread", f"""WITH p AS ({points_sql(PART_TEXT, "part", 20, 15)}),
+q AS (SELECT "column" AS k, quantile_cont(count, 0.25) AS q1, quantile_cont(count, 0.75) AS q3, mode(count ORDER BY count) AS m FROM p GROUP BY 1)
+SELECT "column", round(coalesce(var_samp(count), 0), 4) AS variance, (max(count) - min(count))::DOUBLE AS "range",
+round(quantile_cont(count, 0.05), 4)::DOUBLE AS p5, round(quantile_cont(count, 0.1), 4)::DOUBLE AS p10, round(quantile_cont(count, 0.9), 4)::DOUBLE AS p90,
+round(quantile_cont(count, 0.95), 4)::DOUBLE AS p95, round(any_value(q1 - 1.5 * (q3 - q1)), 4)::DOUBLE AS lower_fence, round(any_value(q3 + 1.5 * (q3 - q1)), 4)::DOUBLE AS upper_fence,
+(count(*) FILTER (count < q1 - 1.5 * (q3 - q1) OR count > q3 + 1.5 * (q3 - q1)))::INT AS outlier_count,
+round(coalesce(stddev_samp(count), 0) / avg(count) * 100, 4) AS coefficient_of_variation_pct
+FROM p JOIN q ON "column" = k GROUP BY 1""")
+def _(spark, table):
+    """Spread, percentiles, fences and outliers of the shown counts."""
+    out = charts.chart_bars(table("part"))["count_statistics"]
+    names = ["variance", "range", "p5", "p10", "p90", "p95", "lower_fence", "upper_fence", "coefficient_of_variation_pct"]
+    return rounded(out.select("column", "outlier_count", *names), 4, *(n for n in names if n != "range"))
+
+
+@query("chart_group_mean_statistics", """WITH g AS (SELECT o_orderpriority AS c, avg(o_totalprice) AS m FROM orders GROUP BY 1)
+SELECT count(*) AS total_categories, arg_max(c, m) AS dominant_category, round(max(m) / sum(m) * 100, 4) AS dominant_proportion_pct,
+count(*) AS n, round(avg(m), 2) AS mean, round(stddev_samp(m), 2) AS std, round(quantile_cont(m, 0.5), 2) AS median FROM g""")
+def _(spark, table):
+    """Summary and statistics of the means of one chart."""
+    made = charts.chart_group_means(table("orders"), [("o_orderpriority", "o_totalprice")])["avg_o_totalprice_by_o_orderpriority"]
+    one = made["summary"].select("total_categories", "dominant_category", "dominant_proportion_pct").withColumn("column", F.lit("o_totalprice"))
+    both = one.join(made["statistics"].select("column", "n", "mean", "std", "median"), "column").drop("column")
+    return rounded(both, 2, "mean", "std", "median")

@@ -202,3 +202,11 @@ def _(spark, table):
     """How many values the normality test had, above and below its limit."""
     parts = [statistics.normality(table(t), [c]).select("column", "n", "n_tested") for t, c in (("lineitem", "l_quantity"), ("supplier", "s_acctbal"))]
     return parts[0].unionByName(parts[1])
+
+
+@query("anomaly_header", """SELECT count(*) AS count, 'event_id,ts,value' AS columns, 'event_id,value' AS numeric_columns FROM events WHERE value > 90""")
+def _(spark, table):
+    """Head of the anomaly list, on given labels."""
+    rows = table("events").select("event_id", "ts", "value", F.when(F.col("value") > 90, -1).otherwise(1).alias("anomaly"))
+    out = isolation.anomaly_header(isolation.anomaly_rows(rows).drop("anomaly"))
+    return out.select("count", *(F.concat_ws(",", c).alias(c) for c in ("columns", "numeric_columns")))

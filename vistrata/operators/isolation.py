@@ -190,3 +190,10 @@ def anomaly_overview(anomalies: DataFrame, columns: int | None = None) -> DataFr
     return profile.select(
         "position", "column", *[F.round(c, 4).alias(c) for c in ("mean", "min", "max")],
         F.when(F.col("count") > 1, F.round("std", 4)).alias("std"))
+
+
+def anomaly_header(anomalies: DataFrame) -> DataFrame:
+    """One row: how many rows are flagged, the columns, and the numeric ones."""
+    words = lambda names: F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
+    return anomalies.agg(F.count("*").alias("count")).select(
+        "count", words(anomalies.columns).alias("columns"), words(numeric_columns(anomalies)).alias("numeric_columns"))

@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from vistrata.functions.columns import categorical_columns, col, finite, numeric_columns
 from vistrata.operators.association import (
     adjacent_pairs, correlation_matrix, linear_association, spearman)
-from vistrata.operators.counts import top_values_per_column
+from vistrata.operators.counts import category_summary, top_values_per_column
 from vistrata.operators.groups import group_detail, group_means
 from vistrata.operators.histogram import histograms
 from vistrata.operators.preview import CATEGORY_POINTS, SERIES_POINTS, series_preview
@@ -51,16 +51,31 @@ def category_summaries(points: DataFrame) -> DataFrame:
 
 def count_statistics(points: DataFrame) -> DataFrame:
     """Statistics over the shown counts of each chart; at most 15 rows per group."""
-    v, n = F.col("count").cast("double"), F.count("*")
-    quartiles = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return points.groupBy("column").agg(
+    return shown_statistics(points, "column", "count")
+
+
+def shown_statistics(points: DataFrame, group: str, value: str) -> DataFrame:
+    """Statistics over the few shown values of each group: moments, percentiles, fences, outliers and mode."""
+    v, n = col(value).cast("double"), F.count("*")
+    levels = [0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95]
+    made = points.groupBy(group).agg(
         n.alias("n"), F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std"),
-        F.min(v).alias("min"), F.max(v).alias("max"), F.sum(v).alias("sum"), quartiles.alias("q"),
+        F.coalesce(F.var_samp(v), F.lit(0.0)).alias("variance"),
+        F.min(v).alias("min"), F.max(v).alias("max"), F.sum(v).alias("sum"),
+        F.percentile(v, F.array(*map(F.lit, levels))).alias("q"), F.collect_list(v).alias("values"),
         F.mode(v, True).alias("mode"),
-        F.when(n >= 3, F.skewness(v)).alias("skewness"), F.when(n >= 4, F.kurtosis(v)).alias("kurtosis"),
-    ).select("column", "n", "mean", "std", "min", "max", "sum", "mode", F.col("q")[0].alias("q1"),
-             F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"),
-             (F.col("q")[2] - F.col("q")[0]).alias("iqr"), "skewness", "kurtosis")
+        F.when(n >= 3, F.skewness(v)).alias("skewness"), F.when(n >= 4, F.kurtosis(v)).alias("kurtosis"))
+    p = {level: F.col("q")[i] for i, level in enumerate(levels)}
+    iqr = p[0.75] - p[0.25]
+    low, high = p[0.25] - 1.5 * iqr, p[0.75] + 1.5 * iqr
+    return made.select(
+        group, "n", "mean", "std", "min", "max", "sum", "mode", p[0.25].alias("q1"), p[0.5].alias("median"), p[0.75].alias("q3"),
+        iqr.alias("iqr"), "skewness", "kurtosis", "variance", (F.col("max") - F.col("min")).alias("range"),
+        p[0.05].alias("p5"), p[0.1].alias("p10"), p[0.9].alias("p90"), p[0.95].alias("p95"),
+        low.alias("lower_fence"), high.alias("upper_fence"),
+        F.size(F.filter("values", lambda x: (x < low) | (x > high))).alias("outlier_count"),
+        F.size(F.filter("values", lambda x: x == F.col("mode"))).alias("mode_count"),
+        F.when(F.col("mean") != 0, F.col("std") / F.col("mean") * 100).alias("coefficient_of_variation_pct"))
 
 
 def chart_bars(df: DataFrame) -> dict[str, DataFrame]:
@@ -113,7 +128,7 @@ def default_pairs(df: DataFrame) -> list[tuple[str, str]]:
 
 
 def chart_group_means(df: DataFrame, pairs: Sequence[tuple[str, str]] | None = None) -> dict[str, dict[str, DataFrame]]:
-    """Mean by category and per-group detail for each usable (category, metric) pair."""
+    """Mean by category, summary and statistics of the means, and per-group detail for each usable pair."""
     if pairs is None:
         pairs = default_pairs(df)
     categories, metrics = set(categorical_columns(df)), set(numeric_columns(df))
@@ -121,8 +136,11 @@ def chart_group_means(df: DataFrame, pairs: Sequence[tuple[str, str]] | None = N
     for category, metric in pairs:
         if category in categories and metric in metrics:
             means = group_means(df, category, metric)
+            full = means.where("mean IS NOT NULL")
             out[f"avg_{metric}_by_{category}"] = {
                 "points": series_preview(means, ["mean", "category"], CATEGORY_POINTS, descending=["mean"]),
+                "summary": category_summary(full, "category", "mean"),
+                "statistics": shown_statistics(full.withColumn("column", F.lit(metric)), "column", "mean"),
                 "per_group_detail": group_detail(df, category, metric)}
     return out
 
