@@ -64,7 +64,8 @@ def test_packing_rounds(spark):
         assert (made.groupby("sequence_id").length.cumsum() - made.length == made.offset).all()
         assert made.groupby("sequence_id").length.sum().max() <= 2048 if lengths else made.empty
         if len(lengths) == 3000:
-            assert made.sequence_id.nunique() <= 1.02 * math.ceil(sum(lengths) / 2048)
+            # Groups of 200 are far below the working size; the price of their separate packing stays small.
+            assert made.sequence_id.nunique() <= 1.05 * math.ceil(sum(lengths) / 2048)
 
 
 def test_pieces_match_the_library(texts):
@@ -173,8 +174,8 @@ def neighbours(rows, queries, k):
 def test_neighbours_small_and_odd(spark):
     """Up to SMALL rows all parts are searched: exact, with ties, repeats and unusable vectors."""
     rng = np.random.default_rng(2)
-    rows = [(i, rng.normal(size=6).tolist()) for i in range(400)] + [(i, [1.0, 2, 3, 4, 5, 6]) for i in range(1000, 1100)]
-    bad = [(20, None), (40_000, [0.0] * 6), (40_020, [1.0, None, 0, 0, 0, 0]), (40_040, [float("nan")] * 6), (40_060, [float("inf")] + [0.0] * 5),
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(400)] + [(i, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]) for i in range(1000, 1100)]
+    bad = [(20, None), (40_000, [0.0] * 6), (40_020, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (40_040, [float("nan")] * 6), (40_060, [float("inf")] + [0.0] * 5),
            (None, [1.0] * 6), (40_080, [1.0, 2.0]), (40_100, [])]
     table = spark.createDataFrame(rows + bad, "vec_id bigint, embedding array<double>").withColumn("vector", F.lit(1)).withColumn("part", F.lit("x"))
     got = {}
