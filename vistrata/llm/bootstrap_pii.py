@@ -38,6 +38,8 @@ INSTANCE = rf"(?<![^{SEPARATORS}])[^{SEPARATORS}0-9@]*+[0-9@][^{SEPARATORS}]*+"
 SEEDS, SURE, PATTERNS, TURNS = 5, 0.8, 1000, 3
 # An instance's letters and digits, without which a word is no identifier.
 LEAST = 6
+# Matches that are placed together.
+RUN = 128
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -65,8 +67,8 @@ def _cut(text: Column, pattern: str) -> Column:
     return F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
 
 
-def _placed(cut: Column) -> Column:
-    """Spans of the matches of a cut text."""
+def _run(cut: Column) -> Column:
+    """Spans of a run of matches from its own start, and the run's length."""
     start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -75,7 +77,21 @@ def _placed(cut: Column) -> Column:
         return F.struct(F.coalesce(end, begin).alias("at"), F.when(x["value"].isNull(), acc["out"]).otherwise(
             F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value"))))).alias("out"))
 
-    return F.aggregate(cut, start, step, lambda acc: acc["out"])
+    return F.aggregate(cut, start, step)
+
+
+def _placed(cut: Column) -> Column:
+    """Spans of the matches of a cut text: runs of RUN matches first, so that a dense text costs no quadratic copying."""
+    def whole(c: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(c) - 1) / RUN).cast("int")), lambda i: _run(F.slice(c, i * RUN + 1, F.lit(RUN))))
+        start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<struct<base:int,out:{SPAN}>>)").alias("out"))
+        based = F.aggregate(runs, start, lambda acc, r: F.struct((acc["at"] + r["at"]).alias("at"), F.concat(
+            acc["out"], F.array(F.struct(acc["at"].alias("base"), r["out"].alias("out")))).alias("out")), lambda acc: acc["out"])
+        return F.flatten(F.transform(based, lambda r: F.transform(r["out"], lambda x: F.struct(
+            (x["start"] + r["base"]).alias("start"), (x["end"] + r["base"]).alias("end"), x["value"].alias("value")))))
+
+    # An array of one binds the cut text to a variable, so it is cut once.
+    return F.get(F.transform(F.array(cut), whole), F.lit(0))
 
 
 def found(text: Column, kind: str) -> Column:
