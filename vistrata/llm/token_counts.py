@@ -95,8 +95,7 @@ class Tree:
 
     def count(self, text: str) -> int:
         self.encoded += len(text)
-        data, offsets = flat(pa.array([text], pa.large_string()))
-        return sum(int(self.codec.length[places].sum()) for _, _, places, *_ in self.codec.blocks(data, offsets))
+        return int(self.codec.encode([text.encode()])[1][0]) if text else 0
 
     def put(self, leaf: int, text: str, tokens: int) -> None:
         self.leaves[leaf] = text
