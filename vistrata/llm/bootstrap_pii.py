@@ -33,7 +33,8 @@ KINDS = {
     "card": (None, r"[0-9](?:[\x20-]?[0-9])++"),
     "phone": ("+", r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
-SMALL = r"0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+# A number up to 255 with any zeros before it; a part of zeros only ends after them.
+SMALL = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?|(?<=0))"
 INSTANCE = rf"(?<![^{SEPARATORS}])[^{SEPARATORS}0-9@]*+[0-9@][^{SEPARATORS}]*+"
 SEEDS, SURE, PATTERNS, TURNS = 5, 0.8, 1000, 3
 # An instance's letters and digits, without which a word is no identifier.
