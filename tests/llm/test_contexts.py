@@ -13,3 +13,31 @@ def test_address_parts_of_zeros(spark):
     assert got == {i: brute.personal(t) for i, t in enumerate(texts)}
     hidden = {r.doc_id: r.text for r in bootstrap_pii.masked(docs).collect()}
     assert hidden[1] == "[IP]" and hidden[6] == texts[6] and hidden[8] == "a [IP] b 1.0.256.0"
+
+
+DESK = [f"text {i} contact desk: user{i}@mail.example.com and the office" for i in range(20)]
+UNSEEN = [f"more {i} contact desk: ref-77{i}12x and more" for i in range(3)]
+
+
+def added(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    return {texts[r.doc_id]: r.n_added for r in bootstrap_pii.spans(docs).collect()}
+
+
+def test_copies_leave_contexts_alone(spark):
+    want = added(spark, DESK + UNSEEN)
+    assert [want[t] for t in UNSEEN] == [1, 1, 1]
+    assert added(spark, DESK * 30 + UNSEEN) == want
+    assert added(spark, DESK + UNSEEN * 100) == want
+
+
+def test_label_lists(spark):
+    """One word, or another identifier, may precede an identifier."""
+    rows = [f"Name Bob{i}x Email: a{i}@b.example Ref: 10.2.3.{i}" for i in range(20)]
+    new = ["Name Eve7x Email: eve_at_77b Ref: 10.2.3.99", "Email: eve_at_78b", "Name Eve Email: eve_at_79b"]
+    made = added(spark, rows + new)
+    assert [made[t] for t in new] == [1, 1, 1] and not any(made[t] for t in rows)
+    # Cues that hold an identifier reach one that follows another at once.
+    pairs = [f"id 77 c{i}@d.example" for i in range(20)]
+    made = added(spark, [*pairs, "id 77 zed_at_80b"])
+    assert made["id 77 zed_at_80b"] == 1

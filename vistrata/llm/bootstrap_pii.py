@@ -6,8 +6,9 @@ loops, look-behind or the end of the last match), so long runs cost linear time
 
 Bootstrapping: words that hold a digit or an @ are instances; their one and two preceding words are lexical patterns.
 Instances inside base spans are seeds with score 1. Each turn, a pattern's score is the sum of the scores of its
-distinct instances over all places where the pattern's words stand in the corpus, and an instance outside the seeds
-takes the best score of its patterns. A pattern counts from SEEDS distinct seeds on, and each turn's patterns are the
+distinct instances over the distinct words that follow the pattern's words anywhere in the corpus (an end of text is
+one of them), so that copies of texts change nothing, and an instance outside the seeds takes the best score of its
+patterns. A pattern counts from SEEDS distinct seeds on, and each turn's patterns are the
 PATTERNS with most seeds, so the table that is counted against the whole corpus is bounded. Instances that patterns
 of score SURE or more precede are new identifiers, of the kind most of the pattern's seeds have.
 
@@ -107,41 +108,51 @@ def _line(kind: str, spans: Column) -> Column:
 
 
 def _words(text: Column) -> Column:
-    lower = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
-    return F.filter(F.split(lower, f"[{SEPARATORS}]+", -1), lambda w: w != "")
+    return F.filter(F.split(text, f"[{SEPARATORS}]+", -1), lambda w: w != "")
+
+
+def _lower(text: Column) -> Column:
+    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+
+
+def _shifted(words: Column, by: int) -> Column:
+    """Of each word the one `by` places before it, or null."""
+    return F.concat(F.expr(f"cast(array({', '.join(['null'] * by)}) as array<string>)"), F.slice(words, 1, F.greatest(F.size(words) - by, F.lit(0))))
 
 
 def _cues(first: Column, second: Column) -> Column:
-    """Hashes of the patterns that two words before a place make: the nearest word, and both."""
-    return F.array(F.xxhash64(second), F.xxhash64(first, second))
+    """Hashes of the patterns that two words before a place make: the nearest word, and both (null if there is one word)."""
+    return F.array(F.xxhash64(second), F.when(first.isNotNull(), F.xxhash64(first, second)))
 
 
 def instances(rows: DataFrame) -> DataFrame:
     """doc_id, t, start, end, value, seed kind (null outside base spans) and the cues of each instance.
 
     `rows` holds doc_id, t, text and the base spans by kind."""
-    some = rows.withColumn("cut", _cut(F.col("text"), INSTANCE))
-    # A cue is the text before the instance, back to the instance before it.
-    placed = some.withColumn("spans", _placed(F.col("cut"))).select(
-        "doc_id", "t", *KINDS, F.inline(F.arrays_zip(F.col("spans").alias("span"), F.slice(F.transform("cut", lambda c: c["gap"]), 1, F.size("spans")).alias("gap"))))
-    before = F.slice(F.reverse(_words(F.expr("right(gap, 200)"))), 1, 2)
+    some = rows.withColumn("w", _words(F.col("text"))).withColumn("l", _words(_lower(F.col("text"))))
+    # The words with a digit or an @ are the instances, in their order.
+    words = F.arrays_zip(F.col("w").alias("word"), _shifted(F.col("l"), 1).alias("second"), _shifted(F.col("l"), 2).alias("first"))
+    placed = some.select("doc_id", "t", *KINDS, F.inline(F.arrays_zip(
+        _placed(_cut(F.col("text"), INSTANCE)).alias("span"), F.filter(words, lambda x: x["word"].rlike("[0-9@]")).alias("before"))))
     inside = lambda kind: F.exists(kind, lambda s: (F.col("span.start") < s["end"]) & (F.col("span.end") > s["start"]))
     seed = F.coalesce(*(F.when(inside(k), k) for k in KINDS))
-    return (placed.withColumn("seed", seed).withColumn("before", before).where(F.size("before") == 2)
-            .select("doc_id", "t", F.col("span.start").alias("start"), F.col("span.end").alias("end"),
-                    F.col("span.value").alias("value"), "seed", F.explode(_cues(F.get("before", 1), F.get("before", 0))).alias("cue")))
+    return (placed.withColumn("seed", seed).where("before.second is not null")
+            .select("doc_id", "t", F.col("span.start").alias("start"), F.col("span.end").alias("end"), F.col("span.value").alias("value"),
+                    "seed", F.explode(_cues(F.col("before.first"), F.col("before.second"))).alias("cue")).where("cue is not null"))
 
 
 def _known(edges: DataFrame, texts: DataFrame) -> DataFrame:
-    """cue, places and kind of the patterns with most seeds: places counts the pattern's words in the whole corpus."""
+    """cue, places and kind of the patterns with most seeds: places counts the distinct words after the pattern's words in the whole corpus."""
     seeded = (edges.where("seed is not null").groupBy("cue", "value").agg(F.min("seed").alias("seed"))
               .groupBy("cue").agg(F.count("*").alias("seeds"), F.mode("seed", True).alias("kind"))
               .where(F.col("seeds") >= SEEDS).orderBy(F.desc("seeds"), "cue").limit(PATTERNS))
     seeded = stage(seeded, "patterns")
-    words = texts.select(_words(F.col("text")).alias("w")).where(F.size("w") >= 2)
-    pairs = words.select(F.inline(F.arrays_zip(F.slice("w", 1, F.size("w") - 1).alias("x"), F.slice("w", 2, F.size("w") - 1).alias("y"))))
-    places = (pairs.select(F.explode(_cues(F.col("x"), F.col("y"))).alias("cue"))
-              .join(F.broadcast(seeded.select("cue")), "cue").groupBy("cue").agg(F.count("*").alias("places")))
+    words = texts.select(_words(F.col("text")).alias("w"), _words(_lower(F.col("text"))).alias("l")).where(F.size("w") > 0)
+    after = F.concat(F.slice("w", 2, F.size("w") - 1), F.expr("cast(array(null) as array<string>)"))
+    runs = words.select(F.inline(F.arrays_zip(_shifted(F.col("l"), 1).alias("x"), F.col("l").alias("y"), after.alias("z"))))
+    # The hash of a null stands for an end of text.
+    places = (runs.select(F.explode(_cues(F.col("x"), F.col("y"))).alias("cue"), F.xxhash64("z").alias("next"))
+              .join(F.broadcast(seeded.select("cue")), "cue").distinct().groupBy("cue").agg(F.count("*").alias("places")))
     return seeded.join(places, "cue").select("cue", "kind", "places")
 
 
