@@ -41,3 +41,14 @@ def test_label_lists(spark):
     pairs = [f"id 77 c{i}@d.example" for i in range(20)]
     made = added(spark, [*pairs, "id 77 zed_at_80b"])
     assert made["id 77 zed_at_80b"] == 1
+
+
+def test_every_pattern_counts(spark):
+    """A rare precise cue counts beside more than a thousand with more seeds, and found instances make a cue count."""
+    texts = [" ".join(f"c{k} w{k} u{k}n{j}@e.example end" for k in range(1010)) for j in range(6)]
+    rare = [f"rare cue: 10.1.1.{i} end" for i in range(5)] + ["rare cue: ref_88x1y2 end"]
+    next_turn = [f"contact desk: user{i}@mail.example.com end" for i in range(40)]
+    next_turn += [f"contact desk: ref-77{i}12x end" for i in range(5)] + [f"second form: ref-77{i}12x end" for i in range(5)] + ["second form: zed_99x8y7 end"]
+    made = added(spark, texts + rare + next_turn)
+    assert made[rare[-1]] == 1 and made[next_turn[0]] == 0
+    assert made[next_turn[-1]] == 1 and made["second form: ref-77012x end"] == 1

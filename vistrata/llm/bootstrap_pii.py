@@ -8,9 +8,9 @@ Bootstrapping: words that hold a digit or an @ are instances; their one and two
 Instances inside base spans are seeds with score 1. Each turn, a pattern's score is the sum of the scores of its
 distinct instances over the distinct words that follow the pattern's words anywhere in the corpus (an end of text is
 one of them), so that copies of texts change nothing, and an instance outside the seeds takes the best score of its
-patterns. A pattern counts from SEEDS distinct seeds on, and each turn's patterns are the
-PATTERNS with most seeds, so the table that is counted against the whole corpus is bounded. Instances that patterns
-of score SURE or more precede are new identifiers, of the kind most of the pattern's seeds have.
+patterns. A pattern counts in a turn from SEEDS distinct instances on that are seeds or were found in the turn before:
+those that patterns of score SURE or more precede, of the kind most of a pattern's known instances have. Every pattern
+that can count is kept, as a table that Spark joins by shuffle unless it is small; the places are counted once.
 
 Defined cases: a null or empty text holds nothing; rows repeated with one doc_id and text give equal rows; null
 doc_ids are kept; further columns are ignored (`spans`) or passed on (`masked`); an empty table gives an empty result.
@@ -37,7 +37,7 @@ KINDS = {
 # A number up to 255 with any zeros before it; a part of zeros only ends after them.
 SMALL = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?|(?<=0))"
 INSTANCE = rf"(?<![^{SEPARATORS}])[^{SEPARATORS}0-9@]*+[0-9@][^{SEPARATORS}]*+"
-SEEDS, SURE, PATTERNS, TURNS = 5, 0.8, 1000, 3
+SEEDS, SURE, TURNS = 5, 0.8, 3
 # An instance's letters and digits, without which a word is no identifier.
 LEAST = 6
 # Matches that are placed together.
@@ -141,36 +141,41 @@ def instances(rows: DataFrame) -> DataFrame:
                     "seed", F.explode(_cues(F.col("before.first"), F.col("before.second"))).alias("cue")).where("cue is not null"))
 
 
-def _known(edges: DataFrame, texts: DataFrame) -> DataFrame:
-    """cue, places and kind of the patterns with most seeds: places counts the distinct words after the pattern's words in the whole corpus."""
-    seeded = (edges.where("seed is not null").groupBy("cue", "value").agg(F.min("seed").alias("seed"))
-              .groupBy("cue").agg(F.count("*").alias("seeds"), F.mode("seed", True).alias("kind"))
-              .where(F.col("seeds") >= SEEDS).orderBy(F.desc("seeds"), "cue").limit(PATTERNS))
-    seeded = stage(seeded, "patterns")
+def _long(value: Column) -> Column:
+    return F.length(F.regexp_replace(value, "[^A-Za-z0-9]", "")) >= LEAST
+
+
+def _graph(edges: DataFrame, texts: DataFrame) -> DataFrame:
+    """cue, value, seed and places of every pattern that SEEDS instances or more may make count, with each of its instances:
+    places counts the distinct words after the pattern's words in the whole corpus."""
+    pairs = stage(edges.groupBy("cue", "value").agg(F.min("seed").alias("seed")), "pairs")
+    able = stage(pairs.where(F.col("seed").isNotNull() | _long(F.col("value"))).groupBy("cue").agg(F.count("*").alias("n"))
+                 .where(F.col("n") >= SEEDS).select("cue"), "patterns")
     words = texts.select(_words(F.col("text")).alias("w"), _words(_lower(F.col("text"))).alias("l")).where(F.size("w") > 0)
     after = F.concat(F.slice("w", 2, F.size("w") - 1), F.expr("cast(array(null) as array<string>)"))
     runs = words.select(F.inline(F.arrays_zip(_shifted(F.col("l"), 1).alias("x"), F.col("l").alias("y"), after.alias("z"))))
     # The hash of a null stands for an end of text.
     places = (runs.select(F.explode(_cues(F.col("x"), F.col("y"))).alias("cue"), F.xxhash64("z").alias("next"))
-              .join(F.broadcast(seeded.select("cue")), "cue").distinct().groupBy("cue").agg(F.count("*").alias("places")))
-    return seeded.join(places, "cue").select("cue", "kind", "places")
+              .join(able, "cue").distinct().groupBy("cue").agg(F.count("*").alias("places")))
+    return pairs.join(stage(places, "places"), "cue")
 
 
 def bootstrapped(docs: DataFrame) -> DataFrame:
     """doc_id, t, kind, start, end and value of identifiers that sure patterns precede outside base spans."""
     edges = stage(instances(_based(docs.where(F.col("text").rlike("[0-9@]")))), "instances")
-    known = stage(_known(edges, docs), "known")
-    graph = stage(edges.join(F.broadcast(known), "cue").groupBy("cue", "value")
-                  .agg(F.max("seed").alias("seed"), F.first("places").alias("places")), "graph")
-    scores = graph.select("value", F.when(F.col("seed").isNotNull(), 1.0).otherwise(0.0).alias("score")).groupBy("value").agg(F.max("score").alias("score"))
+    graph = stage(_graph(edges, docs), "graph")
+    scores = graph.groupBy("value").agg(F.max(F.when(F.col("seed").isNotNull(), 1.0).otherwise(0.0)).alias("score"), F.lit(None).cast("string").alias("found"))
     for _ in range(TURNS):
-        patterns = graph.join(scores, "value").groupBy("cue").agg((F.sum("score") / F.first("places")).alias("sure"))
-        patterns = stage(patterns.select("cue", F.least("sure", F.lit(1.0)).alias("sure")), "pattern-scores")
-        scores = stage(graph.join(F.broadcast(patterns), "cue").groupBy("value").agg(
-            F.max(F.when(F.col("seed").isNotNull(), 1.0).otherwise(F.col("sure"))).alias("score")), "instance-scores")
-    sure = patterns.where(F.col("sure") >= SURE).join(known.select("cue", "kind"), "cue")
-    plain = F.regexp_replace("value", "[^A-Za-z0-9]", "")
-    return (edges.where(F.col("seed").isNull() & (F.length(plain) >= LEAST)).join(F.broadcast(sure), "cue")
+        known = F.coalesce("seed", "found")
+        patterns = (graph.join(scores, "value").groupBy("cue")
+                    .agg((F.sum("score") / F.first("places")).alias("sure"), F.count(known).alias("known"), F.mode(known, True).alias("kind"))
+                    .where(F.col("known") >= SEEDS))
+        patterns = stage(patterns.select("cue", "kind", F.least("sure", F.lit(1.0)).alias("sure")), "pattern-scores")
+        score = F.when(F.col("seed").isNotNull(), 1.0).otherwise(F.coalesce("sure", F.lit(0.0)))
+        found = F.when(F.col("seed").isNull() & (F.col("sure") >= SURE) & _long(F.col("value")), F.col("kind"))
+        scores = stage(graph.join(patterns, "cue", "left").groupBy("value").agg(F.max(score).alias("score"), F.min(found).alias("found")), "instance-scores")
+    sure = patterns.where(F.col("sure") >= SURE).select("cue", "kind")
+    return (edges.where(F.col("seed").isNull() & _long(F.col("value"))).join(sure, "cue")
             .groupBy("doc_id", "t", "start", "end", "value").agg(F.min("kind").alias("kind"))
             .select("doc_id", "t", "kind", "start", "end", "value"))
 
