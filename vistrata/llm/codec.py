@@ -3,7 +3,8 @@
 A text is cut where no token can cross: before white space that follows a visible character (byte-level vocabularies),
 or before a space that follows another character and around line breaks (piece vocabularies). The ids of a text are
 then the ids of its chunks in order. Chunks repeat far more often than texts do, so each worker keeps a bounded table
-of the chunks it has met, ordered by hash, and only new chunks reach the tokenizer.
+of the chunks it has met, ordered by hash, and only new chunks reach the tokenizer. A block of more distinct chunks
+than that (one very long text) has a table of its own, which is dropped after the block.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from vistrata.llm.arrays import SEPARATOR, Block, blocks
 
 # Chunks and ids a worker keeps before it starts its table anew.
 KEPT_CHUNKS, KEPT_IDS = 1 << 20, 1 << 23
+# Chunks of a larger block that are encoded together.
+SLICE = 1 << 18
 
 
 def white_end(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -62,8 +65,6 @@ class Codec:
         self.ids, self.things = np.zeros(0, np.int32), np.zeros(0, object)
 
     def _learn(self, hashes: np.ndarray, chunks: list[bytes]) -> None:
-        if len(self.hashes) + len(hashes) > KEPT_CHUNKS or len(self.ids) > KEPT_IDS:
-            raise OverflowError
         ids, length = self.encode(chunks)
         place = len(self.begin) + np.arange(len(hashes))
         self.begin = np.concatenate((self.begin, len(self.ids) + np.cumsum(length) - length))
@@ -76,6 +77,11 @@ class Codec:
         at = np.searchsorted(self.hashes, hashes)
         self.hashes, self.place = np.insert(self.hashes, at, hashes), np.insert(self.place, at, place)
 
+    def _unmet(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.ones(len(hashes), bool)
+        return self.hashes[np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)] != hashes
+
     def blocks(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple]:
         """For each block of rows: start, end, table places of all chunks, first chunk of each row (and the end),
         byte starts and ends of the chunks within the block, and the block."""
@@ -85,23 +91,18 @@ class Codec:
             starts = starts[starts < len(block.data)]
             ends = np.append(starts[1:], len(block.data)) if len(starts) else starts
             hashes, first, which = np.unique(block.hashes(starts, ends), return_index=True, return_inverse=True)
-            raw = None
-            for again in (True, False):
-                at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
-                new = self.hashes[at] != hashes if len(self.hashes) else np.ones(len(hashes), bool)
-                if not new.any():
-                    break
-                raw = raw or block.data.tobytes()
-                chunks = [raw[i:j] for i, j in zip(starts[first[new]].tolist(), ends[first[new]].tolist())]
-                try:
-                    self._learn(hashes[new], chunks)
-                    break
-                except OverflowError:
-                    self.clear()
-                    if not again or len(hashes) > KEPT_CHUNKS:
-                        raise
+            new = self._unmet(hashes)
+            if new.any() and (len(self.hashes) + new.sum() > KEPT_CHUNKS or len(self.ids) > KEPT_IDS):
+                self.clear()
+                new[:] = True
+            raw = block.data.tobytes() if new.any() else b""
+            at = np.flatnonzero(new)
+            for part in (at[i:i + SLICE] for i in range(0, len(at), SLICE)):
+                self._learn(hashes[part], [raw[i:j] for i, j in zip(starts[first[part]].tolist(), ends[first[part]].tolist())])
             places = self.place[np.searchsorted(self.hashes, hashes)][which] if len(hashes) else np.zeros(0, np.int64)
             yield a, b, places, np.searchsorted(starts, block.offsets), starts, ends, block
+            if len(self.hashes) > KEPT_CHUNKS:
+                self.clear()
 
     def ids_of(self, places: np.ndarray) -> np.ndarray:
         """Ids of chunks in order."""
