@@ -125,3 +125,42 @@ def line_windows(docs):
         gone = later - own
         out[key] = "\n".join(x for i, x in enumerate(key[1].split("\n")) if i not in gone)
     return out
+
+
+def sha(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def leaf(row, more=0):
+    doc_id, source, lang, n_chars, text = row
+    values = (doc_id, source, lang, None if n_chars is None else n_chars + more, text)
+    return sha(*("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values))
+
+
+def climb(nodes):
+    """Root of a list of nodes, and each one's (siblings, sides)."""
+    paths, owners = [[] for _ in nodes], [[i] for i in range(len(nodes))]
+    while len(nodes) > 1:
+        for i in range(len(nodes)):
+            other = i ^ 1
+            for k in owners[i]:
+                paths[k].append((nodes[other] if other < len(nodes) else "", i % 2))
+        owners = [sum(owners[i:i + 2], []) for i in range(0, len(nodes), 2)]
+        nodes = [sha(*nodes[i:i + 2]) for i in range(0, len(nodes), 2)]
+    return nodes[0], paths
+
+
+def merkle(rows):
+    """Of each (doc_id, source, lang, n_chars, text): what the manifest query returns."""
+    langs = sorted({r[2] for r in rows}, key=lambda x: (x is not None, (x or "").encode()))
+    groups = [sorted((r for r in rows if r[2] == x), key=lambda r: (r[0] is not None, r[0] or 0, leaf(r))) for x in langs]
+    trees = [climb([leaf(r) for r in g]) for g in groups]
+    root, tops = climb([t[0] for t in trees])
+    out = []
+    for group, (subroot, paths), top in zip(groups, trees, tops):
+        for row, path in zip(group, paths):
+            x = leaf(row, more=row[0] is not None and zlib.crc32(str(row[0]).encode()) % 7 == 0)
+            for node, side in path + top:
+                x = sha(node, x) if side else sha(x, node)
+            out.append((row[0], leaf(row), subroot, root, sha(*(n for n, _ in path + top)), x, x == root))
+    return out

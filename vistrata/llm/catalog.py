@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vistrata.llm import agenda, bootstrap_pii, hmm, learned_partitions, line_windows, packing, repetition, setsketch, token_counts, twins, url_filter
+from vistrata.llm import agenda, bootstrap_pii, hmm, learned_partitions, line_windows, merkle, packing, repetition, setsketch, token_counts, twins, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -95,3 +95,9 @@ def _(read):
     path = vocabulary("byte_bpe_50k.json")
     made = token_counts.revise(token_counts.grow(token_counts.house_edits(read("documents")), path), path)
     return made.select("doc_id", "n_tokens_before", "n_tokens", "n_edits", "n_encoded")
+
+
+@query("op11_merkle_manifest", twins.MERKLE)
+def _(read):
+    """Manifest of all documents, checked against the altered copy."""
+    return merkle.audited(read("documents"))

@@ -61,3 +61,53 @@ reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l
 low AS (SELECT x AS doc_id, min(y) AS least FROM reach GROUP BY 1)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(least, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(least, doc_id)) AS kept
 FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN low USING (doc_id)"""
+
+
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of a text's UTF-8 bytes, half a byte at a time; the table follows from the polynomial."""
+    table = []
+    for i in range(16):
+        for _ in range(4):
+            i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+        table.append(i)
+    digit = lambda at: f"instr('123456789ABCDEF', substr(hex({text}), {at}, 1))::BIGINT"
+    halves = f"flatten(list_transform(range(1, 2 * strlen({text}), 2), lambda i: [{digit('i + 1')}, {digit('i')}]))"
+    step = f"xor(c >> 4, ({table}::BIGINT[])[(xor(c, x) & 15) + 1])"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {halves}), lambda c, x: {step}))"
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(({value})::VARCHAR)::VARCHAR || ':' || ({value})::VARCHAR, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(_field(c) for c in ('doc_id', 'source', 'lang', n_chars, 'text'))})"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """All nodes of the trees over `leaves` (g, pos, n, node), by level."""
+    return f"""
+{name} AS (SELECT g, 0 AS level, pos, n, node FROM {leaves}
+  UNION ALL SELECT g, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(node, '' ORDER BY pos)) FROM {name} WHERE n > 1 GROUP BY g, level, pos // 2, n)"""
+
+
+MERKLE = f"""
+WITH RECURSIVE hashed AS (SELECT doc_id, coalesce('=' || lang, '') AS g, {_leaf("n_chars")} AS leaf,
+  {_leaf(f"n_chars + CASE WHEN {_crc32('doc_id::VARCHAR')} % 7 = 0 THEN 1 ELSE 0 END")} AS claim FROM documents),
+leaves AS (SELECT *, leaf AS node, row_number() OVER (PARTITION BY g ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM hashed),
+{_tree("tree", "leaves")},
+subroots AS (SELECT '' AS g, g AS lang, node, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+{_tree("top", "subroots")},
+levels AS (SELECT g, level, n FROM tree WHERE n > 1 GROUP BY ALL),
+top_levels AS (SELECT level, n FROM top WHERE n > 1 GROUP BY ALL),
+beside AS (SELECT l.doc_id, k.level, (l.pos >> k.level) & 1 AS side, coalesce(t.node, '') AS node FROM leaves l JOIN levels k USING (g)
+    LEFT JOIN tree t ON t.g = l.g AND t.level = k.level AND t.pos = xor(l.pos >> k.level, 1)
+  UNION ALL SELECT l.doc_id, 1000 + k.level, (s.pos >> k.level) & 1, coalesce(t.node, '') FROM leaves l JOIN subroots s ON s.lang = l.g CROSS JOIN top_levels k
+    LEFT JOIN top t ON t.level = k.level AND t.pos = xor(s.pos >> k.level, 1)),
+path AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY level) AS step FROM beside),
+folds AS (SELECT doc_id, 0::BIGINT AS step, claim AS x FROM leaves
+  UNION ALL SELECT doc_id, p.step, sha256(CASE WHEN side = 1 THEN p.node || x ELSE x || p.node END) FROM folds f JOIN path p USING (doc_id) WHERE p.step = f.step + 1),
+folded AS (SELECT doc_id, arg_max(x, step) AS folded_root FROM folds GROUP BY 1),
+proofs AS (SELECT doc_id, sha256(string_agg(node, '' ORDER BY step)) AS proof_sha256 FROM path GROUP BY 1)
+SELECT l.doc_id, l.leaf, s.node AS subroot, r.node AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = r.node AS verified
+FROM leaves l JOIN subroots s ON s.lang = l.g JOIN (SELECT node FROM top WHERE n = 1) r ON true JOIN folded USING (doc_id) LEFT JOIN proofs USING (doc_id)"""
