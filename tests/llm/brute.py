@@ -164,3 +164,25 @@ def merkle(rows):
                 x = sha(node, x) if side else sha(x, node)
             out.append((row[0], leaf(row), subroot, root, sha(*(n for n, _ in path + top)), x, x == root))
     return out
+
+
+def runs_of_words(text):
+    words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate(LOWER))
+    return words, words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+
+
+def resampling(docs, target, percent=25, seed=7):
+    """Of each (doc_id, text): n_words, n_features, weight, score; and the ranks of (score, doc_id) drawn."""
+    bucket = lambda f: zlib.crc32(f.encode()) % 10_000
+    s = Counter(bucket(f) for _, x in docs for f in runs_of_words(x)[1])
+    t = Counter(bucket(f) for x in target for f in runs_of_words(x)[1])
+    total, aim = sum(s.values()), sum(t.values())
+    gain = lambda b: math.floor(1000 * math.log((t[b] + 1) * (total + 10_000) / ((s[b] + 1) * (aim + 10_000))))
+    out = []
+    for d, x in docs:
+        words, features = runs_of_words(x)
+        weight = sum(gain(bucket(f)) for f in features) // len(features) if features else 0
+        h = int(sha(f"{seed}:", "" if d is None else str(d))[:8], 16)
+        out.append((d, len(words), len(features), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 2**32)))))
+    able = sorted((-r[4], r[0] is not None, r[0] or 0) for r in out if r[1] >= 20)
+    return out, [(-s, d if known else None) for s, known, d in able[:percent * len(able) // 100]]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vistrata.llm import agenda, bootstrap_pii, hmm, learned_partitions, line_windows, merkle, packing, repetition, setsketch, token_counts, twins, url_filter
+from vistrata.llm import agenda, bootstrap_pii, hmm, learned_partitions, line_windows, merkle, packing, repetition, resampling, setsketch, token_counts, twins, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -101,3 +101,9 @@ def _(read):
 def _(read):
     """Manifest of all documents, checked against the altered copy."""
     return merkle.audited(read("documents"))
+
+
+@query("op12_bit_sliced_resampling", twins.RESAMPLING)
+def _(read):
+    """A quarter of the documents, drawn towards the benchmark's features."""
+    return resampling.resampled(read("documents"), read("benchmark"))

@@ -63,15 +63,16 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(leas
 FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN low USING (doc_id)"""
 
 
-def _crc32(text: str) -> str:
-    """Unsigned CRC-32 of a text's UTF-8 bytes, half a byte at a time; the table follows from the polynomial."""
+def _crc32(code: str) -> str:
+    """Unsigned CRC-32 of the bytes that a text of hexadecimal digits names, half a byte at a time; the table follows
+    from the polynomial."""
     table = []
     for i in range(16):
         for _ in range(4):
             i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
         table.append(i)
-    digit = lambda at: f"instr('123456789ABCDEF', substr(hex({text}), {at}, 1))::BIGINT"
-    halves = f"flatten(list_transform(range(1, 2 * strlen({text}), 2), lambda i: [{digit('i + 1')}, {digit('i')}]))"
+    digit = lambda at: f"instr('123456789ABCDEF', substr({code}, {at}, 1))::BIGINT"
+    halves = f"flatten(list_transform(range(1, strlen({code}), 2), lambda i: [{digit('i + 1')}, {digit('i')}]))"
     step = f"xor(c >> 4, ({table}::BIGINT[])[(xor(c, x) & 15) + 1])"
     return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {halves}), lambda c, x: {step}))"
 
@@ -93,7 +94,7 @@ def _tree(name: str, leaves: str) -> str:
 
 MERKLE = f"""
 WITH RECURSIVE hashed AS (SELECT doc_id, coalesce('=' || lang, '') AS g, {_leaf("n_chars")} AS leaf,
-  {_leaf(f"n_chars + CASE WHEN {_crc32('doc_id::VARCHAR')} % 7 = 0 THEN 1 ELSE 0 END")} AS claim FROM documents),
+  {_leaf(f"n_chars + CASE WHEN {_crc32('hex(doc_id::VARCHAR)')} % 7 = 0 THEN 1 ELSE 0 END")} AS claim FROM documents),
 leaves AS (SELECT *, leaf AS node, row_number() OVER (PARTITION BY g ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM hashed),
 {_tree("tree", "leaves")},
 subroots AS (SELECT '' AS g, g AS lang, node, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
@@ -111,3 +112,29 @@ folded AS (SELECT doc_id, arg_max(x, step) AS folded_root FROM folds GROUP BY 1)
 proofs AS (SELECT doc_id, sha256(string_agg(node, '' ORDER BY step)) AS proof_sha256 FROM path GROUP BY 1)
 SELECT l.doc_id, l.leaf, s.node AS subroot, r.node AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = r.node AS verified
 FROM leaves l JOIN subroots s ON s.lang = l.g JOIN (SELECT node FROM top WHERE n = 1) r ON true JOIN folded USING (doc_id) LEFT JOIN proofs USING (doc_id)"""
+
+
+LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+RUNS = rf"regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _features(table: str, key: str) -> str:
+    return f"""SELECT {key}, f, count(*) AS c FROM (SELECT {key}, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS f
+  FROM (SELECT {key}, {RUNS} AS ws FROM {table})) GROUP BY ALL"""
+
+
+RESAMPLING = f"""
+WITH own AS ({_features("documents", "doc_id")}),
+aim AS ({_features("benchmark", "item_id")}),
+buckets AS (SELECT f, {_crc32("code")} % 10000 AS b FROM (SELECT f, hex(f) AS code FROM (SELECT f FROM own UNION SELECT f FROM aim))),
+s AS (SELECT b, sum(c) AS s FROM own JOIN buckets USING (f) GROUP BY 1),
+t AS (SELECT b, sum(c) AS t FROM aim JOIN buckets USING (f) GROUP BY 1),
+gains AS (SELECT b, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * ((SELECT sum(s) FROM s)::DOUBLE + 10000)
+  / ((s::DOUBLE + 1) * (coalesce((SELECT sum(t) FROM t), 0)::DOUBLE + 10000))))::BIGINT AS gain FROM s LEFT JOIN t USING (b)),
+sums AS (SELECT doc_id, sum(c) AS n, sum(c * gain) AS total FROM own JOIN buckets USING (f) JOIN gains USING (b) GROUP BY 1),
+weights AS (SELECT doc_id, coalesce(len({RUNS}), 0) AS n_words, coalesce(n, 0)::BIGINT AS n_features,
+  CASE WHEN n > 0 THEN (total - (((total % n) + n) % n)) // n ELSE 0 END::BIGINT AS weight,
+  ('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT AS h FROM documents LEFT JOIN sums USING (doc_id)),
+scores AS (SELECT doc_id, n_words, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::BIGINT AS score FROM weights),
+ranks AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scores WHERE n_words >= 20)
+SELECT s.doc_id, n_words, n_features, weight, score, CASE WHEN rank <= 25 * n // 100 THEN rank END AS rank FROM scores s LEFT JOIN ranks USING (doc_id)"""
