@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vistrata.llm import agenda, bootstrap_pii, hmm, learned_partitions, line_windows, merkle, packing, repetition, resampling, setsketch, token_counts, twins, url_filter
+from vistrata.llm import agenda, bootstrap_pii, hmm, language, learned_partitions, line_windows, merkle, packing, repetition, resampling, setsketch, token_counts, twins, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -107,3 +107,9 @@ def _(read):
 def _(read):
     """A quarter of the documents, drawn towards the benchmark's features."""
     return resampling.resampled(read("documents"), read("benchmark"))
+
+
+@query("op13_recurrent_language")
+def _(read):
+    """Language of every document by the bidirectional recurrent network."""
+    return language.identified(read("documents"))
