@@ -170,3 +170,76 @@ def test_dashboard(spark, table):
     assert board.profile["columns"].where("column = 'anomaly'").count() == 1
     assert board.kpis.where("metric LIKE '%anomaly%'").count() == 0
     assert series.detect_time_column(board.cleaned) == "o_orderdate"
+
+
+def plain_fit(rows, horizon=30):
+    """The model's own least squares on whole rows, in one matrix."""
+    start, end = min(r[0] for r in rows), max(r[0] for r in rows)
+    times = sorted({r[0] for r in rows})
+    spacing = min((b - a for a, b in zip(times, times[1:])), default=math.inf)
+    scale = max(abs(np.mean([y for t, y in rows if t == x])) for x in times) or 1.0
+    changes = min(25, max(1, int(len(times) * 0.8) - 1))
+    seasons = [s for s in forecast.SEASONS if end - start >= s[3] and spacing < s[4]]
+
+    def terms(days):
+        t = (days - start) / (end - start)
+        out = [t * 5.0] + [np.maximum(t - 0.8 * (j + 1) / changes, 0) * 0.05 for j in range(changes)]
+        for _, period, order, _, _ in seasons:
+            out += [f(2 * math.pi * k * days / period) * 10.0 for k in range(1, order + 1) for f in (np.sin, np.cos)]
+        return np.stack(out, 1)
+
+    def ridge(x, y, penalty):
+        centred = x - x.mean(0)
+        b = np.linalg.solve(centred.T @ centred / len(y) + penalty * np.eye(x.shape[1]), centred.T @ (y - y.mean()) / len(y))
+        return y.mean() - x.mean(0) @ b, b, np.mean((y - y.mean() - centred @ b) ** 2)
+
+    days, y = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows]) / scale
+    x = terms(days)
+    keep = [0, *range(1 + changes, x.shape[1])]
+    rough = ridge(x[:, keep], y, 1e-9)[2]
+    a, b, _ = ridge(x, y, max(rough / len(y), 1e-10))
+    return (a + terms(end + np.arange(1.0, horizon + 1)) @ b) * scale
+
+
+def test_grouped_fit_is_the_plain_fit(spark, monkeypatch):
+    """Series of many lengths, spread over tasks so that long ones span several, against one matrix per series."""
+    rng, rows = np.random.default_rng(8), []
+    for s, (n, copies) in enumerate([(2, 1), (3, 2), (15, 1), (40, 3), (800, 2), (1500, 1)]):
+        rows += [(f"s{s}", 19000 + t, float(10 * s + 0.1 * t + 3 * math.sin(t / 7) + rng.normal())) for t in range(n) for _ in range(copies)]
+    df = spark.createDataFrame(rows, "series string, day int, y double").select("series", F.date_from_unix_date("day").cast("timestamp").alias("ds"), "y")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        made = forecast.forecast(df).orderBy("series", "ds").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for s in range(6):
+        want = plain_fit([(d, y) for name, d, y in rows if name == f"s{s}"])
+        got = [r["yhat"] for r in made if r["series"] == f"s{s}"]
+        assert len(got) == 30 and np.allclose(got, want, rtol=1e-5, atol=1e-4)
+
+
+def jobs(spark, run):
+    spark.sparkContext.setJobGroup(name := f"group {random.random()}", name)
+    try:
+        run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def test_number_of_jobs_does_not_follow_the_series(spark):
+    def series(n):
+        return spark.range(30 * n).select((F.col("id") % n).cast("string").alias("series"),
+                                          F.date_from_unix_date((F.col("id") / n).cast("int")).cast("timestamp").alias("ds"), F.col("id").cast("double").alias("y"))
+
+    few, many = (jobs(spark, lambda n=n: forecast.forecast(series(n)).collect()) for n in (3, 500))
+    assert many <= few + 2
+
+
+def test_series_without_name_or_with_one_time(spark):
+    rows = [(None, datetime(2024, 1, i), 1.0) for i in range(1, 9)] + [("one", datetime(2024, 1, 1), 1.0)] * 3 + [
+        ("flat", datetime(2024, 1, i), 0.0) for i in range(1, 4)]
+    out = forecast.forecast(spark.createDataFrame(rows, "series string, ds timestamp, y double"))
+    assert {r["series"] for r in out.select("series").distinct().collect()} == {"flat"}
+    assert out.agg(F.max(F.abs("yhat"))).first()[0] < 1e-9
+    assert forecast.forecast(out.limit(0).select("series", "ds", F.col("yhat").alias("y"))).count() == 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vistrata.catalog.aggregates import rounded
@@ -182,6 +183,22 @@ def _(spark, table):
                       ((F.col("yhat_lower") <= F.col("yhat")) & (F.col("yhat") <= F.col("yhat_upper"))).alias("inside"))
 
 
+@query("forecast_line_by_customer", """SELECT o_custkey::VARCHAR AS series, strftime(DATE '2024-01-01' + (n + i)::INT, '%Y-%m-%d') AS ds, true AS on_the_line, true AS inside
+FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1), range(1, 31) r(i) WHERE n >= 2""")
+def _(spark, table):
+    """Each customer's orders, one a day, on a line of the customer's own; it goes on for all with two orders or more."""
+    key = F.col("o_custkey")
+    line = lambda d, k: d * (1 + k % 7) + 100 * (1 + k % 5)
+    day = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    start = F.unix_date(F.lit("2024-01-01").cast("date"))
+    history = table("orders").select(key.cast("string").alias("series"), F.date_from_unix_date(start + day).cast("timestamp").alias("ds"),
+                                     line(day, key).cast("double").alias("y"))
+    out = forecast.forecast(history)
+    true = line(F.unix_date(F.to_date("ds")) - start, F.col("series").cast("bigint"))
+    return out.select("series", F.date_format("ds", "yyyy-MM-dd").alias("ds"), (F.abs(F.col("yhat") / true - 1) < 0.01).alias("on_the_line"),
+                      ((F.col("yhat_lower") <= F.col("yhat")) & (F.col("yhat") <= F.col("yhat_upper"))).alias("inside"))
+
+
 @query("forest_planted", """SELECT o_orderkey % 50 = 0 AS planted, count(*) AS rows, true AS as_expected FROM orders GROUP BY 1""")
 def _(spark, table):
     """Rows moved far from the others are flagged, nearly all others are not; every row has a score in (0, 1)."""
