@@ -243,3 +243,47 @@ def test_series_without_name_or_with_one_time(spark):
     assert {r["series"] for r in out.select("series").distinct().collect()} == {"flat"}
     assert out.agg(F.max(F.abs("yhat"))).first()[0] < 1e-9
     assert forecast.forecast(out.limit(0).select("series", "ds", F.col("yhat").alias("y"))).count() == 0
+
+
+def wide_frame(spark, k, rows, gaps):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(rows, k)).cumsum(1).round(2) + 1e5
+    if gaps:
+        x[rng.random(x.shape) < 0.2] = np.nan
+        x[:, 3] = 5.0
+    return spark.createDataFrame(pd.DataFrame(x, columns=[f"c{i}" for i in range(k)]))
+
+
+@pytest.mark.parametrize("k, gaps", [(70, False), (300, True)])
+def test_matrix_of_many_columns(spark, k, gaps):
+    df = wide_frame(spark, k, 120, gaps)
+    want = df.toPandas().drop(columns=["c3"] if gaps else []).corr()
+    got = association.correlation_matrix(df.repartition(20)).toPandas().pivot(index="row_name", columns="column_name", values="r")
+    got = got.loc[want.index, want.columns].to_numpy()
+    assert np.nanmax(np.abs(got - want.to_numpy())) < 2e-6 and (np.isnan(got) == want.isna().to_numpy()).all()
+
+
+def test_number_of_scans_does_not_follow_the_columns(spark):
+    few, many = (jobs(spark, lambda k=k: association.correlation_matrix(wide_frame(spark, k, 50, False)).collect()) for k in (5, 60))
+    assert few == many
+
+
+@pytest.mark.parametrize("limit", [10, 1_000_000])
+def test_ranks_of_all_pairs(spark, monkeypatch, limit):
+    """Ties, gaps and a value holding a third of the rows, by look-up and by join, in a fixed number of jobs."""
+    monkeypatch.setattr(association, "BROADCAST_ROWS", limit)
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({f"c{i}": np.where(np.arange(900) % 3 == 0, 7.0, rng.normal(size=900).round(1)) for i in range(6)})
+    pdf["c1"] += pdf["c0"]
+    pdf.loc[rng.random(900) < 0.3, "c2"] = None
+    pdf.loc[rng.random(900) < 0.3, "c4"] = None
+    df = spark.createDataFrame(pdf).repartition(5)
+    pairs = [(a, b) for a in pdf for b in pdf if a < b] + [("c4", "c2")]
+    for r in association.spearman_pairs(df, pairs).collect():
+        both = pdf[[r["x_name"], r["y_name"]]].dropna().rank()
+        want = both.iloc[:, 0].corr(both.iloc[:, 1])
+        assert r["n"] == len(both) and math.isclose(r["spearman_r"], want, rel_tol=1e-9, abs_tol=1e-12)
+        assert math.isclose(r["spearman_p_value"], correlation_p(want, len(both)), rel_tol=1e-6, abs_tol=1e-12)
+    assert association.spearman_pairs(df, pairs).count() == 16
+    few, many = (jobs(spark, lambda p=p: association.spearman_pairs(df, p).collect()) for p in (pairs[:2], pairs))
+    assert abs(few - many) <= 1

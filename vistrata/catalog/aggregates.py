@@ -313,6 +313,41 @@ def _(spark, table):
     return rounded(out.drop("spearman_p_value"), 6, "spearman_r")
 
 
+# Amount, quantity and key of the messy rows, none of them complete but the key.
+LOOSE = ["id", "amount", "qty"]
+
+
+@query("correlation_matrix_with_missing", f"WITH {MESSY}, {FINITE} " + " UNION ALL ".join(
+    f"SELECT '{a}' AS row_name, '{b}' AS column_name, " + ("1.0::DOUBLE" if a == b else f"round(corr({a}, {b}), 6)") + " AS r FROM fin HAVING count(*) > 1"
+    for a in LOOSE for b in LOOSE))
+def _(spark, table):
+    return association.correlation_matrix(messy(table("orders")))
+
+
+def ranks_sql(x: str, y: str, source: str) -> str:
+    rank = lambda c: f"(rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2)"
+    return f"""SELECT '{x}' AS x_name, '{y}' AS y_name, count(*) AS n, corr(rx, ry) AS r FROM
+(SELECT {rank(x)} AS rx, {rank(y)} AS ry FROM {source} WHERE {x} IS NOT NULL AND {y} IS NOT NULL)"""
+
+
+def all_pairs(names: list[str]) -> list[tuple[str, str]]:
+    return [(x, y) for i, x in enumerate(names) for y in names[i + 1:]]
+
+
+@query("spearman_matrix", "SELECT x_name, y_name, n, round(r, 6) AS spearman_r FROM (" + " UNION ALL ".join(
+    ranks_sql(x, y, "lineitem") for x, y in all_pairs(NUMBERS)) + ")")
+def _(spark, table):
+    out = association.spearman_pairs(table("lineitem"), all_pairs(NUMBERS))
+    return rounded(out.drop("spearman_p_value"), 6, "spearman_r")
+
+
+@query("spearman_with_missing", f"WITH {MESSY}, {FINITE} " + f"""SELECT x_name, y_name, n, round(r, 6) AS spearman_r, round({P_VALUE}, 5) AS spearman_p_value
+FROM (SELECT *, n - 2.0::DOUBLE AS df, atan(abs(r) / sqrt(1 - r * r)) AS a FROM (""" + " UNION ALL ".join(ranks_sql(x, y, "fin") for x, y in all_pairs(LOOSE)) + "))")
+def _(spark, table):
+    out = association.spearman_pairs(messy(table("orders")), all_pairs(LOOSE))
+    return rounded(rounded(out, 6, "spearman_r"), 5, "spearman_p_value")
+
+
 @query("dataset_shape", """SELECT count(*) AS "rows", 11::INT AS "columns" FROM lineitem""")
 def _(spark, table):
     return summary.dataset_shape(table("lineitem"))

@@ -72,7 +72,7 @@ def _(spark, table):
 @query("chart_scatter_association", " UNION ALL ".join(
     f"SELECT '{x}' AS x_name, '{y}' AS y_name, round(corr({x}, {y}), 6) AS pearson_r, round(regr_slope({y}, {x}), 6) AS slope FROM lineitem" for x, y in PAIRS))
 def _(spark, table):
-    out = association.linear_association(table("lineitem"), association.adjacent_pairs(table("lineitem")))
+    out = charts.chart_scatters(table("lineitem"))["association"]
     return rounded(out.select("x_name", "y_name", "pearson_r", "slope"), 6, "pearson_r", "slope")
 
 

@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vistrata.functions.columns import numeric_columns
 from vistrata.functions.formulas import correlation_p_value
-from vistrata.operators.profile import numbers, numeric_profile, varying_columns
-from vistrata.operators.ranks import average_ranks
+from vistrata.operators.gram import pair_sums
+from vistrata.operators.profile import numbers, numeric_profile, varying
+from vistrata.operators.quantiles import ValueTable, value_table
 from vistrata.session import stage
 
-PAIRS_PER_SCAN = 200
-BROADCAST_ROWS = 100_000
+# Distinct values of all ranked columns that one table in memory may hold (16 bytes each).
+BROADCAST_ROWS = 1_000_000
 HOT_SHARE = 1000
+# Share of the raw squares below which a spread is rounding.
+NO_SPREAD = 1e-11
 
 
 def adjacent_pairs(df: DataFrame, limit: int = 4) -> list[tuple[str, str]]:
@@ -25,46 +28,39 @@ def adjacent_pairs(df: DataFrame, limit: int = 4) -> list[tuple[str, str]]:
     return list(zip(names, names[1:]))[:limit]
 
 
-def _moments(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+def _moments(df: DataFrame, pairs: Sequence[tuple[str, str]], means: dict[str, float] | None = None) -> DataFrame:
     """position, x_name, y_name, n, sxx, syy, sxy, mx, my of each pair over its complete rows.
 
-    Column means are read first; then every sum is over centred values, up to 200 pairs per scan. A pair of
-    columns without missing values needs one product sum, since its squares are shared with other pairs.
+    Column means are read first, if not given; all sums of all pairs then come from one scan of values less these means.
     """
     names = list(dict.fromkeys(c for pair in pairs for c in pair))
-    plain = numbers(df, names)
-    facts = numeric_profile(df, names, moments=False).orderBy("position").collect()
-    centred = plain.select(*[(F.col(f"v{i}") - F.lit(f["mean"] or 0.0)).alias(f"d{i}") for i, f in enumerate(facts)])
-    place = {c: i for i, c in enumerate(names)}
-    frames = []
-    for start in range(0, len(pairs), PAIRS_PER_SCAN):
-        rows = []
-        for k, (a, b) in enumerate(pairs[start:start + PAIRS_PER_SCAN], start):
-            i, j = place[a], place[b]
-            x, y = F.col(f"d{i}"), F.col(f"d{j}")
-            whole = facts[i]["missing"] == 0 and facts[j]["missing"] == 0
-            if not whole:
-                x, y = x + y * 0.0, y + x * 0.0
-            n = F.lit(facts[i]["count"]).cast("bigint") if whole else F.count(x)
-            sx, sy = F.sum(x), F.sum(y)
-
-            def centre(total, left, right, n=n):
-                return total - F.coalesce(F.try_divide(left * right, n), F.lit(0.0))
-
-            rows.append(F.struct(
-                F.lit(k).alias("position"), F.lit(a).alias("x_name"), F.lit(b).alias("y_name"), n.alias("n"),
-                # A constant column has no spread, whatever rounding says.
-                _spread(x, centre(F.sum(x * x), sx, sx)).alias("sxx"),
-                _spread(y, centre(F.sum(y * y), sy, sy)).alias("syy"),
-                centre(F.sum(x * y), sx, sy).alias("sxy"),
-                (F.lit(facts[i]["mean"] or 0.0) + F.try_divide(sx, n)).alias("mx"),
-                (F.lit(facts[j]["mean"] or 0.0) + F.try_divide(sy, n)).alias("my")))
-        frames.append(centred.agg(F.array(*rows).alias("s")).select(F.inline("s")))
-    return reduce(DataFrame.unionByName, frames)
-
-
-def _spread(value, total):
-    return F.when(F.min(value) < F.max(value), total).otherwise(F.lit(0.0))
+    if means is None:
+        means = {r["column"]: r["mean"] for r in numeric_profile(df, names, moments=False).collect()}
+    shift = [means[c] or 0.0 for c in names]
+    centred = numbers(df, names).select(*[(F.col(f"v{i}") - F.lit(m)).alias(f"d{i}") for i, m in enumerate(shift)])
+    return _centred(pair_sums(centred), pairs, {c: i for i, c in enumerate(names)}, shift)
+
+
+def _centred(sums: DataFrame, pairs: Sequence[tuple[str, str]], place: dict[str, int], means: Sequence[float]) -> DataFrame:
+    """Central sums of the named pairs, from the sums of values less `means`."""
+    rows = [(k, a, b, min(place[a], place[b]), max(place[a], place[b]), place[a] > place[b], means[place[a]], means[place[b]])
+            for k, (a, b) in enumerate(pairs)]
+    asked = df_of(sums, rows, "position int, x_name string, y_name string, i int, j int, turned boolean, cx double, cy double")
+    side = lambda one, other: F.when(F.col("turned"), F.col(other)).otherwise(F.col(one))
+    made = F.broadcast(asked).join(sums, ["i", "j"]).select(
+        "position", "x_name", "y_name", "n", "xy", "cx", "cy", side("sx", "sy").alias("sx"), side("sy", "sx").alias("sy"),
+        side("qx", "qy").alias("qx"), side("qy", "qx").alias("qy"))
+    centre = lambda total, left, right: F.col(total) - F.coalesce(F.try_divide(F.col(left) * F.col(right), F.col("n")), F.lit(0.0))
+    # A constant column has no spread, whatever rounding says.
+    spread = lambda q, s: F.when(centre(q, s, s) > F.col(q) * NO_SPREAD, centre(q, s, s)).otherwise(F.lit(0.0))
+    return made.select(
+        "position", "x_name", "y_name", "n", spread("qx", "sx").alias("sxx"), spread("qy", "sy").alias("syy"),
+        centre("xy", "sx", "sy").alias("sxy"), (F.col("cx") + F.try_divide("sx", "n")).alias("mx"),
+        (F.col("cy") + F.try_divide("sy", "n")).alias("my"))
+
+
+def df_of(like: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    return like.sparkSession.createDataFrame(rows, schema)
 
 
 def _bounded(product, left, right):
@@ -79,14 +75,13 @@ def _pearson():
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """row_name, column_name, r over the non-constant numeric columns; pairwise complete, 6 places."""
-    columns = varying_columns(df, columns)
+    facts = varying(df, columns)
+    columns = [r["column"] for r in facts]
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    spark = df.sparkSession
-    diagonal = spark.createDataFrame([(c, c, 1.0) for c in columns],
-                                     "row_name string, column_name string, r double")
+    diagonal = df_of(df, [(c, c, 1.0) for c in columns], "row_name string, column_name string, r double")
     if not pairs:
         return diagonal.limit(0)
-    half = _moments(df, pairs).select("x_name", "y_name", F.round(_pearson(), 6).alias("r"))
+    half = _moments(df, pairs, {r["column"]: r["mean"] for r in facts}).select("x_name", "y_name", F.round(_pearson(), 6).alias("r"))
     both = half.select(F.inline(F.array(
         F.struct(F.col("x_name").alias("row_name"), F.col("y_name").alias("column_name"), "r"),
         F.struct(F.col("y_name").alias("row_name"), F.col("x_name").alias("column_name"), "r"))))
@@ -117,51 +112,69 @@ def linear_association(df: DataFrame, pairs: Sequence[tuple[str, str]] | None =
     )
 
 
-def _attach_rank(rows: DataFrame, ranks: DataFrame, column: str, total: int) -> DataFrame:
-    """Join each row with the rank of its value.
-
-    A short rank table is broadcast. In a long one, values holding over a thousandth of the rows - at most
-    a thousand of them - are broadcast, and only the others are shuffled.
-    """
-    named = ranks.select(F.col("value").alias(column), F.col("count").alias("_c"), F.col("rank").alias(f"rank_{column}"))
-    if ranks.count() <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(named.drop("_c")), column)
-    cut = total // HOT_SHARE
-    hot = F.broadcast(named.where(F.col("_c") > cut).drop("_c"))
-    cold = named.where(F.col("_c") <= cut).drop("_c")
-    return rows.join(hot, column).unionByName(rows.join(hot, column, "left_anti").join(cold, column))
-
-
-def spearman(df: DataFrame, x: str, y: str, ranks: dict[str, DataFrame] | None = None) -> DataFrame:
-    """x_name, y_name, n, spearman_r, spearman_p_value with average ranks for ties.
-
-    Works on distinct (x, y) pairs and distinct values with their counts; the mean rank is (n + 1) / 2 by
-    construction, so only centred products are summed. `ranks` of whole columns may be given when neither
-    column has missing values.
+def _by_lookup(frame: DataFrame, values: ValueTable) -> DataFrame:
+    """Pair sums of centred ranks; every task looks values up in one table of bounded size."""
+    table = values.frame.select("ci", "value", ((F.col("before") + (F.col("vc") + 1) / 2.0) - (F.col("n") + 1) / 2.0).alias("rank")).toPandas()
+    found = []
+    for i in range(len(values.columns)):
+        one = table[table["ci"] == i].sort_values("value")
+        found.append((one["value"].to_numpy(float), one["rank"].to_numpy(float)))
+    shared = frame.sparkSession.sparkContext.broadcast(found)
+
+    def change(x: np.ndarray) -> np.ndarray:
+        out = np.full(x.shape, np.nan)
+        for i, (value, rank) in enumerate(shared.value):
+            there = ~np.isnan(x[:, i])
+            out[there, i] = rank[np.searchsorted(value, x[there, i])]
+        return out
+
+    return pair_sums(frame, change)
+
+
+def _by_join(frame: DataFrame, values: ValueTable) -> DataFrame:
+    """The same by joins of single values; those holding over a thousandth of a column's rows are broadcast, the
+    others shuffled."""
+    k = len(values.columns)
+    rows = stage(frame.withColumn("row", F.monotonically_increasing_id()), "rows")
+    cells = F.array(*[F.struct(F.lit(i).alias("ci"), (F.col(f"v{i}") + 0.0).alias("value")) for i in range(k)])
+    long = rows.select("row", F.inline(cells)).where("value IS NOT NULL")
+    table = stage(values.frame.select("ci", (F.col("value") + 0.0).alias("value"), (F.col("vc") * HOT_SHARE > F.col("n")).alias("hot"), (
+        F.col("before") + (F.col("vc") + 1) / 2.0 - (F.col("n") + 1) / 2.0).alias("rank")), "ranks")
+    # At most a thousand values of each column.
+    hot = F.broadcast(table.where("hot").drop("hot"))
+    ranked = long.join(hot, ["ci", "value"]).unionByName(
+        long.join(hot, ["ci", "value"], "left_anti").join(table.where("NOT hot").drop("hot"), ["ci", "value"]))
+    wide = ranked.groupBy("row").agg(*[F.max(F.when(F.col("ci") == i, F.col("rank"))).alias(f"r{i}") for i in range(k)])
+    return pair_sums(wide.drop("row"))
+
+
+def spearman_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """x_name, y_name, n, spearman_r, spearman_p_value of each pair over its complete rows, ties sharing their mean
+    rank; pairs of fewer than 3 complete rows are left out.
+
+    All columns are ranked by one table of counted values, and all sums of all pairs come from one matrix of ranks, so
+    the number of jobs does not depend on the number of pairs. A column that meets gaps of its partner is ranked
+    within the partner's rows, as a column of its own.
     """
-    # 0.0 makes -0.0 and 0.0 one value, as in comparisons.
-    complete = numbers(df, [x, y]).select((F.col("v0") + 0.0).alias("x"), (F.col("v1") + 0.0).alias("y")).dropna()
-    pairs = complete.groupBy("x", "y").agg(F.count("*").alias("w"))
-    if ranks is None:
-        pairs = stage(pairs, "pairs")
-        total = pairs.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
-    else:
-        total = complete.count()
-    ranked = pairs
-    for side, name in (("x", x), ("y", y)):
-        if ranks is None:
-            counts = pairs.groupBy(F.col(side).alias("value")).agg(F.sum("w").alias("count"))
-            table = stage(average_ranks(counts, "value", "count"), "rank")
-        else:
-            table = ranks[name]
-        ranked = _attach_rank(ranked, table, side, total)
-    dx, dy = F.col("rank_x") - (total + 1) / 2.0, F.col("rank_y") - (total + 1) / 2.0
-    w = F.col("w")
-    sums = ranked.agg(F.sum(w * dx * dy).alias("xy"), F.sum(w * dx * dx).alias("xx"), F.sum(w * dy * dy).alias("yy"))
-    r = _bounded(F.col("xy"), F.col("xx"), F.col("yy"))
-    return (
-        sums.select(F.lit(x).alias("x_name"), F.lit(y).alias("y_name"), F.lit(total).cast("bigint").alias("n"),
-                    r.alias("spearman_r"))
-        .where("n >= 3")
-        .withColumn("spearman_p_value", correlation_p_value()(F.col("spearman_r"), F.col("n").cast("double")))
-    )
+    names = list(dict.fromkeys(c for pair in pairs for c in pair))
+    gaps = {r["column"] for r in numeric_profile(df, names, moments=False).where("missing > 0").select("column").collect()}
+    place = {c: i for i, c in enumerate(names)}
+    sides = [((x, y if y in gaps else None), (y, x if x in gaps else None)) for x, y in pairs]
+    columns = list(dict.fromkeys(side for both in sides for side in both))
+    frame = numbers(df, names).select(*[
+        (F.when(F.col(f"v{place[mask]}").isNotNull(), F.col(f"v{place[c]}")) if mask else F.col(f"v{place[c]}")).alias(f"v{i}")
+        for i, (c, mask) in enumerate(columns)])
+    values = value_table(frame, frame.columns)
+    sums = (_by_lookup if values.frame.count() <= BROADCAST_ROWS else _by_join)(frame, values)
+    at = {side: i for i, side in enumerate(columns)}
+    keyed = [(str(at[a]), str(at[b])) for a, b in sides]
+    made = _centred(sums, keyed, {str(i): i for i in range(len(columns))}, [0.0] * len(columns)).where("n >= 3")
+    named = df_of(df, [(k, x, y) for k, (x, y) in enumerate(pairs)], "position int, x_name string, y_name string")
+    r = _pearson()
+    return (made.drop("x_name", "y_name").join(F.broadcast(named), "position").select("x_name", "y_name", "n", r.alias("spearman_r"))
+            .withColumn("spearman_p_value", correlation_p_value()(F.col("spearman_r"), F.col("n").cast("double"))))
+
+
+def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
+    """The same of one pair."""
+    return spearman_pairs(df, [(x, y)])

@@ -127,13 +127,17 @@ def drop_constant_numeric(df: DataFrame) -> DataFrame:
     return df.drop(*constant_numeric_columns(df))
 
 
-def varying_columns(df: DataFrame, columns: Sequence[str] | None = None) -> list[str]:
-    """Numeric columns with more than one distinct value, in order; all-missing ones fall out too."""
+def varying(df: DataFrame, columns: Sequence[str] | None = None) -> list:
+    """Profile rows of the numeric columns with more than one distinct value, in order."""
     columns = numeric_columns(df) if columns is None else list(columns)
     if not columns:
         return []
-    p = numeric_profile(df, columns, moments=False)
-    return [r["column"] for r in p.where("min < max").orderBy("position").select("column").collect()]
+    return numeric_profile(df, columns, moments=False).where("min < max").orderBy("position").collect()
+
+
+def varying_columns(df: DataFrame, columns: Sequence[str] | None = None) -> list[str]:
+    """Numeric columns with more than one distinct value, in order; all-missing ones fall out too."""
+    return [r["column"] for r in varying(df, columns)]
 
 
 def low_cardinality(df: DataFrame, limit: int, columns: Sequence[str] | None = None) -> dict[str, int]:

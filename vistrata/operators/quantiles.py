@@ -74,12 +74,6 @@ class ValueTable:
     def named(self) -> DataFrame:
         return self.frame.select(named(self.columns), "value", "vc")
 
-    def ranks(self) -> dict[str, DataFrame]:
-        """value, count and average rank of each column."""
-        rank = (F.col("before") + (F.col("vc") + 1) / 2.0).alias("rank")
-        return {c: self.frame.where(F.col("ci") == i).select("value", F.col("vc").alias("count"), rank)
-                for i, c in enumerate(self.columns)}
-
     def sample(self, k: int, seed: int = 0) -> DataFrame:
         """(column, value): k random values of each column, or all when there are no more.
 

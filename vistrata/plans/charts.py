@@ -10,13 +10,12 @@ from pyspark.sql import Window
 
 from vistrata.functions.columns import categorical_columns, col, finite, numeric_columns
 from vistrata.operators.association import (
-    adjacent_pairs, correlation_matrix, linear_association, spearman)
+    adjacent_pairs, correlation_matrix, linear_association, spearman_pairs)
 from vistrata.operators.counts import category_summary, top_values_per_column
 from vistrata.operators.groups import group_detail, group_means
 from vistrata.operators.histogram import histograms
 from vistrata.operators.preview import CATEGORY_POINTS, SERIES_POINTS, series_preview
 from vistrata.operators.profile import low_cardinality, varying_columns
-from vistrata.operators.quantiles import value_table
 from vistrata.operators.statistics import full_statistics
 
 # Category limits and shown values per chart type, number of group-mean charts.
@@ -102,22 +101,16 @@ def chart_scatters(df: DataFrame, statistics: DataFrame | None = None) -> dict[s
     pairs = adjacent_pairs(df)
     if not pairs:
         return {}
-    out = {"association": linear_association(df, pairs)}
-    ranked = None
+    out = {"association": linear_association(df, pairs), "rank_correlation": spearman_pairs(df, pairs)}
     whole = set()
     if statistics is not None:
         whole = {r["column"] for r in statistics.where("missing = 0").select("column").collect()}
-    shared = [c for c in dict.fromkeys(c for pair in pairs for c in pair) if c in whole]
-    ranks = value_table(df, shared).ranks() if shared else {}
     for x, y in pairs:
         out[f"points_{x}_{y}"] = scatter_points(df, x, y)
-        one = spearman(df, x, y, ranks if {x, y} <= whole else None)
-        ranked = one if ranked is None else ranked.unionByName(one)
         if {x, y} <= whole:
             out[f"statistics_{x}_{y}"] = statistics.where(F.col("column").isin(x, y))
         else:
             out[f"statistics_{x}_{y}"] = full_statistics(df.select(col(x), col(y)).dropna(), [x, y])
-    out["rank_correlation"] = ranked
     return out
 
 
