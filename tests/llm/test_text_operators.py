@@ -155,6 +155,41 @@ def test_personal_data(data, request):
     assert got == ordered((d, *brute.personal(t)) for d, t in pairs(docs))
 
 
+def test_half_of_the_known_comes_back(spark):
+    """Identifiers after labels of one kind, every second value unknown: all come back, and no word of the other rows."""
+    rows = [(i, f"note {i % 3} write to: user{i}x@mail{i}.example.com or call +1 (555) 010-{1000 + i} of version 12{i}.0 please") for i in range(60)]
+    rows += [(100 + i, f"the year 19{i}45678 or user{i}x@mail{i}.example.com, file a{i}b2c3d4 in row {i}99912") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    hidden = F.pmod("v", F.lit(2)) == 0
+    edges = bootstrap_pii.instances(bootstrap_pii._based(docs))
+    lost = {(r.doc_id, r.start) for r in edges.where(hidden & F.col("base") & (F.col("doc_id") < 100) & (F.col("seed") == "email")).collect()}
+    got = bootstrap_pii.discovered(docs, hidden).collect()
+    assert len(lost) > 15 and lost <= {(r.doc_id, r.start) for r in got if r.kind == "email"}
+    texts = dict(rows)
+    assert all("@" in texts[r.doc_id][r.start:r.end] or texts[r.doc_id][r.start] in "+(" for r in got)
+
+
+def test_secrets_come_by_patterns_only(spark):
+    """Runs of letters and digits are named where a label always precedes such runs, and nowhere else."""
+    rows = [(i, f'x {i} token = "{i % 7}a{i}f0c9e8b7d6a5{i}4f3e2d1c0b" end') for i in range(12)] + [(50, "x token = hunter2pass! end")]
+    rows += [(60 + i, f"a commit 9f{i}a8b7c6d5e4f3a2b1c0d9 and a commit {i}12345678") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    made = {r.doc_id: r for r in bootstrap_pii.spans(docs).collect()}
+    assert all(made[i].spans.startswith("secret:") and made[i].n_spans == 1 for i in range(12))
+    assert made[50].spans == "secret:10:22" and all(made[60 + i].n_spans == 0 for i in range(9))
+    assert {r.doc_id: r.text for r in bootstrap_pii.masked(docs).collect()}[50] == "x token = [SECRET] end"
+
+
+def test_masking_is_one_cut(spark, monkeypatch):
+    """Overlapping spans of several kinds are one, named by the first, across chunks as well."""
+    text = "a 4111 1111 1111 1111@b.cd +1 (952) 555-4063 or 1.2.3.4.5 é" + "z" * 30 + " +4111111111111111 end x@y.z"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "no data 7")], "doc_id bigint, text string")
+    want = {2: None, 3: "", 4: "no data 7", 1: "a [CARD] [PHONE] or [IP].5 é" + "z" * 30 + " +[CARD] end [EMAIL]"}
+    for size in (4096, 7, 1):
+        monkeypatch.setattr(bootstrap_pii, "CHUNK", size)
+        assert {r.doc_id: r.text for r in bootstrap_pii.masked(docs).collect()} == want
+
+
 def test_contexts_find_unseen_identifiers(spark):
     """A cue that mostly stands before addresses finds identifiers of another form; common words do not."""
     rows = [(i, f"text {i} contact desk: user{i}@mail.example.com and the office") for i in range(20)]

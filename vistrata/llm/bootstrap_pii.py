@@ -4,13 +4,19 @@ Base spans: a text is cut by the kind's pattern; the lengths of gaps and matches
 matches that fail the kind's check are dropped. Patterns never retry inside a run of their characters (possessive
 loops, look-behind or the end of the last match), so long runs cost linear time and no deep stack.
 
-Bootstrapping: words that hold a digit or an @ are instances; their one and two preceding words are lexical patterns.
-Instances inside base spans are seeds with score 1. Each turn, a pattern's score is the sum of the scores of its
-distinct instances over the distinct words that follow the pattern's words anywhere in the corpus (an end of text is
-one of them), so that copies of texts change nothing, and an instance outside the seeds takes the best score of its
-patterns. A pattern counts in a turn from SEEDS distinct instances on that are seeds or were found in the turn before:
-those that patterns of score SURE or more precede, of the kind most of a pattern's known instances have. Every pattern
-that can count is kept, as a table that Spark joins by shuffle unless it is small; the places are counted once.
+Bootstrapping works on instances alone: words that hold a digit or an @ and do not stand inside a base span that began
+before them. The one and two words before an instance, each alone and with the instance's shape (runs of letters, of
+digits and of both, and marks), are its lexical patterns. Known instances are those that base spans begin in, and, as
+a kind of their own that only patterns can confirm, single runs of SECRET letters and digits. Each turn, a pattern's
+score for a kind is the sum of the scores of its distinct known instances of that kind over all distinct instances
+that it precedes anywhere in the corpus, so copies of texts change nothing. A pattern counts from SEEDS known instances
+of one kind on, if those are a share of SURE or more of its known instances of all kinds, and if its score is SURE or
+more - or LIKELY, for a pattern with a shape, whose instances look alike (secrets excepted, which do by definition). It names its kind for all instances of LEAST
+letters and digits that it precedes; those get the best score of their patterns and count as known in the next turn.
+Words that match a kind's own pattern but failed its check are never named that kind. All tables hold hashes; their
+rows follow the instances, not the words of the corpus.
+
+In `masked`, spans of all kinds are laid over each other: where they overlap they are one, named by the first.
 
 Defined cases: a null or empty text holds nothing; rows repeated with one doc_id and text give equal rows; null
 doc_ids are kept; further columns are ignored (`spans`) or passed on (`masked`); an empty table gives an empty result.
@@ -20,7 +26,7 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vistrata.session import stage
@@ -37,9 +43,15 @@ KINDS = {
 # A number up to 255 with any zeros before it; a part of zeros only ends after them.
 SMALL = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?|(?<=0))"
 INSTANCE = rf"(?<![^{SEPARATORS}])[^{SEPARATORS}0-9@]*+[0-9@][^{SEPARATORS}]*+"
-SEEDS, SURE, TURNS = 5, 0.8, 3
+SEEDS, SURE, LIKELY, TURNS = 5, 0.8, 0.4, 3
 # An instance's letters and digits, without which a word is no identifier.
 LEAST = 6
+# The kind that patterns alone confirm, and what its known instances look like.
+SECRET = "secret"
+SECRET_RUN = r"^[^A-Za-z0-9]*(?=[0-9]*[A-Za-z][0-9]*[A-Za-z])(?=[A-Za-z]*[0-9][A-Za-z]*[0-9])[A-Za-z0-9]{20,}[^A-Za-z0-9]*$"
+ALL = [*KINDS, SECRET]
+# Characters of a text that are masked together.
+CHUNK = 4096
 # Matches that are placed together.
 RUN = 128
 SPAN = "array<struct<start:int,end:int,value:string>>"
@@ -125,8 +137,18 @@ def _cues(first: Column, second: Column) -> Column:
     return F.array(F.xxhash64(second), F.when(first.isNotNull(), F.xxhash64(first, second)))
 
 
+def _shape(value: Column) -> Column:
+    mixed = F.regexp_replace(value, "[A-Za-z]++[0-9][A-Za-z0-9]*+|[0-9]++[A-Za-z][A-Za-z0-9]*+", "\u0001")
+    return F.regexp_replace(F.regexp_replace(mixed, r"\p{L}++", "a"), "[0-9]++", "0")
+
+
+def _long(value: Column) -> Column:
+    return F.length(F.regexp_replace(value, "[^A-Za-z0-9]", "")) >= LEAST
+
+
 def instances(rows: DataFrame) -> DataFrame:
-    """doc_id, t, start, end, value, seed kind (null outside base spans) and the cues of each instance.
+    """doc_id, t, start, end, v (hash of the value), seed (kind, or null), base (in a base span), refused (kinds whose
+    check it failed), able (long enough), pattern and the least score it counts with, a row for each pattern of each instance.
 
     `rows` holds doc_id, t, text and the base spans by kind."""
     some = rows.withColumn("w", _words(F.col("text"))).withColumn("l", _words(_lower(F.col("text"))))
@@ -134,50 +156,57 @@ def instances(rows: DataFrame) -> DataFrame:
     words = F.arrays_zip(F.col("w").alias("word"), _shifted(F.col("l"), 1).alias("second"), _shifted(F.col("l"), 2).alias("first"))
     placed = some.select("doc_id", "t", *KINDS, F.inline(F.arrays_zip(
         _placed(_cut(F.col("text"), INSTANCE)).alias("span"), F.filter(words, lambda x: x["word"].rlike("[0-9@]")).alias("before"))))
-    inside = lambda kind: F.exists(kind, lambda s: (F.col("span.start") < s["end"]) & (F.col("span.end") > s["start"]))
-    seed = F.coalesce(*(F.when(inside(k), k) for k in KINDS))
-    return (placed.withColumn("seed", seed).where("before.second is not null")
-            .select("doc_id", "t", F.col("span.start").alias("start"), F.col("span.end").alias("end"), F.col("span.value").alias("value"),
-                    "seed", F.explode(_cues(F.col("before.first"), F.col("before.second"))).alias("cue")).where("cue is not null"))
-
-
-def _long(value: Column) -> Column:
-    return F.length(F.regexp_replace(value, "[^A-Za-z0-9]", "")) >= LEAST
-
-
-def _graph(edges: DataFrame, texts: DataFrame) -> DataFrame:
-    """cue, value, seed and places of every pattern that SEEDS instances or more may make count, with each of its instances:
-    places counts the distinct words after the pattern's words in the whole corpus."""
-    pairs = stage(edges.groupBy("cue", "value").agg(F.min("seed").alias("seed")), "pairs")
-    able = stage(pairs.where(F.col("seed").isNotNull() | _long(F.col("value"))).groupBy("cue").agg(F.count("*").alias("n"))
-                 .where(F.col("n") >= SEEDS).select("cue"), "patterns")
-    words = texts.select(_words(F.col("text")).alias("w"), _words(_lower(F.col("text"))).alias("l")).where(F.size("w") > 0)
-    after = F.concat(F.slice("w", 2, F.size("w") - 1), F.expr("cast(array(null) as array<string>)"))
-    runs = words.select(F.inline(F.arrays_zip(_shifted(F.col("l"), 1).alias("x"), F.col("l").alias("y"), after.alias("z"))))
-    # The hash of a null stands for an end of text.
-    places = (runs.select(F.explode(_cues(F.col("x"), F.col("y"))).alias("cue"), F.xxhash64("z").alias("next"))
-              .join(able, "cue").distinct().groupBy("cue").agg(F.count("*").alias("places")))
-    return pairs.join(stage(places, "places"), "cue")
-
-
-def bootstrapped(docs: DataFrame) -> DataFrame:
-    """doc_id, t, kind, start, end and value of identifiers that sure patterns precede outside base spans."""
-    edges = stage(instances(_based(docs.where(F.col("text").rlike("[0-9@]")))), "instances")
-    graph = stage(_graph(edges, docs), "graph")
-    scores = graph.groupBy("value").agg(F.max(F.when(F.col("seed").isNotNull(), 1.0).otherwise(0.0)).alias("score"), F.lit(None).cast("string").alias("found"))
-    for _ in range(TURNS):
-        known = F.coalesce("seed", "found")
-        patterns = (graph.join(scores, "value").groupBy("cue")
-                    .agg((F.sum("score") / F.first("places")).alias("sure"), F.count(known).alias("known"), F.mode(known, True).alias("kind"))
-                    .where(F.col("known") >= SEEDS))
-        patterns = stage(patterns.select("cue", "kind", F.least("sure", F.lit(1.0)).alias("sure")), "pattern-scores")
-        score = F.when(F.col("seed").isNotNull(), 1.0).otherwise(F.coalesce("sure", F.lit(0.0)))
-        found = F.when(F.col("seed").isNull() & (F.col("sure") >= SURE) & _long(F.col("value")), F.col("kind"))
-        scores = stage(graph.join(patterns, "cue", "left").groupBy("value").agg(F.max(score).alias("score"), F.min(found).alias("found")), "instance-scores")
-    sure = patterns.where(F.col("sure") >= SURE).select("cue", "kind")
-    return (edges.where(F.col("seed").isNull() & _long(F.col("value"))).join(sure, "cue")
-            .groupBy("doc_id", "t", "start", "end", "value").agg(F.min("kind").alias("kind"))
-            .select("doc_id", "t", "kind", "start", "end", "value"))
+    start, end, value = (F.col(f"span.{c}") for c in ("start", "end", "value"))
+    meets = lambda kind: F.exists(kind, lambda s: (start < s["end"]) & (end > s["start"]))
+    within = lambda kind: F.exists(kind, lambda s: (start > s["start"]) & (start < s["end"]))
+    for kind in KINDS:
+        placed = placed.where(~within(kind))
+    base = F.coalesce(*(F.when(meets(k), k) for k in KINDS))
+    refused = F.filter(F.array(*(F.when(_holds(value, k) & value.rlike(pattern), F.lit(k)) for k, (_, pattern) in KINDS.items())), lambda k: k.isNotNull())
+    cues = F.col("cues")
+    return (placed.where("before.second is not null")
+            .select("doc_id", "t", start.alias("start"), end.alias("end"), F.xxhash64(value).alias("v"), _shape(value).alias("shape"),
+                    F.coalesce(base, F.when(value.rlike(SECRET_RUN), SECRET)).alias("seed"), base.isNotNull().alias("base"),
+                    refused.alias("refused"), _long(value).alias("able"), F.filter(_cues(F.col("before.first"), F.col("before.second")), lambda c: c.isNotNull()).alias("cues"))
+            .withColumn("p", F.explode(F.concat(F.transform(cues, lambda c: F.struct(c.alias("pattern"), F.lit(SURE).alias("least"))), F.transform(
+                cues, lambda c: F.struct(F.xxhash64(c, "shape").alias("pattern"), F.lit(LIKELY).alias("least"))))))
+            .select("doc_id", "t", "start", "end", "v", "seed", "base", "refused", "able", "p.pattern", "p.least"))
+
+
+def bootstrapped(edges: DataFrame) -> DataFrame:
+    """pattern, kind and score of every sure pattern of the instances in `edges`."""
+    graph = stage(edges.groupBy("pattern", "v").agg(F.min("seed").alias("seed"), F.first("refused").alias("refused"), F.first("able").alias("able"), F.first("least").alias("least")), "graph")
+    # Patterns that can never count are left out before anything is joined.
+    able = graph.groupBy("pattern").agg(F.count("*").alias("n"), F.count_if(F.col("seed").isNotNull() | F.col("able")).alias("most")).where(F.col("most") >= SEEDS)
+    graph = stage(graph.join(able.select("pattern", "n"), "pattern"), "patterns")
+    known = graph.where("seed is not null").select("v", F.col("seed").alias("kind"), F.lit(1.0).alias("score")).distinct()
+    for turn in range(TURNS):
+        sums = graph.join(known, "v").groupBy("pattern", "kind").agg(
+            (F.sum("score") / F.first("n")).alias("score"), F.count("*").alias("n_known"), F.first("least").alias("least"))
+        # A row for each kind of a pattern.
+        of_all = F.sum("n_known").over(Window.partitionBy("pattern"))
+        # Secrets look alike by their definition, so only patterns without a shape tell.
+        least = F.when(F.col("kind") != SECRET, F.col("least")).when(F.col("least") == SURE, F.lit(SURE))
+        counts = (F.col("n_known") >= SEEDS) & (F.col("score") >= least) & (F.col("n_known") >= SURE * F.col("of_all"))
+        patterns = stage(sums.withColumn("of_all", of_all).where(counts).select("pattern", "kind", "score"), "sure")
+        if turn + 1 < TURNS:
+            named = (graph.where("seed is null and able").join(patterns, "pattern").where(~F.array_contains("refused", F.col("kind")))
+                     .groupBy("v").agg(F.max_by(F.struct("kind", "score"), F.struct("score", "kind")).alias("best")).select("v", "best.kind", "best.score"))
+            known = stage(named.unionByName(graph.where("seed is not null").select("v", F.col("seed").alias("kind"), F.lit(1.0).alias("score")).distinct()), "known")
+    return patterns
+
+
+def discovered(docs: DataFrame, hidden: Column | None = None) -> DataFrame:
+    """doc_id, t, kind, start and end of identifiers that sure patterns precede outside base spans. For tests, known
+    instances with `hidden` true (a condition on the hash v) are taken as unknown."""
+    edges = instances(_based(docs.where(F.col("text").rlike("[0-9@]"))))
+    if hidden is not None:
+        edges = edges.withColumn("seed", F.when(~hidden, F.col("seed"))).withColumn("base", F.col("base") & ~hidden).withColumn(
+            "refused", F.when(hidden, F.array().cast("array<string>")).otherwise(F.col("refused")))
+    edges = stage(edges, "instances")
+    found = edges.where("able and not base").join(bootstrapped(edges), "pattern").where(~F.array_contains("refused", F.col("kind")))
+    return (found.groupBy("doc_id", "t", "start", "end").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
+            .select("doc_id", "t", "kind", "start", "end"))
 
 
 def _based(docs: DataFrame) -> DataFrame:
@@ -187,43 +216,54 @@ def _based(docs: DataFrame) -> DataFrame:
 
 def _added(docs: DataFrame) -> DataFrame:
     """doc_id, t and new spans by text."""
-    new = bootstrapped(docs)
-    return new.groupBy(F.col("doc_id").alias("__doc"), F.col("t").alias("__t")).agg(
-        F.array_sort(F.collect_set(F.struct("kind", "start", "end", "value"))).alias("__more"))
+    return discovered(docs).groupBy(F.col("doc_id").alias("__doc"), F.col("t").alias("__t")).agg(
+        F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("__more"))
+
+
+MORE = "cast(array() as array<struct<kind:string,start:int,end:int>>)"
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_added of every row."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added and n_spans (all) of every row."""
     more = _added(docs)
     rows = _based(docs).drop("text")
     kept = rows.join(more, rows["doc_id"].eqNullSafe(more["__doc"]) & (rows["t"] == more["__t"]), "left")
-    extra = lambda kind: F.transform(F.filter(F.coalesce("__more", F.expr("cast(array() as array<struct<kind:string,start:int,end:int,value:string>>)")),
-                                              lambda s: s["kind"] == kind), lambda s: F.struct(s["start"], s["end"], s["value"]))
-    both = lambda kind: F.array_sort(F.concat(F.col(kind), extra(kind)))
+    extra = lambda kind: F.transform(F.filter(F.coalesce("__more", F.expr(MORE)),
+                                              lambda s: s["kind"] == kind), lambda s: F.struct(s["start"], s["end"], F.lit("").alias("value")))
+    both = lambda kind: F.array_sort(F.concat(F.col(kind), extra(kind))) if kind in KINDS else extra(kind)
+    n_added = F.when(F.col("__more").isNull(), 0).otherwise(F.size("__more")).cast("bigint")
+    sizes = [F.size(k).cast("bigint") for k in KINDS]
     return kept.select(
-        "doc_id", *(F.size(k).cast("bigint").alias(f"n_{k}") for k in KINDS),
+        "doc_id", *(n.alias(f"n_{k}") for k, n in zip(KINDS, sizes)),
         F.sha2(F.array_join(F.concat(*(_line(k, F.col(k)) for k in KINDS)), ","), 256).alias("base_sha256"),
-        F.array_join(F.concat(*(_line(k, both(k)) for k in KINDS)), ",").alias("spans"),
-        F.when(F.col("__more").isNull(), 0).otherwise(F.size("__more")).cast("bigint").alias("n_added"))
+        F.array_join(F.concat(*(_line(k, both(k)) for k in ALL)), ",").alias("spans"),
+        n_added.alias("n_added"), (sizes[0] + sizes[1] + sizes[2] + sizes[3] + n_added).alias("n_spans"))
+
 
+def _masked_chunk(chunk: Column, i: Column, spans: Column) -> Column:
+    """A chunk of the text, spans in it replaced; a span's name stands in the chunk where it begins."""
+    low = i * CHUNK
+    high = low + F.length(chunk)
+    own = F.filter(spans, lambda s: (s["end"] > low) & (s["start"] < high))
+    part = lambda a, b: F.substring(chunk, a - low + 1, b - a)
 
-def _hide(text: Column, kind: str) -> Column:
-    """The text with the base spans of one kind replaced by the kind's name."""
-    name = F.lit(f"[{kind.upper()}]")
-    parts = F.transform(_cut(text, KINDS[kind][1]), lambda x: F.concat(x["gap"], F.when(
-        x["value"].isNull(), "").when(_passes(kind, x["value"]), name).otherwise(x["value"])))
-    return F.when(_holds(text, kind), F.array_join(parts, "")).otherwise(text)
+    def step(acc: Column, s: Column) -> Column:
+        fresh = s["start"] >= acc["at"]
+        name = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        return F.struct(F.greatest(acc["at"], F.least(s["end"], high)).alias("at"), F.when(
+            fresh, F.concat(acc["out"], part(acc["at"], s["start"]), name)).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(own, F.struct(low.alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], part(acc["at"], high)))
 
 
 def masked(docs: DataFrame) -> DataFrame:
     """The rows with personal data in text replaced by the kind's name in brackets."""
     more = _added(docs)
     joined = docs.join(more, docs["doc_id"].eqNullSafe(more["__doc"]) & (F.xxhash64(docs["text"]) == more["__t"]), "left")
-    # New spans first, from the end of the text, where positions still hold.
-    cut = F.aggregate(F.reverse(F.array_sort(F.transform("__more", lambda s: F.struct(s["start"], s["end"], s["kind"])))), F.col("text"),
-                      lambda text, s: F.concat(F.substring(text, F.lit(1), s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"),
-                                               F.substring(text, s["end"] + 1, F.length(text))))
-    out = joined.withColumn("text", F.when(F.col("__more").isNull(), F.col("text")).otherwise(cut))
-    for kind in KINDS:
-        out = out.withColumn("text", _hide(F.col("text"), kind))
-    return out.select(*docs.columns)
+    rank = F.create_map(*(F.lit(x) for i, k in enumerate(ALL) for x in (k, i)))
+    named = lambda spans, kind: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), rank[kind(s)].alias("rank"), kind(s).alias("kind")))
+    every = F.concat(*(named(found(F.col("text"), k), lambda s, k=k: F.lit(k)) for k in KINDS), named(F.coalesce("__more", F.expr(MORE)), lambda s: s["kind"]))
+    spanned = joined.withColumn("__spans", F.array_sort(every))
+    chunks = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    text = F.array_join(F.transform(chunks, lambda c, i: _masked_chunk(c, i, F.col("__spans"))), "")
+    return spanned.withColumn("text", F.when(F.size("__spans") > 0, text).otherwise(F.col("text"))).select(*docs.columns)
