@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vistrata.catalog.base import query
 from vistrata.functions import columns as C
 from vistrata.functions import names as N
-from vistrata.operators import cleaning, profile, series
+from vistrata.operators import cleaning, layouts, profile, series
 from vistrata.plans.kpis import kpi_labels, kpis
 
 # Rows with every kind of missing value, extremes, a constant column and exact copies, made from orders.
@@ -190,6 +190,39 @@ def _(spark, table):
     return df.withColumn("day", C.to_time(F.col("day"), df.schema["day"].dataType).cast("timestamp_ntz"))
 
 
+# Order dates written out in layouts of their own; every fourth `loose` value has the other order of day and month.
+WRITTEN = """
+WITH t AS (SELECT o_orderkey, o_orderdate::DATE AS d, o_orderkey % 4 = 0 AS odd FROM orders)"""
+
+
+def written(orders):
+    day, odd = F.col("o_orderdate"), F.col("o_orderkey") % 4 == 0
+    text = lambda form: F.date_format(day, form)
+    return orders.select(
+        "o_orderkey", text("dd/MM/yyyy").alias("day_first"), text("M/d/yyyy h:mm a").alias("month_first"), text("d MMM yyyy").alias("named"),
+        text("dd.MM.yyyy HH:mm:ss.SSS").alias("dotted"), text("yyyy-MM-dd'T'HH:mm:ssXXX").alias("iso"),
+        F.when(odd, text("MM/dd/yyyy")).otherwise(text("dd/MM/yyyy")).alias("loose"), F.col("o_orderpriority").alias("words"))
+
+
+@query("column_layouts", f"""{WRITTEN},
+n AS (SELECT count(*) AS n, count(*) FILTER (day(d) <= 12) AS low, count(*) FILTER (NOT odd OR day(d) <= 12) AS mixed FROM t)
+SELECT * FROM (SELECT unnest(['day_first', 'month_first', 'named', 'dotted', 'iso', 'loose']) AS "column",
+ unnest(['d/M/yyyy', 'M/d/yyyy', 'd MMM yyyy', 'd.M.yyyy', 'iso', 'd/M/yyyy']) AS layout, unnest([n, n, n, n, n, mixed]) AS read,
+ n AS readable, n AS present FROM n)""")
+def _(spark, table):
+    """The layout of each text column, how many values it reads and how many any layout reads."""
+    return layouts.chosen_layouts(layouts.layout_scores(written(table("orders"))))
+
+
+@query("dates_by_layout", f"""{WRITTEN}
+SELECT o_orderkey, d::VARCHAR AS day_first, d::VARCHAR AS month_first, d::VARCHAR AS named, d::VARCHAR AS dotted, d::VARCHAR AS iso,
+CASE WHEN NOT odd THEN d::VARCHAR WHEN day(d) <= 12 THEN make_date(year(d), day(d), month(d))::VARCHAR END AS loose FROM t""")
+def _(spark, table):
+    """Columns of dates read as a whole: values that contradict the column's order of day and month stay unread."""
+    made, _ = layouts.dates_read(written(table("orders")))
+    return made.select("o_orderkey", *[F.to_date(c).cast("string").alias(c) for c in ("day_first", "month_first", "named", "dotted", "iso", "loose")])
+
+
 @query("kpi_value_text", """
 SELECT o_orderkey, CASE WHEN v = floor(v) AND abs(v) < 1e15 THEN v::BIGINT::VARCHAR ELSE v::VARCHAR END AS text
 FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN round(o_totalprice) ELSE round(o_totalprice, 6) END AS v FROM orders)""")

@@ -82,17 +82,27 @@ def _(spark, table):
     return Q.response(table("orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), "o_orderkey"])
 
 
-@query("chart_choice", """
-SELECT * FROM (VALUES ('show price by status', true, 'bar', 'o_orderstatus', 'o_totalprice'), ('share as pie', true, 'pie', 'o_orderstatus', 'o_totalprice'),
+def pie_or_bar(column: str) -> str:
+    return f"CASE WHEN (SELECT count(DISTINCT {column}) FROM orders) <= 10 THEN 'pie' ELSE 'bar' END"
+
+
+@query("chart_choice", f"""
+SELECT * FROM (VALUES ('show price by status', true, 'bar', 'o_orderstatus', 'o_totalprice'), ('share as pie', true, {pie_or_bar("o_orderstatus")}, 'o_orderstatus', 'o_totalprice'),
+ ('pie charts of customers', true, {pie_or_bar("o_custkey")}, 'o_custkey', 'o_custkey'),
  ('price trend', true, 'line', 'o_orderdate', 'o_totalprice'), ('plot price', true, 'histogram', 'o_totalprice', 'o_totalprice'),
+ ('visualize price by status', true, 'bar', 'o_orderstatus', 'o_totalprice'), ('price charts, please', true, 'bar', 'o_orderstatus', 'o_totalprice'),
  ('scatter of both', true, 'scatter', 'o_custkey', 'o_totalprice'), ('how many', false, 'none', 'o_orderstatus', 'o_totalprice'))
  AS t(question, needed, kind, x, y) WHERE (SELECT count(*) FROM orders) > 0""")
 def _(spark, table):
+    """Charts for questions about the orders; whether a pie has few enough slices is counted."""
     orders = table("orders")
     asked = [("show price by status", orders.select("o_orderstatus", "o_totalprice"), None),
              ("share as pie", orders.select("o_orderstatus", "o_totalprice"), None),
+             ("pie charts of customers", orders.select("o_custkey"), None),
              ("price trend", orders.select("o_orderdate", "o_totalprice"), None),
              ("plot price", orders.select("o_totalprice"), None),
+             ("visualize price by status", orders.select("o_orderstatus", "o_totalprice"), None),
+             ("price charts, please", orders.select("o_orderstatus", "o_totalprice"), None),
              ("scatter of both", orders.select("o_custkey", "o_totalprice"), "o_totalprice"),
              ("how many", orders.select("o_orderstatus", "o_totalprice"), None)]
     rows = []

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vistrata.functions.columns import col, to_number, to_time
+from vistrata.operators.layouts import layout_scores, time_values
 from vistrata.operators.quantiles import percentile_dict
 
 # Fixed values of the detection and preparation rules.
@@ -20,13 +21,16 @@ TRIM = (0.01, 0.99)
 
 
 def time_scores(df: DataFrame) -> DataFrame:
-    """column, score: values readable as a time, plus 10 for a telling name. Numbers are never times."""
+    """column, score: values readable as a time - in a text column by the layout that reads most - plus 10 for a telling
+    name. Numbers are never times."""
     fields = [f for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
     counts = F.array(*[
-        F.struct(F.lit(f.name).alias("column"),
-                 (F.count(to_time(col(f.name), f.dataType)) + F.lit(_bonus(f.name))).alias("score"))
-        for f in fields])
-    return df.agg(counts.alias("s")).select(F.inline("s"))
+        F.struct(F.lit(f.name).alias("column"), F.count(to_time(col(f.name), f.dataType)).alias("read"), F.lit(_bonus(f.name)).alias("bonus"))
+        for f in fields if not isinstance(f.dataType, T.StringType)])
+    bonus = df.sparkSession.createDataFrame([(f.name, _bonus(f.name)) for f in fields if isinstance(f.dataType, T.StringType)], "column string, bonus int")
+    texts = layout_scores(df).groupBy("column").agg(F.max("read").alias("read")).join(F.broadcast(bonus), "column")
+    plain = df.agg(counts.alias("s")).select(F.inline("s")) if len(fields) > bonus.count() else texts.limit(0)
+    return plain.unionByName(texts).select("column", (F.col("read") + F.col("bonus")).alias("score"))
 
 
 def _bonus(name: str) -> int:
@@ -71,9 +75,8 @@ def trim_extremes(df: DataFrame, value: str) -> DataFrame:
 
 def prepare_series(df: DataFrame, time_column: str, metrics: Sequence[str]) -> DataFrame:
     """(series, ds, y) rows of every usable metric: timed, numeric, varying, trimmed, at least 20 rows."""
-    kind = df.schema[time_column].dataType
     metrics = [m for m in metrics if m in df.columns and m != time_column]
-    wide = df.select(to_time(col(time_column), kind).alias("ds"),
+    wide = df.select(time_values(df, time_column).alias("ds"),
                      *[to_number(col(m)).alias(f"m{i}") for i, m in enumerate(metrics)]).where("ds IS NOT NULL")
     names = [f"m{i}" for i in range(len(metrics))]
     empty = df.sparkSession.createDataFrame([], "series string, ds timestamp, y double")

@@ -7,11 +7,12 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from vistrata.functions.columns import col, numeric_columns, to_time
+from vistrata.functions.columns import numeric_columns
 from vistrata.functions.names import underscore_names
 from vistrata.operators.cleaning import clean
 from vistrata.operators.forecast import collect_forecasts, forecast, forecast_summary
 from vistrata.operators.isolation import anomaly_overview, anomaly_sample, detect
+from vistrata.operators.layouts import time_values
 from vistrata.operators.series import detect_metrics, detect_time_column, prepare_series
 from vistrata.operators.statistics import full_statistics
 from vistrata.plans import charts
@@ -75,7 +76,7 @@ def dashboard(df: DataFrame, exclude: Sequence[str] = (), pairs: Sequence[tuple[
         made = stage(forecast(prepare_series(labelled, time_column, metrics)), "forecast")
         out.forecasts, out.forecast_summary = collect_forecasts(made), forecast_summary(made)
         # From here on the time column is one, whatever text it was read as.
-        labelled = labelled.withColumn(time_column, to_time(col(time_column), labelled.schema[time_column].dataType))
+        labelled = labelled.withColumn(time_column, time_values(labelled, time_column))
         out.labelled = labelled if out.labelled is not None else None
     out.profile = dataset_profile(labelled)
     out.profile_lines = profile_text(out.profile)

@@ -19,12 +19,13 @@ from vistrata.operators.preview import head
 from vistrata.operators.statistics import query_statistics
 from vistrata.session import stage
 
-# Shown rows, points, slices and bars; words that ask for a chart.
+# Shown rows, points, slices and bars.
 RESPONSE_ROWS = 200
 SHOWN_POINTS = 20
 PIE_ROWS, BAR_ROWS = 10, 20
-CHART_WORDS = re.compile(
-    r"\b(plot|chart|graph|visuali[sz]|show|display|histogram|bar|pie|scatter|trend|distribution)\b", re.IGNORECASE)
+# Words that ask for a chart, in their inflected forms (plots, charted, plotting, shown, visualise, visualization, ...).
+CHART_STEMS = ["plot", "chart", "graph", "show", "display", "histogram", "bar", "pie", "scatter", "trend", "distribution"]
+CHART_WORDS = re.compile(rf"\b(?:(?:{'|'.join(CHART_STEMS)})(?:s|t?ed|t?ing|plots?)?|shown|visuals?|visuali[sz]\w*)\b", re.IGNORECASE)
 
 
 # --- running a query -------------------------------------------------------------------------------------
@@ -35,9 +36,16 @@ def register(df_raw: DataFrame, df_clean: DataFrame, name: str) -> None:
     df_clean.createOrReplaceTempView(name)
 
 
-# How a query begins, after comments and brackets.
-QUERY = re.compile(r"(?is)(?:\s|\(|--[^\n]*\n|/\*.*?\*/)*(select|with|values|from|table)\b")
-WRITES = re.compile(r"(?is)\binsert\s+(into|overwrite)\b")
+def is_query(spark: SparkSession, sql: str) -> bool:
+    """Whether Spark's parser reads a text as a query: no command, and no part of its plan that writes."""
+    classes = [spark._jvm.java.lang.Class.forName(f"org.apache.spark.sql.catalyst.plans.logical.{name}")
+               for name in ("Command", "ParsedStatement")]
+
+    def reads(plan) -> bool:
+        children = plan.children()
+        return not any(c.isInstance(plan) for c in classes) and all(reads(children.apply(i)) for i in range(children.size()))
+
+    return reads(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql))
 
 
 def sql_query(spark: SparkSession, sql: str, **tables: DataFrame) -> DataFrame:
@@ -45,7 +53,7 @@ def sql_query(spark: SparkSession, sql: str, **tables: DataFrame) -> DataFrame:
 
     Names given here hold for this query only: a view of the same name is there again afterwards.
     """
-    if not QUERY.match(sql) or WRITES.search(re.sub(r"'[^']*'", "", sql)):
+    if not is_query(spark, sql):
         raise ValueError("only queries are run, no statements")
     views = {t.name for t in spark.catalog.listTables() if t.isTemporary}
     before = {name: spark.table(name) for name in tables if name.lower() in views}
@@ -293,7 +301,7 @@ def choose_chart(question: str, df: DataFrame, needed: bool = False, kind: str |
 
 def _kind(question: str, df: DataFrame, x: str, y: str | None, numeric: list[str]) -> str:
     for word in ("histogram", "scatter", "pie", "line", "bar"):
-        if re.search(rf"\b{word}\b", question):
+        if re.search(rf"\b{word}s?\b", question):
             few = word != "pie" or len(df.select(col(x)).distinct().limit(PIE_ROWS + 1).collect()) <= PIE_ROWS
             return word if few else "bar"
     kinds = {f.name: f.dataType for f in df.schema.fields}
