@@ -118,11 +118,10 @@ def line_windows(docs):
             times[window] += 1
     out = {}
     for key, windows in texts.items():
-        later, own = set(), set()
+        gone = set()
         for window, at in windows:
-            if times[window] > 1:
-                (own if first[window] == (key, at[0]) else later).update(at)
-        gone = later - own
+            if times[window] > 1 and first[window] != (key, at[0]):
+                gone.update(at)
         out[key] = "\n".join(x for i, x in enumerate(key[1].split("\n")) if i not in gone)
     return out
 

@@ -68,6 +68,14 @@ def test_line_windows(odd, real):
         assert ordered(r.text for r in got.collect()) == ordered(want.get((d, t), t) for d, t in pairs(docs))
 
 
+def test_shared_passage_inside_a_first_copy_goes(spark):
+    """A holds a passage; B holds it between lines of its own; C is a copy of B."""
+    passage, b = "p one\np two\np three", "b one\nb two\np one\np two\np three\nb three\nb four"
+    docs = spark.createDataFrame([(1, passage), (2, b), (3, b)], "doc_id bigint, text string")
+    made = {r.doc_id: (r.n_removed, r.text) for r in line_windows.deduplicated(docs, count=True).collect()}
+    assert made == {1: (0, passage), 2: (3, "b one\nb two\nb three\nb four"), 3: (7, "")}
+
+
 def test_line_windows_drop_emptied_texts(spark):
     text = "a b\nc d\ne f\ng h"
     docs = spark.createDataFrame([(1, text), (2, text), (3, ""), (4, text + "\nown line")], "doc_id bigint, text string")

@@ -43,8 +43,7 @@ runs AS (SELECT doc_id, pos AS p, lead(pos) OVER o AS q, lead(pos, 2) OVER o AS
   line || chr(10) || lead(line) OVER o || chr(10) || lead(line, 2) OVER o AS w FROM spoken WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
 marked AS (SELECT doc_id, p, q, r, row_number() OVER (PARTITION BY w ORDER BY doc_id, p) = 1 AS first FROM runs
   WHERE w IS NOT NULL QUALIFY count(*) OVER (PARTITION BY w) > 1),
-places AS (SELECT doc_id, unnest([p, q, r]) AS pos, first FROM marked),
-gone AS (SELECT doc_id, pos FROM places GROUP BY 1, 2 HAVING NOT bool_or(first)),
+gone AS (SELECT DISTINCT doc_id, unnest([p, q, r]) AS pos FROM marked WHERE NOT first),
 kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (g.pos IS NULL) AS text, count(g.pos) AS n_removed
   FROM lines LEFT JOIN gone g USING (doc_id, pos) GROUP BY 1)
 SELECT doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS text, coalesce(n_removed, 0)::BIGINT AS n_removed
