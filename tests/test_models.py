@@ -3,14 +3,15 @@
 import math
 import random
 from datetime import datetime, timedelta
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from vistrata.functions.formulas import correlation_p, shapiro_wilk
-from vistrata.operators import association, forecast, isolation, profile, sampling, series
+from vistrata.functions.formulas import correlation_p, normal_quantile, shapiro_francia_p, shapiro_wilk
+from vistrata.operators import association, forecast, isolation, profile, sampling, series, statistics
 from vistrata.plans.dashboard import dashboard
 
 
@@ -287,3 +288,38 @@ def test_ranks_of_all_pairs(spark, monkeypatch, limit):
     assert association.spearman_pairs(df, pairs).count() == 16
     few, many = (jobs(spark, lambda p=p: association.spearman_pairs(df, p).collect()) for p in (pairs[:2], pairs))
     assert abs(few - many) <= 1
+
+
+def plain_francia(x):
+    x, n = np.sort(x), len(x)
+    m = np.array([NormalDist().inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+    return float((m * (x - x.mean())).sum() ** 2 / ((m * m).sum() * ((x - x.mean()) ** 2).sum()))
+
+
+@pytest.mark.parametrize("limit", [4096, 3])
+def test_normality_over_all_values(spark, monkeypatch, limit):
+    """Against sorted values in one list: bell, skewed, tied, a value holding a third, gaps; runs scored singly and as integrals."""
+    monkeypatch.setattr(statistics, "SINGLE_SCORES", limit)
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"bell": rng.normal(5, 2, 9000), "skew": rng.lognormal(0, 1, 9000), "tied": rng.normal(0, 3, 9000).round(),
+                        "hot": np.where(np.arange(9000) % 3 == 0, 0.5, rng.normal(size=9000)), "flat": 3.0})
+    pdf.loc[rng.random(9000) < 0.2, "tied"] = np.nan
+    got = {r["column"]: r for r in statistics.normality_all(spark.createDataFrame(pdf)).collect()}
+    for c in ("bell", "skew", "tied", "hot"):
+        want = plain_francia(pdf[c].dropna().to_numpy())
+        assert got[c]["n"] == pdf[c].count() and abs(got[c]["francia_stat"] - want) < (1e-9 if limit > 3 else 2e-4)
+    assert got["bell"]["is_normal_distribution"] and not any(got[c]["is_normal_distribution"] for c in ("skew", "tied", "hot", "flat"))
+
+
+def test_normal_quantile_and_francia_p():
+    u = np.concatenate((np.linspace(1e-9, 1 - 1e-9, 1001), [1e-300, 1e-15, 0.075, 0.925]))
+    assert np.allclose(normal_quantile(u), [NormalDist().inv_cdf(x) for x in u], rtol=1e-12, atol=1e-12)
+    # Normal samples are refused about as often as the level says.
+    rng = np.random.default_rng(2)
+    refused = sum(shapiro_francia_p(plain_francia(rng.normal(size=50)), 50) < 0.05 for _ in range(400))
+    assert 8 <= refused <= 36 and shapiro_francia_p(0.9, 4) is None and shapiro_francia_p(1.0, 9) == 1.0
+
+
+def test_short_columns_have_no_normality(spark):
+    df = spark.createDataFrame([(float(i), None if i else 1.0) for i in range(4)], "a double, b double")
+    assert statistics.normality_all(df).count() == 0

@@ -141,19 +141,32 @@ def _(spark, table):
     return rounded(out, 4, "mean", "std", "p25", "p50", "p75")
 
 
+def quantile_sql(c: str, p: float) -> str:
+    return f"round(quantile_cont({c}, {p}), 4)::DOUBLE"
+
+
 @query("full_statistics", each("""SELECT '{c}' AS "column", count({c}) AS "count", 0::BIGINT AS missing, round(avg({c}), 4) AS mean,
-round(quantile_cont({c}, 0.5), 4)::DOUBLE AS median, (SELECT {c}::DOUBLE FROM lineitem GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS mode,
-(SELECT count(*) FROM lineitem GROUP BY {c} ORDER BY count(*) DESC LIMIT 1) AS mode_count,
-round(stddev_samp({c}), 4) AS std, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, round(sum({c}), 2)::DOUBLE AS "sum",
+(SELECT {c}::DOUBLE FROM lineitem GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS mode,
+(SELECT count(*) FROM lineitem GROUP BY {c} ORDER BY count(*) DESC LIMIT 1) AS mode_count, round(var_samp({c}), 2) AS variance,
+round(stddev_samp({c}), 4) AS std, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, (max({c}) - min({c}))::DOUBLE AS "range", round(sum({c}), 2)::DOUBLE AS "sum",
+round(skewness_pop, 4) AS skewness, round(kurtosis_pop({c}), 4) AS kurtosis,
+""".replace("round(skewness_pop, 4)", "round(skewness({c}) * (count(*) - 2) / sqrt(count(*) * (count(*) - 1.0)), 4)") + ", ".join(
+    quantile_sql("{c}", p) + f" AS {n}" for n, p in [("p5", .05), ("p10", .1), ("p25", .25), ("p50", .5), ("p75", .75), ("p90", .9), ("p95", .95), ("median", .5), ("q1", .25), ("q3", .75)]) + """,
 round(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25), 4)::DOUBLE AS iqr,
-round(stddev_samp({c}) / avg({c}) * 100, 2) AS cv,
+round(quantile_cont({c}, 0.25) - 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)), 4)::DOUBLE AS lower_fence,
+round(quantile_cont({c}, 0.75) + 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)), 4)::DOUBLE AS upper_fence,
+round(stddev_samp({c}) / avg({c}) * 100, 2) AS coefficient_of_variation_pct,
 (SELECT count(*) FROM lineitem, (SELECT quantile_cont({c}, 0.25) a, quantile_cont({c}, 0.75) b FROM lineitem)
- WHERE {c} < a - 1.5 * (b - a) OR {c} > b + 1.5 * (b - a)) AS outlier_count FROM lineitem"""))
+ WHERE {c} < a - 1.5 * (b - a) OR {c} > b + 1.5 * (b - a)) AS outlier_count,
+(SELECT list(round(v, 4) ORDER BY v) FROM (SELECT {c}::DOUBLE AS v FROM lineitem, (SELECT quantile_cont({c}, 0.25) a, quantile_cont({c}, 0.75) b FROM lineitem)
+ WHERE {c} < a - 1.5 * (b - a) OR {c} > b + 1.5 * (b - a) ORDER BY v LIMIT 20))::VARCHAR AS outliers_sample,
+0.0::DOUBLE AS shapiro_p_value, false AS is_normal_distribution, true AS shapiro_in_range FROM lineitem"""))
 def _(spark, table):
-    out = statistics.full_statistics(table("lineitem"), with_normality=False)
-    out = rounded(rounded(out, 4, "mean", "median", "std", "iqr"), 2, "sum")
-    return out.select("column", "count", "missing", "mean", "median", "mode", "mode_count", "std", "min", "max", "sum",
-                      "iqr", F.round("coefficient_of_variation_pct", 2).alias("cv"), "outlier_count")
+    """All columns with the operator's defaults; the normality statistic of drawn values is held to its range."""
+    out = statistics.full_statistics(table("lineitem")).drop("position")
+    out = rounded(rounded(out, 4, *[c for c, t in out.dtypes if t == "double" and c not in ("min", "max", "range", "mode")]), 2, "sum", "variance", "coefficient_of_variation_pct")
+    sample = F.when(F.size("outliers_sample") > 0, F.concat(F.lit("["), F.array_join(F.transform("outliers_sample", lambda x: F.round(x, 4).cast("string")), ", "), F.lit("]")))
+    return out.withColumn("outliers_sample", sample).withColumn("shapiro_in_range", F.col("shapiro_stat").between(0.5, 0.99)).drop("shapiro_stat")
 
 
 @query("normality")
@@ -162,6 +175,12 @@ def _(spark, table):
     return statistics.normality(table("lineitem"))
 
 
+@query("normality_all_values")
+def _(spark, table):
+    """Shapiro-Francia over every value of each column; no SQL form."""
+    return statistics.normality_all(table("lineitem"))
+
+
 @query("query_statistics", each("""SELECT '{c}' AS "column", count({c}) AS "count", count(*) - count({c}) AS missing, round(avg({c}), 4) AS mean,
 round(quantile_cont({c}, 0.5), 4)::DOUBLE AS median, round(stddev_samp({c}), 4) AS std, min({c}) AS min, max({c}) AS max,
 round(max({c}) - min({c}), 4) AS "range", round(quantile_cont({c}, 0.25), 4)::DOUBLE AS q1, round(quantile_cont({c}, 0.75), 4)::DOUBLE AS q3,

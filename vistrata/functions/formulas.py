@@ -65,6 +65,48 @@ def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
     return w, 0.5 * math.erfc((y - mean) / sd / math.sqrt(2.0))
 
 
+# Royston (1993), the normal approximation of log(1 - W') for the Shapiro-Francia form.
+FRANCIA_MEAN, FRANCIA_SD = [-1.2725, 1.0521], [1.0308, -0.26758]
+# Wichura (1988), algorithm AS 241, rational approximations of the normal quantile: centre, near and far
+# tail, numerator and denominator in ascending powers.
+QUANTILE_CENTRE = ([3.3871328727963666080, 133.14166789178437745, 1971.5909503065514427, 13731.693765509461125, 45921.953931549871457,
+                    67265.770927008700853, 33430.575583588128105, 2509.0809287301226727],
+                   [1.0, 42.313330701600911252, 687.18700749205790830, 5394.1960214247511077, 21213.794301586595867,
+                    39307.895800092710610, 28729.085735721942674, 5226.4952788528545610])
+QUANTILE_NEAR = ([1.42343711074968357734, 4.63033784615654529590, 5.76949722146069140550, 3.64784832476320460504, 1.27045825245236838258,
+                  0.241780725177450611770, 0.0227238449892691845833, 7.74545014278341407640e-4],
+                 [1.0, 2.05319162663775882187, 1.67638483018380384940, 0.689767334985100004550, 0.148103976427480074590,
+                  0.0151986665636164571966, 5.47593808499534494600e-4, 1.05075007164441684324e-9])
+QUANTILE_FAR = ([6.65790464350110377720, 5.46378491116411436990, 1.78482653991729133580, 0.296560571828504891230, 0.0265321895265761230930,
+                 0.00124266094738807843860, 2.71155556874348757815e-5, 2.01033439929228813265e-7],
+                [1.0, 0.599832206555887937690, 0.136929880922735805310, 0.0148753612908506148525, 7.86869131145613259100e-4,
+                 1.84631831751005468180e-5, 1.42151175831644588870e-7, 2.04426310338993978564e-15])
+
+
+def normal_quantile(p: np.ndarray) -> np.ndarray:
+    """Quantiles of the standard normal distribution, to some 16 places; p strictly between 0 and 1."""
+    def ratio(parts: tuple[list[float], list[float]], x: np.ndarray) -> np.ndarray:
+        return np.polynomial.polynomial.polyval(x, parts[0]) / np.polynomial.polynomial.polyval(x, parts[1])
+
+    p = np.asarray(p, dtype=float)
+    q = p - 0.5
+    tail = np.sqrt(-np.log(np.minimum(p, 1.0 - p)))
+    outer = np.where(tail <= 5.0, ratio(QUANTILE_NEAR, tail - 1.6), ratio(QUANTILE_FAR, tail - 5.0))
+    return np.where(np.abs(q) <= 0.425, q * ratio(QUANTILE_CENTRE, 0.180625 - q * q), np.sign(q) * outer)
+
+
+def shapiro_francia_p(w: float, n: int) -> float | None:
+    """p of the Shapiro-Francia statistic, from 5 values on; beyond 5000 the approximation is carried on."""
+    if n < 5:
+        return None
+    if w >= 1.0:
+        return 1.0
+    u = math.log(n)
+    v = math.log(u)
+    z = (math.log1p(-w) - FRANCIA_MEAN[0] - FRANCIA_MEAN[1] * (v - u)) / (FRANCIA_SD[0] + FRANCIA_SD[1] * (v + 2.0 / u))
+    return 0.5 * math.erfc(z / math.sqrt(2.0))
+
+
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """Continued fraction of the incomplete beta function, evaluated front to back."""
     tiny = 1e-300
