@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from vistrata.functions.formulas import correlation_p, normal_quantile, shapiro_francia_p, shapiro_wilk
 from vistrata.operators import association, forecast, isolation, profile, sampling, series, statistics
 from vistrata.plans.dashboard import dashboard
+from vistrata.plans.kpis import kpis
+from vistrata.plans.summary import dataset_shape
 
 
 @pytest.fixture(scope="module")
@@ -323,3 +325,35 @@ def test_normal_quantile_and_francia_p():
 def test_short_columns_have_no_normality(spark):
     df = spark.createDataFrame([(float(i), None if i else 1.0) for i in range(4)], "a double, b double")
     assert statistics.normality_all(df).count() == 0
+
+
+def test_facts_give_what_scans_give(spark):
+    rng = np.random.default_rng(7)
+    pdf = pd.DataFrame({"a": rng.normal(1e6, 3, 4000), "b": rng.integers(0, 9, 4000), "c": 5.0, "d": np.nan, "t": rng.choice(["x", "y", None], 4000)})
+    pdf.loc[::7, "a"] = np.nan
+    df = spark.createDataFrame(pdf).withColumn("t", F.when(F.col("t") != "NaN", F.col("t")))
+    known = profile.with_facts(df.select("*"))
+    for moments in (False, True):
+        got, want = (profile.numeric_profile(x, moments=moments).orderBy("position").collect() for x in (known, df))
+        for g, w in zip(got, want):
+            assert all((x is None) == (y is None) and (x is None or x == y or math.isclose(x, y, rel_tol=1e-7, abs_tol=1e-9)) for x, y in zip(g, w))
+    for ask in (lambda x: sorted(map(tuple, profile.missing_counts(x).collect())), lambda x: profile.low_cardinality(x, 20),
+                lambda x: [tuple(r) for r in dataset_shape(x).collect()]):
+        assert ask(known) == ask(df)
+    assert [r["metric"] for r in kpis(known).collect()] == [r["metric"] for r in kpis(df).collect()]
+    empty = profile.with_facts(df.limit(0))
+    assert dataset_shape(empty).first()["rows"] == 0 and profile.numeric_profile(empty).count() == profile.numeric_profile(df.limit(0)).count()
+
+
+def test_dashboard_profiles_each_frame_once(spark, table, monkeypatch):
+    """One scan gathers the figures of the cleaned frame and one more those of the label; cleaning and anomalies aside,
+    no step scans for them again."""
+    gathered, scanned = [], []
+    gather, per_column = profile.gather_facts, profile.per_column
+    monkeypatch.setattr(profile, "gather_facts", lambda df: gathered.append(df.columns) or gather(df))
+    monkeypatch.setattr(profile, "per_column", lambda df, *a, **b: scanned.append(df.columns) or per_column(df, *a, **b))
+    board = dashboard(table("orders"), exclude=["o_orderkey", "o_custkey"])
+    assert gathered == [board.cleaned.columns, ["anomaly"]]
+    # Cleaning looks at the raw frame, the overview at the flagged rows, the profile at the times.
+    assert len(scanned) <= 5
+    assert board.profile["statistics"].count() == 5 and len(board.frames()) > 25

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vistrata.catalog.aggregates import rounded
 from vistrata.catalog.base import query
 from vistrata.catalog.columns import messy
+from vistrata.functions.columns import col
 from vistrata.operators import forecast, isolation, sampling, series, statistics
 from vistrata.plans import charts
 from vistrata.plans.dashboard import dashboard
@@ -155,17 +156,49 @@ def _(spark, table):
     return rounded(forecast.forecast_summary(made(table("orders"))), 2, "last_forecast", "trend_pct", "uncertainty")
 
 
+def checked(frames: dict) -> DataFrame:
+    """part, rows, checksum of every frame: all of its cells are computed."""
+    out = None
+    for name, frame in frames.items():
+        one = frame.select(F.xxhash64(F.to_json(F.struct(*[col(c) for c in frame.columns]))).cast("decimal(38,0)").alias("h")).agg(
+            F.count("*").alias("rows"), F.coalesce(F.sum("h"), F.lit(0)).cast("string").alias("checksum")).select(F.lit(name).alias("part"), "rows", "checksum")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+KEYS = ["o_orderkey", "o_custkey"]
+
+
 @query("dashboard")
 def _(spark, table):
-    """The whole analysis of the orders; shows how many rows each part has. No SQL form."""
-    board = dashboard(table("orders"), exclude=["o_orderkey", "o_custkey"])
-    parts = {"cleaned": board.cleaned, "cleaning_report": board.cleaning_report, "kpis": board.kpis,
-             "bins": board.charts["histograms"]["bins"], "bars": board.charts["bars"]["points"],
-             "matrix": board.charts["correlation"]["matrix"], "anomalies": board.anomalies["rows"],
-             "forecasts": board.forecasts, "profile": board.profile_lines}
+    """The whole analysis of the orders: rows and checksum of every frame. No SQL form."""
+    return checked(dashboard(table("orders"), exclude=KEYS).frames())
+
+
+def preview_rows(n: str, shown: int) -> str:
+    return f"CASE WHEN {n} <= {shown} THEN {n} ELSE 24 END"
+
+
+DASHBOARD_ROWS = [
+    ("cleaned", "n"), ("kpis", "2 * 3 + 2"), ("summary.shape", "1"), ("summary.columns", "6"), ("summary.numeric_statistics", "3"), ("labelled", "n"),
+    ("summary.categorical_statistics", "3"), ("charts.histograms.bins", "3 * bins"), ("charts.histograms.statistics", "3"),
+    ("charts.correlation.matrix", "9"), ("charts.correlation.statistics", "3"), ("charts.scatters.association", "2"), ("charts.scatters.rank_correlation", "2"),
+    ("charts.scatters.points_o_orderkey_o_custkey", preview_rows("n", 120)), ("charts.scatters.points_o_custkey_o_totalprice", preview_rows("n", 120)),
+    ("charts.bars.points", "states + priorities"), ("charts.pies.points", "states + priorities"), ("charts.bars.summary", "2"), ("charts.pies.summary", "2"),
+    ("charts.group_means.avg_o_totalprice_by_o_orderstatus.points", "states"), ("charts.group_means.avg_o_totalprice_by_o_orderpriority.points", "priorities"),
+    ("charts.group_means.avg_o_totalprice_by_o_orderstatus.per_group_detail", "states"), ("profile.columns", "7"), ("profile.shape", "1"), ("forecasts", "3 * 30"),
+    ("anomalies.sample", "10")]
+
+
+@query("dashboard_rows", """WITH f AS (SELECT count(*) AS n, least(30, greatest(5, floor(sqrt(count(*)))::BIGINT)) AS bins,
+ count(DISTINCT o_orderstatus) AS states, count(DISTINCT o_orderpriority) AS priorities FROM orders) """ + " UNION ALL ".join(
+    f"SELECT '{name}' AS part, ({rows})::BIGINT AS \"rows\" FROM f" for name, rows in DASHBOARD_ROWS))
+def _(spark, table):
+    """How many rows the parts of the analysis have whose size follows from counts."""
+    frames = dashboard(table("orders"), exclude=KEYS).frames()
     out = None
-    for name, frame in parts.items():
-        one = frame.agg(F.count("*").alias("rows")).select(F.lit(name).alias("part"), "rows")
+    for name, _ in DASHBOARD_ROWS:
+        one = frames[name].agg(F.count("*").alias("rows")).select(F.lit(name).alias("part"), "rows")
         out = one if out is None else out.unionByName(one)
     return out
 

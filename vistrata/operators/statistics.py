@@ -217,14 +217,15 @@ def describe(df: DataFrame) -> DataFrame:
         return df.sparkSession.createDataFrame(
             [], "column string, count bigint, mean double, std double, min double, p25 double, p50 double, "
                 "p75 double, max double, position int")
-    frame = df.select(*[col(c) for c in numeric],
-                      *[(F.unix_micros(col(c).cast("timestamp")) / 1e6).alias(c) for c in times])
-    table = percentile_table(frame, [*numeric, *times]).select("column", "p25", "p50", "p75")
-    profile = numeric_profile(frame, [*numeric, *times]).withColumn("std", F.when(F.col("count") > 1, F.col("std")))
+    clock = df.select(*[(F.unix_micros(col(c).cast("timestamp")) / 1e6).alias(c) for c in times])
+    table = percentile_table(df, numeric).select("column", "p25", "p50", "p75")
+    profile = numeric_profile(df, numeric).withColumn("std", F.when(F.col("count") > 1, F.col("std")))
+    if times:
+        table = table.unionByName(percentile_table(clock, times).select("column", "p25", "p50", "p75"))
+        timed = numeric_profile(clock, times).withColumn("std", F.lit(None).cast("double"))
+        profile = profile.unionByName(timed.withColumn("position", F.col("position") + len(numeric)))
     return profile.join(table, "column", "left").select(
-        "column", "count", "mean",
-        F.when(~F.col("column").isin(times), F.col("std")).alias("std") if times else "std",
-        "min", "p25", "p50", "p75", "max", "position")
+        "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max", "position")
 
 
 def query_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:

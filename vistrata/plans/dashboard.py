@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame
 
@@ -13,6 +13,7 @@ from vistrata.operators.cleaning import clean
 from vistrata.operators.forecast import collect_forecasts, forecast, forecast_summary
 from vistrata.operators.isolation import anomaly_overview, anomaly_sample, detect
 from vistrata.operators.layouts import time_values
+from vistrata.operators.profile import carry_facts, with_facts
 from vistrata.operators.series import detect_metrics, detect_time_column, prepare_series
 from vistrata.operators.statistics import full_statistics
 from vistrata.plans import charts
@@ -38,6 +39,21 @@ class Dashboard:
     profile: dict[str, DataFrame] = field(default_factory=dict)
     profile_lines: DataFrame | None = None
 
+    def frames(self) -> dict[str, DataFrame]:
+        """Every frame by its path, as in `charts.histograms.bins`."""
+        out = {}
+
+        def walk(path: str, value: object) -> None:
+            if isinstance(value, DataFrame):
+                out[path] = value
+            elif isinstance(value, dict):
+                for key, part in value.items():
+                    walk(f"{path}.{key}", part)
+
+        for f in fields(self):
+            walk(f.name, getattr(self, f.name))
+        return out
+
 
 def dashboard(df: DataFrame, exclude: Sequence[str] = (), pairs: Sequence[tuple[str, str]] | None = None,
               time_column: str | None = None, metrics: Sequence[str] | None = None, seed: int = 0) -> Dashboard:
@@ -47,7 +63,8 @@ def dashboard(df: DataFrame, exclude: Sequence[str] = (), pairs: Sequence[tuple[
     more numeric column, as figures and charts come before it.
     """
     result = clean(df, exclude)
-    frame = stage(underscore_names(result.frame), "dashboard")
+    # One scan gathers what every later step asks about columns.
+    frame = with_facts(stage(underscore_names(result.frame), "dashboard"))
     out = Dashboard(frame, result.report, kpis(frame))
     statistics = None
     if numeric_columns(frame):
@@ -64,7 +81,7 @@ def dashboard(df: DataFrame, exclude: Sequence[str] = (), pairs: Sequence[tuple[
     labelled = frame
     if numeric_columns(frame):
         found = detect(frame, seed=seed)
-        labelled = out.labelled = found.labelled
+        labelled = out.labelled = carry_facts(frame, found.labelled, extra=["anomaly"])
         rows = found.anomalies
         out.anomalies = {"rows": rows, "sample": anomaly_sample(found, SAMPLE_ROWS),
                          "overview": anomaly_overview(rows)}
@@ -76,7 +93,8 @@ def dashboard(df: DataFrame, exclude: Sequence[str] = (), pairs: Sequence[tuple[
         made = stage(forecast(prepare_series(labelled, time_column, metrics)), "forecast")
         out.forecasts, out.forecast_summary = collect_forecasts(made), forecast_summary(made)
         # From here on the time column is one, whatever text it was read as.
-        labelled = labelled.withColumn(time_column, time_values(labelled, time_column))
+        timed = labelled.withColumn(time_column, time_values(labelled, time_column))
+        labelled = carry_facts(labelled, timed, less=[time_column])
         out.labelled = labelled if out.labelled is not None else None
     out.profile = dataset_profile(labelled)
     out.profile_lines = profile_text(out.profile)

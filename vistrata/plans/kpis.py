@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 
 from vistrata.functions.columns import kpi_value, numeric_columns
 from vistrata.functions.names import metric_group, metric_label
-from vistrata.operators.profile import number_columns
+from vistrata.operators.profile import known_facts, number_columns
 
 
 def kpis(df: DataFrame) -> DataFrame:
     """position, metric, value: SUM_c and AVG_c of each numeric column, ROW_COUNT and COLUMN_COUNT; one scan."""
     columns = numeric_columns(df)
+    facts = known_facts(df, columns)
+    if facts:
+        made = [(f"{kind}_{c}", facts.basics[c][at]) for c in columns for kind, at in (("SUM", 2), ("AVG", 3))]
+        made += [("ROW_COUNT", float(facts.rows)), ("COLUMN_COUNT", float(len(df.columns)))]
+        known = df.sparkSession.createDataFrame([(i, m, v) for i, (m, v) in enumerate(made)], "position int, metric string, v double")
+        return known.select("position", "metric", kpi_value(F.col("v")).alias("value"))
     rows = []
     for i, c in enumerate(columns):
         v = F.col(f"v{i}")

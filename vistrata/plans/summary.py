@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vistrata.functions.columns import categorical_columns, col, column_classes, numeric_columns
+from vistrata.functions.columns import categorical_columns, column_classes, numeric_columns
 from vistrata.operators.counts import text_counts, top_of
-from vistrata.operators.profile import distinct_counts, missing_counts
+from vistrata.operators.profile import distinct_counts, known_facts, missing_counts
 from vistrata.operators.statistics import describe, full_statistics
 
 TOP_VALUES = 5
@@ -21,12 +21,15 @@ def categorical_summary(df: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("rank", "value", "count"))).alias("top_values"))
     # Reading `count` keeps this aggregate equal to the one below the top values, so its shuffle is reused.
     unique = counted.groupBy("column").agg(F.count_if(F.col("count") > 0).alias("unique_values"))
-    missing = missing_counts(df.select(*[col(c) for c in columns])).withColumnRenamed("missing", "missing_count")
+    missing = missing_counts(df, columns).withColumnRenamed("missing", "missing_count")
     return (missing.join(unique, "column", "left").join(top, "column", "left")
             .withColumn("unique_values", F.coalesce("unique_values", F.lit(0).cast("bigint"))))
 
 
 def dataset_shape(df: DataFrame) -> DataFrame:
+    facts = known_facts(df)
+    if facts:
+        return df.sparkSession.createDataFrame([(facts.rows, len(df.columns))], "rows bigint, columns int")
     return df.agg(F.count(F.lit(1)).alias("rows")).withColumn("columns", F.lit(len(df.columns)))
 
 
