@@ -57,12 +57,14 @@ def test_packing(texts, library):
 def test_packing_rounds(spark):
     """Small groups, several rounds; lengths that cannot be paired end in bins of their own."""
     random.seed(4)
-    for lengths in ([random.randint(1, 2048) for _ in range(3000)], [1100] * 500 + [10], [2048] * 5, []):
+    for lengths in ([random.randint(1, 2048) for _ in range(3000)], [1100] * 500 + [10], [1100] * 500 + [940] * 20 + [2000] * 300, [2048] * 5, []):
         items = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "id bigint, length bigint")
         made = packing.pack(items, group=200).toPandas().sort_values(["sequence_id", "offset"])
         assert sorted(made.id) == list(range(len(lengths)))
         assert (made.groupby("sequence_id").length.cumsum() - made.length == made.offset).all()
         assert made.groupby("sequence_id").length.sum().max() <= 2048 if lengths else made.empty
+        if 940 in lengths and len(lengths) == 820:
+            assert made.sequence_id.nunique() == 800
         if len(lengths) == 3000:
             # Groups of 200 are far below the working size; the price of their separate packing stays small.
             assert made.sequence_id.nunique() <= 1.05 * math.ceil(sum(lengths) / 2048)

@@ -30,6 +30,8 @@ from vistrata.llm.codec import Codec, around_space, kept
 
 MARK = "▁"
 LONG = 48
+# Chunks that the library encodes and decodes in one call.
+RUN = 2048
 # Kinds of pieces in the vocabulary file.
 PLAIN, BYTE = 1, 6
 NONE = np.int64(1) << np.int64(62)
@@ -68,6 +70,7 @@ class Vocabulary:
                 self.byte[value], self.text[i] = i, bytes([value])
             elif p.type == PLAIN:
                 self.text[i] = p.piece.replace(MARK, " ").encode()
+        self.width = np.array([len(t) for t in self.text.tolist()], np.int64)
         rank = {s: r for r, s in enumerate(sorted({spec.pieces[i].score for i in plain.values()}, reverse=True))}
         pairs = {}
         for p, i in plain.items():
@@ -87,26 +90,34 @@ class Vocabulary:
         return np.where(found, self.ranks[at], NONE), self.merged[at]
 
     def agenda(self, symbols: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Merge until no chunk has a pair left: one step per chunk and turn. Owners are ascending."""
+        """Merge until no chunk has a pair left: one step per chunk and turn. Owners are ascending. A step changes the
+        pairs on both sides of the new symbol only."""
         done_symbols, done_owner, done_place = [], [], []
         place = np.arange(len(symbols))
+        rank, merged = np.full(len(symbols), NONE), np.zeros(len(symbols), np.int32)
+        changed = np.arange(len(symbols) - 1)
         while len(symbols):
-            rank, merged = np.full(len(symbols), NONE), np.zeros(len(symbols), np.int32)
-            rank[:-1], merged[:-1] = self.look_up(symbols[:-1], symbols[1:])
-            rank[:-1][owner[1:] != owner[:-1]] = NONE
+            changed = changed[owner[changed] == owner[changed + 1]]
+            rank[changed], merged[changed] = self.look_up(symbols[changed], symbols[changed + 1])
             begins = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-            which = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(symbols))))
             order = np.where(rank < NONE, (rank << np.int64(32)) + np.arange(len(symbols)), NONE)
             best = np.minimum.reduceat(order, begins)
-            active = (best < NONE)[which]
-            done_symbols.append(symbols[~active])
-            done_owner.append(owner[~active])
-            done_place.append(place[~active])
-            at = best[best < NONE] & np.int64(0xFFFFFFFF)
+            found = best < NONE
+            if not found.all():
+                active = np.repeat(found, np.diff(np.append(begins, len(symbols))))
+                done_symbols.append(symbols[~active])
+                done_owner.append(owner[~active])
+                done_place.append(place[~active])
+            else:
+                active = np.ones(len(symbols), bool)
+            at = best[found] & np.int64(0xFFFFFFFF)
             symbols[at] = merged[at]
-            stay = active.copy()
-            stay[at + 1] = False
-            symbols, owner, place = symbols[stay], owner[stay], place[stay]
+            active[at + 1] = False
+            after = np.cumsum(active)[at] - 1
+            symbols, owner, place, rank, merged = symbols[active], owner[active], place[active], rank[active], merged[active]
+            # The new symbol has no pair until it is looked up with its neighbours.
+            rank[after] = NONE
+            changed = np.concatenate((after[after > 0] - 1, after[after + 1 < len(symbols)]))
         symbols, owner, place = (np.concatenate(x) for x in (done_symbols, done_owner, done_place))
         order = np.argsort(place)
         return symbols[order], owner[order]
@@ -142,10 +153,12 @@ class Vocabulary:
 
     def encode(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of chunks by the agenda; no start or end ids, no space added."""
-        texts = [c.decode() for c in chunks]
-        points = np.frombuffer("".join(texts).replace(" ", MARK).encode("utf-32-le"), np.uint32).astype(np.int64)
-        sizes = np.array([len(t) for t in texts], np.int64)
-        owner = np.repeat(np.arange(len(texts)), sizes)
+        raw = b"".join(chunks)
+        points = np.frombuffer(raw.decode().replace(" ", MARK).encode("utf-32-le"), np.uint32).astype(np.int64)
+        # A character's first byte is any but 10xxxxxx.
+        heads = np.concatenate(([0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)))
+        sizes = np.diff(heads[np.cumsum([0, *map(len, chunks)])])
+        owner = np.repeat(np.arange(len(chunks)), sizes)
         symbols = self.character[points]
         # Unknown characters never merge; keep their code points below -2.
         symbols = np.where(symbols < 0, -3 - points, symbols).astype(np.int64)
@@ -170,41 +183,53 @@ class Vocabulary:
             spread[np.repeat(where[odd], width[odd]) + np.concatenate([np.arange(len(r)) for r in raw])] = \
                 self.byte[np.frombuffer(b"".join(raw), np.uint8)]
             made = spread
-        return made.astype(np.int32), np.bincount(whose, minlength=len(texts))
+        return made.astype(np.int32), np.bincount(whose, minlength=len(chunks))
 
     def checked(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The agenda's ids, held against the library's chunk by chunk."""
+        """The agenda's ids, held against the library's: RUN chunks at once, a line break before each. Where a run
+        differs, its chunks are encoded one by one."""
         ids, length = self.encode(chunks)
-        texts = [c.decode() for c in chunks]
-        # The library puts a space before each text: take one off, or cut what it adds.
-        spaced = [t[0] == " " for t in texts]
-        theirs = self.library.encode([t[1:] if s and len(t) > 1 else "\n" + t for t, s in zip(texts, spaced)], num_threads=1)
-        theirs = [x if s and len(t) > 1 else x[2:] for x, t, s in zip(theirs, texts, spaced)]
-        counts = np.array([len(x) for x in theirs], np.int64)
-        flat_ids = np.fromiter((i for x in theirs for i in x), np.int32, int(counts.sum()))
         self.differing = np.zeros(len(chunks), bool)
-        if len(flat_ids) != len(ids) or (counts != length).any() or (flat_ids != ids).any():
-            own = np.split(ids, np.cumsum(length)[:-1])
-            self.differing = np.array([a.tolist() != b for a, b in zip(own, theirs)], bool)
-            return flat_ids, counts
+        cuts, fixed = np.concatenate(([0], np.cumsum(length))), {}
+        for a in range(0, len(chunks), RUN):
+            b = min(a + RUN, len(chunks))
+            theirs = self.library.encode((b"\n" + b"\n".join(chunks[a:b])).decode(), num_threads=1)
+            own = np.insert(ids[cuts[a]:cuts[b]], cuts[a:b] - cuts[a], self.byte[10])
+            # The library puts a space before each text.
+            if len(theirs) != len(own) + 1 or not np.array_equal(np.array(theirs[1:], np.int32), own):
+                for i in range(a, b):
+                    alone = self.library.encode("\n" + chunks[i].decode(), num_threads=1)[2:]
+                    if alone != ids[cuts[i]:cuts[i + 1]].tolist():
+                        self.differing[i], fixed[i] = True, alone
+        if fixed:
+            lists = [np.array(fixed[i], np.int32) if i in fixed else ids[cuts[i]:cuts[i + 1]] for i in range(len(chunks))]
+            return np.concatenate(lists), np.array([len(x) for x in lists], np.int64)
         return ids, length
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of ids, the leading space kept."""
         return b"".join(self.text[ids])
 
-    def extra(self, ids: np.ndarray, length: np.ndarray, chunks: list[bytes]) -> list[tuple[str, bytes, bool]]:
-        """Of each chunk: its ids as text, its decoded bytes, whether the library differed."""
-        cuts = np.cumsum(length)[:-1]
-        texts = [" ".join(map(str, x.tolist())) for x in np.split(ids, cuts)]
-        raw = [b"".join(x) for x in np.split(self.text[ids], cuts)]
+    def extra(self, ids: np.ndarray, length: np.ndarray, chunks: list[bytes]) -> np.ndarray:
+        """Of each chunk: its ids as text, its decoded bytes, whether the library differed. RUN chunks are decoded at
+        once and held against the library as a whole; where they differ, one by one."""
+        out = np.empty((len(chunks), 3), object)
+        cuts = np.concatenate(([0], np.cumsum(length)))
+        places = np.concatenate(([0], np.cumsum(self.width[ids])))[cuts].tolist()
+        raw = self.decode(ids)
+        digits, each = list(map(str, ids.tolist())), cuts.tolist()
+        out[:, 0] = [" ".join(digits[a:b]) for a, b in zip(each, each[1:])]
+        out[:, 1] = [raw[a:b] for a, b in zip(places, places[1:])]
+        out[:, 2] = self.differing.tolist()
         # The library's decoder drops one leading space, unless something precedes it.
-        lists = [[self.byte[10], *x.tolist()] for x in np.split(ids, cuts)]
-        theirs = self.library.decode([list(map(int, x)) for x in lists], num_threads=1)
-        out = []
-        for text, own, other, differs in zip(texts, raw, theirs, self.differing):
-            other = other[1:].encode()
-            out.append((text, own if own == other else other, bool(differs or own != other)))
+        theirs = lambda part: self.library.decode([int(self.byte[10]), *part.tolist()])[1:].encode()
+        for a in range(0, len(chunks), RUN):
+            b = min(a + RUN, len(chunks))
+            if theirs(ids[each[a]:each[b]]) != raw[places[a]:places[b]]:
+                for i in range(a, b):
+                    other = theirs(ids[each[i]:each[i + 1]])
+                    if other != out[i, 1]:
+                        out[i, 1], out[i, 2] = other, True
         return out
 
 
@@ -231,21 +256,19 @@ def encoded(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         end = own.vocabulary.end
+        last = str(end)
         for batch in batches:
             data, offsets = flat(spaced(batch.column(1)))
             for a, b, places, first, *_ in own.blocks(data, offsets):
-                used, at = np.unique(places, return_inverse=True)
-                things = own.things[used]
-                words, raw = np.empty(len(used), object), np.empty(len(used), object)
-                words[:], raw[:] = [t[0] for t in things], [t[1] for t in things]
-                words, raw = words[at], raw[at]
-                differs = np.concatenate(([0], np.cumsum(np.array([t[2] for t in things], bool)[at])))
+                things = own.things[places] if len(places) else np.zeros((0, 3), object)
+                words, raw = things[:, 0].tolist(), things[:, 1].tolist()
+                differs = np.concatenate(([0], np.cumsum(things[:, 2].astype(bool))))
                 counts = np.concatenate(([0], np.cumsum(own.length[places])))
                 made = {"doc_id": batch.column(0).slice(a, b - a), "n_tokens": pa.array(np.diff(counts[first]) + 1)}
                 hashes, decoded, whole = [], [], []
                 for i in range(b - a):
                     part = slice(first[i], first[i + 1])
-                    line = " ".join([*words[part], str(end)])
+                    line = " ".join([*words[part], last])
                     text = b"".join(raw[part])[1:]
                     hashes.append(hashlib.sha256(line.encode()).hexdigest())
                     decoded.append(hashlib.sha256(text).hexdigest())

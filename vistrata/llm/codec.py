@@ -3,7 +3,7 @@
 A text is cut where no token can cross: before white space that follows a visible character (byte-level vocabularies),
 or before a space that follows another character and around line breaks (piece vocabularies). The ids of a text are
 then the ids of its chunks in order. Chunks repeat far more often than texts do, so each worker keeps a bounded table
-of the chunks it has met, ordered by hash, and only new chunks reach the tokenizer. A block of more distinct chunks
+of the chunks it has met, found by hash, and only new chunks reach the tokenizer. A block of more distinct chunks
 than that (one very long text) has a table of its own, which is dropped after the block.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,10 +50,31 @@ def around_space(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero((now == 0x20) & (last != 0x20) | (now == 0x0A) | (last == 0x0A)) + 1
 
 
+class Rows:
+    """An array that grows at its end; room doubles, so that adding costs no copy of what is there."""
+
+    def __init__(self, kind, width: tuple = ()):
+        self.n, self.room = 0, np.zeros((1024, *width), kind)
+
+    def add(self, values: np.ndarray) -> None:
+        n = self.n + len(values)
+        if n > len(self.room):
+            room = np.zeros((max(n, 2 * len(self.room)), *self.room.shape[1:]), self.room.dtype)
+            room[:self.n] = self.room[:self.n]
+            self.room = room
+        self.room[self.n:n] = values
+        self.n = n
+
+    @property
+    def data(self) -> np.ndarray:
+        return self.room[:self.n]
+
+
 class Codec:
-    """A table of chunks, by hash: their ids, and one object each where `extra` makes one.
+    """A table of chunks, by hash: their ids, and what `extra` makes of each (one object, or a row of several).
 
-    `encode(chunks)` returns flat ids and the number of ids of each chunk.
+    `encode(chunks)` returns flat ids and the number of ids of each chunk. Chunks are found by open addressing: a slot
+    per hash, the next one if that is taken.
     """
 
     def __init__(self, cuts: Callable, encode: Callable, extra: Callable | None = None):
@@ -60,46 +82,82 @@ class Codec:
         self.clear()
 
     def clear(self) -> None:
-        self.hashes, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.begin, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids, self.things = np.zeros(0, np.int32), np.zeros(0, object)
+        self._hashes, self._begin, self._length, self._ids = Rows(np.uint64), Rows(np.int64), Rows(np.int64), Rows(np.int32)
+        self._things = None
+        self.slots, self.shift = np.full(1 << 12, -1, np.int32), np.uint64(64 - 12)
+
+    hashes = property(lambda self: self._hashes.data)
+    begin = property(lambda self: self._begin.data)
+    length = property(lambda self: self._length.data)
+    ids = property(lambda self: self._ids.data)
+    things = property(lambda self: self._things.data)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of hashes in the table; -1 for unmet ones."""
+        out, pending = np.full(len(hashes), -1, np.int64), np.arange(len(hashes))
+        at, keys, mask = (hashes >> self.shift).astype(np.int64), self.hashes, len(self.slots) - 1
+        while len(pending):
+            place = self.slots[at]
+            taken = place >= 0
+            pending, at, place = pending[taken], at[taken], place[taken]
+            same = keys[place] == hashes[pending]
+            out[pending[same]] = place[same]
+            pending, at = pending[~same], (at[~same] + 1) & mask
+        return out
+
+    def _put(self, places: np.ndarray) -> None:
+        at, mask = (self.hashes[places] >> self.shift).astype(np.int64), len(self.slots) - 1
+        while len(places):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = places[free]
+            lost = self.slots[at] != places
+            places, at = places[lost], (at[lost] + 1) & mask
 
     def _learn(self, hashes: np.ndarray, chunks: list[bytes]) -> None:
         ids, length = self.encode(chunks)
-        place = len(self.begin) + np.arange(len(hashes))
-        self.begin = np.concatenate((self.begin, len(self.ids) + np.cumsum(length) - length))
-        self.length = np.concatenate((self.length, length))
-        self.ids = np.concatenate((self.ids, ids))
+        first = self._hashes.n
+        self._begin.add(self._ids.n + np.cumsum(length) - length)
+        self._length.add(length)
+        self._ids.add(ids)
+        self._hashes.add(hashes)
         if self.extra:
-            made = np.empty(len(hashes), object)
-            made[:] = self.extra(ids, length, chunks)
-            self.things = np.concatenate((self.things, made))
-        at = np.searchsorted(self.hashes, hashes)
-        self.hashes, self.place = np.insert(self.hashes, at, hashes), np.insert(self.place, at, place)
-
-    def _unmet(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.ones(len(hashes), bool)
-        return self.hashes[np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)] != hashes
+            given = self.extra(ids, length, chunks)
+            if isinstance(given, list):
+                made = np.empty(len(given), object)
+                made[:] = given
+            else:
+                made = given
+            self._things = Rows(object, made.shape[1:]) if self._things is None else self._things
+            self._things.add(made)
+        if 2 * self._hashes.n > len(self.slots):
+            bits = (2 * self._hashes.n).bit_length() + 1
+            self.slots, self.shift, first = np.full(1 << bits, -1, np.int32), np.uint64(64 - bits), 0
+        self._put(np.arange(first, self._hashes.n))
 
     def blocks(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple]:
         """For each block of rows: start, end, table places of all chunks, first chunk of each row (and the end),
         byte starts and ends of the chunks within the block, and the block."""
         for a, b in blocks(offsets):
             block = Block(data, offsets, a, b)
-            starts = np.union1d(self.cuts(block.data), block.offsets[:-1]) if len(block.data) else np.zeros(0, np.int64)
-            starts = starts[starts < len(block.data)]
+            at_cut = block.edges(block.offsets[:-1])[:-1]
+            if len(at_cut):
+                at_cut[self.cuts(block.data)] = True
+            starts = np.flatnonzero(at_cut)
             ends = np.append(starts[1:], len(block.data)) if len(starts) else starts
-            hashes, first, which = np.unique(block.hashes(starts, ends), return_index=True, return_inverse=True)
-            new = self._unmet(hashes)
-            if new.any() and (len(self.hashes) + new.sum() > KEPT_CHUNKS or len(self.ids) > KEPT_IDS):
+            hashes = block.hashes(starts, ends)
+            places = self._find(hashes)
+            unmet = np.flatnonzero(places < 0)
+            at = unmet[np.unique(hashes[unmet], return_index=True)[1]]
+            if len(at) and (len(self.hashes) + len(at) > KEPT_CHUNKS or len(self.ids) > KEPT_IDS):
                 self.clear()
-                new[:] = True
-            raw = block.data.tobytes() if new.any() else b""
-            at = np.flatnonzero(new)
+                unmet = np.arange(len(hashes))
+                at = np.unique(hashes, return_index=True)[1]
+            at = np.sort(at)
+            raw = block.data.tobytes() if len(at) else b""
             for part in (at[i:i + SLICE] for i in range(0, len(at), SLICE)):
-                self._learn(hashes[part], [raw[i:j] for i, j in zip(starts[first[part]].tolist(), ends[first[part]].tolist())])
-            places = self.place[np.searchsorted(self.hashes, hashes)][which] if len(hashes) else np.zeros(0, np.int64)
+                self._learn(hashes[part], [raw[i:j] for i, j in zip(starts[part].tolist(), ends[part].tolist())])
+            if len(at):
+                places[unmet] = self._find(hashes[unmet])
             yield a, b, places, np.searchsorted(starts, block.offsets), starts, ends, block
             if len(self.hashes) > KEPT_CHUNKS:
                 self.clear()
@@ -139,19 +197,27 @@ def _byte_bpe(path: str) -> Codec:
 
     def encode(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Chunks that begin with white space are joined: the seams are cuts, so the ids are the same."""
-        length, out = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), object)
-        spaced = np.array([c[0] in b"\t\n\v\f\r " and len(c) > 1 and not c[-1:].isspace() and c[-1] < 0x80 for c in chunks], bool)
+        width = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        ends, raw = np.cumsum(width), np.frombuffer(b"".join(chunks), np.uint8)
+        last = raw[ends - 1]
+        spaced = SEPARATOR[raw[ends - width]] & (width > 1) & ~SEPARATOR[last] & (last < 0x80)
         own, runs = np.flatnonzero(~spaced), np.flatnonzero(spaced)
-        for i, ids in zip(own, plain([chunks[i].decode() for i in own])):
-            out[i], length[i] = np.array(ids, np.int32), len(ids)
+        alone = plain([chunks[i].decode() for i in own])
+        length = np.zeros(len(chunks), np.int64)
+        length[own] = [len(x) for x in alone]
+        made = [np.fromiter(chain.from_iterable(alone), np.int32, int(length[own].sum()))]
         for a in range(0, len(runs), 4096):
             part = runs[a:a + 4096]
-            ids = np.array(plain([b"".join(chunks[i] for i in part).decode()])[0], np.int32)
-            bounds = np.cumsum([len(chunks[i]) for i in part])
-            cuts = np.searchsorted(np.cumsum(size[ids]), bounds, "left") + 1
-            for i, x in zip(part, np.split(ids, cuts[:-1])):
-                out[i], length[i] = x, len(x)
-        return (np.concatenate(out) if len(out) else np.zeros(0, np.int32)), length
+            ids = np.array(plain([b"".join([chunks[i] for i in part]).decode()])[0], np.int32)
+            cuts = np.searchsorted(np.cumsum(size[ids]), np.cumsum(width[part]), "left") + 1
+            length[part] = np.diff(cuts, prepend=0)
+            made.append(ids)
+        # The ids stand by kind of chunk; put them in the order of the chunks.
+        order, begin = np.concatenate((own, runs)), np.cumsum(length) - length
+        n = length[order]
+        out = np.zeros(int(n.sum()), np.int32)
+        out[np.repeat(begin[order] - np.cumsum(n) + n, n) + np.arange(len(out))] = np.concatenate(made)
+        return out, length
 
     return Codec(before_white, encode)
 

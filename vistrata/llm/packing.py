@@ -3,8 +3,9 @@
 Texts become pieces of at most `room` tokens; full pieces are sequences of their own. The others go to groups of
 about GROUP pieces by hash. Each group packs its items best fit, longest first, sends on its nearly full bins and
 keeps the underfull ones, which are the items of the next, smaller set of groups. The last round is a single group of
-at most GROUP items, or the first round that brings no fewer bins: then all bins are sent on. A group's rows are thus
-bounded at any size of the input, and every piece is placed exactly once.
+at most GROUP items. Where a round brings hardly fewer bins, nearly all of them are longer than half the room and
+cannot meet; the GROUP shortest of all groups then make the last round, and the others are sent on as they are. A
+group's rows are thus bounded at any size of the input, and every piece is placed exactly once.
 
 Defined cases: a null or empty text is one piece holding the end id only; repeated rows and null doc_ids are packed
 row by row; further columns are ignored; an empty table gives an empty result.
@@ -142,7 +143,12 @@ def pack(items: DataFrame, room: int = ROOM, group: int = GROUP) -> DataFrame:
             break
         number += 1
         if left > 0.99 * bins:
-            done.append(rest)
+            # Groups hold at most one bin below half each, so the others are too long to meet: the shortest of all
+            # groups, as many as a task takes, have a last round together.
+            shortest = rest.groupBy("bin").agg(F.max(F.col("offset") + F.col("length")).alias("size")).orderBy("size", "bin").limit(group)
+            shortest = stage(shortest.select("bin"), "shortest")
+            done.append(rest.join(shortest, "bin", "left_anti").select(*rest.columns))
+            done.append(stage(_round(rest.join(shortest, "bin", "left_semi").select(*rest.columns), 1, room, number, True), "bins").drop("open"))
             break
         bins = left
     out = full.withColumn("offset", F.lit(0).cast("bigint")).withColumn("bin", -1 - F.monotonically_increasing_id())
