@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from vistrata.operators import counts, preview, profile, quantiles, ranks
+from vistrata.operators import cleaning, counts, preview, profile, quantiles, ranks
 from vistrata.plans.kpis import kpis
 from vistrata.plans.summary import categorical_summary
 from vistrata.session import staging_path, staging_root
@@ -140,3 +140,32 @@ def test_staging_folder_is_the_clusters():
 def test_exact_gate_ignores_wide_text(spark):
     df = spark.range(2000).select(F.sha2(F.col("id").cast("string"), 256).alias("long"), (F.col("id") % 4).cast("string").alias("short"))
     assert profile.low_cardinality(df, 20) == {"short": 4}
+
+
+def rows_twice(spark):
+    rows = [(1, 0.0, "a", [1]), (1, -0.0, "a", [1]), (2, float("nan"), None, None), (2, float("nan"), None, None), (3, 1.5, "", []), (4, None, "b", [2, 3])]
+    df = spark.createDataFrame(rows * 3 + [(i, float(i), "x", [i]) for i in range(100, 400)], "k int, v double, t string, l array<int>")
+    return df.withColumn("s", F.struct("v", "t")).withColumn("m", F.create_map(F.lit("q"), F.col("k")))
+
+
+@pytest.mark.parametrize("case", ["plain", "collisions", "shuffled"])
+def test_duplicates_by_fingerprint(spark, monkeypatch, case):
+    """The same rows as comparing all rows whole, when all fingerprints collide and beyond the broadcast limit as well."""
+    if case == "collisions":
+        monkeypatch.setattr(cleaning, "fingerprint", lambda df: [F.lit(1).cast("bigint"), F.lit(2).cast("bigint")])
+    if case == "shuffled":
+        monkeypatch.setattr(cleaning, "PRINTS_BROADCAST", 0)
+    df = rows_twice(spark)
+    want = df.withColumn("m", F.to_json("m")).dropDuplicates()
+    got = cleaning.without_duplicates(df)
+    assert got.columns == want.columns and got.count() == want.count() == 304
+    assert got.exceptAll(want).count() == 0 and cleaning.without_duplicates(df.limit(0)).count() == 0
+
+
+def test_single_rows_are_never_shuffled(spark, table):
+    df = table("lineitem").unionByName(table("lineitem").where("l_orderkey % 100 = 0"))
+    made = cleaning.without_duplicates(df)
+    text = plan(made)
+    # The branch of single rows reads and filters; only the few repeated rows meet in an exchange.
+    single = text.split("LeftAnti")[1].split("LeftSemi")[0]
+    assert "LeftAnti" in text and "hashpartitioning" not in single and made.count() == table("lineitem").count()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +19,8 @@ from vistrata.session import stage
 FENCE = 1.5
 
 MODEL_PREFIX = "_model_"
+# Repeated fingerprints that are broadcast (16 bytes each).
+PRINTS_BROADCAST = 1_000_000
 
 REPORT_SCHEMA = "position int, step string, column string, n bigint, line string"
 
@@ -45,10 +47,46 @@ def clip_numeric(df: DataFrame, columns: Sequence[str] | None = None, limit: flo
     return df.withColumns(out) if out else df
 
 
+def _exact(kind: T.DataType) -> bool:
+    """Whether equal values of a type always have equal bytes; floats in nested values do not."""
+    if isinstance(kind, T.StructType):
+        return all(_exact(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _exact(kind.elementType)
+    return not isinstance(kind, (T.FloatType, T.DoubleType, T.MapType, T.VariantType))
+
+
+def fingerprint(df: DataFrame) -> list[Column]:
+    """Two 64-bit hashes of a row, equal for equal rows."""
+    cells = []
+    for f in df.schema.fields:
+        c = col(f.name)
+        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+            # -0.0 equals 0.0, and every NaN is the same.
+            cells.append(F.when(F.isnan(c), F.lit(float("nan"))).otherwise(c + F.lit(0.0)))
+        elif _exact(f.dataType):
+            cells.append(c)
+    return [F.xxhash64(F.lit(seed), *cells) for seed in (1, 2)]
+
+
 def without_duplicates(df: DataFrame) -> DataFrame:
-    """One row of each set of equal rows. Maps have no equality in Spark and are compared as JSON."""
+    """One row of each set of equal rows. Maps have no equality in Spark and are compared as JSON.
+
+    Fingerprints are counted first; only rows of repeated fingerprints are shuffled and compared whole, so a collision
+    costs nothing but that comparison. The frame is read again for it and has to give the same rows each time.
+    """
     maps = {f.name: F.to_json(col(f.name)) for f in df.schema.fields if isinstance(f.dataType, T.MapType)}
-    return (df.withColumns(maps) if maps else df).dropDuplicates()
+    plain = df.withColumns(maps) if maps else df
+    marked = plain.select("*", *[h.alias(f"_print{i}") for i, h in enumerate(fingerprint(plain))])
+    keys = ["_print0", "_print1"]
+    repeated = stage(marked.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys), "repeated")
+    found = repeated.count()
+    if not found:
+        return plain
+    # Beyond the limit Spark joins by shuffle.
+    sought = F.broadcast(repeated) if found <= PRINTS_BROADCAST else repeated
+    twice = marked.join(sought, keys, "left_semi").select(*[col(c) for c in plain.columns]).dropDuplicates()
+    return marked.join(sought, keys, "left_anti").select(*[col(c) for c in plain.columns]).unionByName(twice)
 
 
 def fill_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
