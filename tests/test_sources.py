@@ -1,10 +1,13 @@
 """Source detection, readers and writers."""
 
+import csv
 import io
+import random
 import zipfile
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from vistrata.catalog.files import workbook
 from vistrata.plans.dashboard import dashboard
@@ -144,3 +147,52 @@ def test_workbook_names_and_old_format(spark, tmp_path):
 def test_credentials_are_decoded():
     _, properties = load.jdbc_url("postgres://us%40er:p%40s%3As@host:5432/db")
     assert (properties["user"], properties["password"]) == ("us@er", "p@s:s")
+
+
+def scrambled(tmp_path, name, rows, end="\n"):
+    """A CSV file with line breaks, quotes and blank lines inside quotes."""
+    path = tmp_path / name
+    with open(path, "w", newline="") as file:
+        out = csv.writer(file, lineterminator=end)
+        out.writerow(["id", "text", "n"])
+        out.writerows(rows)
+    return path
+
+
+@pytest.mark.parametrize("size", [300, 4096])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_quoted_line_breaks_in_many_splits(spark, tmp_path, size, end):
+    """The same rows however a file is split; records may span splits."""
+    rng = random.Random(5)
+    words = ["plain", "two\nlines", 'a "quoted" word', "blank\n\n\nlines", "", 'ends with "', '"', "\n", "x" * 200 + "\n" + "y" * 200, "comma, here", "é\nü"]
+    rows = [(i, rng.choice(words) + rng.choice(words), i * 2) for i in range(90)]
+    scrambled(tmp_path, "a.csv", rows, end)
+    scrambled(tmp_path, "b.csv", rows[:3], end)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        records = load.csv_records(spark, str(tmp_path / "*.csv"))
+        # More than one task reads the file.
+        assert spark.read.text(str(tmp_path / "a.csv")).select(F.spark_partition_id().alias("p")).distinct().count() > 1
+        made = load.split_records(records).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = [(str(i), t or None, str(n)) for i, t, n in rows + rows[:3]]
+    assert sorted([(r["id"], r["text"] or None, r["n"]) for r in made], key=repr) == sorted(want, key=repr)
+
+
+def test_csv_with_line_breaks_is_typed(spark, tmp_path):
+    path = scrambled(tmp_path, "a.csv", [(1, "a\nb", 2.5), (2, "NA", ""), (3, 'say "hi"', 4)])
+    df = load.read_csv(spark, str(path))
+    assert dict(df.dtypes) == {"id": "bigint", "text": "string", "n": "double"}
+    assert sorted(map(tuple, df.collect())) == [(1, "a\nb", 2.5), (2, None, None), (3, 'say "hi"', 4.0)]
+
+
+def test_csv_of_a_header_alone(spark, tmp_path):
+    (tmp_path / "h.csv").write_text('"a\nb",c\n')
+    assert load.read_csv(spark, str(tmp_path / "h.csv")).columns == ["a\nb", "c"]
+    (tmp_path / "e.csv").write_text('')
+    with pytest.raises(ValueError):
+        load.split_records(load.csv_records(spark, str(tmp_path / "e.csv")))

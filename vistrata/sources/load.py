@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import xml.etree.ElementTree as ET
@@ -10,12 +11,15 @@ from collections.abc import Iterator
 from datetime import datetime, timedelta
 from urllib.parse import unquote
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vistrata.functions.columns import NUMBER, col, finite_frame, to_number
+from vistrata.functions.columns import NUMBER, col, finite_frame, quoted, to_number
 from vistrata.functions.names import drop_document_id, flatten
 from vistrata.session import stage
 
@@ -149,13 +153,107 @@ def infer_text_columns(df: DataFrame) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     """CSV with a header row, typed by `infer_text_columns`.
 
-    Line breaks inside quotes need one task per file. Where the caller does not say, one scan decides: a record
-    over several lines has a line with an odd number of quotes.
+    Where the caller does not say whether records run over several lines, one scan decides: such a record has a line
+    with an odd number of quotes. Then records are put together from lines, and the file is still read by many tasks.
     """
     if multi_line is None:
         quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
         multi_line = not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
-    return infer_text_columns(spark.read.csv(path, header=True, escape='"', multiLine=multi_line))
+    if not multi_line:
+        return infer_text_columns(spark.read.csv(path, header=True, escape='"'))
+    return infer_text_columns(split_records(csv_records(spark, path)))
+
+
+SPLIT = ["file", "block"]
+LINE_SCHEMA = "file string, block bigint, seq bigint, record bigint, alone boolean, value string"
+
+
+def _stretches(batch: pa.RecordBatch) -> Iterator[tuple[str, int, pa.RecordBatch]]:
+    """Runs of lines of one split of a file."""
+    blocks = batch.column("block").to_numpy(zero_copy_only=False)
+    files = batch.column("file").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    cuts = [0, *(np.flatnonzero((np.diff(blocks) != 0) | (np.diff(files) != 0)) + 1).tolist(), len(blocks)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.column("file")[a].as_py(), int(blocks[a]), batch.slice(a, b - a)
+
+
+def _odd_before(lines: pa.RecordBatch, odd: int) -> tuple[np.ndarray, int]:
+    """Whether the quotes before each line are odd in number, and those before the next lines."""
+    quotes = pc.count_substring(lines.column("value"), '"').to_numpy(zero_copy_only=False)
+    total = odd + np.cumsum(quotes)
+    return (total - quotes) % 2, int(total[-1] % 2)
+
+
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """file, record, value: the records of CSV files by their number in the file, line breaks inside quotes kept.
+
+    Every split of a file is read by a task of its own. A first pass counts, for each split, its quotes and its lines
+    that begin after an even number of them. Running sums over the splits of a file - a row per split - tell whether a
+    split begins inside quotes and which number its first record has. In the second pass, records of one line go
+    straight on; only the lines of longer records are shuffled, to meet by record number.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, odd, even_lines, n = None, 0, 0, 0
+        give = lambda: pa.RecordBatch.from_pydict({"file": [split[0]], "block": [split[1]], "odd": [odd], "even_lines": [even_lines], "n": [n]})
+        for batch in batches:
+            for file, block, part in _stretches(batch):
+                if split != (file, block):
+                    if split is not None:
+                        yield give()
+                    split, odd, even_lines, n = (file, block), 0, 0, 0
+                before, odd = _odd_before(part, odd)
+                even_lines += int((before == 0).sum())
+                n += part.num_rows
+        if split is not None:
+            yield give()
+
+    counted = stage(lines.mapInArrow(count, "file string, block bigint, odd bigint, even_lines bigint, n bigint"), "splits")
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum("odd").over(earlier), F.lit(0)) % 2
+    starts = counted.withColumn("inside", inside).withColumn("begun", F.when(F.col("inside") == 0, F.col("even_lines")).otherwise(F.col("n") - F.col("even_lines")))
+    starts = starts.select("file", "block", "inside", F.coalesce(F.sum("begun").over(earlier), F.lit(0)).alias("first"))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, odd, record, seq = None, 0, 0, 0
+        for batch in batches:
+            for file, block, part in _stretches(batch):
+                if split != (file, block):
+                    split, odd, seq = (file, block), part.column("inside")[0].as_py(), 0
+                    record = part.column("first")[0].as_py() - 1
+                before, odd = _odd_before(part, odd)
+                begins = before == 0
+                # A line that begins a record is all of it if no quote is open at its end.
+                alone = begins & (np.append(before[1:], odd) == 0)
+                records, place = record + np.cumsum(begins), seq + np.arange(part.num_rows)
+                record, seq = int(records[-1]), seq + part.num_rows
+                yield pa.RecordBatch.from_arrays([part.column("file"), part.column("block"), pa.array(place), pa.array(records), pa.array(alone), part.column("value")],
+                                                 names=["file", "block", "seq", "record", "alone", "value"])
+
+    # A row per split of the input.
+    numbered = lines.join(F.broadcast(starts), SPLIT).select(*SPLIT, "inside", "first", "value").mapInArrow(number, LINE_SCHEMA)
+    # An empty line outside quotes is no record.
+    single = numbered.where("alone AND value NOT IN ('', '\r')").select("file", "record", "value")
+    joined = numbered.where("NOT alone").groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("block", "seq", "value"))).alias("parts"))
+    return single.unionByName(joined.select("file", "record", F.array_join("parts.value", "\n").alias("value"))).withColumn(
+        "value", F.regexp_replace("value", "\r$", ""))
+
+
+def split_records(records: DataFrame) -> DataFrame:
+    """Text columns of CSV records; the first record of each file is its header, and the first file's names hold."""
+    heads = records.where("record = 0")
+    head = heads.orderBy("file").limit(1).collect()
+    if not head:
+        raise ValueError("the file has no header row")
+    first = next(csv.reader(io.StringIO(head[0]["value"].removeprefix("\ufeff"), newline="")))
+    names: list[str] = []
+    for i, name in enumerate(first):
+        names.append(f"_c{i}" if name == "" else name if first.count(name) == 1 else f"{name}{i}")
+    made = F.from_csv("value", ", ".join(f"{quoted(n)} string" for n in names), {"escape": '"'})
+    return records.where("record > 0").select(made.alias("r")).select("r.*")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
