@@ -1,6 +1,7 @@
 """Quality rules, line dedup, near-duplicates, language model and personal data against brute force."""
 
 import os
+import zlib
 
 import brute
 import numpy as np
@@ -156,6 +157,77 @@ def test_forward_backward_is_exact():
     assert np.isclose(counts[:k].sum(), 2) and np.isclose(counts[k:k + k * k].sum(), 7) and np.isclose(counts[k + k * k:].sum(), 9)
 
 
+def test_windows_of_a_text_are_one_sequence():
+    """Expected counts do not depend on where texts are cut, and are those of the recursion over whole texts."""
+    model = hmm.Model(np.arange(1.0, 7.0))
+    rng = np.random.default_rng(6)
+    model.start, model.move = rng.dirichlet(np.ones(hmm.STATES)), rng.dirichlet(np.ones(hmm.STATES), hmm.STATES)
+    model.emit = rng.dirichlet(np.ones(6), hmm.STATES).T
+    cuts = np.cumsum([0, 1, 40, 8, 9, 0, 17, 16, 3])
+    data = rng.integers(0, 6, cuts[-1]).astype(np.uint16)
+    k, want = hmm.STATES, 0
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        x = data[a:b]
+        if not len(x):
+            continue
+        alpha = [model.start * model.emit[x[0]]]
+        for c in x[1:]:
+            alpha.append(alpha[-1] @ model.move * model.emit[c])
+        beta = [np.ones(k)]
+        for c in x[:0:-1]:
+            beta.insert(0, model.move @ (model.emit[c] * beta[0]))
+        total, move, emit = alpha[-1].sum(), np.zeros((k, k)), np.zeros((6, k))
+        for t, c in enumerate(x):
+            emit[c] += alpha[t] * beta[t] / total
+            if t:
+                move += np.outer(alpha[t - 1], model.emit[c] * beta[t]) * model.move / total
+        want = want + np.concatenate((alpha[0] * beta[0] / total, move.ravel(), emit.ravel()))
+    for window in (1, 4, 8, 256):
+        assert np.allclose(model.whole(data, cuts, window), want)
+
+
+def test_whole_score_of_a_text(spark, real, monkeypatch):
+    """The model's score with looked-up, shared and rare tokens against a plain recursion over each text's tokens."""
+    monkeypatch.setattr(hmm, "OWN", 12)
+    monkeypatch.setattr(hmm, "BUCKETS", 8)
+    monkeypatch.setattr(hmm, "LOOKED_UP", 60)
+    docs = real.where("doc_id < 60").unionByName(spark.createDataFrame([(900, None), (901, "Unseen wörds unseen")], "doc_id bigint, text string"))
+    models, train = [], hmm.train
+    monkeypatch.setattr(hmm, "train", lambda *a, **b: models.append((train(*a, **b), a[1])) or models[-1][0])
+    got = {r.doc_id: r.score for r in hmm.scored(docs, 2).collect()}
+    (model, tables), rows = models[0], pairs(docs)
+    words = {d: brute.WORD.findall((t or "").translate(brute.LOWER)) + [None] for d, t in rows}
+    code = lambda w: hmm.END if w is None else int(hmm._word_hashes(arrays.Block(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]), 0, 1))[0][0])
+    codes = {w: code(w) for ws in words.values() for w in ws}
+    counts = {}
+    for d, ws in words.items():
+        if not zlib.crc32(str(d).encode()) % 5 == 1:
+            for w in ws:
+                counts[w] = counts.get(w, 0) + 1
+    own = {int(h): int(k) for h, k in zip(tables.h, tables.kind) if k < 12}
+    kind = lambda w: 20 if w is None else own.get(codes[w], 12 + codes[w] % 8)
+    shared = {w: c for w, c in counts.items() if 12 <= kind(w) < 20}
+    for d, ws in words.items():
+        log, alpha = 0.0, None
+        for w in ws:
+            k = kind(w)
+            share = 1.0
+            if 12 <= k < 20:
+                same = [c for v, c in shared.items() if kind(v) == k]
+                share = (counts.get(w, 0) + 0.5) / (sum(same) + 0.5 * (len(same) + 1))
+            alpha = (model.start if alpha is None else alpha @ model.move) * model.emit[k] * share
+            log += np.log10(alpha.sum())
+            alpha = alpha / alpha.sum()
+        assert abs(got[d] - log) < 1e-6 * max(1, abs(log))
+
+
+def test_language_model_without_training_rows(spark):
+    held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1)
+    made = hmm.scored(spark.createDataFrame([(held, "a b")] * 3 + [(held, None)], "doc_id bigint, text string")).collect()
+    assert [(r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 9)) for r in sorted(made, key=lambda r: -r.n_tokens)] == [(3, 0, 0, 0.0)] * 3 + [(1, 0, 0, 0.0)]
+    assert all(np.isfinite(r.score) for r in made)
+
+
 @pytest.mark.parametrize("data", ["odd", "real"])
 def test_personal_data(data, request):
     docs = request.getfixturevalue(data)

@@ -8,14 +8,16 @@ the vocabulary, while every count comes from all training texts.
 1. Counts of all training tokens, summed per task, then by Spark. The vocabulary stays a distributed table; only its
    most frequent entries (at most LOOKED_UP, 2 MB) and sums by bucket reach the driver.
 2. One pass turns texts into class sequences (two bytes a token) and leaves the rarer tokens as hashes for a join.
-3. Baum-Welch: each task runs scaled forward-backward over windows of WINDOW tokens and sums expected counts; the sums
-   are added up over a tree of tasks, and the driver reads at most FAN of them, each of a fixed size.
+3. Baum-Welch: each task runs scaled forward-backward over whole texts and sums expected counts. Texts are taken in
+   windows of WINDOW tokens: forward values are carried over each cut, kept at the cuts only, and met there by the
+   backward values, so the counts are those of the uncut text in bounded memory. The sums are added up over a tree of
+   tasks, and the driver reads at most FAN of them, each of a fixed size.
 4. Scaled forward recursion over whole sequences gives their exact likelihood; the shares of rare tokens and the base
    score come from a join of the vocabulary with the distinct rare tokens of each text.
 
 Defined cases: a null or empty text is the end alone; a null doc_id is not held out; rows repeated with one doc_id are
-scored (and counted) row by row; no training rows at all leave every probability at its floor; further columns are
-ignored; an empty table gives an empty result.
+scored (and counted) row by row; without training rows every count is 0, which makes every base score 0; the end has
+its own class and count, 0 included; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -88,6 +90,9 @@ class Tables:
         least = min((r["size"] for r, f in zip(sizes, fits) if f), default=1 << 20)
         top = vocab.where(size >= least).toPandas().sort_values(["c", "h"], ascending=[False, True])
         h, c = top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64)
+        if END not in h:
+            ends = vocab.where(F.col("h") == END).agg(F.sum("c")).first()[0]
+            h, c = np.append(h, END), np.append(c, int(ends or 0))
         rank = np.arange(len(h))
         bucket = OWN + (h % BUCKETS)
         kind = np.where(rank < OWN, rank, bucket)
@@ -100,7 +105,7 @@ class Tables:
         own |= self.h == END
         less = lambda w: np.bincount(self.h[own] % BUCKETS, weights=w, minlength=BUCKETS)
         tokens = sums["c"].to_numpy(float) - less(self.c[own])
-        types = sums["v"].to_numpy(float) - less(np.ones(own.sum()))
+        types = sums["v"].to_numpy(float) - less(self.c[own] > 0)
         self.norm = np.log10(tokens + 0.5 * (types + 1))
         self.frequency = np.zeros(OWN + BUCKETS + 1)
         self.frequency[self.kind[own]] = self.c[own]
@@ -139,7 +144,7 @@ def encode(texts: DataFrame, tables: Tables) -> DataFrame:
                 classes = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(byte_cuts), pa.py_buffer(kind)])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, n), batch.column(2).slice(a, n), pa.array(size),
-                     pa.array(np.bincount(rows[known], minlength=n)), pa.array(sums(log, known)),
+                     pa.array(np.bincount(rows[known], weights=tables.c[at[known]] > 0, minlength=n).astype(np.int64)), pa.array(sums(log, known)),
                      pa.array(sums(log, known & shared) - sums(norm, shared)), classes,
                      pa.ListArray.from_arrays(pa.array(cuts), pa.array(h[order[new]])),
                      pa.ListArray.from_arrays(pa.array(cuts), pa.array(times.astype(np.int32)))],
@@ -173,32 +178,83 @@ class Model:
         emit = emit + 0.01 * emit.sum(0) * self.prior[:, None] + self.prior[:, None]
         self.emit = emit / emit.sum(0)
 
+    def _forward(self, windows: np.ndarray, before: np.ndarray | None) -> np.ndarray:
+        """Forward values at the end of full windows that follow on `before` (None: at the beginning)."""
+        alpha = before
+        for x in windows.T:
+            now = (self.start if alpha is None else alpha @ self.move) * self.emit[x]
+            alpha = now / now.sum(1, keepdims=True)
+        return alpha
+
     def expected(self, windows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Expected counts over class windows (padded to one width), scaled forward-backward."""
+        """Expected counts over class windows that are texts of their own."""
+        return self.smoothed(windows, sizes)[0]
+
+    def smoothed(self, windows: np.ndarray, sizes: np.ndarray, before: np.ndarray | None = None,
+                 after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Expected counts over class windows (padded to one width) by scaled forward-backward, and the backward values
+        for what precedes them. `before` holds the forward values the windows follow on, None where texts begin;
+        `after` the backward values at their ends."""
         n, width = windows.shape
         k, c = self.emit.shape[1], self.emit.shape[0]
         order = np.argsort(-sizes, kind="stable")
         windows, sizes = windows[order], sizes[order]
+        earlier = None if before is None else before[order]
         live = np.searchsorted(-sizes, -np.arange(width), "left")  # windows longer than t
         alpha, scale = np.zeros((width, n, k)), np.ones((width, n))
         for t in range(width):
             m = live[t]
-            now = (self.start if t == 0 else alpha[t - 1, :m] @ self.move) * self.emit[windows[:m, t]]
+            past = alpha[t - 1, :m] if t else earlier
+            now = (self.start if past is None else past @ self.move) * self.emit[windows[:m, t]]
             scale[t, :m] = now.sum(1)
             alpha[t, :m] = now / scale[t, :m, None]
         move = np.zeros((k, k))
-        beta = np.ones((n, k))
-        for t in range(width - 1, 0, -1):  # alpha becomes the posterior on the way back
+        beta = np.ones((n, k)) if after is None else after[order]
+        for t in range(width - 1, -1, -1):  # alpha becomes the posterior on the way back
             m = live[t]
             ahead = self.emit[windows[:m, t]] * beta[:m] / scale[t, :m, None]
-            move += alpha[t - 1, :m].T @ ahead
+            past = alpha[t - 1, :m] if t else earlier
+            if past is not None:
+                move += past.T @ ahead
             alpha[t, :m] *= beta[:m]
             beta[:m] = ahead @ self.move.T
-        alpha[0] *= beta
         flags = np.arange(width)[:, None] < sizes[None, :]
         post, seen = alpha[flags], windows.T[flags]
         emit = np.stack([np.bincount(seen, weights=post[:, s], minlength=c) for s in range(k)], 1)
-        return np.concatenate((alpha[0].sum(0), (move * self.move).ravel(), emit.ravel()))
+        begun = alpha[0].sum(0) if earlier is None else np.zeros(k)
+        back = np.empty_like(beta)
+        back[order] = beta
+        return np.concatenate((begun, (move * self.move).ravel(), emit.ravel())), back
+
+    def whole(self, data: np.ndarray, cuts: np.ndarray, window: int = 0) -> np.ndarray:
+        """Expected counts over whole class sequences, window by window."""
+        window = window or WINDOW
+        total = np.zeros(self.emit.shape[1] * (1 + self.emit.shape[1] + self.emit.shape[0]))
+        sizes = np.diff(cuts)
+        sequences = np.flatnonzero(sizes > 0)
+        sequences = sequences[np.argsort(-sizes[sequences], kind="stable")]
+        for i in range(0, len(sequences), TOGETHER):
+            part = sequences[i:i + TOGETHER]
+            begin, size = cuts[part], sizes[part]
+            depth = -(-int(size[0]) // window)
+
+            def cut(j: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+                long = np.minimum(size[:m] - j * window, window)  # noqa: B023
+                at = begin[:m, None] + j * window + np.arange(long.max())  # noqa: B023
+                return data[np.minimum(at, len(data) - 1)], long
+
+            # How many of the sequences, longest first, reach window j.
+            reach = [int(np.searchsorted(-size, -j * window, "left")) for j in range(depth + 1)]
+            before: list[np.ndarray | None] = [None]
+            for j in range(depth - 1):
+                m = reach[j + 1]
+                before.append(self._forward(cut(j, m)[0], None if before[j] is None else before[j][:m]))
+            after = np.ones((len(part), self.emit.shape[1]))
+            for j in range(depth - 1, -1, -1):
+                m = reach[j]
+                made, after[:m] = self.smoothed(*cut(j, m), before[j], after[:m])
+                total += made
+        return total
 
     def log10(self, data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
         """Exact log10 likelihood of each class sequence, by the scaled forward recursion."""
@@ -227,16 +283,8 @@ def _step(encoded: DataFrame, model: Model) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            data, cuts = _classes(batch.column(0))
-            begins = np.concatenate([np.arange(a, b, WINDOW) for a, b in zip(cuts[:-1], cuts[1:])]) if len(cuts) > 1 else cuts[:0]
-            stops = np.concatenate([np.minimum(np.arange(a, b, WINDOW) + WINDOW, b) for a, b in zip(cuts[:-1], cuts[1:])]) if len(cuts) > 1 else cuts[:0]
-            order = np.argsort(stops - begins)
-            for i in range(0, len(order), TOGETHER):
-                part = order[i:i + TOGETHER]
-                sizes = stops[part] - begins[part]
-                at = begins[part][:, None] + np.arange(sizes.max())
-                made = model.expected(data[np.minimum(at, len(data) - 1)], sizes)
-                total = made if total is None else total + made
+            made = model.whole(*_classes(batch.column(0)))
+            total = made if total is None else total + made
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
 
