@@ -201,6 +201,47 @@ def test_neighbours_recall(spark):
     assert hits >= 0.9 * sum(map(len, want.values()))
 
 
+def clustered(n, seed=4):
+    """Rows around 60 centres."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(60, 24))
+    return centres[rng.integers(0, 60, n)] + 0.45 * rng.normal(size=(n, 24))
+
+
+def test_recall_on_rows_the_router_has_not_seen():
+    """A sample of a tenth of the rows: nine tenths of the neighbours in less than a third of the rows."""
+    rows = clustered(40_000)
+    router = learned_partitions.Router(rows[:4000].copy(), float(np.linalg.norm(rows, axis=1).max()), 20)
+    queries = rows[4000:4400]
+    part = router.chances(router.row(rows)).argmax(1)
+    held = np.bincount(part, minlength=router.parts)
+    near = np.argsort(-(queries @ rows.T), 1)[:, 1:21]
+    chances = router.chances(router.query(queries))
+    before = np.array([[chances[i][chances[i] > c].sum() for c in range_of] for i, range_of in enumerate(chances)])
+    searched = before < router.mass
+    assert np.take_along_axis(searched, part[near], 1).mean() >= 0.9
+    assert (searched * held).sum(1).mean() < len(rows) / 3
+
+
+def test_queries_go_on_until_k_are_found(spark, monkeypatch):
+    """Parts far smaller than k, and one vec_id that holds most rows of its surroundings."""
+    monkeypatch.setattr(learned_partitions, "PART_ROWS", 40)
+    rows = [(i, v.tolist()) for i, v in enumerate(clustered(900))] + [(40, [1.0] * 24)] * 120
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    made = learned_partitions.self_search(table, 20, 300).groupBy("query_id").count().collect()
+    counts = {r.query_id: r["count"] for r in made}
+    assert len(counts) == 45 and all(counts[i] == 300 for i in counts if i != 40) and counts[40] == 600
+    few = spark.createDataFrame(rows[:150], "vec_id bigint, embedding array<double>")
+    assert {r["count"] for r in learned_partitions.self_search(few, 20, 300).groupBy("query_id").count().collect()} == {149}
+
+
+def test_work_per_query_follows_the_parts(spark):
+    """Parts are as many as the rows ask for."""
+    for n, parts in ((500, 1), (2048, 1), (10_000, 5)):
+        table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(clustered(n))], "vec_id bigint, embedding array<double>")
+        assert learned_partitions.learn(learned_partitions.usable(table)).parts == parts
+
+
 def test_parts_are_balanced():
     vectors = np.random.default_rng(0).normal(size=(1000, 8))
     near = learned_partitions.neighbour_graph(vectors, 10)

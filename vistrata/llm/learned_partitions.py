@@ -6,15 +6,17 @@
    To rows it shows the vector over the largest norm M with sqrt(1 - |x|^2 / M^2) as one more component, to queries the
    unit vector and 0, so that long vectors are found as well.
 3. Every row goes to its most probable part, and each part to blocks of BLOCK rows by hash; a part that holds a third of
-   all rows is many blocks. A query goes to the blocks of its most probable parts, until these sum up to MASS.
+   all rows is many blocks. A query goes to the blocks of its most probable parts, until these sum up to the mass that
+   brought held-out sample rows a recall of AIM among each other, rows the classifier has not seen, and until they hold
+   more than k rows. Queries that still find fewer than k candidates are sent to all parts.
 4. A task holds one block at a time and streams the queries sent to it, 20 best per query and block go on.
 
 Scores are sums of products in double precision in one order for every row, so equal vectors tie exactly.
 
 Defined cases: vectors that are null, zero, hold a null or non-finite component, or are not of the commonest length
 take no part, nor do rows without a vec_id; rows repeated with one vec_id are candidates each, and one query; fewer
-candidates than k are all returned as far as the searched parts hold them, all parts being searched when the table has
-no more than SMALL rows; further columns are ignored; an empty table gives an empty result.
+candidates than k are all returned; further columns are ignored; an empty table gives an empty result. The number of
+parts follows the rows, one for each PART_ROWS up to PARTS.
 """
 
 from __future__ import annotations
@@ -30,11 +32,11 @@ from pyspark.sql import functions as F
 from vistrata.llm.arrays import mix
 from vistrata.session import stage
 
-SAMPLE, PARTS, NEIGHBOURS = 8192, 32, 10
-MASS, LEAST_PARTS = 0.99, 6
+SAMPLE, PARTS, PART_ROWS, NEIGHBOURS = 8192, 32, 2048, 10
+# Recall wanted among held-out sample rows, their share, and the masses tried for it.
+AIM, HELD_OUT = 0.96, 0.25
+MASSES = [0.5, 0.7, 0.8, 0.9, 0.95, 0.97, 0.98, 0.99, 0.995, 0.999, 1.0]
 BLOCK = 8192
-# Up to so many rows, all parts are searched.
-SMALL = 1000
 EPOCHS = 100
 
 
@@ -115,6 +117,10 @@ class Router:
 
     def __init__(self, sample: np.ndarray, longest: float, parts: int):
         self.longest, self.parts = longest, max(1, min(parts, len(sample) // 8))
+        # The sample comes in any order but that of its values.
+        order = np.argsort(mix(sample.view(np.uint64)).sum(1, dtype=np.uint64), kind="stable")
+        aside = sample[order[:int(HELD_OUT * len(sample))]] if self.parts > 1 else sample[:0]
+        sample = sample[order[len(aside):]]
         near = neighbour_graph(sample, NEIGHBOURS)
         part = balanced_parts(near, self.parts) if near.size else np.zeros(len(sample), np.int64)
         own = np.eye(self.parts)[part]
@@ -127,6 +133,19 @@ class Router:
             slope = shown.T @ (self.chances(shown) - wanted) / len(shown)
             first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
             self.weights -= 0.5 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
+        self.mass = self._needed(aside)
+
+    def _needed(self, aside: np.ndarray) -> float:
+        """The least mass at which rows outside the fit find AIM of their neighbours among themselves."""
+        if len(aside) <= NEIGHBOURS:
+            return 1.0
+        near = neighbour_graph(aside, NEIGHBOURS)
+        part = self.chances(self.row(aside)).argmax(1)
+        chances = self.chances(self.query(aside))
+        # What is more probable than a neighbour's part is searched before it.
+        own = np.take_along_axis(chances, part[near], 1)
+        before = np.stack([(chances * (chances > own[:, j:j + 1])).sum(1) for j in range(own.shape[1])], 1)
+        return next((m for m in MASSES if (before < m).mean() >= AIM), 1.0)
 
     def row(self, vectors: np.ndarray) -> np.ndarray:
         x = vectors / self.longest
@@ -153,7 +172,7 @@ def learn(rows: DataFrame, parts: int = PARTS, sample: int = SAMPLE) -> Router |
     mark = F.xxhash64("vec_id")
     some = rows if n <= 2 * sample else rows.where(mark < int(-(2.0**63) + 2 * sample / n * 2.0**64))
     some = some.orderBy(mark, "vec_id").limit(sample).toArrow()
-    return Router(np.unique(_matrix(some.column("vector")), axis=0), float(np.sqrt(scale)), parts)
+    return Router(np.unique(_matrix(some.column("vector")), axis=0), float(np.sqrt(scale)), min(parts, -(-n // PART_ROWS)))
 
 
 def index(rows: DataFrame, router: Router) -> DataFrame:
@@ -167,15 +186,16 @@ def index(rows: DataFrame, router: Router) -> DataFrame:
     return rows.select("vec_id", "vector").mapInArrow(run, "vec_id bigint, vector array<double>, part bigint")
 
 
-def routes(queries: DataFrame, router: Router, everywhere: bool) -> DataFrame:
-    """query_id, vector and part, for each part a query is sent to."""
+def routes(queries: DataFrame, router: Router, held: np.ndarray, k: int, everywhere: bool) -> DataFrame:
+    """query_id, vector and part, for each part a query is sent to; `held` has the rows of each part."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 chances = router.chances(router.query(_matrix(batch.column(1))))
                 order = np.argsort(-chances, 1)
-                before = np.cumsum(np.take_along_axis(chances, order, 1), 1) - np.take_along_axis(chances, order, 1)
-                row, at = np.nonzero((before < MASS) | (np.arange(router.parts) < LEAST_PARTS) | everywhere)
+                sorted_chances = np.take_along_axis(chances, order, 1)
+                before, rows = np.cumsum(sorted_chances, 1) - sorted_chances, np.cumsum(held[order], 1) - held[order]
+                row, at = np.nonzero((before < router.mass) | (rows <= k) | everywhere)
                 yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row)) for c in batch.columns), pa.array(order[row, at])],
                                                  names=["query_id", "vector", "part"])
 
@@ -194,10 +214,24 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, router: Router | N
     if router is None:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
     placed = stage(index(rows, router), "index")
-    counts = {r.part: r["count"] for r in placed.groupBy("part").count().collect()}  # a row per part
-    blocks = [-(-counts.get(p, 0) // BLOCK) for p in range(router.parts)]
-    number = F.get(F.array(*map(F.lit, blocks)), F.col("part").cast("int"))
-    sent = routes(queries.select(F.col("vec_id").alias("query_id"), "vector").dropDuplicates(), router, sum(counts.values()) <= SMALL)
+    held = np.zeros(router.parts, np.int64)
+    for r in placed.groupBy("part").count().collect():  # a row per part
+        held[r.part] = r["count"]
+    asked = stage(queries.select(F.col("vec_id").alias("query_id"), "vector").dropDuplicates(), "queries")
+    found = stage(_search(placed, routes(asked, router, held, k, False), held, k), "found")
+    if router.parts > 1:
+        # Every query's results, and every repeated query's, have to number k.
+        enough = found.groupBy("query_id", "mark").count().groupBy("query_id").agg(F.min("count").alias("least")).where(F.col("least") >= k)
+        lacking = stage(asked.join(enough, "query_id", "left_anti"), "lacking")
+        if not lacking.isEmpty():
+            again = _search(placed, routes(lacking, router, held, k, True), held, k)
+            found = found.join(lacking.select("query_id").distinct(), "query_id", "left_anti").select(*found.columns).unionByName(again)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+def _search(placed: DataFrame, sent: DataFrame, held_rows: np.ndarray, k: int) -> DataFrame:
+    """query_id, mark (of the query's vector), rank, vec_id, score: the k best in the parts that queries are sent to."""
+    number = F.get(F.array(*[F.lit(-(-int(n) // BLOCK)) for n in held_rows]), F.col("part").cast("int"))
     sent = sent.withColumn("n", number).where("n > 0").select(
         "part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n").cast("bigint") - 1)).alias("block"), F.lit(1).alias("role"), "query_id", "vector")
     held = placed.select("part", F.pmod(F.xxhash64("vec_id"), number).cast("bigint").alias("block"), F.lit(0).alias("role"), "vec_id", "vector")
@@ -238,7 +272,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, router: Router | N
             .mapInArrow(run, "query_id bigint, vec_id bigint, score double, mark bigint"))
     order = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
     return (meet.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+            .select("query_id", "mark", "rank", "vec_id", "score"))
 
 
 def self_search(table: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
