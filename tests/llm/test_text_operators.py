@@ -111,6 +111,22 @@ def test_near_duplicate_stage(odd):
     assert ids.count(None) == 2 and 7 not in ids and {1, 2, 3, 4, 5, 11, 18} <= set(ids) and ids.count(18) == 2 and 12 not in ids
 
 
+def test_sets_that_share_half_a_key(spark, real, monkeypatch):
+    """Sets whose vid is the same stay apart."""
+    want = {r.doc_id: r.component_id for r in setsketch.grouped(real, 4, 80).collect()}
+    sketch = setsketch.sketch
+    monkeypatch.setattr(setsketch, "sketch", lambda *a: sketch(*a).withColumn("vid", F.when(F.col("vid").isNotNull(), F.col("vid") % 3)))
+    assert {r.doc_id: r.component_id for r in setsketch.grouped(real, 4, 80).collect()} == want
+
+
+def test_many_rows_without_doc_id(spark):
+    words = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.concat(F.lit("w"), (F.col("id") % 2500 * 100 + i).cast("string"))), " ")
+    docs = spark.range(10_000).select(F.lit(None).cast("bigint").alias("doc_id"), words.alias("text"))
+    made = setsketch.grouped(docs)
+    assert made.count() == 10_000 and made.where("component_id is null and n_shingles = 8").count() == 10_000
+    assert setsketch.without_copies(docs).count() == 2500
+
+
 def test_unlinked_copies_meet_across_components(spark):
     """A chain of texts, each 80 percent like the next only, is one component; a crowd around one text keeps its strays."""
     words = [f"c{i}" for i in range(400)]

@@ -155,14 +155,20 @@ def estimated(pairs: DataFrame, classes: DataFrame, floor: float) -> DataFrame:
             .mapInArrow(run, "a bigint, b bigint"))
 
 
+def _texts(vids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """vid and text of the given classes, by the doc_id and text hash of their first row."""
+    reps = vids.join(classes.select("vid", F.col("rep.doc_id").alias("rep"), F.col("rep.t").alias("rep_t")), "vid")
+    rows = docs.select("doc_id", "text", F.coalesce(F.xxhash64("text"), F.lit(0).cast("bigint")).alias("t"))
+    return rows.join(reps, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("t") == F.col("rep_t"))).select("vid", "text")
+
+
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs a, b whose full sets reach the limit. Each centre's text meets runs of CHECKED other texts."""
     sized = pairs.join(pairs.groupBy("a").count(), "a").select(
         "a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("count") / CHECKED)).alias("salt"))
     sized = stage(sized, "pairs")
     ends = sized.select(F.col("a").alias("vid")).union(sized.select("b")).distinct()
-    reps = ends.join(classes.select("vid", "rep"), "vid")
-    texts = stage(docs.select("doc_id", "text").join(reps, F.col("doc_id").eqNullSafe(F.col("rep"))).select("vid", "text"), "texts")
+    texts = stage(_texts(ends, classes, docs), "texts")
     centres = sized.select("a", "salt").distinct().join(texts, F.col("a") == F.col("vid"))
     others = sized.join(texts, F.col("b") == F.col("vid"))
     rows = (centres.select("a", "salt", F.lit(0).alias("role"), "vid", "text")
@@ -177,14 +183,8 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
             for start, end in blocks(offsets):
                 values, where = shingle_sets(Block(data, offsets, start, end, lower=True), size)
                 cuts = np.searchsorted(where, np.arange(end - start + 1))
-                keys = np.zeros(end - start, np.int64)
-                full = cuts[1:] > cuts[:-1]
-                if len(values):
-                    keys[full] = set_keys(values, cuts[:-1][full])[:, 0].view(np.int64)
                 for i in range(start, end):
                     got = values[cuts[i - start]:cuts[i - start + 1]]
-                    if keys[i - start] != vid[i]:  # another text under the same doc_id
-                        continue
                     if role[i] == 0:
                         centre, own = a[i], got
                     elif a[i] == centre:
@@ -208,24 +208,16 @@ def _shared(classes: DataFrame) -> DataFrame:
 
 def _sets(vids: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """vid, shingles (the full set as 64-bit hashes in order) of the given classes."""
-    reps = vids.join(classes.select("vid", "rep"), "vid")
-    texts = docs.select("doc_id", "text").join(reps, F.col("doc_id").eqNullSafe(F.col("rep"))).select("vid", "text")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat(batch.column(1))
             for a, b in blocks(offsets):
                 values, where = shingle_sets(Block(data, offsets, a, b, lower=True), size)
                 cuts = np.searchsorted(where, np.arange(b - a + 1))
-                keys = np.zeros(b - a, np.int64)
-                full = cuts[1:] > cuts[:-1]
-                if len(values):
-                    keys[full] = set_keys(values, cuts[:-1][full])[:, 0].view(np.int64)
                 made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(8 * cuts.astype(np.int64)), pa.py_buffer(values)])
-                own = pa.array(keys == np.asarray(batch.column(0).slice(a, b - a)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), made.cast(pa.binary())], names=["vid", "shingles"]).filter(own)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), made.cast(pa.binary())], names=["vid", "shingles"])
 
-    return texts.mapInArrow(run, "vid bigint, shingles binary").groupBy("vid").agg(F.min("shingles").alias("shingles"))
+    return _texts(vids, classes, docs).mapInArrow(run, "vid bigint, shingles binary").groupBy("vid").agg(F.min("shingles").alias("shingles"))
 
 
 class _Meeting:
@@ -261,7 +253,7 @@ class _Meeting:
                 if one != two:
                     self.parent[two] = one
                     out.append((own_vid, int(vid[i])))
-                    roots = np.array([self.root(x) for x in label.tolist()])
+                    roots[roots == two] = one
         return out
 
 
@@ -315,12 +307,26 @@ def _across(shared: DataFrame, classes: DataFrame, labels: DataFrame, docs: Data
     return meet.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows, and a class for each set: set_key, vid, rep (doc_id and t of its first row), n_shingles, sketch.
+
+    vid is half of the set's key. Where two sets share it, all but the first get another one.
+    """
+    classes = stage(rows.where("vid is not null").groupBy("set_key").agg(
+        F.min("vid").alias("vid"), F.min(F.struct("doc_id", "t")).alias("rep"), F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch")), "classes")
+    shared = classes.groupBy("vid").agg(F.count("*").alias("n"), F.min("set_key").alias("first")).where("n > 1").select("vid", "first")
+    moved = stage(classes.select("vid", "set_key").join(shared, "vid").where("set_key <> first")
+                  .select("set_key", F.xxhash64("set_key", F.lit("again")).alias("moved")), "moved")
+    if moved.isEmpty():
+        return rows, classes
+    renamed = lambda df, name: stage(df.join(moved, "set_key", "left").withColumn("vid", F.coalesce("moved", "vid")).select(*df.columns), name)
+    return renamed(rows, "sketches"), renamed(classes, "classes")
+
+
 def _placed(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Staged rows (doc_id, t, n_shingles, vid) and the label of each class (vid, label)."""
     floor = percent / 100 - MARGIN
-    rows = stage(sketch(docs, size), "sketches")
-    classes = stage(rows.where("vid is not null").groupBy("vid").agg(
-        F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch")), "classes")
+    rows, classes = _classes(stage(sketch(docs, size), "sketches"))
     shared = stage(_shared(classes), "buckets")
     pairs = shared.where("head <> vid").select(F.col("head").alias("a"), F.col("vid").alias("b")).distinct()
     links = stage(confirmed(estimated(pairs, classes, floor), classes, docs, size, percent), "confirmed")
@@ -361,6 +367,6 @@ def without_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     twice = stage(twice, "repeated")
     if twice.isEmpty():
         return kept
-    order = Window.partitionBy("doc_id", mark).orderBy(F.lit(0))
+    order = Window.partitionBy("doc_id", mark).orderBy(F.to_json(F.struct(*docs.columns)))
     one = kept.join(twice, same(twice), "left_semi").withColumn("__row", F.row_number().over(order)).where("__row = 1").drop("__row")
     return kept.join(twice, same(twice), "left_anti").unionByName(one)
