@@ -196,3 +196,39 @@ def test_csv_of_a_header_alone(spark, tmp_path):
     (tmp_path / "e.csv").write_text('')
     with pytest.raises(ValueError):
         load.split_records(load.csv_records(spark, str(tmp_path / "e.csv")))
+
+
+def documents(spark, tmp_path, lines):
+    (tmp_path / "d.json").write_text("\n".join(lines) + "\n")
+    return load.read_mixed_documents(spark, str(tmp_path / "d.json"))
+
+
+def test_fields_of_mixed_types(spark, tmp_path):
+    df, report = documents(spark, tmp_path, [
+        '{"_id": 1, "a": 1, "b": {"c.d": 2.5, "e": "x"}, "f": true, "g": "12"}', '{"a": "one", "b": {"c.d": 3, "e": "y"}, "f": true, "g": "x"}',
+        '{"a": 3, "b": {"c.d": "n/a", "e": null}, "f": "no", "h": [1, "2"]}', '{"a": {"deep": 1}, "b": {"c.d": [4]}, "f": false}', "", "not json", '{"a": 5, "b": {"c.d": 7}}'])
+    assert [(c, t) for c, t in df.dtypes] == [("a", "bigint"), ("a_other", "string"), ("b.c.d", "double"), ("b.c.d_other", "string"), ("b.e", "string"),
+                                              ("f", "boolean"), ("f_other", "string"), ("g", "string"), ("h", "array<string>")]
+    rows = [(r["a"], r["a_other"], r["b.c.d"], r["b.c.d_other"], r["f"], r["f_other"]) for r in df.collect() if r["b.c.d"] or r["b.c.d_other"]]
+    assert rows == [(1, None, 2.5, None, True, None), (None, "one", 3.0, None, True, None), (3, None, None, "n/a", None, "no"),
+                    (None, '{"deep":1}', None, "[4]", False, None), (5, None, 7.0, None, None, None)]
+    assert {(r["column"], r["kind"]): (r["values"], r["kept"]) for r in report.collect()} == {
+        ("a", "whole"): (3, True), ("a", "text"): (1, False), ("a", "nested"): (1, False), ("b.c.d", "number"): (1, True), ("b.c.d", "whole"): (2, True),
+        ("b.c.d", "text"): (1, False), ("b.c.d", "nested"): (1, False), ("f", "truth"): (3, True), ("f", "text"): (1, False)}
+
+
+def test_documents_of_plain_types_keep_their_columns(spark, tmp_path):
+    df, report = documents(spark, tmp_path, ['{"_id": "x", "n": 1, "s": "t", "o": {"p": 2}}', '{"n": 2.5, "s": null}'])
+    assert dict(df.dtypes) == {"n": "double", "s": "string", "o.p": "bigint"} and report.count() == 0
+
+
+def test_first_database_and_collection():
+    listing = {"admin": ["x"], "config": ["y"], "shop": ["orders", "people"], "log": [], "local": []}
+    assert load.first_collection(listing) == ("shop", "orders")
+    assert load.first_collection(listing, collection="people") == ("shop", "people")
+    assert load.first_collection(listing, "admin") == ("admin", "x")
+    for bad in ({"admin": ["x"]}, {}):
+        with pytest.raises(ValueError):
+            load.first_collection(bad)
+    with pytest.raises(ValueError):
+        load.first_collection(listing, "log")

@@ -125,6 +125,24 @@ def _(spark, table):
     return load.read_documents(spark, path).select("event_id", F.col("`props.k`"), F.col("`who.user.id`"), F.col("`who.kind`"))
 
 
+@query("document_scan_mixed", """SELECT event_id, CASE WHEN event_id % 10 NOT IN (3, 7) THEN value END AS amount,
+CASE event_id % 10 WHEN 3 THEN 'none of it' WHEN 7 THEN '{"of":' || user_id || '}' END AS amount_other,
+CASE WHEN event_id % 5 < 3 THEN event_type WHEN event_id % 5 = 3 THEN user_id::VARCHAR ELSE 'true' END AS words FROM events""")
+def _(spark, table):
+    """Documents whose fields are a number, a text or an object by row."""
+    path = staging_path(spark, "mixed")
+    e = table("events")
+    kind, m = F.col("event_id") % 10, F.col("event_id") % 5
+    quote = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    amount = (F.when(kind == 3, F.lit('"none of it"')).when(kind == 7, F.concat(F.lit('{"of":'), F.col("user_id").cast("string"), F.lit("}")))
+              .otherwise(F.col("value").cast("string")))
+    words = F.when(m < 3, quote(F.col("event_type"))).when(m == 3, F.col("user_id").cast("string")).otherwise(F.lit("true"))
+    line = F.concat(F.lit('{"_id":"x","event_id":'), F.col("event_id").cast("string"), F.lit(',"in":{"amount":'), amount, F.lit(',"words":'), words, F.lit("}}"))
+    e.select(line.alias("value")).write.text(path)
+    return load.read_documents(spark, path).select("event_id", F.col("`in.amount`").alias("amount"), F.col("`in.amount_other`").alias("amount_other"),
+                                                   F.col("`in.words`").alias("words"))
+
+
 @query("kpi_sink", """
 SELECT 'SUM_p_partkey' AS "Metric", sum(p_partkey)::BIGINT::VARCHAR AS "Value" FROM part
 UNION ALL SELECT 'AVG_p_partkey', CASE WHEN v = floor(v) THEN v::BIGINT::VARCHAR ELSE round(v, 6)::VARCHAR END FROM (SELECT avg(p_partkey) AS v FROM part)

@@ -257,8 +257,98 @@ def split_records(records: DataFrame) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """JSON document exports: nested fields become dotted columns, the document id is dropped."""
-    return drop_document_id(flatten(spark.read.json(path)))
+    """JSON document exports, one a line: nested fields become dotted columns, the document id is dropped. A field of
+    mixed types gets the type most of its values have (see `read_mixed_documents`)."""
+    return read_mixed_documents(spark, path)[0]
+
+
+# Kinds of JSON values by the types a variant reports, and what a column of each kind becomes.
+KINDS = [("whole", "^BIGINT$", "bigint"), ("number", "^(DECIMAL|DOUBLE|FLOAT)", "double"), ("truth", "^BOOLEAN$", "boolean"),
+         ("text", "^STRING$", None), ("nested", "^(OBJECT|ARRAY)", None)]
+
+
+def _string_paths(kind: T.StructType, above: tuple[str, ...] = ()) -> Iterator[tuple[str, ...]]:
+    """Paths of text fields: what Spark's inference gives a field of mixed types."""
+    for f in kind.fields:
+        if isinstance(f.dataType, T.StructType):
+            yield from _string_paths(f.dataType, (*above, f.name))
+        elif isinstance(f.dataType, T.StringType):
+            yield (*above, f.name)
+
+
+def _variant_path(path: tuple[str, ...]) -> str:
+    return "$" + "".join("[\"" + name.replace("\\", "\\\\").replace('"', '\\"') + "\"]" for name in path)
+
+
+def read_mixed_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The documents, and a report of fields with values of several types: column, kind, values, kept.
+
+    Spark's inference makes a field text as soon as two values differ in type. Such fields are looked at again as
+    variants: one scan counts the types of all of them, and where most values are numbers or truth values the column
+    is of that type. Its other values stand as text in a further column, `<name>_other`. Where text or nested values
+    are the most, all values stay text.
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    schema = spark.read.json(path).schema
+    schema = T.StructType([f for f in schema.fields if f.name != spark.conf.get("spark.sql.columnNameOfCorruptRecord")])
+    paths = list(_string_paths(schema))
+    docs = lines.select(F.from_json("value", schema).alias("d"), F.try_parse_json("value").alias("v"))
+    empty = spark.createDataFrame([], "column string, kind string, values bigint, kept boolean")
+    if not paths:
+        return drop_document_id(flatten(docs.select("d.*"))), empty
+    at = {p: _variant_path(p) for p in paths}
+    types = F.array(*[F.struct(F.lit(i).alias("i"), F.schema_of_variant(F.try_variant_get("v", at[p], "variant")).alias("type")) for i, p in enumerate(paths)])
+    kind = F.coalesce(*[F.when(F.col("type").rlike(pattern), F.lit(name)) for name, pattern, _ in KINDS])
+    counted = docs.select(F.inline(types)).select("i", kind.alias("kind")).where("kind IS NOT NULL").groupBy("i", "kind").agg(F.count("*").alias("values"))
+    found: dict[int, dict[str, int]] = {}
+    for r in counted.collect():  # a few rows per field
+        found.setdefault(r["i"], {})[r["kind"]] = r["values"]
+    changed, report = {}, []
+    for i, p in enumerate(paths):
+        kinds = found.get(i, {})
+        if len(kinds) < 2:
+            continue
+        numbers = kinds.get("whole", 0) + kinds.get("number", 0)
+        best = max([("number" if kinds.get("number") else "whole", numbers), *((k, kinds.get(k, 0)) for k in ("truth", "text", "nested"))], key=lambda x: x[1])[0]
+        to = {name: target for name, _, target in KINDS}[best]
+        kept = {"whole", "number"} if best in ("whole", "number") else {best}
+        report += [(".".join(p), k, n, to is None or k in kept) for k, n in sorted(kinds.items())]
+        if to:
+            changed[p] = (to, kept)
+    out = []
+    for f in flatten(docs.select("d.*")).columns:
+        p = next((x for x in changed if ".".join(x) == f), None)
+        if p is None:
+            out.append((f, None))
+        else:
+            out += [(f, p), (f"{f}_other", p)]
+    plain = flatten(docs.select("d.*", F.col("v").alias("_variant")))
+    cells = []
+    for name, p in out:
+        if p is None:
+            cells.append(col(name))
+            continue
+        to, kept = changed[p]
+        value = F.try_variant_get("_variant", at[p], "variant")
+        patterns = "|".join(pattern for k, pattern, _ in KINDS if k in kept)
+        fits = F.schema_of_variant(value).rlike(patterns)
+        cells.append((F.when(~fits, col(".".join(p))) if name.endswith("_other") else F.when(fits, F.try_variant_get("_variant", at[p], to))).alias(name))
+    return drop_document_id(plain.select(*cells)), spark.createDataFrame(report, empty.schema)
+
+
+# Databases a document server keeps for itself.
+INTERNAL_DATABASES = ["admin", "local", "config"]
+
+
+def first_collection(listing: dict[str, list[str]], database: str = "", collection: str = "") -> tuple[str, str]:
+    """Database and collection to read from a server's listing: the named ones, else the first of each."""
+    names = [d for d in listing if d not in INTERNAL_DATABASES]
+    if not names:
+        raise ValueError("the server holds no database")
+    database = database or names[0]
+    if not listing.get(database):
+        raise ValueError(f"database {database} holds no collection")
+    return database, collection or listing[database][0]
 
 
 # --- workbooks -------------------------------------------------------------------------------------------
