@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vistrata.catalog.base import query
 from vistrata.catalog.columns import FINITE, MESSY, messy
 from vistrata.functions.columns import col
-from vistrata.operators import association, counts, groups, histogram, preview, profile, quantiles, statistics
+from vistrata.operators import association, counts, groups, histogram, preview, profile, quantiles, states, statistics
 from vistrata.plans import summary
 from vistrata.plans.kpis import kpi_groups, kpis
 
@@ -390,6 +390,22 @@ def _(spark, table):
     return summary.dataset_profile(table("orders"))["columns"].select("column", "unique")
 
 
+@query("merged_profile_states", " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count(*) AS "rows", count(*) - count({c}) AS missing, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std,
+min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, true AS distinct_near, true AS median_near FROM lineitem""" for c in NUMBERS))
+def _(spark, table):
+    """Profiles of three loads, merged: exact figures, and sketches within their stated errors of the exact ones."""
+    items = table("lineitem")
+    loads = [states.profile_state(items.where(F.pmod("l_orderkey", F.lit(3)) == i), str(i)) for i in range(3)]
+    made = states.read_states(states.merge_states(loads[0].unionByName(loads[1]).unionByName(loads[2])), [0.5]).where(F.col("column").isin(NUMBERS))
+    exact = profile.distinct_counts(items, NUMBERS).select("column", F.col("distinct").alias("exact"))
+    near = quantiles.percentiles(items, NUMBERS, [0.5 - 2 * states.RANK_ERROR, 0.5 + 2 * states.RANK_ERROR]).select("column", "values")
+    out = made.join(exact, "column").join(near, "column").select(
+        "column", "rows", "missing", "mean", "std", "min", "max", (F.abs(F.col("distinct") - F.col("exact")) <= 4 * states.DISTINCT_ERROR * F.col("exact") + 0.5).alias("distinct_near"),
+        F.col("percentiles")[0].between(F.col("values")[0], F.col("values")[1]).alias("median_near"))
+    return rounded(out, 4, "mean", "std")
+
+
 @query("head_rows", "SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 200")
 def _(spark, table):
     return preview.head(table("orders"), 200, [F.desc("o_totalprice"), "o_orderkey"])
