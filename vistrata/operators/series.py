@@ -21,14 +21,13 @@ TRIM = (0.01, 0.99)
 
 
 def time_scores(df: DataFrame) -> DataFrame:
-    """column, score: values readable as a time - in a text column by the layout that reads most - plus 10 for a telling
-    name. Numbers are never times."""
+    """column, score: values readable as a time, plus 10 for a telling name. Numbers are never times."""
     fields = [f for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
     counts = F.array(*[
         F.struct(F.lit(f.name).alias("column"), F.count(to_time(col(f.name), f.dataType)).alias("read"), F.lit(_bonus(f.name)).alias("bonus"))
         for f in fields if not isinstance(f.dataType, T.StringType)])
     bonus = df.sparkSession.createDataFrame([(f.name, _bonus(f.name)) for f in fields if isinstance(f.dataType, T.StringType)], "column string, bonus int")
-    texts = layout_scores(df).groupBy("column").agg(F.max("read").alias("read")).join(F.broadcast(bonus), "column")
+    texts = layout_scores(df).groupBy("column").agg(F.max("readable").alias("read")).join(F.broadcast(bonus), "column")
     plain = df.agg(counts.alias("s")).select(F.inline("s")) if len(fields) > bonus.count() else texts.limit(0)
     return plain.unionByName(texts).select("column", (F.col("read") + F.col("bonus")).alias("score"))
 
