@@ -237,7 +237,7 @@ def test_queries_go_on_until_k_are_found(spark, monkeypatch):
 
 def test_work_per_query_follows_the_parts(spark):
     """Parts are as many as the rows ask for."""
-    for n, parts in ((500, 1), (2048, 1), (10_000, 5)):
+    for n, parts in ((500, 1), (2048, 4), (10_000, 20)):
         table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(clustered(n))], "vec_id bigint, embedding array<double>")
         assert learned_partitions.learn(learned_partitions.usable(table)).parts == parts
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from vistrata.llm.arrays import mix
 from vistrata.session import stage
 
-SAMPLE, PARTS, PART_ROWS, NEIGHBOURS = 8192, 32, 2048, 10
+SAMPLE, PARTS, PART_ROWS, NEIGHBOURS = 8192, 32, 512, 10
 # Recall wanted among held-out sample rows, their share, and the masses tried for it.
 AIM, HELD_OUT = 0.96, 0.25
 MASSES = [0.5, 0.7, 0.8, 0.9, 0.95, 0.97, 0.98, 0.99, 0.995, 0.999, 1.0]
