@@ -11,8 +11,8 @@ from vistrata.functions import names as N
 from vistrata.operators import association, cleaning, counts, groups, histogram, preview, profile, quantiles, series, statistics
 from vistrata.plans import charts
 from vistrata.plans import query as Q
-from vistrata.plans.kpis import kpis
-from vistrata.plans.summary import categorical_summary
+from vistrata.plans.kpis import kpi_group_figures, kpis
+from vistrata.plans.summary import categorical_summary, dataset_profile, profile_text
 
 NAN, INF = float("nan"), float("inf")
 
@@ -294,3 +294,43 @@ def test_stages_unwind_and_refuse(spark):
 def test_pie_only_for_few_slices(spark):
     few, many = (spark.range(n).select(F.col("id").cast("string").alias("k"), F.lit(1).alias("v")) for n in (10, 11))
     assert [Q.choose_chart("share as pie", d).kind for d in (few, many)] == ["pie", "bar"]
+
+
+def test_times_are_described_as_times(spark):
+    t = datetime(2024, 1, 1, 12, 30, 0, 250_001)
+    rows = [(1, t, None), (2, t + timedelta(days=2), None), (3, None, None)]
+    df = spark.createDataFrame(rows, "id bigint, t timestamp, u timestamp")
+    at = F.date_format("mean", "yyyy-MM-dd HH:mm"), F.date_format("max", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    want = {("t", 2, "2024-01-02 12:30", "2024-01-03 12:30:00.250001"), ("u", 0, None, None)}
+    assert set(map(tuple, statistics.describe_times(df).select("column", "count", *at).collect())) == want
+    assert set(map(tuple, statistics.describe_times(df, statistics.describe(df)).select("column", "count", *at).collect())) == want
+    # Without a numeric column there is no describe table, but times are still told.
+    assert {r["count"] for r in dataset_profile(df.drop("id"))["times"].collect()} == {0, 2}
+    assert {r["count"] for r in statistics.describe_times(df.limit(0)).collect()} == {0}
+    assert statistics.describe_times(df.select("id")).count() == 0
+    lines = column(profile_text(dataset_profile(df)).where("line LIKE 't %' AND line LIKE '%mean=%'"), "line")
+    assert lines == ["t count=2 mean=2024-01-02T12:30:00 min=2024-01-01T12:30:00 p25=2024-01-02T00:30:00 p50=2024-01-02T12:30:00 "
+                     "p75=2024-01-03T00:30:00 max=2024-01-03T12:30:00"]
+
+
+def test_chart_sections(spark):
+    bins = spark.createDataFrame([("a", 0), ("a", 1), ("b.c", 0)], "column string, bin int")
+    points = spark.createDataFrame([(1.0, 2.0)], "x double, y double")
+    made = {"histograms": {"bins": bins}, "scatters": {"association": bins, "points_a_b": points}, "correlation": {},
+            "anomaly_scatter": {"normal": points, "anomaly": points.limit(0)}}
+    series = spark.createDataFrame([("a", 1.0), ("a", 2.0)], "series string, yhat double")
+    index = charts.chart_index(made, series)
+    assert {tuple(r) for r in index.collect()} == {
+        ("hist_a", "Hist A", "distribution", 2), ("hist_b.c", "Hist B.c", "distribution", 1), ("scatter_a_b", "Scatter A B", "scatter", 1),
+        ("anomaly_scatter", "Anomaly: Anomaly Scatter", "anomaly", 1), ("forecast_a", "Forecast: A", "forecasting", 2)}
+    sections = charts.chart_sections(index).orderBy("position").collect()
+    assert [(r.category, r.charts, r.points) for r in sections] == [("forecasting", 1, 2), ("anomaly", 1, 1), ("scatter", 1, 1), ("distribution", 2, 3)]
+    assert charts.chart_sections(charts.chart_index({"scatters": {"points_a_b": points.limit(0)}})).count() == 0
+
+
+def test_class_fill_and_figures_of_groups(messy):
+    got = {r["column"]: (r["class"], r["filled"], r["rows"]) for r in C.class_fill(C.finite_frame(messy)).collect()}
+    assert got["amount"] == ("numeric", 4, 8) and got["flag"] == ("categorical", 7, 8) and len(got) == 6
+    assert {r["filled"] for r in C.class_fill(messy.limit(0)).collect()} == {0}
+    figures = {r.metric_group: r for r in kpi_group_figures(kpis(messy.withColumn("none", F.lit(None).cast("double")))).collect()}
+    assert (figures["SUM"].metrics, figures["AVG"].missing, figures["other"].greatest) == (4, 1, 8.0)

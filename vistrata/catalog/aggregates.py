@@ -9,7 +9,7 @@ from vistrata.catalog.columns import FINITE, MESSY, messy
 from vistrata.functions.columns import col
 from vistrata.operators import association, counts, groups, histogram, preview, profile, quantiles, states, statistics
 from vistrata.plans import summary
-from vistrata.plans.kpis import kpi_groups, kpis
+from vistrata.plans.kpis import kpi_group_figures, kpi_groups, kpis
 
 NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 PRICES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -50,6 +50,17 @@ def _(spark, table):
     return kpi_groups(kpis(table("lineitem")))
 
 
+@query("kpi_group_figures", f"""WITH {MESSY}, {FINITE}, k AS (
+SELECT 'SUM' AS metric_group, unnest([sum(id)::DOUBLE, sum(amount), sum(qty)::DOUBLE, sum(fixed)::DOUBLE, NULL]) AS value FROM fin
+UNION ALL SELECT 'AVG', unnest([avg(id), avg(amount), avg(qty), avg(fixed), NULL]) FROM fin
+UNION ALL SELECT 'other', unnest([count(*)::DOUBLE, 6]) FROM fin)
+SELECT metric_group, count(*) AS metrics, count(*) - count(value) AS missing, round(min(value), 2) AS least, round(max(value), -1) AS greatest FROM k GROUP BY 1""")
+def _(spark, table):
+    """What the figures of each group show; a column without values has missing ones."""
+    made = kpi_group_figures(kpis(messy(table("orders")).withColumn("empty", F.lit(None).cast("double"))))
+    return made.withColumn("least", F.round("least", 2)).withColumn("greatest", F.round("greatest", -1))
+
+
 @query("missing_counts", f"""WITH {MESSY}, {FINITE} SELECT 'id' AS "column", count(*) - count(id) AS missing FROM fin
 UNION ALL SELECT 'amount', count(*) - count(amount) FROM fin UNION ALL SELECT 'qty', count(*) - count(qty) FROM fin
 UNION ALL SELECT 'city', count(*) - count(city) FROM fin UNION ALL SELECT 'fixed', count(*) - count(fixed) FROM fin""")
@@ -141,6 +152,20 @@ def _(spark, table):
     return rounded(out, 4, "mean", "std", "p25", "p50", "p75")
 
 
+@query("describe_times", """WITH t AS (SELECT 'l_shipdate' AS "column", epoch(l_shipdate) AS s FROM lineitem UNION ALL SELECT 'ts', epoch(ts) FROM events
+UNION ALL SELECT 'late', epoch(CASE WHEN value > 50 THEN ts END) FROM events)
+SELECT "column", count(s) AS "count", """ + ", ".join(f"strftime(to_timestamp(floor(({x}) / 60) * 60) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M') AS {n}" for n, x in (
+    ("mean", "avg(s) + 0.01"), ("min", "min(s)"), ("p25", "quantile_cont(s, 0.25)"), ("p50", "quantile_cont(s, 0.5)"), ("p75", "quantile_cont(s, 0.75)"),
+    ("max", "max(s)"))) + """ FROM t GROUP BY 1""")
+def _(spark, table):
+    """Time columns described as times, to the minute."""
+    late = F.when(F.col("value") > 50, F.col("ts")).alias("late")
+    made = statistics.describe_times(table("lineitem")).unionByName(statistics.describe_times(table("events").select("ts", late)))
+    # A mean is a double: a hundredth of a second more keeps one on a full minute from falling below it.
+    made = made.withColumn("mean", F.col("mean") + F.expr("interval 10 milliseconds"))
+    return made.select("column", "count", *[F.date_format(c, "yyyy-MM-dd HH:mm").alias(c) for c in ("mean", "min", "p25", "p50", "p75", "max")])
+
+
 def quantile_sql(c: str, p: float) -> str:
     return f"round(quantile_cont({c}, {p}), 4)::DOUBLE"
 

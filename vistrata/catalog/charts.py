@@ -165,3 +165,26 @@ def _(spark, table):
     one = made["summary"].select("total_categories", "dominant_category", "dominant_proportion_pct").withColumn("column", F.lit("o_totalprice"))
     both = one.join(made["statistics"].select("column", "n", "mean", "std", "median"), "column").drop("column")
     return rounded(both, 2, "mean", "std", "median")
+
+
+def shown(n: str, limit: int) -> str:
+    """Points of a chart of a column's values: none above the limit."""
+    return f"CASE WHEN {n} <= {limit} THEN {n} ELSE 0 END"
+
+
+@query("chart_sections", f"""WITH f AS (SELECT count(*) AS n, count(DISTINCT o_orderstatus) AS s, count(DISTINCT o_orderpriority) AS p,
+ least(30, greatest(5, floor(sqrt(count(*)))::BIGINT)) AS bins FROM orders),
+c AS (SELECT 'Hist O Custkey' AS name, 'distribution' AS category, bins AS points FROM f UNION ALL SELECT 'Hist O Totalprice', 'distribution', bins FROM f
+UNION ALL SELECT 'Bar O Orderstatus', 'bar', {shown("s", 20)} FROM f UNION ALL SELECT 'Bar O Orderpriority', 'bar', {shown("p", 20)} FROM f
+UNION ALL SELECT 'Pie O Orderstatus', 'pie', {shown("s", 10)} FROM f UNION ALL SELECT 'Pie O Orderpriority', 'pie', {shown("p", 10)} FROM f
+UNION ALL SELECT 'Correlation Heatmap', 'correlation', 4 FROM f WHERE n > 1
+UNION ALL SELECT 'Avg O Totalprice By O Orderstatus', 'other', CASE WHEN s <= 25 THEN s ELSE 24 END FROM f
+UNION ALL SELECT 'Avg O Totalprice By O Orderpriority', 'other', CASE WHEN p <= 25 THEN p ELSE 24 END FROM f)
+SELECT category, count(*) AS charts, sum(points)::BIGINT AS points, string_agg(name, ', ' ORDER BY name) AS names FROM c WHERE points > 0 GROUP BY 1""")
+def _(spark, table):
+    """The charts of the orders by category, with how many points they show."""
+    orders = table("orders").select("o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    made = {"histograms": charts.chart_histograms(orders, orders), "bars": charts.chart_bars(orders), "pies": charts.chart_pies(orders),
+            "correlation": charts.chart_correlation(orders, orders.withColumn("column", F.lit(""))),
+            "group_means": charts.chart_group_means(orders, [("o_orderstatus", "o_totalprice"), ("o_orderpriority", "o_totalprice")])}
+    return charts.chart_sections(charts.chart_index(made)).select("category", "charts", "points", F.concat_ws(", ", "names").alias("names"))

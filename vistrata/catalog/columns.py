@@ -55,6 +55,14 @@ def _(spark, table):
     return C.column_classes(table("lineitem")).select("position", "column", "class")
 
 
+@query("class_fill", f"""WITH {MESSY}, {FINITE}, n AS (SELECT count(*) AS rows FROM fin)
+SELECT position, "column", class, filled, rows FROM n, (SELECT unnest([0, 1, 2, 3, 4])::INT AS position, unnest(['id', 'amount', 'qty', 'city', 'fixed']) AS "column",
+ unnest(['numeric', 'numeric', 'numeric', 'categorical', 'numeric']) AS class, unnest([count(id), count(amount), count(qty), count(city), count(fixed)]) AS filled FROM fin)""")
+def _(spark, table):
+    """Columns by class, and how many of their cells are filled."""
+    return C.class_fill(C.finite_frame(messy(table("orders")))).select("position", "column", "class", "filled", "rows")
+
+
 @query("finite_values", f"WITH {MESSY}, {FINITE} SELECT id, amount, qty, city FROM fin")
 def _(spark, table):
     return C.finite_frame(messy(table("orders"))).drop("fixed")

@@ -47,6 +47,14 @@ def column_classes(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "position int, column string, type string, class string")
 
 
+def class_fill(df: DataFrame) -> DataFrame:
+    """position, column, type, class, filled, rows: the classes with how much of each column is filled; one scan."""
+    cells = F.array(*[F.struct(F.lit(f.name).alias("column"), F.count(col(f.name)).alias("filled"), F.count(F.lit(1)).alias("rows"))
+                      for f in df.schema.fields])
+    return column_classes(df).join(df.agg(cells.alias("s")).select(F.inline("s")), "column").select(
+        "position", "column", "type", "class", "filled", "rows")
+
+
 def is_floating(data_type: T.DataType) -> bool:
     return isinstance(data_type, (T.FloatType, T.DoubleType))
 

@@ -205,19 +205,44 @@ def _local(df: DataFrame):
     return df.collect(), df.schema
 
 
+def time_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))]
+
+
+def _clock(df: DataFrame, times: Sequence[str]) -> DataFrame:
+    """Time columns as seconds since the epoch."""
+    return df.select(*[(F.unix_micros(col(c).cast("timestamp")) / 1e6).alias(c) for c in times])
+
+
+def describe_times(df: DataFrame, described: DataFrame | None = None) -> DataFrame:
+    """column, count, mean, min, p25, p50, p75, max of the time columns as times, to the microsecond.
+
+    A known describe table that holds the time columns is read instead of the frame. A column without values has a row
+    of missing times; a table without time columns gives no row.
+    """
+    times, shown = time_columns(df), ["mean", "min", "p25", "p50", "p75", "max"]
+    if not times:
+        return df.sparkSession.createDataFrame([], "column string, count bigint, " + ", ".join(f"{c} timestamp" for c in shown))
+    if described is not None and numeric_columns(df):
+        made = described.where(F.col("column").isin(times))
+    else:
+        clock = _clock(df, times)
+        made = numeric_profile(clock, times).join(percentile_table(clock, times).select("column", "p25", "p50", "p75"), "column", "left")
+    return made.select("column", "count", *[F.timestamp_micros(F.round(F.col(c) * 1e6).cast("bigint")).alias(c) for c in shown])
+
+
 def describe(df: DataFrame) -> DataFrame:
     """column, count, mean, std, min, 25%, 50%, 75%, max as text-free doubles.
 
     Timestamp columns join in, as seconds since the epoch and without std, when there is a numeric column.
     """
     numeric = numeric_columns(df)
-    times = [f.name for f in df.schema.fields
-             if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))] if numeric else []
+    times = time_columns(df) if numeric else []
     if not numeric:
         return df.sparkSession.createDataFrame(
             [], "column string, count bigint, mean double, std double, min double, p25 double, p50 double, "
                 "p75 double, max double, position int")
-    clock = df.select(*[(F.unix_micros(col(c).cast("timestamp")) / 1e6).alias(c) for c in times])
+    clock = _clock(df, times)
     table = percentile_table(df, numeric).select("column", "p25", "p50", "p75")
     profile = numeric_profile(df, numeric).withColumn("std", F.when(F.col("count") > 1, F.col("std")))
     if times:

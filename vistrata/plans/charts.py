@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from vistrata.functions.columns import categorical_columns, col, finite, numeric_columns
+from vistrata.functions.names import CHART_CATEGORIES, chart_category, display_name
 from vistrata.operators.association import (
     adjacent_pairs, correlation_matrix, linear_association, spearman_pairs)
 from vistrata.operators.counts import category_summary, top_values_per_column
@@ -167,3 +169,45 @@ def anomaly_scatter(labelled: DataFrame) -> dict[str, DataFrame]:
             col(columns[0]).alias("x"), col(columns[1]).alias("y"), "anomaly")
         out[name] = series_preview(side, ["x", "y"], SERIES_POINTS)
     return out
+
+
+def _named(points: DataFrame, name: Column | str) -> DataFrame:
+    """stem, points: how many points each named chart shows."""
+    name = F.lit(name) if isinstance(name, str) else name
+    return points.groupBy(name.alias("stem")).agg(F.count("*").alias("points"))
+
+
+def chart_index(made: dict[str, dict], forecasts: DataFrame | None = None) -> DataFrame:
+    """stem, name, category, points: a row per chart of the made ones that shows a point.
+
+    The frames counted are chart data, a bounded number of points per column; the anomaly scatter's two sides are one chart.
+    """
+    parts = []
+    if "histograms" in made:
+        parts.append(_named(made["histograms"]["bins"], F.concat(F.lit("hist_"), "column")))
+    for part, prefix in (("bars", "bar_"), ("pies", "pie_")):
+        if part in made:
+            parts.append(_named(made[part]["points"], F.concat(F.lit(prefix), "column")))
+    parts += [_named(points, "scatter_" + key.removeprefix("points_"))
+              for key, points in made.get("scatters", {}).items() if key.startswith("points_")]
+    parts += [_named(chart["points"], stem) for stem, chart in made.get("group_means", {}).items()]
+    if made.get("correlation"):
+        parts.append(_named(made["correlation"]["matrix"], "correlation_heatmap"))
+    sides = list(made.get("anomaly_scatter", {}).values())
+    if sides:
+        parts.append(_named(reduce(DataFrame.unionByName, sides), "anomaly_scatter"))
+    if forecasts is not None:
+        parts.append(_named(forecasts, F.concat(F.lit("forecast_"), "series")))
+    if not parts:
+        raise ValueError("no charts to list")
+    stem = F.col("stem")
+    return reduce(DataFrame.unionByName, parts).select(
+        stem, display_name(stem).alias("name"), chart_category(stem).alias("category"), "points")
+
+
+def chart_sections(index: DataFrame) -> DataFrame:
+    """position, category, charts, points, names: charts by category; a category without charts has no row."""
+    order = F.array(*map(F.lit, [*CHART_CATEGORIES.values(), "other"]))
+    return index.groupBy("category").agg(
+        F.count("*").alias("charts"), F.sum("points").alias("points"), F.array_sort(F.collect_list("name")).alias("names")
+    ).select((F.array_position(order, F.col("category")) - 1).cast("int").alias("position"), "category", "charts", "points", "names")

@@ -36,6 +36,7 @@ class Dashboard:
     anomalies: dict[str, DataFrame] = field(default_factory=dict)
     forecasts: DataFrame | None = None
     forecast_summary: DataFrame | None = None
+    sections: DataFrame | None = None
     profile: dict[str, DataFrame] = field(default_factory=dict)
     profile_lines: DataFrame | None = None
 
@@ -96,6 +97,7 @@ def dashboard(df: DataFrame, exclude: Sequence[str] = (), pairs: Sequence[tuple[
         timed = labelled.withColumn(time_column, time_values(labelled, time_column))
         labelled = carry_facts(labelled, timed, less=[time_column])
         out.labelled = labelled if out.labelled is not None else None
+    out.sections = charts.chart_sections(charts.chart_index(out.charts, out.forecasts))
     out.profile = dataset_profile(labelled)
     out.profile_lines = profile_text(out.profile)
     return out

@@ -34,6 +34,13 @@ def kpi_groups(table: DataFrame) -> DataFrame:
     return table.groupBy(metric_group(F.col("metric")).alias("metric_group")).agg(F.count("*").alias("metrics"))
 
 
+def kpi_group_figures(table: DataFrame) -> DataFrame:
+    """metric_group, metrics, missing, least, greatest: what the figures of each group show."""
+    return table.groupBy(metric_group(F.col("metric")).alias("metric_group")).agg(
+        F.count("*").alias("metrics"), F.count_if(F.col("value").isNull()).alias("missing"),
+        F.min("value").alias("least"), F.max("value").alias("greatest"))
+
+
 def kpi_labels(table: DataFrame) -> DataFrame:
     metric = F.col("metric")
     return table.select("metric", metric_group(metric).alias("metric_group"), metric_label(metric).alias("label"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vistrata.functions.columns import categorical_columns, column_classes, numeric_columns
 from vistrata.operators.counts import text_counts, top_of
 from vistrata.operators.profile import distinct_counts, known_facts, missing_counts
-from vistrata.operators.statistics import describe, full_statistics
+from vistrata.operators.statistics import describe, describe_times, full_statistics, time_columns
 
 TOP_VALUES = 5
 
@@ -44,13 +44,16 @@ def dataset_summary(df: DataFrame, statistics: DataFrame | None = None) -> dict[
 
 
 def dataset_profile(df: DataFrame, exact: bool = True) -> dict[str, DataFrame]:
-    """Shape, per column type and distinct count (sketched if not `exact`), and the describe table."""
+    """Shape, per column type and distinct count (sketched if not `exact`), the describe table, and time columns' as times."""
     types = column_classes(df)
     plain = [r["column"] for r in types.where("class != 'other'").select("column").collect()]
     unique = distinct_counts(df, plain, exact).select("column", F.col("distinct").alias("unique"))
-    return {"shape": dataset_shape(df),
-            "columns": types.select("position", "column", "type").join(unique, "column", "left"),
-            "statistics": describe(df)}
+    out = {"shape": dataset_shape(df),
+           "columns": types.select("position", "column", "type").join(unique, "column", "left"),
+           "statistics": describe(df)}
+    if time_columns(df):
+        out["times"] = describe_times(df, out["statistics"])
+    return out
 
 
 def profile_text(profile: dict[str, DataFrame]) -> DataFrame:
@@ -59,7 +62,16 @@ def profile_text(profile: dict[str, DataFrame]) -> DataFrame:
         "(%d, %d)", "rows", "columns").alias("line"))
     columns = profile["columns"].select(F.lit(1).alias("part"), "position", F.format_string(
         "%s | type=%s | unique=%d", "column", "type", "unique").alias("line"))
-    numbers = profile["statistics"].select(F.lit(2).alias("part"), "position", F.concat_ws(
+    statistics = profile["statistics"]
+    times = profile.get("times")
+    if times is not None:
+        # Times are told as times, after the numbers, and not once more as seconds.
+        statistics = statistics.join(F.broadcast(times.select("column")), "column", "left_anti")
+        shown = [F.concat(F.lit(f"{c}="), F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")) for c in ("mean", "min", "p25", "p50", "p75", "max")]
+        times = times.select(F.lit(3).alias("part"), F.lit(0).alias("position"), F.concat_ws(
+            " ", "column", F.format_string("count=%d", "count"), *shown).alias("line"))
+    numbers = statistics.select(F.lit(2).alias("part"), "position", F.concat_ws(
         " ", "column", *[F.format_string(f"{c}=%.6f", F.col(c).cast("double"))
                          for c in ("count", "mean", "std", "min", "p25", "p50", "p75", "max")]).alias("line"))
-    return shape.unionByName(columns).unionByName(numbers)
+    lines = shape.unionByName(columns).unionByName(numbers)
+    return lines if times is None else lines.unionByName(times)
