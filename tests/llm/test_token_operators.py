@@ -174,7 +174,7 @@ def neighbours(rows, queries, k):
 
 
 def test_neighbours_small_and_odd(spark):
-    """Up to SMALL rows all parts are searched: exact, with ties, repeats and unusable vectors."""
+    """One part is searched whole: exact, with ties, repeats and unusable vectors."""
     rng = np.random.default_rng(2)
     rows = [(i, rng.normal(size=6).tolist()) for i in range(400)] + [(i, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]) for i in range(1000, 1100)]
     bad = [(20, None), (40_000, [0.0] * 6), (40_020, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (40_040, [float("nan")] * 6), (40_060, [float("inf")] + [0.0] * 5),
@@ -242,6 +242,46 @@ def test_work_per_query_follows_the_parts(spark):
         assert learned_partitions.learn(learned_partitions.usable(table)).parts == parts
 
 
+def test_tree_of_routers(spark, monkeypatch):
+    """Parts of parts: leaves stay small, nine tenths of the neighbours in less than a third of the rows."""
+    monkeypatch.setattr(learned_partitions, "SPLIT", 300)
+    monkeypatch.setattr(learned_partitions, "PART_ROWS", 100)
+    monkeypatch.setattr(learned_partitions, "SLICE", 50)
+    rows = [(i, v.tolist()) for i, v in enumerate(clustered(6000))]
+    table = stage(learned_partitions.usable(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")), "vectors")
+    router = learned_partitions.learn(table, parts=6)
+    assert router.parts == 6 and router.aim > learned_partitions.AIM
+    made = learned_partitions.build(table, router)
+    assert len(made.levels) >= 1 and made.placed.select("vec_id").distinct().count() == made.placed.count() == 6000
+    sizes = [r.rows for r in made.sizes.collect()]
+    assert sum(sizes) == 6000 and max(sizes) < 600 and len(sizes) > 20
+    asked = table.where("vec_id % 20 = 0")
+    searched = made.sent(asked.withColumnRenamed("vec_id", "query_id"), 20).join(made.sizes, "part").agg(F.sum("rows")).first()[0]
+    assert searched < 300 * 6000 / 3
+    got = {}
+    for r in learned_partitions.nearest(table, asked, 20, router).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = neighbours(rows, [r for r in rows if r[0] % 20 == 0], 20)
+    assert len(got) == 300 and sum(len(got[q] & {v for _, v, _ in w}) for q, w in want.items()) >= 0.9 * 20 * 300
+    # Queries that want more than any leaf holds go through the whole tree.
+    many = learned_partitions.nearest(table, asked.limit(3), 5000, router)
+    assert {r["count"] for r in many.groupBy("query_id").count().collect()} == {5000}
+
+
+def test_tree_keeps_what_cannot_be_divided(spark, monkeypatch):
+    """One vector, and one vec_id, that hold most of the rows: their part stays whole, as many blocks."""
+    monkeypatch.setattr(learned_partitions, "SPLIT", 100)
+    monkeypatch.setattr(learned_partitions, "PART_ROWS", 40)
+    monkeypatch.setattr(learned_partitions, "BLOCK", 64)
+    rows = [(i, v.tolist()) for i, v in enumerate(clustered(300))] + [(1000 + i, [9.0] * 24) for i in range(250)] + [(7, [9.0] * 24)] * 250
+    table = learned_partitions.usable(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))
+    router = learned_partitions.learn(table)
+    made = learned_partitions.build(stage(table, "vectors"), router)
+    assert made.placed.count() == 800 and max(r.rows for r in made.sizes.collect()) >= 500
+    got = [r.vec_id for r in learned_partitions.nearest(table, table.where("vec_id = 1000").limit(1), 20, router).orderBy("rank").collect()]
+    assert got == [7] * 20
+
+
 def test_parts_are_balanced():
     vectors = np.random.default_rng(0).normal(size=(1000, 8))
     near = learned_partitions.neighbour_graph(vectors, 10)

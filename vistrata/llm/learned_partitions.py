@@ -5,24 +5,28 @@
 2. A small classifier (softmax of linear scores) learns a row's part, and for queries the parts of their neighbours.
    To rows it shows the vector over the largest norm M with sqrt(1 - |x|^2 / M^2) as one more component, to queries the
    unit vector and 0, so that long vectors are found as well.
-3. Every row goes to its most probable part, and each part to blocks of BLOCK rows by hash; a part that holds a third of
-   all rows is many blocks. A query goes to the blocks of its most probable parts, until these sum up to the mass that
-   brought held-out sample rows a recall of AIM among each other, rows the classifier has not seen, and until they hold
+3. Every row goes to its most probable part. A part of more than SPLIT rows gets a graph, parts and a classifier of its own,
+   fitted in a task to a bounded sample of its distinct vectors, and so on: a tree of routers, in a distributed table,
+   whose leaves do not grow with the table. A part without enough distinct vectors to divide stays as it is.
+4. Leaves are dealt to blocks of BLOCK rows, whatever their ids; a part that holds a third of all rows is many blocks. At
+   each router a query goes to the most probable parts, until these sum up to the mass that brought held-out sample rows
+   a recall of AIM (over all levels) among each other, rows the classifier has not seen, and at the root until they hold
    more than k rows. Queries that still find fewer than k candidates are sent to all parts.
-4. A task holds one block at a time and streams the queries sent to it, 20 best per query and block go on.
+5. A task holds one block at a time and streams the queries sent to it, 20 best per query and block go on.
 
 Scores are sums of products in double precision in one order for every row, so equal vectors tie exactly.
 
 Defined cases: vectors that are null, zero, hold a null or non-finite component, or are not of the commonest length
 take no part, nor do rows without a vec_id; rows repeated with one vec_id are candidates each, and one query; fewer
 candidates than k are all returned; further columns are ignored; an empty table gives an empty result. The number of
-parts follows the rows, one for each PART_ROWS up to PARTS.
+parts follows the rows, one for each PART_ROWS up to PARTS at each router.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +42,10 @@ AIM, HELD_OUT = 0.96, 0.25
 MASSES = [0.5, 0.7, 0.8, 0.9, 0.95, 0.97, 0.98, 0.99, 0.995, 0.999, 1.0]
 BLOCK = 8192
 EPOCHS = 100
+# Rows above which a part is divided, levels of routers, children a path has room for (a child of path p is p * WIDTH + its number).
+SPLIT, DEPTH, WIDTH = 16_384, 10, 64
+# Parts up to which their sizes are broadcast (16 bytes each); rows that meet a copy of their router in one task.
+LOOKED_UP, SLICE = 1_000_000, 262_144
 
 
 def usable(table: DataFrame) -> DataFrame:
@@ -115,8 +123,8 @@ def balanced_parts(near: np.ndarray, parts: int, passes: int = 8) -> np.ndarray:
 class Router:
     """Probabilities of parts for rows and for queries."""
 
-    def __init__(self, sample: np.ndarray, longest: float, parts: int):
-        self.longest, self.parts = longest, max(1, min(parts, len(sample) // 8))
+    def __init__(self, sample: np.ndarray, longest: float, parts: int, aim: float = AIM):
+        self.longest, self.parts, self.aim = longest, max(1, min(parts, len(sample) // 8, WIDTH - 1)), aim
         # The sample comes in any order but that of its values.
         order = np.argsort(mix(sample.view(np.uint64)).sum(1, dtype=np.uint64), kind="stable")
         aside = sample[order[:int(HELD_OUT * len(sample))]] if self.parts > 1 else sample[:0]
@@ -135,8 +143,18 @@ class Router:
             self.weights -= 0.5 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
         self.mass = self._needed(aside)
 
+    @classmethod
+    def known(cls, longest: float, parts: int, fitted: np.ndarray) -> Router:
+        """A router from what `fitted` gave."""
+        made = cls.__new__(cls)
+        made.longest, made.parts, made.weights, made.mass = longest, parts, fitted[:-1].reshape(-1, parts), fitted[-1]
+        return made
+
+    def fitted(self) -> np.ndarray:
+        return np.append(self.weights.ravel(), self.mass)
+
     def _needed(self, aside: np.ndarray) -> float:
-        """The least mass at which rows outside the fit find AIM of their neighbours among themselves."""
+        """The least mass at which rows outside the fit find `aim` of their neighbours among themselves."""
         if len(aside) <= NEIGHBOURS:
             return 1.0
         near = neighbour_graph(aside, NEIGHBOURS)
@@ -145,7 +163,7 @@ class Router:
         # What is more probable than a neighbour's part is searched before it.
         own = np.take_along_axis(chances, part[near], 1)
         before = np.stack([(chances * (chances > own[:, j:j + 1])).sum(1) for j in range(own.shape[1])], 1)
-        return next((m for m in MASSES if (before < m).mean() >= AIM), 1.0)
+        return next((m for m in MASSES if (before < m).mean() >= self.aim), 1.0)
 
     def row(self, vectors: np.ndarray) -> np.ndarray:
         x = vectors / self.longest
@@ -172,36 +190,151 @@ def learn(rows: DataFrame, parts: int = PARTS, sample: int = SAMPLE) -> Router |
     mark = F.xxhash64("vec_id")
     some = rows if n <= 2 * sample else rows.where(mark < int(-(2.0**63) + 2 * sample / n * 2.0**64))
     some = some.orderBy(mark, "vec_id").limit(sample).toArrow()
-    return Router(np.unique(_matrix(some.column("vector")), axis=0), float(np.sqrt(scale)), min(parts, -(-n // PART_ROWS)))
+    parts = min(parts, -(-n // PART_ROWS))
+    levels, left = 1, n / parts
+    while left > SPLIT and levels < DEPTH:
+        levels, left = levels + 1, left / PARTS
+    return Router(np.unique(_matrix(some.column("vector")), axis=0), float(np.sqrt(scale)), parts, AIM ** (1 / levels))
 
 
 def index(rows: DataFrame, router: Router) -> DataFrame:
-    """vec_id, vector and part of every row."""
+    """vec_id, spread (a number of its own), vector and part, from 1 on, of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                part = router.chances(router.row(_matrix(batch.column(1)))).argmax(1)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part)], names=["vec_id", "vector", "part"])
+                part = router.chances(router.row(_matrix(batch.column(2)))).argmax(1) + 1
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part)], names=["vec_id", "spread", "vector", "part"])
 
-    return rows.select("vec_id", "vector").mapInArrow(run, "vec_id bigint, vector array<double>, part bigint")
+    return rows.select("vec_id", F.monotonically_increasing_id().alias("spread"), "vector").mapInArrow(
+        run, "vec_id bigint, spread bigint, vector array<double>, part bigint")
 
 
 def routes(queries: DataFrame, router: Router, held: np.ndarray, k: int, everywhere: bool) -> DataFrame:
-    """query_id, vector and part, for each part a query is sent to; `held` has the rows of each part."""
+    """query_id, vector and part, for each part of the root a query is sent to; `held` has the rows of each part."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                chances = router.chances(router.query(_matrix(batch.column(1))))
-                order = np.argsort(-chances, 1)
-                sorted_chances = np.take_along_axis(chances, order, 1)
-                before, rows = np.cumsum(sorted_chances, 1) - sorted_chances, np.cumsum(held[order], 1) - held[order]
-                row, at = np.nonzero((before < router.mass) | (rows <= k) | everywhere)
-                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row)) for c in batch.columns), pa.array(order[row, at])],
+                row, at = _asked(router, _matrix(batch.column(1)), everywhere, held, k)
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row)) for c in batch.columns), pa.array(at + 1)],
                                                  names=["query_id", "vector", "part"])
 
     return queries.mapInArrow(run, "query_id bigint, vector array<double>, part bigint")
 
 
+def _asked(router: Router, vectors: np.ndarray, everywhere: bool, held: np.ndarray | None = None, k: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Row and part of each part that a query is sent to."""
+    chances = router.chances(router.query(vectors))
+    order = np.argsort(-chances, 1)
+    sorted_chances = np.take_along_axis(chances, order, 1)
+    wanted = (np.cumsum(sorted_chances, 1) - sorted_chances < router.mass) | everywhere
+    if held is not None:
+        wanted |= np.cumsum(held[order], 1) - held[order] <= k
+    row, at = np.nonzero(wanted)
+    return row, order[row, at]
+
+
+def _beside(rows: DataFrame, sizes: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows with the figures of their part, a staged table: broadcast up to LOOKED_UP parts, shuffled beyond."""
+    return rows.join(F.broadcast(sizes) if sizes.count() <= LOOKED_UP else sizes, "part", how)
+
+
+def split(placed: DataFrame, level: int, longest: float, aim: float, sample: int = SAMPLE) -> DataFrame:
+    """part, parts, fitted: a router for each part of a level that holds more than SPLIT rows and can be divided."""
+    counted = placed.where(F.col("part") >= WIDTH ** (level - 1)).groupBy("part").agg(F.count("*").alias("rows"))
+    sizes = stage(counted.where(F.col("rows") > SPLIT), "sizes")
+    # About twice the sample of a part's distinct vectors at most, which meet in one task.
+    low = F.xxhash64("vector") / 2.0**64 + 0.5 < 2.0 * sample / F.col("rows")
+    some = _beside(placed.where(F.col("part") >= WIDTH ** (level - 1)), sizes).where(low).select("part", "rows", "vector").distinct()
+    most, part_rows = PARTS, PART_ROWS
+
+    def fit(table: pa.Table) -> pa.Table:
+        vectors = np.unique(_matrix(table.column("vector")), axis=0)
+        first = np.argsort(mix(vectors.view(np.uint64)).sum(1, dtype=np.uint64), kind="stable")[:sample]
+        parts = min(most, -(-table.column("rows")[0].as_py() // part_rows))
+        router = Router(vectors[np.sort(first)], longest, parts, aim)
+        made = [(table.column("part")[0].as_py(), router.parts, router.fitted().tolist())] if router.parts > 1 else []
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*made) if made else ([], [], []), (pa.int64(), pa.int64(), pa.list_(pa.float64())))],
+                        names=["part", "parts", "fitted"])
+
+    return some.groupBy("part").applyInArrow(fit, "part bigint, parts bigint, fitted array<double>")
+
+
+def descend(rows: DataFrame, routers: DataFrame, longest: float, ask: bool, everywhere: bool = False) -> DataFrame:
+    """The staged rows, those in a part with a router in its parts: the most probable one, or those that a query asks."""
+    payload = [c for c in rows.columns if c not in ("part", "vector")]
+    sizes = rows.groupBy("part").agg(F.ceil(F.count("*") / SLICE).alias("slices"))
+    sizes = stage(sizes.join(routers.select("part"), "part"), "sizes")
+    known = _beside(rows, sizes, "left")
+    moving = known.where("slices IS NOT NULL").select(
+        "part", F.pmod(F.xxhash64(*payload, "vector"), F.col("slices")).alias("slice"), F.lit(1).alias("role"), *payload, "vector")
+    guides = routers.join(sizes, "part").select(
+        "part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1)).alias("slice"), F.lit(0).alias("role"),
+        *[F.col("parts").alias(c) for c in payload], F.col("fitted").alias("vector"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        router = None
+        for batch in batches:
+            part, number, role = (np.asarray(batch.column(i)) for i in range(3))
+            cuts = np.flatnonzero((part[1:] != part[:-1]) | (number[1:] != number[:-1]) | (role[1:] != role[:-1])) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(part)]):
+                if a == b:
+                    continue
+                piece = batch.slice(a, b - a)
+                vectors = _matrix(piece.column(3 + len(payload)))
+                if role[a] == 0:
+                    router = Router.known(longest, piece.column(3)[0].as_py(), vectors[0])
+                    continue
+                row, child = _asked(router, vectors, everywhere) if ask else (
+                    np.arange(len(vectors)), router.chances(router.row(vectors)).argmax(1))
+                columns = [c.take(pa.array(row)) for c in piece.columns[3:]]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(part[a] * WIDTH + child + 1)], names=[*payload, "vector", "part"])
+
+    schema = ", ".join(f"{c} bigint" for c in payload) + ", vector array<double>, part bigint"
+    moved = (guides.union(moving).repartition("part", "slice").sortWithinPartitions("part", "slice", "role").mapInArrow(run, schema))
+    return known.where("slices IS NULL").select(*payload, "vector", "part").unionByName(moved)
+
+
+@dataclass
+class Index:
+    """A tree of routers over placed rows."""
+    router: Router
+    placed: DataFrame
+    held: np.ndarray
+    sizes: DataFrame
+    levels: list[DataFrame] = field(default_factory=list)
+
+    def sent(self, asked: DataFrame, k: int, everywhere: bool = False) -> DataFrame:
+        """query_id, vector and part, for each leaf a query is sent to."""
+        out = routes(asked, self.router, self.held, k, everywhere)
+        for routers in self.levels:
+            out = descend(stage(out, "sent"), routers, self.router.longest, True, everywhere)
+        return out
+
+
+def build(rows: DataFrame, router: Router) -> Index:
+    """Place every row by a tree below the given router."""
+    def counted(placed: DataFrame) -> DataFrame:
+        return stage(placed.groupBy("part").agg(F.count("*").alias("rows")), "sizes")
+
+    placed = stage(index(rows, router), "index")
+    sizes = counted(placed)
+    held = np.zeros(router.parts, np.int64)
+    for r in sizes.collect():  # a row per part of the root
+        held[r.part - 1] = r.rows
+    made = Index(router, placed, held, sizes)
+    largest = held.max(initial=0)
+    while largest > SPLIT and len(made.levels) < DEPTH - 1:
+        level = len(made.levels) + 1
+        routers = stage(split(made.placed, level, router.longest, router.aim), "routers")
+        if routers.isEmpty():
+            break
+        made.levels.append(routers)
+        made.placed = stage(descend(made.placed, routers, router.longest, False), "index")
+        made.sizes = counted(made.placed)
+        largest = made.sizes.where(F.col("part") >= WIDTH**level).agg(F.max("rows")).first()[0] or 0
+    return made
+
+
 def products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Inner products, each summed in the same order."""
     return (rows * query).sum(1)
@@ -213,28 +346,26 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, router: Router | N
     router = router or learn(rows)
     if router is None:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
-    placed = stage(index(rows, router), "index")
-    held = np.zeros(router.parts, np.int64)
-    for r in placed.groupBy("part").count().collect():  # a row per part
-        held[r.part] = r["count"]
+    made = build(rows, router)
     asked = stage(queries.select(F.col("vec_id").alias("query_id"), "vector").dropDuplicates(), "queries")
-    found = stage(_search(placed, routes(asked, router, held, k, False), held, k), "found")
+    found = stage(_search(made, made.sent(asked, k), k), "found")
     if router.parts > 1:
         # Every query's results, and every repeated query's, have to number k.
         enough = found.groupBy("query_id", "mark").count().groupBy("query_id").agg(F.min("count").alias("least")).where(F.col("least") >= k)
         lacking = stage(asked.join(enough, "query_id", "left_anti"), "lacking")
         if not lacking.isEmpty():
-            again = _search(placed, routes(lacking, router, held, k, True), held, k)
+            again = _search(made, made.sent(lacking, k, True), k)
             found = found.join(lacking.select("query_id").distinct(), "query_id", "left_anti").select(*found.columns).unionByName(again)
     return found.select("query_id", "rank", "vec_id", "score")
 
 
-def _search(placed: DataFrame, sent: DataFrame, held_rows: np.ndarray, k: int) -> DataFrame:
-    """query_id, mark (of the query's vector), rank, vec_id, score: the k best in the parts that queries are sent to."""
-    number = F.get(F.array(*[F.lit(-(-int(n) // BLOCK)) for n in held_rows]), F.col("part").cast("int"))
-    sent = sent.withColumn("n", number).where("n > 0").select(
-        "part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n").cast("bigint") - 1)).alias("block"), F.lit(1).alias("role"), "query_id", "vector")
-    held = placed.select("part", F.pmod(F.xxhash64("vec_id"), number).cast("bigint").alias("block"), F.lit(0).alias("role"), "vec_id", "vector")
+def _search(made: Index, sent: DataFrame, k: int) -> DataFrame:
+    """query_id, mark (of the query's vector), rank, vec_id, score: the k best in the leaves that queries are sent to."""
+    blocks = F.ceil(F.col("rows") / BLOCK)
+    sent = _beside(sent, made.sizes).select(
+        "part", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("block"), F.lit(1).alias("role"), "query_id", "vector")
+    held = _beside(made.placed, made.sizes).select(
+        "part", F.pmod(F.xxhash64("spread"), blocks).alias("block"), F.lit(0).alias("role"), "vec_id", "vector")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, vectors = None, [], []
