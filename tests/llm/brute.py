@@ -185,3 +185,37 @@ def resampling(docs, target, percent=25, seed=7):
         out.append((d, len(words), len(features), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 2**32)))))
     able = sorted((-r[4], r[0] is not None, r[0] or 0) for r in out if r[1] >= 20)
     return out, [(-s, d if known else None) for s, known, d in able[:percent * len(able) // 100]]
+
+
+def kept(text):
+    """The verdict of the quality rules: the base rules, then shares of characters and of symbols."""
+    words, chars, symbols, _, _, failed = quality(text)
+    seen, again = set(), 0
+    for line in (x for x in (text or "").split("\n") if WORD.search(x)):
+        again += len("".join(WORD.findall(line))) if line in seen else 0
+        seen.add(line)
+    limits = {5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10}
+    return (not failed and 100 * again <= 20 * chars and 100 * symbols <= 50 * words
+            and all(100 * later_gram_chars(text, n) <= limit * chars for n, limit in limits.items()))
+
+
+def masked(text, secrets):
+    """Text with base spans and the values that the pattern `secrets` gives replaced by their kinds."""
+    kinds = [*KINDS, "secret"]
+    found = [s.split(":") for s in personal(text)[2].split(",") if s]
+    spans = [(int(a), int(b), kinds.index(k)) for k, a, b in found] + [(*m.span(1), 4) for m in re.finditer(secrets, text)]
+    out, at = "", 0
+    for start, end, kind in sorted(spans):
+        if start >= at:
+            out += text[at:start] + f"[{kinds[kind].upper()}]"
+        at = max(at, end)
+    return out + text[at:] if spans else text
+
+
+def pipeline(docs, secrets):
+    """doc_id and text of what quality rules, line dedup, near-duplicate removal and masking leave of (doc_id, text)."""
+    docs = [(d, t) for d, t in docs if kept(t)]
+    texts = line_windows(docs)
+    docs = [(d, texts[d, t]) for d, t in docs if texts[d, t] == t or WORD.search(texts[d, t])]
+    docs = [x for x, (n, low) in zip(docs, components(docs, 5, 80)) if not n or x[0] == low]
+    return [(d, masked(t, secrets)) for d, t in docs]

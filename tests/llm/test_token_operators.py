@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import brute
 import numpy as np
 import public_tokenizers
 import pytest
@@ -309,6 +310,40 @@ def test_pipeline(spark):
         assert empty.count() == 0
 
 
+def test_pipeline_against_plain_forms(spark, library):
+    """What the stages leave of the documents and planted cases is what the plain forms leave, and so are the pieces."""
+    rng = np.random.default_rng(5)
+    words = lambda n: ["".join(w) for w in rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (n, 7))]
+    prose = lambda n: "\n".join(" ".join(words(12)) for _ in range(n))
+    passage, copied = prose(4), " ".join(words(140))
+    near = copied.split(" ")
+    near[40] = "other"
+    planted = [prose(3) + f'\ntoken = "{i}f9a{i}b7c6d5e4f3a2b1c0{i}d"\n' + prose(2) for i in range(12)]
+    planted += [prose(4) + "\n" + passage + "\n" + prose(3) for _ in range(3)] + [copied] * 3 + [" ".join(near)]
+    planted += [None, "", "too short", "buy now " * 40, prose(2) + "\nwrite to one.two@three.example.org or +1 (952) 555-4063, 10.0.0.1"]
+    real = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    added = [(10_000 + i, x, "en", "planted", len(x or "")) for i, x in enumerate(planted)]
+    docs = spark.createDataFrame(added, "doc_id bigint, text string, lang string, source string, n_chars bigint").select(*real.columns).unionByName(real)
+    want = sorted(brute.pipeline(pairs(docs), r'token = ("[0-9a-f]+")'))  # whole words, marks included
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        docs = stage(step(spark, docs, SF_DIR), name)
+    got = sorted(pairs(docs))
+    assert [d for d, _ in got] == [d for d, _ in want]
+    assert got == want
+    left = dict(got)
+    assert len(left) < 200 and "[SECRET]" in left[10_003] and "[EMAIL]" in left[10_023] and not {10_016, 10_017, 10_018, 10_019, 10_022} & set(left)
+    pieces = set()
+    for d, text in want:
+        ids = [*library(text), 0]
+        cut = len(ids) % 2048 or 2048
+        bounds = [0, *range(cut, len(ids) + 1, 2048)]
+        pieces |= {(d, i, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for i, (a, b) in enumerate(zip(bounds, bounds[1:]))}
+    made = corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR).toPandas()
+    assert sorted(made[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False, name=None)) == sorted(pieces)
+    for _, held in made.sort_values("offset").groupby("sequence_id"):
+        assert (held.offset == held.length.cumsum() - held.length).all() and held.length.sum() <= 2048
+
+
 def test_whole_pipeline_matches_its_stages(spark):
     got = corpus_pipeline.run(spark, SF_DIR)
     assert set(got.columns) == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} and got.count() > 100
