@@ -122,6 +122,26 @@ def test_edits(spark, library):
     assert {r.doc_id: r.n_tokens for r in token_counts.revise(again, BYTES).collect()} == {r.doc_id: len(library("New start " + r.text[1:])) for r in got}
 
 
+def test_odd_edits(spark, library):
+    """Missing edits and parts of edits, places before the text and past its end, repeated rows, clashing names."""
+    rows = [(1, "hello big world", [None, (-5, 2, "A "), None]), (2, "one two", [(3, -4, "X"), (None, None, None)]), (2, "one two", [(3, -4, "X"), (None, None, None)]),
+            (None, "end", [(99, 99, " more")]), (4, None, [(0, 0, "new")]), (5, "", []), (6, "kept", None), (7, "gone", [(0, 2**31 - 1, None)])]
+    docs = spark.createDataFrame(rows, f"doc_id bigint, text string, edits {token_counts.EDITS}")
+    docs = docs.select("*", F.lit("x").alias("chars"), F.lit(1).alias("n_tokens"))
+    want = [(1, "A llo big world", 1), (2, "oneX two", 2), (2, "oneX two", 2), (None, "end more", 1), (4, "new", 1), (5, "", 0), (6, "kept", 0), (7, "", 1)]
+    got = token_counts.revise(token_counts.grow(docs, BYTES), BYTES).collect()
+    assert ordered((r.doc_id, r.text, r.n_edits, r.n_tokens) for r in got) == ordered((d, x, n, len(library(x))) for d, x, n in want)
+
+
+def test_empty_tables_of_tokens(spark, texts):
+    none = texts.limit(0)
+    edited = token_counts.house_edits(none.withColumn("source", F.lit("s")).withColumn("lang", F.lit("en")))
+    grown = token_counts.grow(edited, BYTES)
+    assert grown.count() == 0 and token_counts.revise(grown, BYTES).count() == 0
+    assert agenda.encoded(none, PIECES).count() == 0 and agenda.encoded(none, PIECES, ids=True).count() == 0
+    assert packing.packed(none, BYTES).count() == 0
+
+
 def test_edits_read_little(texts):
     long = texts.where(F.length("text") > 20_000).withColumn("source", F.lit("s")).withColumn("lang", F.lit("en"))
     for r in token_counts.revise(token_counts.grow(token_counts.house_edits(long), BYTES), BYTES).collect():
