@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from vistrata.operators import cleaning, counts, preview, profile, quantiles, ranks
+from vistrata.operators import cleaning, counts, preview, profile, quantiles, ranks, series
 from vistrata.plans.kpis import kpis
 from vistrata.plans.summary import categorical_summary
 from vistrata.session import staging_path, staging_root
@@ -64,6 +64,23 @@ def test_percentiles_with_a_hot_value(spark, skewed, buckets):
         assert np.allclose(got[c], np.percentile(skewed[c], [100 * p for p in PROBS]), rtol=1e-12)
 
 
+def test_percentiles_of_a_large_table_with_an_empty_column(spark, skewed):
+    df = spark.createDataFrame(skewed).withColumn("e", F.lit(None).cast("double")).repartition(6)
+    for columns in (["v", "e"], ["e"]):
+        got = {r["column"]: list(r["values"]) for r in quantiles.percentiles(df, columns, PROBS, one_pass_values=0).collect()}
+        assert sorted(got) == [c for c in columns if c == "v"]
+        assert all(np.allclose(got[c], np.percentile(skewed[c], [100 * p for p in PROBS]), rtol=1e-12) for c in got)
+
+
+def test_series_of_a_large_table_with_a_text_metric(spark, monkeypatch):
+    """The text has no numbers, and the table is beyond the size of one pass."""
+    monkeypatch.setattr(quantiles, "ONE_PASS_VALUES", 0)
+    rows = spark.range(1000).select(F.timestamp_seconds("id").alias("ts"), F.col("id").cast("double").alias("y"), F.lit("word").alias("kind"))
+    made = series.prepare_series(rows, "ts", ["y", "kind"]).collect()
+    assert sorted(r["y"] for r in made) == [float(i) for i in range(10, 990)]
+    assert {r["series"] for r in made} == {"y"}
+
+
 def test_group_percentiles_with_a_hot_group(spark, skewed):
     df = spark.createDataFrame(skewed).repartition(6)
     want = skewed.groupby("g")["v"].quantile([0.25, 0.5]).unstack()

@@ -163,13 +163,14 @@ def _one_pass(long: DataFrame, keys: list[str], probs: Sequence[float]) -> DataF
 
 
 def _limits(wide: DataFrame, columns: Sequence[str], rows: int, buckets: int) -> list[list[float]]:
-    """Inner bucket limits of each column, from a sample sized by the number of buckets."""
+    """Inner bucket limits of each column, from a sample sized by the number of buckets; a column without a sampled
+    value has one limit, since there must be one."""
     share = min(1.0, 100.0 * buckets / max(rows, 1))
     sample = wide.sample(fraction=share, seed=7) if share < 1.0 else wide
     at = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     got = sample.agg(*[F.percentile_approx(f"v{i}", at, 10 * buckets).alias(f"v{i}")
                        for i in range(len(columns))]).first()
-    return [sorted(set(got[f"v{i}"] or [])) for i in range(len(columns))]
+    return [sorted(set(got[f"v{i}"] or [0.0])) for i in range(len(columns))]
 
 
 def _two_pass(wide: DataFrame, keys: list[str], columns: Sequence[str], probs: Sequence[float],
