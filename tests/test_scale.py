@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from vistrata.operators import cleaning, counts, preview, profile, quantiles, ranks, series
+from vistrata.operators import cleaning, counts, preview, profile, quantiles, ranks, sampling, series
 from vistrata.plans.kpis import kpis
 from vistrata.plans.summary import categorical_summary
 from vistrata.session import staging_path, staging_root
@@ -91,6 +91,20 @@ def test_group_percentiles_with_a_hot_group(spark, skewed):
         assert all(np.allclose(got[g], want.loc[g], rtol=1e-12) for g in got)
 
 
+def test_drawn_rows_stage_counts_not_rows(spark, monkeypatch):
+    """A third of the rows is one value; positions are those of the rows in the order of hash and value."""
+    monkeypatch.setattr(sampling, "RUN_BITS", 5, raising=False)
+    staged = []
+    monkeypatch.setattr(ranks, "stage", lambda df, label, plain=ranks.stage: staged.append(plain(df, label)) or staged[-1])
+    rows = spark.range(6000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("v"), F.lit("x").alias("w")).repartition(5)
+    wanted = [(g, p) for g in range(2) for p in range(g, 6000, 401)]
+    made, n = sampling.drawn_rows(rows, ["v", "w"], lambda n: wanted, seed=3)
+    ordered = rows.select(sampling.row_hash(rows, ["v", "w"], 3).alias("h"), "v").orderBy("h", "v").collect()
+    assert n == 6000
+    assert sorted((r["_group"], r["_hash"], r["v"]) for r in made.collect()) == sorted((g, *ordered[p]) for g, p in wanted)
+    assert sum(df.count() for df in staged) <= 32
+
+
 def test_value_table_positions(spark, skewed):
     df = spark.createDataFrame(skewed).repartition(5)
     values = quantiles.value_table(df, ["v", "w"])
