@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vistrata.functions.formulas import correlation_p, normal_quantile, shapiro_francia_p, shapiro_wilk
-from vistrata.operators import association, forecast, isolation, profile, sampling, series, statistics
+from vistrata.operators import association, forecast, isolation, profile, quantiles, sampling, series, statistics
 from vistrata.plans.dashboard import dashboard
 from vistrata.plans.kpis import kpis
 from vistrata.plans.summary import dataset_shape
@@ -164,6 +164,30 @@ def test_spearman_with_a_hot_value(spark, monkeypatch):
     assert math.isclose(association.spearman(df, "x", "y").first()["spearman_r"], want, rel_tol=1e-9)
 
 
+def test_ranks_join_only_the_columns_that_memory_does_not_hold(spark, monkeypatch):
+    """x and w have few values and are looked up; y, with a value that a third of its rows hold, is joined."""
+    monkeypatch.setattr(association, "BROADCAST_ROWS", 50)
+    staged = {}
+    monkeypatch.setattr(association, "stage", lambda df, label, plain=association.stage: staged.setdefault(label, plain(df, label)))
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"x": rng.integers(0, 9, 2000) / 2, "y": np.where(np.arange(2000) % 3 == 0, -0.0, rng.normal(size=2000)), "w": rng.integers(0, 5, 2000) * 1.0})
+    pdf["x"] += (pdf["y"] > 0.5) * 3
+    df = spark.createDataFrame(pdf).withColumn("w", F.when(F.col("w") < 4, F.col("w"))).repartition(5)
+    pdf.loc[pdf["w"] == 4, "w"] = None
+    made = association.spearman_pairs(df, [("x", "y"), ("x", "w")]).collect()
+    assert [r["n"] for r in made] == [2000, int(pdf["w"].count())]
+    for r in made:
+        both = pdf[[r["x_name"], r["y_name"]]].dropna().rank()
+        assert math.isclose(r["spearman_r"], both.iloc[:, 0].corr(both.iloc[:, 1]), rel_tol=1e-9)
+    assert staged["ranks"].select("ci").distinct().count() == 1
+
+
+def test_value_table_sorts_its_values_once(spark):
+    values = quantiles.value_table(spark.range(100).withColumnRenamed("id", "v"), ["v"])
+    assert "Window" not in values.frame._jdf.queryExecution().executedPlan().toString()
+    assert values.percentiles([0.5]).first()["values"] == [49.5]
+
+
 def test_dashboard(spark, table):
     board = dashboard(table("orders"), exclude=["o_orderkey", "o_custkey"])
     assert board.cleaned.count() == 1500

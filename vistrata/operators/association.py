@@ -112,18 +112,35 @@ def linear_association(df: DataFrame, pairs: Sequence[tuple[str, str]] | None =
     )
 
 
-def _by_lookup(frame: DataFrame, values: ValueTable) -> DataFrame:
-    """Pair sums of centred ranks; every task looks values up in one table of bounded size."""
-    table = values.frame.select("ci", "value", ((F.col("before") + (F.col("vc") + 1) / 2.0) - (F.col("n") + 1) / 2.0).alias("rank")).toPandas()
+def _looked_up(values: ValueTable) -> list[int]:
+    """Columns of the fewest distinct values, as many as one table in memory may hold."""
+    out, total = [], 0
+    for i in sorted(range(len(values.columns)), key=lambda i: values.distinct[i]):
+        total += values.distinct[i]
+        if total <= BROADCAST_ROWS:
+            out.append(i)
+    return out
+
+
+def _rank_table(values: ValueTable, columns: Sequence[int]) -> DataFrame:
+    """ci, value, vc, n, rank of some columns; ranks are centred."""
+    rank = F.col("before") + (F.col("vc") + 1) / 2.0 - (F.col("n") + 1) / 2.0
+    return values.frame.where(F.col("ci").isin(list(columns))).select("ci", (F.col("value") + 0.0).alias("value"), "vc", "n", rank.alias("rank"))
+
+
+def _rank_sums(frame: DataFrame, values: ValueTable, columns: Sequence[int]) -> DataFrame:
+    """Pair sums of centred ranks; every task looks the values of `columns` up in one table of bounded size, the others
+    are ranks."""
+    table = _rank_table(values, columns).select("ci", "value", "rank").toPandas()
     found = []
-    for i in range(len(values.columns)):
+    for i in columns:
         one = table[table["ci"] == i].sort_values("value")
-        found.append((one["value"].to_numpy(float), one["rank"].to_numpy(float)))
+        found.append((i, one["value"].to_numpy(float), one["rank"].to_numpy(float)))
     shared = frame.sparkSession.sparkContext.broadcast(found)
 
     def change(x: np.ndarray) -> np.ndarray:
-        out = np.full(x.shape, np.nan)
-        for i, (value, rank) in enumerate(shared.value):
+        out = x.copy()
+        for i, value, rank in shared.value:
             there = ~np.isnan(x[:, i])
             out[there, i] = rank[np.searchsorted(value, x[there, i])]
         return out
@@ -131,21 +148,21 @@ def _by_lookup(frame: DataFrame, values: ValueTable) -> DataFrame:
     return pair_sums(frame, change)
 
 
-def _by_join(frame: DataFrame, values: ValueTable) -> DataFrame:
-    """The same by joins of single values; those holding over a thousandth of a column's rows are broadcast, the
-    others shuffled."""
-    k = len(values.columns)
+def _by_join(frame: DataFrame, values: ValueTable, columns: Sequence[int]) -> DataFrame:
+    """The frame with centred ranks for the values of `columns`, by joins of single values; those holding over a
+    thousandth of a column's rows are broadcast, the others shuffled. The other columns travel once a row."""
     rows = stage(frame.withColumn("row", F.monotonically_increasing_id()), "rows")
-    cells = F.array(*[F.struct(F.lit(i).alias("ci"), (F.col(f"v{i}") + 0.0).alias("value")) for i in range(k)])
+    cells = F.array(*[F.struct(F.lit(i).alias("ci"), (F.col(f"v{i}") + 0.0).alias("value")) for i in columns])
     long = rows.select("row", F.inline(cells)).where("value IS NOT NULL")
-    table = stage(values.frame.select("ci", (F.col("value") + 0.0).alias("value"), (F.col("vc") * HOT_SHARE > F.col("n")).alias("hot"), (
-        F.col("before") + (F.col("vc") + 1) / 2.0 - (F.col("n") + 1) / 2.0).alias("rank")), "ranks")
+    table = stage(_rank_table(values, columns).select("ci", "value", (F.col("vc") * HOT_SHARE > F.col("n")).alias("hot"), "rank"), "ranks")
     # At most a thousand values of each column.
     hot = F.broadcast(table.where("hot").drop("hot"))
     ranked = long.join(hot, ["ci", "value"]).unionByName(
-        long.join(hot, ["ci", "value"], "left_anti").join(table.where("NOT hot").drop("hot"), ["ci", "value"]))
-    wide = ranked.groupBy("row").agg(*[F.max(F.when(F.col("ci") == i, F.col("rank"))).alias(f"r{i}") for i in range(k)])
-    return pair_sums(wide.drop("row"))
+        long.join(hot, ["ci", "value"], "left_anti").join(table.where("NOT hot").drop("hot"), ["ci", "value"])).drop("value")
+    kept = [c for i, c in enumerate(frame.columns) if i not in columns]
+    met = ranked.unionByName(rows.select("row", *kept), allowMissingColumns=True)
+    return met.groupBy("row").agg(*[F.max(c).alias(c) if c in kept else F.max(F.when(F.col("ci") == i, F.col("rank"))).alias(c)
+                                    for i, c in enumerate(frame.columns)]).drop("row")
 
 
 def spearman_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
@@ -165,7 +182,9 @@ def spearman_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame
         (F.when(F.col(f"v{place[mask]}").isNotNull(), F.col(f"v{place[c]}")) if mask else F.col(f"v{place[c]}")).alias(f"v{i}")
         for i, (c, mask) in enumerate(columns)])
     values = value_table(frame, frame.columns)
-    sums = (_by_lookup if values.frame.count() <= BROADCAST_ROWS else _by_join)(frame, values)
+    held = _looked_up(values)
+    others = [i for i in range(len(columns)) if i not in held]
+    sums = _rank_sums(_by_join(frame, values, others) if others else frame, values, held)
     at = {side: i for i, side in enumerate(columns)}
     keyed = [(str(at[a]), str(at[b])) for a, b in sides]
     made = _centred(sums, keyed, {str(i): i for i in range(len(columns))}, [0.0] * len(columns)).where("n >= 3")

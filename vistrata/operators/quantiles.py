@@ -24,6 +24,7 @@ from pyspark.sql import Window
 from vistrata.functions.columns import col
 from vistrata.operators.profile import number_columns
 from vistrata.operators.ranks import range_staged, with_running_total
+from vistrata.session import stage
 
 ONE_PASS_VALUES = 5_000_000
 ROWS_PER_BUCKET = 1_000_000
@@ -63,10 +64,11 @@ def named(columns: Sequence[str]) -> Column:
 
 @dataclass
 class ValueTable:
-    """Distinct values of columns: frame of ci, value, vc, before, n; the columns; their present values."""
+    """Distinct values of columns: frame of ci, value, vc, before, n; the columns; their present and distinct values."""
     frame: DataFrame
     columns: list[str]
     sizes: list[int]
+    distinct: list[int]
 
     def percentiles(self, probs: Sequence[float]) -> DataFrame:
         return read_ranks(self.frame, ["ci"], probs).select(named(self.columns), "n", "values")
@@ -107,13 +109,15 @@ def value_table(df: DataFrame, columns: Sequence[str]) -> ValueTable:
     counts = _long(wide, [], columns).groupBy("ci", "value").agg(F.count("*").alias("vc"))
     parts = range_staged(counts, ["ci", "value"], "values")
     placed = with_running_total(parts, ["ci", "value"], F.col("vc"), "before")
-    found = {r["ci"]: r["n"] for r in parts.groupBy("ci").agg(F.sum("vc").alias("n")).collect()}
-    sizes = [found.get(i, 0) for i in range(len(columns))]
+    found = {r["ci"]: r for r in parts.groupBy("ci").agg(F.sum("vc").alias("n"), F.count("*").alias("values")).collect()}
+    sizes, distinct = ([found[i][c] if i in found else 0 for i in range(len(columns))] for c in ("n", "values"))
     extents = df.sparkSession.createDataFrame(
         [(i, sum(sizes[:i]), n) for i, n in enumerate(sizes)], "ci int, start bigint, n bigint")
     frame = placed.join(F.broadcast(extents), "ci").select(
         "ci", "value", "vc", (F.col("before") - F.col("start")).alias("before"), "n")
-    return ValueTable(frame, list(columns), sizes)
+    # Every reader would sort the values again.
+    frame = stage(frame, "positions")
+    return ValueTable(frame, list(columns), sizes, distinct)
 
 
 def read_ranks(placed: DataFrame, group: Sequence[str], probs: Sequence[float]) -> DataFrame:
