@@ -72,3 +72,15 @@ def test_queries_and_statements(spark, sql, fine):
     else:
         with pytest.raises(ValueError):
             Q.sql_query(spark, sql)
+
+
+def test_scores_count_values_by_the_layouts_that_read_them(spark):
+    """One count per set of layouts, not one per layout and column; columns of an empty frame keep their rows."""
+    df = spark.createDataFrame([("03/02/2024", "1-URGENT"), ("13/02/2024", None), ("2024-02-01", "x" * 50), (None, "5-LOW 2024")], "a string, b string")
+    made = layouts.layout_scores(df)
+    rows = {(r["column"], r["layout"]): (r["read"], r["readable"], r["present"]) for r in made.collect()}
+    assert len(rows) == 2 * len(layouts.LAYOUTS)
+    assert rows["a", "M/d/yyyy"] == (1, 3, 3) and rows["a", "d/M/yyyy"] == (2, 3, 3) and rows["a", "iso"] == (1, 3, 3)
+    assert all(x == (0, 0, 3) for (c, _), x in rows.items() if c == "b")
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("count_if") + made._jdf.queryExecution().optimizedPlan().toString().count("sum(") <= 4
+    assert {tuple(r)[3:] for r in layouts.layout_scores(df.limit(0)).collect()} == {(0, 0, 0)}

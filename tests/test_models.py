@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vistrata.functions.formulas import correlation_p, normal_quantile, shapiro_francia_p, shapiro_wilk
-from vistrata.operators import association, forecast, isolation, profile, quantiles, sampling, series, statistics
+from vistrata.operators import association, forecast, groups, isolation, profile, quantiles, sampling, series, statistics
 from vistrata.plans.dashboard import dashboard
 from vistrata.plans.kpis import kpis
 from vistrata.plans.summary import dataset_shape
@@ -381,3 +381,58 @@ def test_dashboard_profiles_each_frame_once(spark, table, monkeypatch):
     # Cleaning looks at the raw frame, the overview at the flagged rows, the profile at the times.
     assert len(scanned) <= 5
     assert board.profile["statistics"].count() == 5 and len(board.frames()) > 25
+
+
+def test_dashboard_counts_values_and_groups_once(spark, table, monkeypatch):
+    """One value table serves statistics, ranks, series and profile; one pair of scans serves all metrics of a category."""
+    made, keyed = [], []
+    staged, within = quantiles.range_staged, groups.percentiles
+    monkeypatch.setattr(quantiles, "range_staged", lambda df, by, label, *a: made.append(label) or staged(df, by, label, *a))
+    monkeypatch.setattr(groups, "percentiles", lambda df, columns, *a, **b: keyed.append(len(columns)) or within(df, columns, *a, **b))
+    orders = table("orders")
+    board = dashboard(orders, exclude=["o_orderkey", "o_custkey"])
+    assert made == ["values"] and keyed == [3, 3]
+    fresh = board.labelled.select("*")
+    known = {r["column"]: r["unique"] for r in board.profile["columns"].collect()}
+    assert known == {r["column"]: r["distinct"] for r in profile.distinct_counts(fresh).collect()}
+    levels = lambda described: {r["column"]: (r["p25"], r["p50"], r["p75"]) for r in described.collect()}
+    assert levels(board.profile["statistics"]) == levels(statistics.describe(fresh))
+    cells = board.charts["group_means"]["avg_o_totalprice_by_o_orderstatus"]["per_group_detail"]
+    exact = lambda detail: {r["category"]: (r["min"], r["max"], r["count"], r["median"]) for r in detail.collect()}
+    assert exact(cells) == exact(groups.group_detail(fresh, "o_orderstatus", "o_totalprice"))
+
+
+def test_distinct_counts_of_a_value_table_are_those_of_the_column(spark):
+    """Whole numbers that doubles merge, and columns with NaN, are counted themselves."""
+    df = spark.createDataFrame([(2**53 + i, float(i % 2), float("nan") if i == 3 else -0.0, i) for i in range(4)],
+                               "wide bigint, x double, gaps double, i int").repartition(2)
+    known = profile.with_facts(df.select("*"))
+    quantiles.value_table(known, ["wide", "x", "gaps", "i"])
+    tell = lambda x: {r["column"]: r["distinct"] for r in profile.distinct_counts(x).collect()}
+    assert tell(known) == tell(df) == {"wide": 4, "x": 2, "gaps": 2, "i": 4}
+    assert set(profile._known_distinct(known)) == {"x", "i"}
+    levels = lambda x: {r["column"]: (r["n"], list(r["values"])) for r in quantiles.percentiles(x, ["i", "x"], [0.01, 0.5]).collect()}
+    assert levels(known) == levels(df)
+
+
+@pytest.mark.parametrize("gap", [False, True])
+def test_series_of_a_known_frame_are_those_of_the_plain_one(spark, gap):
+    """Percentiles are the column's own only where every row has a time; numbers are read by their type."""
+    df = spark.range(200).select(
+        F.when((F.col("id") > 20) | F.lit(not gap), F.timestamp_seconds(F.col("id") * 86_400)).alias("at"),
+        (F.col("id") % 50 * 1.1).alias("x"), F.when(F.col("id") % 7 == 0, F.col("id") % 60).alias("n"))
+    known = profile.with_facts(df.select("*"))
+    quantiles.value_table(known, ["x", "n"])
+    made = [sorted(map(str, series.prepare_series(d, "at", ["n", "x"]).collect())) for d in (known, df)]
+    assert made[0] == made[1] and made[0]
+    assert "RLIKE" not in series.metric_scores(df, "at")._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_group_percentiles_beyond_one_pass_on_both_sides_of_the_broadcast(spark, monkeypatch, limit):
+    monkeypatch.setattr(quantiles, "TARGETS_BROADCAST", limit)
+    df = spark.range(3000).select((F.col("id") % 3).alias("k"), (F.col("id") * 7 % 1009).cast("double").alias("v"), (F.col("id") % 2).alias("w"))
+    got = quantiles.percentiles(df, ["v", "w"], [0.1, 0.5], keys=["k"], one_pass_values=10, buckets=16)
+    want = quantiles.percentiles(df, ["v", "w"], [0.1, 0.5], keys=["k"])
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert ("strategy=broadcast" in got._jdf.queryExecution().optimizedPlan().toString()) is (limit > 0)

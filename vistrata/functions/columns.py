@@ -87,8 +87,13 @@ def clip(value: Column, lower: float, upper: float) -> Column:
 NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
 
-def to_number(value: Column) -> Column:
-    """Double, or NULL where the value is not a finite number."""
+def to_number(value: Column, data_type: T.DataType | None = None) -> Column:
+    """Double, or NULL where the value is not a finite number. Whole numbers and doubles, if the type is given, do not
+    go through their text, which would give the same value."""
+    if isinstance(data_type, T.IntegralType):
+        return value.cast("double")
+    if isinstance(data_type, T.DoubleType):
+        return finite(value)
     text = F.trim(value.cast("string"))
     return finite(F.when(text.rlike(NUMBER), text.try_cast("double")))
 

@@ -181,7 +181,9 @@ def spearman_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame
     frame = numbers(df, names).select(*[
         (F.when(F.col(f"v{place[mask]}").isNotNull(), F.col(f"v{place[c]}")) if mask else F.col(f"v{place[c]}")).alias(f"v{i}")
         for i, (c, mask) in enumerate(columns)])
-    values = value_table(frame, frame.columns)
+    # Without gaps the columns are those of the frame, whose value table may be known.
+    whole = not any(mask for _, mask in columns)
+    values = value_table(df, names) if whole else value_table(frame, frame.columns)
     held = _looked_up(values)
     others = [i for i in range(len(columns)) if i not in held]
     sums = _rank_sums(_by_join(frame, values, others) if others else frame, values, held)

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,6 +58,8 @@ def _lattice() -> list[Layout]:
 
 LAYOUTS = _lattice()
 BY_NAME = {x.name: x for x in LAYOUTS}
+# What no layout can read is found by one pattern.
+SHAPES = "|".join(x.shape for x in LAYOUTS)
 
 
 def _text(value: Column) -> Column:
@@ -71,17 +74,17 @@ def layout_scores(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and (columns is None or f.name in columns)]
     if not texts:
         return df.sparkSession.createDataFrame([], "column string, layout string, place int, read bigint, readable bigint, present bigint")
-    made = df.select(*[F.struct(col(c).isNotNull().alias("present"), *[
-        x.read(_text(col(c))).isNotNull().alias(f"l{k}") for k, x in enumerate(LAYOUTS)]).alias(f"c{i}") for i, c in enumerate(texts)])
-    cells = []
-    for i, c in enumerate(texts):
-        flags = [F.col(f"c{i}.l{k}") for k in range(len(LAYOUTS))]
-        any_of = flags[0]
-        for flag in flags[1:]:
-            any_of = any_of | flag
-        cells += [F.struct(F.lit(c).alias("column"), F.lit(x.name).alias("layout"), F.lit(k).alias("place"), F.count_if(flags[k]).alias("read"),
-                           F.count_if(any_of).alias("readable"), F.count_if(F.col(f"c{i}.present")).alias("present")) for k, x in enumerate(LAYOUTS)]
-    return made.agg(F.array(*cells).alias("s")).select(F.inline("s"))
+    cells = F.array(*[F.struct(F.lit(i).alias("ci"), col(c).isNotNull().alias("there"), _text(col(c)).alias("text")) for i, c in enumerate(texts)])
+    long = df.select(F.inline(cells))
+    bits = [F.when(x.read(F.col("text")).isNotNull(), F.lit(1 << k)).otherwise(0) for k, x in enumerate(LAYOUTS)]
+    # Only few sets of layouts ever read one value, so values are counted by the set that reads them.
+    mask = F.when(F.col("text").rlike(SHAPES), reduce(Column.bitwiseOR, bits)).otherwise(0).alias("mask")
+    counted = long.select("ci", "there", mask).groupBy("ci", "mask").agg(F.count_if("there").alias("present"))
+    grid = df.sparkSession.createDataFrame([(i, c, x.name, k, 1 << k) for i, c in enumerate(texts) for k, x in enumerate(LAYOUTS)],
+                                           "ci int, column string, layout string, place int, bit int")
+    of = lambda hit: F.coalesce(F.sum(F.when(hit, F.col("present"))), F.lit(0)).cast("bigint")
+    return F.broadcast(grid).join(counted, "ci", "left").groupBy("column", "layout", "place").agg(
+        of(F.col("mask").bitwiseAND(F.col("bit")) != 0).alias("read"), of(F.col("mask") != 0).alias("readable"), of(F.lit(True)).alias("present"))
 
 
 def chosen_layouts(scores: DataFrame) -> DataFrame:

@@ -70,6 +70,8 @@ class Facts:
     powers: dict[str, tuple]
     rough: dict[str, int]
     exact: dict[str, int] = field(default_factory=dict)
+    # The table of distinct values (`quantiles.ValueTable`), once a step has made it.
+    values: object = None
 
     def profile(self, df: DataFrame, columns: Sequence[str]) -> DataFrame:
         return df.sparkSession.createDataFrame([(i, c, *self.basics[c]) for i, c in enumerate(columns)], PROFILE_SCHEMA)
@@ -140,7 +142,8 @@ def carry_facts(source: DataFrame, df: DataFrame, extra: Sequence[str] = (), les
     more = gather_facts(df.select(*[col(c) for c in extra])) if extra else Facts(known.rows, {}, {}, {}, {})
     kept = lambda old, new: {c: v for c, v in old.items() if c not in less} | new
     df._facts = Facts(known.rows, kept(known.present, more.present), kept(known.basics, more.basics), kept(known.powers, more.powers),
-                      kept(known.rough, more.rough), kept(known.exact, {}))
+                      kept(known.rough, more.rough), kept(known.exact, {}),
+                      known.values if known.values is not None and not set(known.values.columns) & {*extra, *less} else None)
     return df
 
 
@@ -202,15 +205,35 @@ def missing_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
-    """Distinct present values per column. The exact form is one job whose shuffle is combined per task."""
+    """Distinct present values per column. The exact form is one job whose shuffle is combined per task; columns whose
+    exact number the frame's facts hold are not counted again."""
     names = [f for f in (df.columns if columns is None else columns)]
+    known = _known_distinct(df) if exact else {}
     measure = F.count_distinct if exact else F.approx_count_distinct
-    wide = df.agg(*[measure(col(c)).alias(f"d{i}") for i, c in enumerate(names)])
-    rows = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.col(f"d{i}").alias("distinct"))
+    unknown = [measure(col(c)).alias(f"d{i}") for i, c in enumerate(names) if c not in known]
+    rows = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"),
+                     (F.lit(known[c]).cast("bigint") if c in known else F.col(f"d{i}")).alias("distinct"))
             for i, c in enumerate(names)]
+    wide = df.agg(*unknown) if unknown else df.sparkSession.range(1)
     return wide.select(F.inline(F.array(*rows)))
 
 
+def _known_distinct(df: DataFrame) -> dict[str, int]:
+    """Exact distinct counts among a frame's facts. The value table holds finite doubles, so it tells those of columns
+    without other values and of whole numbers that doubles keep apart."""
+    facts = known_facts(df)
+    if not facts:
+        return {}
+    out = dict(facts.exact)
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    for c, n in zip(facts.values.columns, facts.values.distinct) if facts.values is not None else []:
+        low, high = facts.basics[c][4], facts.basics[c][5]
+        floating = isinstance(kinds[c], (T.FloatType, T.DoubleType)) and facts.present[c] == facts.rows
+        if floating or isinstance(kinds[c], T.IntegralType) and (low is None or max(-low, high) < 2.0**53):
+            out[c] = n
+    return out
+
+
 def constant_numeric_columns(df: DataFrame) -> list[str]:
     """Numeric columns whose sample variance is exactly 0: at least two values, all equal."""
     columns = numeric_columns(df)

@@ -22,23 +22,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from vistrata.functions.columns import col
-from vistrata.operators.profile import number_columns
+from vistrata.operators.profile import known_facts, number_columns
 from vistrata.operators.ranks import range_staged, with_running_total
 from vistrata.session import stage
 
 ONE_PASS_VALUES = 5_000_000
 ROWS_PER_BUCKET = 1_000_000
 MIN_BUCKETS, MAX_BUCKETS = 64, 16_384
+# Buckets of groups that hold a wanted rank, as many as are broadcast.
+TARGETS_BROADCAST = 100_000
 
 
 def percentiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], keys: Sequence[str] = (),
                 one_pass_values: int | None = None, buckets: int | None = None) -> DataFrame:
     """One row per (keys, column) that has values: `keys..., column, n, values` (one per probability).
 
-    Rows with a missing key belong to no group.
+    Rows with a missing key belong to no group. Whole columns whose value table the frame's facts hold are read there.
     """
     limit = ONE_PASS_VALUES if one_pass_values is None else one_pass_values
     columns, names = list(columns), [f"k{i}" for i in range(len(keys))]
+    facts = None if keys else known_facts(df)
+    held = [c for c in columns if c in facts.values.columns] if facts and facts.values is not None else []
+    if held:
+        known, rest = facts.values.only(held).percentiles(probs), [c for c in columns if c not in held]
+        return known.unionByName(percentiles(df, rest, probs, (), one_pass_values, buckets)) if rest else known
     wide = df.select(*[col(k).alias(n) for n, k in zip(names, keys)], *number_columns(df, columns))
     for n in names:
         wide = wide.where(F.col(n).isNotNull())
@@ -73,6 +80,15 @@ class ValueTable:
     def percentiles(self, probs: Sequence[float]) -> DataFrame:
         return read_ranks(self.frame, ["ci"], probs).select(named(self.columns), "n", "values")
 
+    def only(self, columns: Sequence[str]) -> ValueTable:
+        """The part of some columns, numbered in their order."""
+        if list(columns) == self.columns:
+            return self
+        places = [self.columns.index(c) for c in columns]
+        at = (F.array_position(F.array(*map(F.lit, places)), F.col("ci")) - 1).cast("int")
+        return ValueTable(self.frame.where(F.col("ci").isin(places)).withColumn("ci", at), list(columns),
+                          [self.sizes[i] for i in places], [self.distinct[i] for i in places])
+
     def named(self) -> DataFrame:
         return self.frame.select(named(self.columns), "value", "vc")
 
@@ -103,8 +119,11 @@ def value_table(df: DataFrame, columns: Sequence[str]) -> ValueTable:
     """Distinct values of each column with counts and positions, staged.
 
     One shuffle of counts serves percentiles, modes, outliers, ranks and samples alike; the table is
-    range-partitioned, so positions come from per-partition totals.
+    range-partitioned, so positions come from per-partition totals. A frame that carries facts keeps its table there.
     """
+    facts = known_facts(df, columns)
+    if facts and facts.values is not None and set(columns) <= set(facts.values.columns):
+        return facts.values.only(columns)
     wide = df.select(*number_columns(df, columns))
     counts = _long(wide, [], columns).groupBy("ci", "value").agg(F.count("*").alias("vc"))
     parts = range_staged(counts, ["ci", "value"], "values")
@@ -117,7 +136,10 @@ def value_table(df: DataFrame, columns: Sequence[str]) -> ValueTable:
         "ci", "value", "vc", (F.col("before") - F.col("start")).alias("before"), "n")
     # Every reader would sort the values again.
     frame = stage(frame, "positions")
-    return ValueTable(frame, list(columns), sizes, distinct)
+    made = ValueTable(frame, list(columns), sizes, distinct)
+    if facts:
+        facts.values = made
+    return made
 
 
 def read_ranks(placed: DataFrame, group: Sequence[str], probs: Sequence[float]) -> DataFrame:
@@ -201,12 +223,16 @@ def _two_pass(wide: DataFrame, keys: list[str], columns: Sequence[str], probs: S
         Window.unboundedPreceding, 0)) - F.col("c")).withColumn("n", F.sum("c").over(whole))
     targets = placed.where(_any_rank(_rank_pairs(probs), "start", "c")).select(*group, "bucket", "start", "n")
     where = [*group, "bucket"]
+    many = False
     if keys:
-        # There may be too many groups to broadcast their targets: count first, so that no raw row is shuffled and
-        # copies of one value are one row before they meet a target.
+        # At most two buckets per probability, column and group.
+        targets = stage(targets, "targets")
+        many = targets.count() > TARGETS_BROADCAST
+    if many:
+        # Too many groups to broadcast their targets: count first, so that no raw row is shuffled and copies of one
+        # value are one row before they meet a target.
         counted = long.groupBy(*where, "value").agg(F.count("*").alias("vc")).join(targets, where)
     else:
-        # At most two buckets per probability and column.
         counted = (long.join(F.broadcast(targets), where)
                    .groupBy(*where, "start", "n", "value").agg(F.count("*").alias("vc")))
     inside = Window.partitionBy(*group, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from vistrata.functions.columns import col, to_number, to_time
 from vistrata.operators.layouts import layout_scores, time_values
+from vistrata.operators.profile import known_facts
 from vistrata.operators.quantiles import percentile_dict
 
 # Fixed values of the detection and preparation rules.
@@ -48,12 +49,11 @@ def detect_time_column(df: DataFrame) -> str | None:
 
 def metric_scores(df: DataFrame, time_column: str | None) -> DataFrame:
     """column, numbers: numeric or numeric-looking columns with at least 10 numbers that are not all equal."""
-    fields = [f.name for f in df.schema.fields
+    fields = [f for f in df.schema.fields
               if f.name != time_column and isinstance(f.dataType, (T.NumericType, T.StringType))]
     cells = F.array(*[
-        F.struct(F.lit(c).alias("column"), F.count(to_number(col(c))).alias("numbers"),
-                 F.min(to_number(col(c))).alias("lo"), F.max(to_number(col(c))).alias("hi"))
-        for c in fields])
+        F.struct(F.lit(f.name).alias("column"), F.count(x).alias("numbers"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+        for f in fields for x in [to_number(col(f.name), f.dataType)]])
     return (df.agg(cells.alias("s")).select(F.inline("s"))
             .where((F.col("numbers") >= MIN_NUMBERS) & (F.col("lo") < F.col("hi"))).select("column", "numbers"))
 
@@ -76,10 +76,15 @@ def prepare_series(df: DataFrame, time_column: str, metrics: Sequence[str]) -> D
     """(series, ds, y) rows of every usable metric: timed, numeric, varying, trimmed, at least 20 rows."""
     metrics = [m for m in metrics if m in df.columns and m != time_column]
     wide = df.select(time_values(df, time_column).alias("ds"),
-                     *[to_number(col(m)).alias(f"m{i}") for i, m in enumerate(metrics)]).where("ds IS NOT NULL")
+                     *[to_number(col(m), df.schema[m].dataType).alias(f"m{i}") for i, m in enumerate(metrics)]).where("ds IS NOT NULL")
     names = [f"m{i}" for i in range(len(metrics))]
     empty = df.sparkSession.createDataFrame([], "series string, ds timestamp, y double")
-    bounds = percentile_dict(wide, names, TRIM)
+    # With a time in every row the columns' own percentiles hold, which the frame's facts may tell.
+    facts, plain = known_facts(df, metrics), isinstance(df.schema[time_column].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
+    if facts and plain and facts.present.get(time_column) == facts.rows:
+        bounds = {f"m{metrics.index(c)}": v for c, v in percentile_dict(df, metrics, TRIM).items()}
+    else:
+        bounds = percentile_dict(wide, names, TRIM)
     if not bounds:
         return empty
     kept = {n: F.when(F.col(n).between(*bounds[n]), F.col(n)) for n in bounds}

@@ -14,11 +14,12 @@ from vistrata.functions.names import CHART_CATEGORIES, chart_category, display_n
 from vistrata.operators.association import (
     adjacent_pairs, correlation_matrix, linear_association, spearman_pairs)
 from vistrata.operators.counts import category_summary, top_values_per_column
-from vistrata.operators.groups import group_detail, group_means
+from vistrata.operators.groups import group_details
 from vistrata.operators.histogram import histograms
 from vistrata.operators.preview import CATEGORY_POINTS, SERIES_POINTS, series_preview
 from vistrata.operators.profile import low_cardinality, varying_columns
 from vistrata.operators.statistics import full_statistics
+from vistrata.session import stage
 
 # Category limits and shown values per chart type, number of group-mean charts.
 BAR_CATEGORIES, BAR_SHOWN = 20, 15
@@ -38,7 +39,7 @@ def _category_chart(df: DataFrame, limit: int, shown: int) -> dict[str, DataFram
         return {"points": empty}
     points = top_values_per_column(df, columns, shown)
     whole = Window.partitionBy("column")
-    points = points.withColumn("proportion_pct", F.round(F.col("count") / F.sum("count").over(whole) * 100, 4))
+    points = stage(points.withColumn("proportion_pct", F.round(F.col("count") / F.sum("count").over(whole) * 100, 4)), "points")
     return {"points": points, "summary": category_summaries(points), "count_statistics": count_statistics(points)}
 
 
@@ -127,16 +128,19 @@ def chart_group_means(df: DataFrame, pairs: Sequence[tuple[str, str]] | None = N
     if pairs is None:
         pairs = default_pairs(df)
     categories, metrics = set(categorical_columns(df)), set(numeric_columns(df))
+    usable = [(c, m) for c, m in pairs if c in categories and m in metrics]
+    # One table a category serves every frame of its charts.
+    made = {c: stage(group_details(df, c, list(dict.fromkeys(m for k, m in usable if k == c))), "groups") for c in dict.fromkeys(c for c, _ in usable)}
     out = {}
-    for category, metric in pairs:
-        if category in categories and metric in metrics:
-            means = group_means(df, category, metric)
-            full = means.where("mean IS NOT NULL")
-            out[f"avg_{metric}_by_{category}"] = {
-                "points": series_preview(means, ["mean", "category"], CATEGORY_POINTS, descending=["mean"]),
-                "summary": category_summary(full, "category", "mean"),
-                "statistics": shown_statistics(full.withColumn("column", F.lit(metric)), "column", "mean"),
-                "per_group_detail": group_detail(df, category, metric)}
+    for category, metric in usable:
+        detail = made[category].where(F.col("metric") == metric).drop("metric")
+        means = detail.select("category", "mean").orderBy(F.desc_nulls_last("mean"), "category")
+        full = means.where("mean IS NOT NULL")
+        out[f"avg_{metric}_by_{category}"] = {
+            "points": series_preview(means, ["mean", "category"], CATEGORY_POINTS, descending=["mean"]),
+            "summary": category_summary(full, "category", "mean"),
+            "statistics": shown_statistics(full.withColumn("column", F.lit(metric)), "column", "mean"),
+            "per_group_detail": detail}
     return out
 
 
@@ -205,6 +209,12 @@ def chart_index(made: dict[str, dict], forecasts: DataFrame | None = None) -> Da
         stem, display_name(stem).alias("name"), chart_category(stem).alias("category"), "points")
 
 
+def staged_points(made: dict[str, dict]) -> dict[str, dict]:
+    """The same charts; points that take a scan of the table, which the index counts once more, are computed once."""
+    scanned = lambda part, key: (part, key) in (("histograms", "bins"), ("correlation", "matrix")) or key.startswith("points_") or part == "anomaly_scatter"
+    return {part: {key: stage(frame, "points") if scanned(part, key) else frame for key, frame in frames.items()} for part, frames in made.items()}
+
+
 def chart_sections(index: DataFrame) -> DataFrame:
     """position, category, charts, points, names: charts by category; a category without charts has no row."""
     order = F.array(*map(F.lit, [*CHART_CATEGORIES.values(), "other"]))

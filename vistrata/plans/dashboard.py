@@ -97,7 +97,9 @@ def dashboard(df: DataFrame, exclude: Sequence[str] = (), pairs: Sequence[tuple[
         timed = labelled.withColumn(time_column, time_values(labelled, time_column))
         labelled = carry_facts(labelled, timed, less=[time_column])
         out.labelled = labelled if out.labelled is not None else None
+    out.charts = charts.staged_points(out.charts)
     out.sections = charts.chart_sections(charts.chart_index(out.charts, out.forecasts))
-    out.profile = dataset_profile(labelled)
+    # The lines read every part once more.
+    out.profile = {name: stage(part, "profile") for name, part in dataset_profile(labelled).items()}
     out.profile_lines = profile_text(out.profile)
     return out

@@ -9,6 +9,7 @@ from vistrata.functions.columns import categorical_columns, column_classes, nume
 from vistrata.operators.counts import text_counts, top_of
 from vistrata.operators.profile import distinct_counts, known_facts, missing_counts
 from vistrata.operators.statistics import describe, describe_times, full_statistics, time_columns
+from vistrata.session import stage
 
 TOP_VALUES = 5
 
@@ -52,6 +53,8 @@ def dataset_profile(df: DataFrame, exact: bool = True) -> dict[str, DataFrame]:
            "columns": types.select("position", "column", "type").join(unique, "column", "left"),
            "statistics": describe(df)}
     if time_columns(df):
+        # Both parts read the table.
+        out["statistics"] = stage(out["statistics"], "describe")
         out["times"] = describe_times(df, out["statistics"])
     return out
 
