@@ -139,7 +139,8 @@ def chart_group_means(df: DataFrame, pairs: Sequence[tuple[str, str]] | None = N
         out[f"avg_{metric}_by_{category}"] = {
             "points": series_preview(means, ["mean", "category"], CATEGORY_POINTS, descending=["mean"]),
             "summary": category_summary(full, "category", "mean"),
-            "statistics": shown_statistics(full.withColumn("column", F.lit(metric)), "column", "mean"),
+            # In one stretch, so that sums of the means are added in the same order in every plan.
+            "statistics": shown_statistics(full.coalesce(1).withColumn("column", F.lit(metric)), "column", "mean"),
             "per_group_detail": detail}
     return out
 
